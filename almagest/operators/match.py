@@ -31,6 +31,8 @@ SCAN_POINTS = 256
 SCAN_CELLS = 512
 # Longest list of matches in one row of a grouped result.
 MAX_LIST = 10_000
+# Up to this many circles with long lists, the number of their parts is sent along by broadcast.
+LONG_CIRCLES = 100_000
 
 QUERY = "query_"
 
@@ -103,6 +105,7 @@ def cone_pairs(
     y: str = "lat",
     strategy: str = "auto",
     min_split_rows: int | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Matching pairs: the catalog's columns, then the points' columns as ``query_*``.
 
@@ -111,6 +114,7 @@ def cone_pairs(
     ``metric='great_circle'`` measures on the sphere, with the wrap at 0/360 and the poles.
     ``index`` defaults to the catalog's stored S2 cells if it has them, else to a grid.
     ``strategy`` is ``auto``, ``broadcast`` or ``shuffle``.
+    ``weight`` names a catalog column that counts copies; copies are then merged before a shuffle.
     """
     query = _query_side(points, x, y)
     reach = F.col(QUERY + radius) if isinstance(radius, str) else F.lit(float(radius))
@@ -143,6 +147,9 @@ def cone_pairs(
         located = _scan_filters(located, cover, profile, widest, metric, cell if stored else None, x, y)
         joined = located.join(F.broadcast(cover), keys)
     elif strategy == "shuffle":
+        if weight:
+            rest = [c for c in located.columns if c != weight]
+            located = located.groupBy(*rest).agg(F.sum(weight).alias(weight))
         joined = salted_join(located, cover, keys, *([] if min_split_rows is None else [min_split_rows]))
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
@@ -241,7 +248,8 @@ def grouped_match(
     """Matches listed per query circle: ``center`` columns, ``part``, ``matches`` (sorted structs).
 
     Circles without matches are absent. A circle with more than ``max_list`` matches comes as
-    several rows, numbered by ``part``, so that no task has to hold an endless list.
+    several rows, numbered by ``part``, so that no task has to hold an endless list. Those circles
+    are found by a count beforehand, which reads the two position columns only.
     """
     # The spread is taken before the join, where rows still know their place in the file.
     pairs = cone_pairs(catalog.withColumn("__spread", row_spread(catalog)), points, radius, **options).select(
@@ -249,19 +257,21 @@ def grouped_match(
         F.struct(*[F.col(f"`{c}`") for c in attributes]).alias("match"),
         "__spread",
     )
-    long = (
-        pairs.groupBy(*center)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > max_list)
-        .select(*[F.col(c).alias("__" + c) for c in center], F.ceil(F.col("n") / max_list).alias("__parts"))
-    )
-    same = F.lit(True)
-    for c in center:
-        same = same & F.col(c).eqNullSafe(F.col("__" + c))
-    part = F.pmod(F.col("__spread"), F.coalesce(F.col("__parts"), F.lit(1).cast("bigint"))).alias("part")
+    parts = F.lit(1).cast("bigint")
+    long = pairs.groupBy(*center).agg(F.ceil(F.count(F.lit(1)) / max_list).alias("__parts")).where("__parts > 1")
+    found = long.limit(LONG_CIRCLES + 1).collect()
+    if found:
+        names = ["__" + c for c in center]
+        long = long.toDF(*names, "__parts")
+        if len(found) <= LONG_CIRCLES:
+            long = F.broadcast(catalog.sparkSession.createDataFrame(found, long.schema))
+        same = F.lit(True)
+        for c in center:
+            same = same & F.col(c).eqNullSafe(F.col("__" + c))
+        pairs = pairs.join(long, same, "left")
+        parts = F.coalesce(F.col("__parts"), parts)
     return (
-        pairs.join(long, same, "left")
-        .select(*center, part, "match")
+        pairs.select(*center, F.pmod(F.col("__spread"), parts).cast("int").alias("part"), "match")
         .groupBy(*center, "part")
         .agg(F.sort_array(F.collect_list("match")).alias("matches"))
     )
@@ -289,11 +299,8 @@ def count_matches(
     weight = F.lit(1).cast("bigint") if distinct_points else F.count(F.lit(1))
     merged = points.groupBy(x, y, *by).agg(weight.alias("weight"))
     sources = catalog.select(x, y, *[c for c in ("cell_id", "partition_id") if c in catalog.columns])
-    if options.get("strategy") == "shuffle":
-        sources = sources.groupBy(*sources.columns).agg(F.count(F.lit(1)).alias("copies"))
-    else:
-        sources = sources.withColumn("copies", F.lit(1).cast("bigint"))
-    pairs = cone_pairs(sources, merged, radii[-1], shape=shape, x=x, y=y, **options)
+    sources = sources.withColumn("copies", F.lit(1).cast("bigint"))
+    pairs = cone_pairs(sources, merged, radii[-1], shape=shape, x=x, y=y, weight="copies", **options)
     n = F.col("copies") * F.col(QUERY + "weight")
     totals = [
         F.coalesce(
