@@ -135,9 +135,9 @@ def cone_pairs(
     cover = index.explode_cover(query, reach, cell, QUERY + x, QUERY + y)
 
     keys = [cell]
-    parent = catalog.schema["partition_id"].metadata.get("s2_level") if "partition_id" in catalog.columns else None
-    if stored and parent is not None:
-        cover = cover.withColumn("partition_id", s2_parent(F.col(cell), parent))
+    coarse = catalog.schema[cell].metadata.get("s2_parent") if stored else None
+    if coarse is not None and "partition_id" in catalog.columns:
+        cover = cover.withColumn("partition_id", s2_parent(F.col(cell), coarse))
         keys = ["partition_id", cell]
 
     if strategy == "auto":
