@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: the geohash alphabet.
 ALPHABET = "0123456789bcdefghjkmnpqrstuvwxyz"
 
 
-def _quantised(value: Column, low: float, span: float, bits: int) -> Column:
+def _quantised(value: str, low: float, span: float, bits: int) -> str:
     cells = 1 << bits
-    index = F.floor((value - low) / span * float(cells)).cast("bigint")
-    return F.least(F.greatest(index, F.lit(0).cast("bigint")), F.lit(cells - 1).cast("bigint"))
+    return f"least(greatest(floor((`{value}` - {low}D) / {span}D * {cells}D), 0L), {cells - 1}L)"
 
 
-def _letters() -> Column:
+def _letters() -> tuple[str, ...]:
     """Letter for three bits of the leading axis followed by two bits of the other axis."""
     table = []
     for lead in range(8):
@@ -24,25 +23,31 @@ def _letters() -> Column:
             for k in range(5):
                 bits, width = (lead, 3) if k % 2 == 0 else (other, 2)
                 digit = digit * 2 + (bits >> (width - 1 - k // 2) & 1)
-            table.append(F.lit(ALPHABET[digit]))
-    return F.array(*table)
+            table.append(ALPHABET[digit])
+    return tuple(table)
 
 
-def geohash(lon: Column, lat: Column, length: int = 9) -> Column:
-    """Base-32 geohash: bits of longitude and latitude taken in turn, five to a character.
+def with_geohash(
+    df: DataFrame, length: int = 9, out: str = "geohash", x: str = "lon", y: str = "lat"
+) -> DataFrame:
+    """Add the base-32 geohash: bits of longitude and latitude taken in turn, five to a character.
 
     Characters alternate between three longitude bits with two of latitude and the reverse, so each
     one is a single lookup.
     """
-    x_bits, y_bits = (5 * length + 1) // 2, 5 * length // 2
-    x = _quantised(lon, -180.0, 360.0, x_bits)
-    y = _quantised(lat, -90.0, 180.0, y_bits)
-    letters = _letters()
+    columns = [c for c in df.columns if c != out]
+    left = {"__x": (5 * length + 1) // 2, "__y": 5 * length // 2}
+    df = df.select(*columns).withColumns(
+        {
+            "__x": F.expr(_quantised(x, -180.0, 360.0, left["__x"])),
+            "__y": F.expr(_quantised(y, -90.0, 180.0, left["__y"])),
+        }
+    )
     chars = []
     for n in range(length):
-        x_left, y_left = x_bits - (5 * n + 1) // 2, y_bits - 5 * n // 2
-        lead, lead_left, other, other_left = (x, x_left, y, y_left) if n % 2 == 0 else (y, y_left, x, x_left)
-        index = F.shiftright(lead, lead_left - 3).bitwiseAND(F.lit(7)) * 4
-        index = index + F.shiftright(other, other_left - 2).bitwiseAND(F.lit(3))
-        chars.append(F.get(letters, index.cast("int")))
-    return F.concat(*chars)
+        lead, other = ("__x", "__y") if n % 2 == 0 else ("__y", "__x")
+        left[lead] -= 3
+        left[other] -= 2
+        index = f"(shiftright({lead}, {left[lead]}) & 7) * 4 + (shiftright({other}, {left[other]}) & 3)"
+        chars.append(f"get(array{_letters()}, int({index}))")
+    return df.withColumn(out, F.expr(f"concat({', '.join(chars)})")).select(*columns, out)

@@ -40,10 +40,12 @@ def parse_point_wkt(text: Column) -> Column:
 def buffer_ring(lon: Column, lat: Column, radius) -> Column:
     """Closed 32-gon inscribed in the circle of this radius."""
     r = _col(radius)
-    vertices = [
-        point(lon + r * math.cos(k * STEP), lat + r * math.sin(k * STEP)) for k in range(RING_SEGMENTS)
-    ]
-    return F.array(*vertices, vertices[0])
+
+    def vertex(k: Column) -> Column:
+        angle = (k % RING_SEGMENTS) * STEP
+        return point(lon + r * F.cos(angle), lat + r * F.sin(angle))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(RING_SEGMENTS)), vertex)
 
 
 def ring_wkt(ring: Column) -> Column:
@@ -53,17 +55,20 @@ def ring_wkt(ring: Column) -> Column:
 
 def ring_area(ring: Column) -> Column:
     """Area of a closed ring in square degrees, by the shoelace sum about its first vertex."""
-    first = F.get(ring, 0)
-    edges = F.zip_with(
-        ring,
-        F.slice(ring, 2, RING_SEGMENTS * 1000),
-        lambda a, b: F.coalesce(
-            (a["lon"] - first["lon"]) * (b["lat"] - first["lat"])
-            - (b["lon"] - first["lon"]) * (a["lat"] - first["lat"]),
-            F.lit(0.0),
-        ),
-    )
-    return F.abs(F.aggregate(edges, F.lit(0.0), lambda total, edge: total + edge)) / 2
+
+    def area(vertices: Column) -> Column:
+        first = vertices[0]
+
+        def edge(a: Column, b: Column) -> Column:
+            cross = (a["lon"] - first["lon"]) * (b["lat"] - first["lat"])
+            return cross - (b["lon"] - first["lon"]) * (a["lat"] - first["lat"])
+
+        ahead = F.slice(vertices, F.lit(2), F.size(vertices) - 1)
+        edges = F.slice(F.zip_with(vertices, ahead, edge), F.lit(1), F.size(vertices) - 1)
+        return F.abs(F.aggregate(edges, F.lit(0.0), lambda total, part: total + part)) / 2
+
+    # A one-element ``transform`` makes sure the ring is worked out once.
+    return F.get(F.transform(F.array(ring), area), 0)
 
 
 def buffer_area(radius) -> Column:

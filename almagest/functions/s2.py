@@ -3,6 +3,7 @@
 The sphere is projected on the six faces of a cube, each face is halved ``level`` times along both
 axes, and cells are numbered along a Hilbert curve (the public S2 cell numbering). The work is laid
 out as a chain of projections so that each step is computed once per row inside generated code.
+Formulas are given as SQL text: one call each, where a tree of column objects would take hundreds.
 """
 
 from __future__ import annotations
@@ -26,11 +27,11 @@ ORIENTATION_CHANGE = [1, 0, 0, 3]
 # Fixed value: shortest width of a cell, in radians, times 2^level.
 MIN_WIDTH = 2 * math.sqrt(2) / 3
 # Levels of the curve handled by one table lookup.
-CHUNK = 2
+CHUNK = 3
 
 
 @lru_cache(maxsize=None)
-def _curve_table(width: int) -> list[int]:
+def _curve_table(width: int) -> tuple[int, ...]:
     """For orientation, ``width`` bits of i and of j: position bits and the orientation after them."""
     table = []
     for start in range(4):
@@ -43,81 +44,90 @@ def _curve_table(width: int) -> list[int]:
                     position = position * 4 + step
                     orientation ^= ORIENTATION_CHANGE[step]
                 table.append(position * 4 + orientation)
-    return table
+    return tuple(table)
 
 
-def _bits(value: Column, shift: int, width: int) -> Column:
-    return F.shiftright(value, shift).bitwiseAND(F.lit((1 << width) - 1))
-
-
-def _with_id(df: DataFrame, level: int, out: str) -> DataFrame:
-    """Cell id from the columns ``__face``, ``__i``, ``__j``; drops nothing."""
+def _with_id(df: DataFrame, level: int, out: str, start: str) -> DataFrame:
+    """Cell id from the columns ``__face``, ``__i``, ``__j`` and the curve's first orientation."""
     widths = ([level % CHUNK] if level % CHUNK else []) + [CHUNK] * (level // CHUNK)
-    orientation = F.col("__face").bitwiseAND(F.lit(1))
-    position = F.col("__face").cast("bigint")
-    left = level
+    orientation, position, left = start, "bigint(__face)", level
     for n, width in enumerate(widths):
         left -= width
-        index = orientation * (1 << 2 * width) + _bits(F.col("__i"), left, width) * (1 << width)
-        index = index + _bits(F.col("__j"), left, width)
-        table = F.array(*[F.lit(entry) for entry in _curve_table(width)])
-        df = df.withColumn(f"__k{n}", F.get(table, index.cast("int")))
-        step = F.col(f"__k{n}")
-        orientation = step.bitwiseAND(F.lit(3))
-        position = F.shiftleft(position, 2 * width).bitwiseOR(F.shiftright(step, 2).cast("bigint"))
-    tail = F.lit(1 << 2 * (MAX_LEVEL - level)).cast("bigint")
-    cell = F.shiftleft(position, 2 * (MAX_LEVEL - level) + 1).bitwiseOR(tail)
+        mask = (1 << width) - 1
+        index = (
+            f"{orientation} * {1 << 2 * width} + (shiftright(__i, {left}) & {mask}) * {1 << width}"
+            f" + (shiftright(__j, {left}) & {mask})"
+        )
+        df = df.withColumn(f"__k{n}", F.expr(f"get(array{_curve_table(width)}, int({index}))"))
+        orientation = f"(__k{n} & 3)"
+        position = f"(shiftleft({position}, {2 * width}) | bigint(shiftright(__k{n}, 2)))"
+    left = 2 * (MAX_LEVEL - level)
     # Never NULL: otherwise a join on the cell would add a null filter that repeats the whole chain.
-    return df.withColumn(out, F.coalesce(cell, F.lit(NO_CELL).cast("bigint")))
-
+    cell = f"coalesce(shiftleft({position}, {left + 1}) | {1 << left}L, {NO_CELL}L)"
+    return df.withColumn(out, F.expr(cell))
 
-def _face_to_unit(u: Column) -> Column:
-    """Face coordinate in [-1, 1] to [0, 1], by the quadratic rule that evens out cell sizes."""
-    return F.when(u >= 0, F.sqrt(1 + 3 * u) * 0.5).otherwise(1 - F.sqrt(1 - 3 * u) * 0.5)
 
+def _cell_index(u: str, level: int) -> str:
+    """Cell number along an axis of a face coordinate in [-1, 1].
 
-def _unit_to_face(s: Column) -> Column:
-    return F.when(s >= 0.5, (4 * s * s - 1) / 3).otherwise((1 - 4 * (1 - s) * (1 - s)) / 3)
+    The coordinate is first taken to [0, 1] by the quadratic rule that evens out cell sizes.
+    """
+    cells = 1 << level
+    unit = f"((1 - signum({u})) / 2 + signum({u}) * (sqrt(1 + 3 * abs({u})) * 0.5D))"
+    return f"least(greatest(floor({unit} * {cells}D), 0L), {cells - 1}L)"
 
 
-def _cell_index(u: Column, level: int) -> Column:
-    cells = 1 << level
-    index = F.floor(_face_to_unit(u) * float(cells)).cast("bigint")
-    return F.least(F.greatest(index, F.lit(0).cast("bigint")), F.lit(cells - 1).cast("bigint"))
+def _face_bound(index: str, level: int) -> str:
+    """Face coordinate of the lower edge of a cell: the quadratic rule undone."""
+    s = f"(({index}) / {1 << level}D)"
+    return f"CASE WHEN {s} >= 0.5D THEN (4 * {s} * {s} - 1) / 3 ELSE (1 - 4 * (1 - {s}) * (1 - {s})) / 3 END"
 
 
 def _with_vector(df: DataFrame, x: str, y: str) -> DataFrame:
-    lon, lat = F.radians(F.col(x)), F.radians(F.col(y))
     return df.withColumns(
-        {"__x": F.cos(lat) * F.cos(lon), "__y": F.cos(lat) * F.sin(lon), "__z": F.sin(lat)}
+        {
+            "__x": F.expr(f"cos(radians(`{y}`)) * cos(radians(`{x}`))"),
+            "__y": F.expr(f"cos(radians(`{y}`)) * sin(radians(`{x}`))"),
+            "__z": F.expr(f"sin(radians(`{y}`))"),
+        }
     )
 
 
-def _face_frames() -> list[tuple[Column, Column, Column]]:
-    """Per face, the vector's parts along the face normal and along the face's two axes."""
-    x, y, z = F.col("__x"), F.col("__y"), F.col("__z")
-    return [(x, y, z), (y, -x, z), (z, -x, -y), (-x, -z, -y), (-y, -z, x), (-z, y, x)]
+# Per face, the vector's parts along the face normal and along the face's two axes.
+FACE_FRAMES = [
+    ("__x", "__y", "__z"),
+    ("__y", "-__x", "__z"),
+    ("__z", "-__x", "-__y"),
+    ("-__x", "-__z", "-__y"),
+    ("-__y", "-__z", "__x"),
+    ("-__z", "__y", "__x"),
+]
 
 
 def with_s2_cell(df: DataFrame, level: int, out: str = "cell_id", x: str = "lon", y: str = "lat") -> DataFrame:
     """Add the S2 cell that holds the position, as a signed 64-bit id."""
     columns = [c for c in df.columns if c != out]
-    df = _with_vector(df.select(*columns), x, y)
-    ax, ay, az = (F.abs(F.col(c)) for c in ("__x", "__y", "__z"))
-    axis = F.when(ax > ay, F.when(ax > az, 0).otherwise(2)).otherwise(F.when(ay > az, 1).otherwise(2))
-    df = df.withColumn("__axis", axis)
-    along = F.when(F.col("__axis") == 0, F.col("__x")).when(F.col("__axis") == 1, F.col("__y"))
-    df = df.withColumn(
-        "__face", F.col("__axis") + F.when(along.otherwise(F.col("__z")) < 0, 3).otherwise(0)
+    df = _with_vector(df.select(*columns), x, y).withColumn(
+        "__axis",
+        F.expr(
+            "CASE WHEN abs(__x) > abs(__y) THEN CASE WHEN abs(__x) > abs(__z) THEN 0 ELSE 2 END"
+            " WHEN abs(__y) > abs(__z) THEN 1 ELSE 2 END"
+        ),
     )
-    u = v = None
-    for face, (normal, first, second) in enumerate(_face_frames()):
-        here = F.col("__face") == face
-        u = F.when(here, first / normal) if u is None else u.when(here, first / normal)
-        v = F.when(here, second / normal) if v is None else v.when(here, second / normal)
-    df = df.withColumns({"__u": u, "__v": v})
-    df = df.withColumns({"__i": _cell_index(F.col("__u"), level), "__j": _cell_index(F.col("__v"), level)})
-    return _with_id(df, level, out).select(*columns, out)
+
+    def by_axis(first: str, second: str, third: str) -> str:
+        return f"(CASE __axis WHEN 0 THEN {first} WHEN 1 THEN {second} ELSE {third} END)"
+
+    # A face on the negative side has its two axes exchanged. That equals starting the curve in its
+    # mirrored orientation, so the sign enters the face number only.
+    df = df.withColumns(
+        {
+            "__face": F.expr(f"__axis + CASE WHEN {by_axis('__x', '__y', '__z')} < 0 THEN 3 ELSE 0 END"),
+            "__i": F.expr(_cell_index(by_axis("__y / __x", "-__x / __y", "-__x / __z"), level)),
+            "__j": F.expr(_cell_index(by_axis("__z / __x", "__z / __y", "-__y / __z"), level)),
+        }
+    )
+    return _with_id(df, level, out, "(__axis & 1)").select(*columns, out)
 
 
 def s2_parent(cell: Column, level: int) -> Column:
@@ -137,81 +147,63 @@ def explode_s2_cover(
     A circle in the plane lies inside this one: its straight-line distances are never shorter.
     """
     columns = [c for c in df.columns if c != out]
-    frames = [
-        F.struct(
-            F.lit(face).alias("face"), normal.alias("n"), first.alias("p"), second.alias("q")
-        )
-        for face, (normal, first, second) in enumerate(_face_frames())
-    ]
-    rho = F.radians(padded(radius))
-    df = _with_vector(df.select(*columns), x, y).withColumn("__sin", F.sin(rho))
-    df = df.withColumn("__frame", F.explode(F.array(*frames))).select(
-        *columns,
-        "__sin",
-        F.col("__frame.face").alias("__face"),
-        F.col("__frame.n").alias("__n"),
-        F.col("__frame.p").alias("__p"),
-        F.col("__frame.q").alias("__q"),
+    kept = [f"`{c}`" for c in columns]
+    frames = ", ".join(
+        f"named_struct('face', {face}, 'n', {n}, 'p', {p}, 'q', {q})" for face, (n, p, q) in enumerate(FACE_FRAMES)
     )
-    quarter = math.pi / 4
-
-    def interval(along: str, across: str) -> tuple[Column, Column]:
-        centre = F.atan2(F.col(along), F.col("__n"))
-        spread = F.sqrt(F.greatest(1 - F.col(across) * F.col(across), F.lit(0.0)))
-        half = F.asin(F.least(F.col("__sin") / spread, F.lit(1.0)))
-        polar = F.col("__sin") >= spread
-        low = F.when(polar, F.lit(-quarter)).otherwise(F.greatest(centre - half, F.lit(-quarter)))
-        high = F.when(polar, F.lit(quarter)).otherwise(F.least(centre + half, F.lit(quarter)))
-        return low, high
-
-    p_low, p_high = interval("__p", "__q")
-    q_low, q_high = interval("__q", "__p")
-    df = df.withColumns({"__pl": p_low, "__ph": p_high, "__ql": q_low, "__qh": q_high}).where(
-        (F.col("__pl") <= F.col("__ph")) & (F.col("__ql") <= F.col("__qh"))
+    df = _with_vector(df.select(*columns), x, y).withColumn("__sin", F.sin(F.radians(padded(radius))))
+    df = df.selectExpr(*kept, "__sin", f"explode(array({frames})) AS __frame").selectExpr(
+        *kept, "__sin", "__frame.face AS __face", "__frame.n AS __n", "__frame.p AS __p", "__frame.q AS __q"
     )
+
+    def interval(along: str, across: str) -> tuple[str, str]:
+        """Angles about the other axis, clipped to the face; all of it when the circle holds that axis."""
+        spread = f"sqrt(greatest(1 - {across} * {across}, 0D))"
+        centre, half = f"atan2({along}, __n)", f"asin(least(__sin / {spread}, 1D))"
+        return (
+            f"CASE WHEN __sin >= {spread} THEN -pi() / 4 ELSE greatest({centre} - {half}, -pi() / 4) END",
+            f"CASE WHEN __sin >= {spread} THEN pi() / 4 ELSE least({centre} + {half}, pi() / 4) END",
+        )
+
+    (p_low, p_high), (q_low, q_high) = interval("__p", "__q"), interval("__q", "__p")
+    df = df.selectExpr(
+        "*", f"{p_low} AS __pl", f"{p_high} AS __ph", f"{q_low} AS __ql", f"{q_high} AS __qh"
+    ).where("__pl <= __ph AND __ql <= __qh")
     for name, low, high in (("__i", "__pl", "__ph"), ("__j", "__ql", "__qh")):
-        span = F.sequence(_cell_index(F.tan(F.col(low)), level), _cell_index(F.tan(F.col(high)), level))
-        df = df.withColumn(name, F.explode(span))
-    return _with_id(df.where(_cell_meets_circle(level)), level, out).select(*columns, out)
+        span = f"sequence({_cell_index(f'tan({low})', level)}, {_cell_index(f'tan({high})', level)})"
+        df = df.withColumn(name, F.expr(f"explode({span})"))
+    return _with_id(df.where(_cell_meets_circle(level)), level, out, "(__face & 1)").select(*columns, out)
 
 
-def _cell_meets_circle(level: int) -> Column:
+def _cell_meets_circle(level: int) -> str:
     """Cell ``(__i, __j)`` holds the centre, or an edge or corner of it lies within the radius.
 
     The cell bounds are handed to a one-element ``exists`` so that they are worked out once per row.
     """
-    size = float(1 << level)
-    n, p, q = F.col("__n"), F.col("__p"), F.col("__q")
-    limit = F.col("__sin") * F.col("__sin")
-
-    def meets(cell: Column) -> Column:
-        u, v = (cell["u0"], cell["u1"]), (cell["v0"], cell["v1"])
-        near = (n > 0) & p.between(u[0] * n, u[1] * n) & q.between(v[0] * n, v[1] * n)
-        for own, other, line, ends in [(p, q, u[0], v), (p, q, u[1], v), (q, p, v[0], u), (q, p, v[1], u)]:
-            # Edges are arcs of great circles: compare the sine of the distance to that circle, and
-            # ask whether the foot of the perpendicular falls between the ends.
-            scale, offset, foot = 1 + line * line, own - line * n, n + line * own
-            near = near | (
-                (offset * offset <= limit * scale)
-                & (foot > 0)
-                & (other * scale).between(ends[0] * foot, ends[1] * foot)
+    n, p, q = "__n", "__p", "__q"
+    u, v = ("c.u0", "c.u1"), ("c.v0", "c.v1")
+    tests = [f"{n} > 0 AND {p} BETWEEN {u[0]} * {n} AND {u[1]} * {n} AND {q} BETWEEN {v[0]} * {n} AND {v[1]} * {n}"]
+    for own, other, line, ends in [(p, q, u[0], v), (p, q, u[1], v), (q, p, v[0], u), (q, p, v[1], u)]:
+        # Edges are arcs of great circles: compare the sine of the distance to that circle, and ask
+        # whether the foot of the perpendicular falls between the ends.
+        scale, offset, foot = f"(1 + {line} * {line})", f"({own} - {line} * {n})", f"({n} + {line} * {own})"
+        tests.append(
+            f"{offset} * {offset} <= __sin * __sin * {scale} AND {foot} > 0"
+            f" AND {other} * {scale} BETWEEN {ends[0]} * {foot} AND {ends[1]} * {foot}"
+        )
+    for a in u:
+        for b in v:
+            # Sine of the distance to the corner, as the length of a cross product.
+            parts = [f"({a} * {q} - {b} * {p})", f"({b} * {n} - {q})", f"({p} - {a} * {n})"]
+            square = " + ".join(f"{part} * {part}" for part in parts)
+            tests.append(
+                f"{square} <= __sin * __sin * (1 + {a} * {a} + {b} * {b}) AND {n} + {a} * {p} + {b} * {q} > 0"
             )
-        for a in u:
-            for b in v:
-                # Sine of the distance to the corner, as the length of a cross product.
-                x, y, z = a * q - b * p, b * n - q, p - a * n
-                near = near | (
-                    (x * x + y * y + z * z <= limit * (1 + a * a + b * b)) & (n + a * p + b * q > 0)
-                )
-        return near
-
-    bounds = F.struct(
-        _unit_to_face(F.col("__i") / size).alias("u0"),
-        _unit_to_face((F.col("__i") + 1) / size).alias("u1"),
-        _unit_to_face(F.col("__j") / size).alias("v0"),
-        _unit_to_face((F.col("__j") + 1) / size).alias("v1"),
+    bounds = ", ".join(
+        f"'{name}', {_face_bound(index, level)}"
+        for name, index in (("u0", "__i"), ("u1", "__i + 1"), ("v0", "__j"), ("v1", "__j + 1"))
     )
-    return F.exists(F.array(bounds), meets)
+    return f"exists(array(named_struct({bounds})), c -> ({') OR ('.join(tests)}))"
 
 
 @dataclass(frozen=True)

@@ -72,11 +72,9 @@ def default_index(radius: float, metric: str):
     return SphereGrid(height) if metric == "great_circle" else PlaneGrid(height)
 
 
-def cell_level(catalog: DataFrame, column: str = "cell_id") -> int | None:
-    """S2 level stored with a cell column, if the frame has one."""
-    if column not in catalog.columns:
-        return None
-    return catalog.schema[column].metadata.get("s2_level")
+def cell_facts(catalog: DataFrame) -> dict:
+    """What a layout noted with its ``cell_id``: S2 levels, and whether the ids are stored."""
+    return catalog.schema["cell_id"].metadata if "cell_id" in catalog.columns else {}
 
 
 def _within(metric: str, shape: str, boundary: bool, radius: Column, x: str, y: str) -> Column:
@@ -123,19 +121,19 @@ def cone_pairs(
     if widest < 0:
         raise ValueError("radius must not be negative")
 
-    level = cell_level(catalog)
-    stored = level is not None and index is None
-    if stored:
-        index = S2Cells(level)
+    facts = cell_facts(catalog) if index is None else {}
+    celled = "s2_level" in facts
+    if celled:
+        index = S2Cells(facts["s2_level"])
     elif index is None:
         index = default_index(widest, metric)
-    cell = "cell_id" if stored else "__cell"
+    cell = "cell_id" if celled else "__cell"
     placed = catalog.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    located = placed if stored else index.with_cell(placed, cell, x, y)
+    located = placed if celled else index.with_cell(placed, cell, x, y)
     cover = index.explode_cover(query, reach, cell, QUERY + x, QUERY + y)
 
     keys = [cell]
-    coarse = catalog.schema[cell].metadata.get("s2_parent") if stored else None
+    coarse = facts.get("s2_parent")
     if coarse is not None and "partition_id" in catalog.columns:
         cover = cover.withColumn("partition_id", s2_parent(F.col(cell), coarse))
         keys = ["partition_id", cell]
@@ -144,7 +142,7 @@ def cone_pairs(
         small = profile.size * index.cover_bound(widest) <= BROADCAST_BYTES
         strategy = "broadcast" if small else "shuffle"
     if strategy == "broadcast":
-        located = _scan_filters(located, cover, profile, widest, metric, cell if stored else None, x, y)
+        located = _scan_filters(located, cover, profile, widest, metric, cell if facts.get("stored") else None, x, y)
         joined = located.join(F.broadcast(cover), keys)
     elif strategy == "shuffle":
         if weight:
@@ -218,7 +216,7 @@ def hybrid_match(catalog: DataFrame, points: DataFrame, radius: float, **options
     The catalog must carry ``partition_id`` and ``cell_id``; the join is on both, and the points'
     partitions prune the folders that are read.
     """
-    if cell_level(catalog) is None or "partition_id" not in catalog.columns:
+    if "s2_parent" not in cell_facts(catalog) or "partition_id" not in catalog.columns:
         raise ValueError("not a cell-partitioned catalog: partition_id and cell_id with S2 levels needed")
     pairs = cone_pairs(catalog, distinct_positions(points.select("lon", "lat")), radius, **options)
     return pairs.select(*wkt_columns())

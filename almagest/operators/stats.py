@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from almagest.functions import geometry as geo
 from almagest.functions.coords import mercator_ordinate, radius_degrees, shifted_lon
-from almagest.functions.geohash import geohash
+from almagest.functions.geohash import with_geohash
 
 
 def cover_expansion(points: DataFrame, radius: float, index, x: str = "lon", y: str = "lat") -> DataFrame:
@@ -55,15 +55,13 @@ def layer_extent(df: DataFrame, x: str = "lon", y: str = "lat") -> DataFrame:
     )
 
 
-def density(df: DataFrame, key: Column | str) -> DataFrame:
+def density(df: DataFrame, key: str) -> DataFrame:
     """Rows per cell or geohash, fullest first."""
-    column = F.col(key) if isinstance(key, str) else key.alias("key")
-    name = key if isinstance(key, str) else "key"
-    return df.groupBy(column).count().orderBy(F.desc("count"), F.asc(name))
+    return df.groupBy(key).count().orderBy(F.desc("count"), F.asc(key))
 
 
 def geohash_density(df: DataFrame, length: int = 9, x: str = "lon", y: str = "lat") -> DataFrame:
-    return density(df.select(geohash(F.col(x), F.col(y), length).alias("geohash")), "geohash")
+    return density(with_geohash(df.select(x, y), length, "geohash", x, y), "geohash")
 
 
 def describe_points(df: DataFrame, columns: Sequence[str] = ("ra_point", "dec_point")) -> DataFrame:

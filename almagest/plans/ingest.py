@@ -9,9 +9,9 @@ from almagest.sources.tables import read_offsets_csv, write_by_tile, write_small
 from almagest.sources.tiles import read_catalog_tiles, read_offset_tiles
 
 
-def prepare_offsets(spark: SparkSession, text_path: str, csv_path: str) -> None:
+def prepare_offsets(spark: SparkSession, text_path: str, csv_path: str, **options) -> None:
     """Offset table from its text form to CSV with header."""
-    write_small_csv(read_offset_tiles(spark, text_path), csv_path)
+    write_small_csv(read_offset_tiles(spark, text_path, **options), csv_path)
 
 
 def primary_catalog(spark: SparkSession, tiles_path: str, offsets_csv: str, **options) -> DataFrame:

@@ -72,6 +72,10 @@ def attach_catalog(
     Its schema, with the cell levels of the layout, is on the returned frame.
     """
     catalog = spark.read.parquet(path)
+    if "cell_id" in catalog.columns:
+        # Says that cells are read, not worked out, so filters on them are worth sending to the scan.
+        levels = {**catalog.schema["cell_id"].metadata, "stored": True}
+        catalog = catalog.withColumn("cell_id", F.col("cell_id").alias("cell_id", metadata=levels))
     if storage is not None:
         catalog = catalog.persist(storage)
     if view:
