@@ -50,4 +50,6 @@ def with_geohash(
         left[other] -= 2
         index = f"(shiftright({lead}, {left[lead]}) & 7) * 4 + (shiftright({other}, {left[other]}) & 3)"
         chars.append(f"get(array{_letters()}, int({index}))")
-    return df.withColumn(out, F.expr(f"concat({', '.join(chars)})")).select(*columns, out)
+    # ``least`` and ``greatest`` pass over NULL, hence the explicit test.
+    text = f"CASE WHEN `{x}` IS NOT NULL AND `{y}` IS NOT NULL THEN concat({', '.join(chars)}) END"
+    return df.withColumn(out, F.expr(text)).select(*columns, out)

@@ -47,7 +47,7 @@ def _curve_table(width: int) -> tuple[int, ...]:
     return tuple(table)
 
 
-def _with_id(df: DataFrame, level: int, out: str, start: str) -> DataFrame:
+def _with_id(df: DataFrame, level: int, out: str, start: str, valid: str = "true") -> DataFrame:
     """Cell id from the columns ``__face``, ``__i``, ``__j`` and the curve's first orientation."""
     widths = ([level % CHUNK] if level % CHUNK else []) + [CHUNK] * (level // CHUNK)
     orientation, position, left = start, "bigint(__face)", level
@@ -63,7 +63,7 @@ def _with_id(df: DataFrame, level: int, out: str, start: str) -> DataFrame:
         position = f"(shiftleft({position}, {2 * width}) | bigint(shiftright(__k{n}, 2)))"
     left = 2 * (MAX_LEVEL - level)
     # Never NULL: otherwise a join on the cell would add a null filter that repeats the whole chain.
-    cell = f"coalesce(shiftleft({position}, {left + 1}) | {1 << left}L, {NO_CELL}L)"
+    cell = f"coalesce(if({valid}, shiftleft({position}, {left + 1}) | {1 << left}L, {NO_CELL}L), {NO_CELL}L)"
     return df.withColumn(out, F.expr(cell))
 
 
@@ -127,7 +127,9 @@ def with_s2_cell(df: DataFrame, level: int, out: str = "cell_id", x: str = "lon"
             "__j": F.expr(_cell_index(by_axis("__z / __x", "__z / __y", "-__y / __z"), level)),
         }
     )
-    return _with_id(df, level, out, "(__axis & 1)").select(*columns, out)
+    # ``least`` and ``greatest`` pass over NULL, hence the explicit test.
+    placed = f"`{x}` IS NOT NULL AND `{y}` IS NOT NULL"
+    return _with_id(df, level, out, "(__axis & 1)", placed).select(*columns, out)
 
 
 def s2_parent(cell: Column, level: int) -> Column:
