@@ -26,13 +26,17 @@ def padded(radius):
     return radius * (1 + 1e-9) + 1e-12
 
 
-def _never_null(cell: Column) -> Column:
+def _cell_number(value: str, height: float) -> str:
+    return f"floor(({value}) / {height!r}D)"
+
+
+def _never_null(cell: str) -> str:
     """Keeps a join on the cell from adding a null filter that works the cell out a second time."""
-    return F.coalesce(cell, F.lit(0).cast("bigint"))
+    return f"coalesce({cell}, 0L)"
 
 
-def _cell_number(value: Column, height: float) -> Column:
-    return F.floor(value / height).cast("bigint")
+def _with_reach(df: DataFrame, radius: Column) -> DataFrame:
+    return df.withColumn("__r", padded(radius))
 
 
 @dataclass(frozen=True)
@@ -42,22 +46,22 @@ class PlaneGrid:
     height: float
 
     def with_cell(self, df: DataFrame, out: str, x: str = "lon", y: str = "lat") -> DataFrame:
-        row, column = _cell_number(F.col(y), self.height), _cell_number(F.col(x), self.height)
-        return df.withColumn(out, _never_null(row * ROW_STRIDE + column))
+        row, column = _cell_number(f"`{y}`", self.height), _cell_number(f"`{x}`", self.height)
+        return df.withColumn(out, F.expr(_never_null(f"{row} * {ROW_STRIDE} + {column}")))
 
     def explode_cover(
         self, df: DataFrame, radius: Column, out: str, x: str = "lon", y: str = "lat"
     ) -> DataFrame:
-        r = padded(radius)
+        def span(axis: str) -> str:
+            low, high = (_cell_number(f"`{axis}` {sign} __r", self.height) for sign in "-+")
+            return f"explode(sequence({low}, {high}))"
 
-        def span(axis: str) -> Column:
-            return F.sequence(
-                _cell_number(F.col(axis) - r, self.height), _cell_number(F.col(axis) + r, self.height)
-            )
-
-        rows = df.withColumn("__row", F.explode(span(y)))
-        return rows.withColumn("__column", F.explode(span(x))).select(
-            *df.columns, _never_null(F.col("__row") * ROW_STRIDE + F.col("__column")).alias(out)
+        kept = [f"`{c}`" for c in df.columns]
+        return (
+            _with_reach(df, radius)
+            .selectExpr("*", f"{span(y)} AS __row")
+            .selectExpr("*", f"{span(x)} AS __column")
+            .selectExpr(*kept, f"{_never_null(f'__row * {ROW_STRIDE} + __column')} AS `{out}`")
         )
 
     def cover_bound(self, radius: float) -> int:
@@ -83,67 +87,44 @@ class SphereGrid:
     def stride(self) -> int:
         return math.floor(360 / self.height) + 1
 
-    def _zone(self, lat: Column) -> Column:
-        zone = _cell_number(lat + 90.0, self.height)
-        return F.least(F.greatest(zone, F.lit(0).cast("bigint")), F.lit(self.zones - 1).cast("bigint"))
+    def _zone(self, lat: str) -> str:
+        return f"least(greatest({_cell_number(f'{lat} + 90D', self.height)}, 0L), {self.zones - 1}L)"
 
-    def _bins(self, zone: Column) -> Column:
-        low = zone * self.height - 90.0
-        edge = F.least(F.greatest(F.abs(low), F.abs(low + self.height)), F.lit(90.0))
-        bins = F.floor(F.cos(F.radians(edge)) * (360.0 / self.height)).cast("bigint")
-        return F.greatest(bins, F.lit(1).cast("bigint"))
+    def _with_bins(self, df: DataFrame) -> DataFrame:
+        low = f"(__zone * {self.height!r}D - 90D)"
+        edge = f"least(greatest(abs({low}), abs({low} + {self.height!r}D)), 90D)"
+        bins = f"greatest(floor(cos(radians({edge})) * {360 / self.height!r}D), 1L)"
+        return df.withColumn("__bins", F.expr(bins))
 
     @staticmethod
-    def _turn(lon: Column) -> Column:
-        return F.pmod(lon + 180.0, F.lit(360.0)) / 360.0
+    def _turn(lon: str) -> str:
+        return f"(pmod(`{lon}` + 180D, 360D) / 360D)"
 
     def with_cell(self, df: DataFrame, out: str, x: str = "lon", y: str = "lat") -> DataFrame:
-        return (
-            df.withColumn("__zone", self._zone(F.col(y)))
-            .withColumn("__bins", self._bins(F.col("__zone")))
-            .withColumn(
-                out,
-                _never_null(
-                    F.col("__zone") * self.stride
-                    + F.least(F.floor(self._turn(F.col(x)) * F.col("__bins")).cast("bigint"), F.col("__bins") - 1)
-                ),
-            )
-            .drop("__zone", "__bins")
-        )
+        kept = [f"`{c}`" for c in df.columns if c != out]
+        cell = f"__zone * {self.stride} + least(floor({self._turn(x)} * __bins), __bins - 1)"
+        zoned = self._with_bins(df.selectExpr(*kept, f"{self._zone(f'`{y}`')} AS __zone"))
+        return zoned.selectExpr(*kept, f"{_never_null(cell)} AS `{out}`")
 
     def explode_cover(
         self, df: DataFrame, radius: Column, out: str, x: str = "lon", y: str = "lat"
     ) -> DataFrame:
-        r, lat = padded(radius), F.col(y)
-        reach = F.abs(lat) + r
-        half_turn = F.when(
-            reach < 90.0, F.asin(F.least(F.sin(F.radians(r)) / F.cos(F.radians(lat)), F.lit(1.0))) / (2 * math.pi)
-        ).otherwise(F.lit(0.5))
-        half_turn = padded(half_turn)
-        low = F.floor((self._turn(F.col(x)) - half_turn) * F.col("__bins")).cast("bigint")
-        high = F.floor((self._turn(F.col(x)) + half_turn) * F.col("__bins")).cast("bigint")
-        whole = (F.col("__high") - F.col("__low") + 1) >= F.col("__bins")
-        zero, last = F.lit(0).cast("bigint"), F.col("__bins") - 1
-        return (
-            df.withColumn("__zone", F.explode(F.sequence(self._zone(lat - r), self._zone(lat + r))))
-            .withColumn("__bins", self._bins(F.col("__zone")))
-            .withColumns({"__low": low, "__high": high})
-            .withColumn(
-                "__bin",
-                F.explode(
-                    F.sequence(
-                        F.when(whole, zero).otherwise(F.col("__low")),
-                        F.when(whole, last).otherwise(F.col("__high")),
-                    )
-                ),
-            )
-            .select(
-                *df.columns,
-                _never_null(
-                    F.col("__zone") * self.stride + F.pmod(F.col("__bin"), F.col("__bins"))
-                ).alias(out),
-            )
+        kept = [f"`{c}`" for c in df.columns]
+        width = f"asin(least(sin(radians(__r)) / cos(radians(`{y}`)), 1D)) / {2 * math.pi!r}D"
+        # Padded like the radius: the half-width is rounded as well.
+        half = f"(CASE WHEN abs(`{y}`) + __r < 90D THEN {width} ELSE 0.5D END * {1 + 1e-9!r}D + 1e-12D)"
+        zoned = _with_reach(df, radius).selectExpr(
+            "*", f"explode(sequence({self._zone(f'`{y}` - __r')}, {self._zone(f'`{y}` + __r')})) AS __zone"
+        )
+        bounded = self._with_bins(zoned).selectExpr(
+            "*",
+            f"floor(({self._turn(x)} - {half}) * __bins) AS __low",
+            f"floor(({self._turn(x)} + {half}) * __bins) AS __high",
         )
+        whole = "__high - __low + 1 >= __bins"
+        spread = f"explode(sequence(if({whole}, 0L, __low), if({whole}, __bins - 1, __high))) AS __bin"
+        cell = f"__zone * {self.stride} + pmod(__bin, __bins)"
+        return bounded.selectExpr("*", spread).selectExpr(*kept, f"{_never_null(cell)} AS `{out}`")
 
     def cover_bound(self, radius: float) -> int:
         zones = math.floor(2 * padded(radius) / self.height) + 2

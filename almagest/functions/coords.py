@@ -80,3 +80,9 @@ def haversine_square(lon1: Column, lat1: Column, lon2: Column, lat2: Column) ->
     half_dlat = F.sin(F.radians(lat2 - lat1) / 2)
     half_dlon = F.sin(F.radians(lon2 - lon1) / 2)
     return half_dlat * half_dlat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_dlon * half_dlon
+
+
+def haversine_limit(radius: Column) -> Column:
+    """``haversine_square`` at a distance of ``radius`` degrees."""
+    half = F.sin(F.radians(radius) / 2)
+    return half * half

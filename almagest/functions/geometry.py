@@ -77,29 +77,37 @@ def buffer_area(radius) -> Column:
     return r * r * (RING_SEGMENTS / 2 * math.sin(STEP))
 
 
-def in_disc(dx: Column, dy: Column, radius, boundary: bool = True) -> Column:
-    """Offset inside the true circle; ``boundary=False`` leaves out the rim."""
-    r = _col(radius)
-    square = dx * dx + dy * dy
-    return square <= r * r if boundary else square < r * r
+def disc_measure(dx: Column, dy: Column) -> Column:
+    """Grows with the circle an offset needs: its squared length."""
+    return dx * dx + dy * dy
+
 
+def disc_limit(radius):
+    """Largest ``disc_measure`` inside the circle of this radius."""
+    return radius * radius
 
-def polygon_reach(dx: Column, dy: Column) -> Column:
-    """Radius of the smallest ``buffer_ring`` that reaches the offset.
 
-    Within one sector of the regular polygon the edge is a straight line at distance
-    ``r cos(step/2)`` from the centre, so the needed r is the offset's length along the edge normal
-    divided by that cosine.
+def polygon_measure(dx: Column, dy: Column) -> Column:
+    """Grows with the ``buffer_ring`` an offset needs: its length along the normal of its edge.
+
+    Within one sector of the regular polygon the edge is a straight line across the sector's middle.
     """
-    distance = F.sqrt(dx * dx + dy * dy)
     turn = F.pmod(F.atan2(dy, dx), F.lit(STEP)) - STEP / 2
-    return distance * F.cos(turn) / math.cos(STEP / 2)
+    return F.sqrt(dx * dx + dy * dy) * F.cos(turn)
+
+
+def polygon_limit(radius):
+    """Largest ``polygon_measure`` inside the ring of this radius: the distance of its edges."""
+    return radius * math.cos(STEP / 2)
+
+
+def in_disc(dx: Column, dy: Column, radius, boundary: bool = True) -> Column:
+    """Offset inside the true circle; ``boundary=False`` leaves out the rim."""
+    got, limit = disc_measure(dx, dy), disc_limit(_col(radius))
+    return got <= limit if boundary else got < limit
 
 
 def in_polygon(dx: Column, dy: Column, radius, boundary: bool = True) -> Column:
     """Offset inside ``buffer_ring``; the circle test runs first because it needs no trigonometry."""
-    r = _col(radius)
-    distance = F.sqrt(dx * dx + dy * dy)
-    turn = F.pmod(F.atan2(dy, dx), F.lit(STEP)) - STEP / 2
-    along, edge = distance * F.cos(turn), r * math.cos(STEP / 2)
-    return in_disc(dx, dy, radius) & (along <= edge if boundary else along < edge)
+    got, limit = polygon_measure(dx, dy), polygon_limit(_col(radius))
+    return in_disc(dx, dy, radius) & (got <= limit if boundary else got < limit)

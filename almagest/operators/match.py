@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from almagest.functions import geometry as geo
 from almagest.functions.cells import PlaneGrid, SphereGrid, padded
-from almagest.functions.coords import haversine_square
+from almagest.functions.coords import haversine_limit, haversine_square
 from almagest.functions.s2 import S2Cells, s2_parent
 from almagest.operators.skew import BROADCAST_BYTES, row_spread, salted_join, total_bytes
 from almagest.schema import CATALOG_COLUMNS, as_strings
@@ -77,17 +77,25 @@ def cell_facts(catalog: DataFrame) -> dict:
     return catalog.schema["cell_id"].metadata if "cell_id" in catalog.columns else {}
 
 
-def _within(metric: str, shape: str, boundary: bool, radius: Column, x: str, y: str) -> Column:
+def _measure(metric: str, shape: str, x: str, y: str):
+    """Quantity that grows with the radius a pair needs, and its value at a given radius."""
     if metric == "great_circle":
         if shape != "disc":
             raise ValueError("the polygon shape is defined in the plane only")
-        limit = F.sin(F.radians(radius) / 2)
-        got = haversine_square(F.col(x), F.col(y), F.col(QUERY + x), F.col(QUERY + y))
-        return got <= limit * limit if boundary else got < limit * limit
+        return haversine_square(F.col(x), F.col(y), F.col(QUERY + x), F.col(QUERY + y)), haversine_limit
     if metric != "planar":
         raise ValueError(f"unknown metric {metric!r}")
-    test = {"disc": geo.in_disc, "polygon": geo.in_polygon}[shape]
-    return test(F.col(x) - F.col(QUERY + x), F.col(y) - F.col(QUERY + y), radius, boundary)
+    dx, dy = F.col(x) - F.col(QUERY + x), F.col(y) - F.col(QUERY + y)
+    if shape == "polygon":
+        return geo.polygon_measure(dx, dy), geo.polygon_limit
+    return geo.disc_measure(dx, dy), geo.disc_limit
+
+
+def _within(metric: str, shape: str, boundary: bool, radius: Column, x: str, y: str) -> Column:
+    got, limit = _measure(metric, shape, x, y)
+    test = got <= limit(radius) if boundary else got < limit(radius)
+    # The circle test comes first: it needs no trigonometry, and the polygon lies inside.
+    return _within(metric, "disc", True, radius, x, y) & test if shape == "polygon" else test
 
 
 def cone_pairs(
@@ -226,11 +234,10 @@ def wkt_match(
     catalog: DataFrame, points: DataFrame, radius: float = 0.001, geom: str = "geom", **options
 ) -> DataFrame:
     """Match against geometry held as WKT text; answers the catalog geometry of each match."""
-    place = geo.parse_point_wkt(F.col(geom))
-    parsed = catalog.withColumn("__place", place).withColumns(
-        {"lon": F.col("__place.lon"), "lat": F.col("__place.lat")}
-    )
-    return cone_pairs(parsed.drop("__place"), points, radius, **options).select(F.col(geom).alias("point"))
+    # ``inline`` parses each text once; filters on plain columns would repeat the parsing per use.
+    others = [F.col(f"`{c}`") for c in catalog.columns if c not in ("lon", "lat")]
+    parsed = catalog.select(*others, F.inline(F.array(geo.parse_point_wkt(F.col(geom)))))
+    return cone_pairs(parsed, points, radius, **options).select(F.col(geom).alias("point"))
 
 
 def grouped_match(
@@ -299,15 +306,15 @@ def count_matches(
     sources = catalog.select(x, y, *[c for c in ("cell_id", "partition_id") if c in catalog.columns])
     sources = sources.withColumn("copies", F.lit(1).cast("bigint"))
     pairs = cone_pairs(sources, merged, radii[-1], shape=shape, x=x, y=y, weight="copies", **options)
+    measure_, limit = _measure(options.get("metric", "planar"), shape, x, y)
+    groups = [F.col(QUERY + c).alias(c) for c in by]
     n = F.col("copies") * F.col(QUERY + "weight")
+    weighed = pairs.select(*groups, measure_.alias("__measure"), n.alias("__n"))
     totals = [
-        F.coalesce(
-            F.sum(F.when(_within(options.get("metric", "planar"), shape, True, F.lit(r), x, y), n)),
-            F.lit(0).cast("bigint"),
-        ).alias(f"n{k}")
+        F.coalesce(F.sum(F.when(F.col("__measure") <= limit(F.lit(r)), F.col("__n"))), F.lit(0).cast("bigint")).alias(f"n{k}")
         for k, r in enumerate(radii)
     ]
-    wide = pairs.groupBy(*[F.col(QUERY + c).alias(c) for c in by]).agg(*totals)
+    wide = weighed.groupBy(*by).agg(*totals)
     rows = F.array(
         *[F.struct(F.lit(r).alias("radius"), F.col(f"n{k}").alias("matches")) for k, r in enumerate(radii)]
     )

@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     # Cell-id IN lists reach the Parquet row-group filter one value at a time up to this length.
     "spark.sql.parquet.pushdown.inFilterThreshold": "512",
+    # The JVM leaves methods above 8000 bytes uncompiled; wide projections do better unfused then.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Lets adaptive execution see a hot block even when a stage has thousands of reducers.
     "spark.shuffle.accurateBlockSkewedFactor": "5",
 }

@@ -62,9 +62,8 @@ def test_buffer_ring(spark):
 )
 def test_disc_and_polygon_membership(spark, turn, share, disc, polygon):
     dx, dy = F.lit(0.25 * share * math.cos(turn)), F.lit(0.25 * share * math.sin(turn))
-    row = one(spark, disc=geo.in_disc(dx, dy, 0.25), polygon=geo.in_polygon(dx, dy, 0.25), reach=geo.polygon_reach(dx, dy))
+    row = one(spark, disc=geo.in_disc(dx, dy, 0.25), polygon=geo.in_polygon(dx, dy, 0.25))
     assert (row["disc"], row["polygon"]) == (disc, polygon)
-    assert (row["reach"] <= 0.25) == polygon
 
 
 def test_rim_belongs_to_intersects_not_to_contains(spark):
