@@ -119,7 +119,7 @@ def cone_pairs(
     ``shape='polygon'`` tests the inscribed 32-gon, ``boundary=False`` leaves out its rim.
     ``metric='great_circle'`` measures on the sphere, with the wrap at 0/360 and the poles.
     ``index`` defaults to the catalog's stored S2 cells if it has them, else to a grid.
-    ``strategy`` is ``auto``, ``broadcast`` or ``shuffle``.
+    ``strategy='auto'`` broadcasts the point side when it measures small, ``'shuffle'`` never does.
     ``weight`` names a catalog column that counts copies; copies are then merged before a shuffle.
     """
     query = _query_side(points, x, y)
@@ -146,19 +146,16 @@ def cone_pairs(
         cover = cover.withColumn("partition_id", s2_parent(F.col(cell), coarse))
         keys = ["partition_id", cell]
 
-    if strategy == "auto":
-        small = profile.size * index.cover_bound(widest) <= BROADCAST_BYTES
-        strategy = "broadcast" if small else "shuffle"
-    if strategy == "broadcast":
+    if strategy not in ("auto", "shuffle"):
+        raise ValueError(f"unknown strategy {strategy!r}")
+    if strategy == "auto" and profile.size * index.cover_bound(widest) <= BROADCAST_BYTES:
         located = _scan_filters(located, cover, profile, widest, metric, cell if facts.get("stored") else None, x, y)
         joined = located.join(F.broadcast(cover), keys)
-    elif strategy == "shuffle":
+    else:
         if weight:
             rest = [c for c in located.columns if c != weight]
             located = located.groupBy(*rest).agg(F.sum(weight).alias(weight))
         joined = salted_join(located, cover, keys, *([] if min_split_rows is None else [min_split_rows]))
-    else:
-        raise ValueError(f"unknown strategy {strategy!r}")
     return joined.where(_within(metric, shape, boundary, reach, x, y)).select(
         *[F.col(f"`{c}`") for c in catalog.columns], *query.columns
     )

@@ -341,7 +341,30 @@ def s2_expansion_sql() -> str:
 
 def sphere_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cover statistics of the zone grid that serves the great-circle search."""
-    return cover_expansion(sky.points(spark, sf_dir, True), 1.0, SphereGrid(2.0))
+    stats = cover_expansion(sky.points(spark, sf_dir, True), 1.0, SphereGrid(2.0))
+    return stats.withColumn("relative_diff", F.round("relative_diff", 9))
+
+
+def sphere_cover_sql() -> str:
+    """Zones a circle touches, and per zone the bins within its half-width or all of them."""
+    r = "(1e0 * (1 + 1e-9) + 1e-12)"
+    turn = "((ra % 360e0) / 360e0)"
+    zones = (
+        f"SELECT ra, lat, unnest(range(CAST(greatest(floor((lat - {r} + 90) / 2), 0) AS BIGINT), "
+        f"CAST(least(floor((lat + {r} + 90) / 2), 89) AS BIGINT) + 1)) AS zone "
+        f"FROM (SELECT DISTINCT ra, lat FROM ({sky.positions_sql('customer', 'point_id', True)}))"
+    )
+    bins = (
+        "SELECT *, greatest(floor(cos(radians(least(greatest(abs(zone * 2 - 90), abs(zone * 2 - 88)), 90))) * 180), 1) "
+        f"AS bins, CASE WHEN abs(lat) + {r} < 90 THEN asin(least(sin(radians({r})) / cos(radians(lat)), 1)) / (2 * pi()) "
+        f"ELSE 0.5e0 END * (1 + 1e-9) + 1e-12 AS half FROM ({zones})"
+    )
+    spans = f"floor(({turn} + half) * bins) - floor(({turn} - half) * bins) + 1"
+    return (
+        "SELECT n AS original_count, m AS new_count, round(CAST(m AS DOUBLE) / n, 9) AS relative_diff FROM "
+        "(SELECT count(*) AS n FROM customer), "
+        f"(SELECT CAST(sum(least({spans}, bins)) AS BIGINT) AS m FROM ({bins}))"
+    )
 
 
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -500,7 +523,7 @@ QUERIES = {
     ),
     "cover_expansion": (expansion, expansion_sql()),
     "cover_expansion_s2": (s2_expansion, s2_expansion_sql()),
-    "cover_expansion_sphere": (sphere_cover, None),
+    "cover_expansion_sphere": (sphere_cover, sphere_cover_sql()),
     "query_geometry_report": (report, report_sql()),
     "layer_extent": (
         extent,

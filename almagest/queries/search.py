@@ -30,6 +30,7 @@ from almagest.plans.layouts import (
     write_hybrid,
 )
 from almagest.queries import sky
+from almagest.queries.catalogs import geohash_sql
 from almagest.session import work_folder
 from almagest.sources.points import read_points_wkt, read_points_xy
 from almagest.sources.tables import attach_catalog, write_csv
@@ -362,7 +363,12 @@ QUERIES = {
             "GROUP BY p.point_id",
         ),
     ),
-    "cone_match_geohash_layout": (cone_geohash_layout, None),
+    "cone_match_geohash_layout": (
+        cone_geohash_layout,
+        f"WITH c AS ({geohash_sql('source_id, lon, lat, geohash', sky.positions_sql('orders', 'source_id'), 4)}), "
+        f"p AS ({sky.positions_sql('customer', 'point_id')}) SELECT {PAIR}, c.geohash AS geohash4 "
+        f"FROM c, p WHERE {sky.disc_sql(MINUTE)}",
+    ),
     "distance_join_flat": (distance_flat, sky.search_sql(PAIR, sky.disc_sql(0.006))),
     "distance_join_mercator": (distance_mercator, distance_mercator_sql()),
     "great_circle_match": (great_circle, sky.search_sql(PAIR, GREAT_CIRCLE, whole_sky=True)),

@@ -13,7 +13,7 @@ DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="test tables not present")
 
 # Queries whose rows depend on Spark's own generator or plan: no SQL, rows only.
-ROWS_ONLY = {"cone_match_geohash_layout", "cover_expansion_sphere", "seeded_sample"}
+ROWS_ONLY = {"seeded_sample"}
 
 
 @pytest.fixture(scope="module")
