@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almagest.llm import decontaminate, exact_dedup, mixing
+from almagest.llm import decontaminate, exact_dedup, link_graph, mixing, secrets
 from almagest.llm.common import table
 
 
@@ -37,9 +37,35 @@ def mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("secrets", lambda s: s["kind"] != "random")
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(secrets.listed(base).cast("binary"), 256).alias("base_sha256"), secrets.listed(F.col("secrets")).alias("spans"),
+    )
+
+
+# Fixed rules: verdict, host, path.
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_graph.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 # name -> (query, SQL or None)
 QUERIES = {
+    "op3_secrets": (secret_scan, None),
     "op4_exact_dedup": (exact, EXACT_SQL),
     "op5_decontamination": (decontamination, None),
+    "op6_url_filter": (url_filter, None),
     "op10_mixing": (mix, None),
 }
