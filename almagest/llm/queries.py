@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almagest.llm import decontaminate, exact_dedup, link_graph, mixing, secrets
-from almagest.llm.common import table
+from almagest.llm import decontaminate, exact_dedup, language_id, link_graph, mixing, secrets, toxicity
+from almagest.llm.common import remainder, table
 
 
 def exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,11 +61,32 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_graph.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    known = table(spark, sf_dir, "labels").where(remainder("doc_id", 4) != 2)
+    scored = toxicity.score(docs, toxicity.learn(docs, known))
+    return scored.select(
+        "doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= toxicity.CUTOFF).cast("int").alias("predicted"),
+    )
+
+
+def language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = language_id.profiles(docs.where(remainder("doc_id", 3) != 1))
+    found = language_id.identify(docs.select("doc_id", "text"), learned)
+    return found.select(
+        "doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score")
+    )
+
+
 # name -> (query, SQL or None)
 QUERIES = {
     "op3_secrets": (secret_scan, None),
     "op4_exact_dedup": (exact, EXACT_SQL),
     "op5_decontamination": (decontamination, None),
     "op6_url_filter": (url_filter, None),
+    "op7_toxicity": (toxic, None),
+    "op8_language": (language, None),
     "op10_mixing": (mix, None),
 }
