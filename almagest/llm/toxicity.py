@@ -1,7 +1,7 @@
 """Toxic documents: a learned lexicon, met within a few edits, weighed by what stands around.
 
-Terms are words that labelled toxic documents hold far more often than others. The terms form a trie; a
-Levenshtein automaton over it reads the different words of a batch in sorted order, so that words share
+Terms are words, and stems of words, that labelled toxic documents hold far more often than others. They form
+a trie; a Levenshtein automaton over it reads the different words of a batch in sorted order, so that words share
 the states of their common beginnings and whole ranges of words die with the first letters. A hit is
 then weighed by its context window: within quotation marks or beside words of reporting it counts less,
 beside words of address more. A logistic model turns a document's hits into a score.
@@ -16,13 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from almagest.llm.common import WORD_BYTES, Words, text_slices, words
+from almagest.llm.common import WORD_BYTES, Words, cut, text_slices, words
 
 # Labelled documents per label that models are fitted on at most: those of the least hashes of their ids.
 SAMPLE = 20_000
 # Terms in the lexicon, and ordinary words like a term that are told apart, at most: those best supported.
 TERMS = 5_000
 ORDINARY = 50_000
+# Letters of a stem: a term that ends in STEM is met by every word that begins with it.
+STEMS = range(4, 9)
+STEM = "*"
 # How much likelier a toxic document must hold a term.
 RATIO = 8.0
 # Words on each side of a hit that weigh it.
@@ -30,16 +33,18 @@ WINDOW = 5
 CUTOFF = 0.3
 
 # Cue words, of the languages at hand. Fixed values.
-REPORTING = "said says called calls wrote writes quote quoted word term phrase sagte sagt nannte schrieb wort zitat dit disait appelle mot terme dijo dice llama palabra termino"
-ADDRESS = "you your youre ur du dich dir dein ihr euch tu te toi vous votre eres usted ustedes ti"
+CUES = {
+    "reporting": "said says called calls wrote writes quote quoted word term phrase sagte sagt nannte schrieb wort zitat dit disait appelle mot terme dijo dice llama palabra termino",
+    "address": "you your youre ur du dich dir dein ihr euch tu te toi vous votre eres usted ustedes ti",
+}
 QUOTES = '"“”„«»‘’'
 
 _FEATURES = 6
 
 
 def edits_for(term: str) -> int:
-    """Edits within which a term is met: short words would meet half the language."""
-    return 0 if len(term) < 5 else 1 if len(term) < 10 else 2
+    """Edits within which a term is met: short words and stems would meet half the language."""
+    return 0 if term.endswith(STEM) else 0 if len(term) < 5 else 1 if len(term) < 10 else 2
 
 
 class Lexicon:
@@ -49,19 +54,21 @@ class Lexicon:
         self.terms = terms
         self.children: list[dict[str, int]] = [{}]
         self.term_at: list[int] = [-1]
+        self.stem_at: list[int] = [-1]
         self.room = [0]  # most edits that any term below a node allows
         for index, term in enumerate(terms):
             node = 0
             self.room[0] = max(self.room[0], edits_for(term))
-            for letter in term:
+            for letter in term.removesuffix(STEM):
                 if letter not in self.children[node]:
                     self.children[node][letter] = len(self.children)
                     self.children.append({})
                     self.term_at.append(-1)
+                    self.stem_at.append(-1)
                     self.room.append(0)
                 node = self.children[node][letter]
                 self.room[node] = max(self.room[node], edits_for(term))
-            self.term_at[node] = index
+            (self.stem_at if term.endswith(STEM) else self.term_at)[node] = index
 
     def start(self) -> dict[int, int]:
         return self._closed({0: 0})
@@ -98,18 +105,22 @@ class Lexicon:
 
     def meet(self, vocabulary: list[str]) -> dict[str, tuple[int, int]]:
         """Words within reach of a term -> (edits, term). Words that begin alike share the work."""
-        found, stack, path = {}, [self.start()], ""
+        found, stack, stems, path = {}, [self.start()], [-1], ""
         for word in sorted(vocabulary):
             shared = 0
             for a, b in zip(path, word):
                 if a != b:
                     break
                 shared += 1
-            del stack[shared + 1 :]
+            del stack[shared + 1 :], stems[shared + 1 :]
             while len(stack) <= len(word) and stack[-1]:
                 stack.append(self.step(stack[-1], word[len(stack) - 1]))
+                begun = max((self.stem_at[node] for node, edits in stack[-1].items() if not edits), default=-1)
+                stems.append(stems[-1] if stems[-1] >= 0 else begun)
             path = word[: len(stack) - 1]
-            if len(stack) == len(word) + 1 and (hit := self.best(stack[-1])):
+            if stems[-1] >= 0:
+                found[word] = (0, stems[-1])
+            elif len(stack) == len(word) + 1 and (hit := self.best(stack[-1])):
                 found[word] = hit
         return found
 
@@ -130,7 +141,7 @@ def _sample(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str,
 
 
 def _vocabulary(batches):
-    """Per batch: word, label, part, documents that hold it."""
+    """Per slice: word or stem, and documents of each label and part that hold it."""
     for batch in batches:
         label, part = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False), np.int64) for c in ("label", "part"))
         done = 0
@@ -139,12 +150,23 @@ def _vocabulary(batches):
             kind = (label * 2 + part)[done : done + len(offsets) - 1]
             done += len(offsets) - 1
             distinct, first, back = np.unique(found.hashes, return_index=True, return_inverse=True)
-            pairs = np.unique(np.stack([back, found.rows], 1), axis=0) if len(back) else np.zeros((0, 2), np.int64)
             names = decoded(found, first)
-            counts = np.zeros((len(distinct), 4), np.int64)
-            np.add.at(counts, (pairs[:, 0], kind[pairs[:, 1]]), 1)
-            columns = [pa.array(names, pa.string()), *(pa.array(counts[:, k]) for k in range(4))]
-            yield pa.RecordBatch.from_arrays(columns, ["word", "c0", "c1", "t0", "t1"])
+            yield _holders(names, back, found.rows, kind)
+            for size in STEMS:
+                long = np.array([len(w) > size for w in names], bool)
+                stems, to = np.unique([w[:size] + STEM for w, keep in zip(names, long) if keep] or [""], return_inverse=True)
+                place = np.full(len(names), -1, np.int64)
+                place[long] = to[: int(long.sum())]
+                held = place[back] >= 0
+                yield _holders(stems.tolist(), place[back][held], found.rows[held], kind)
+
+
+def _holders(names: list[str], which: np.ndarray, row: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+    """Rows of each kind in which each name occurs."""
+    pairs = np.unique(which.astype(np.int64) * len(kind) + row)
+    counts = np.bincount(pairs // max(1, len(kind)) * 4 + kind[pairs % max(1, len(kind))], minlength=4 * len(names)).reshape(-1, 4)
+    columns = [pa.array(names, pa.string()), *(pa.array(counts[: len(names), k].astype(np.int64)) for k in range(4))]
+    return pa.RecordBatch.from_arrays(columns, ["word", "c0", "c1", "t0", "t1"])
 
 
 def decoded(found: Words, which: np.ndarray) -> list[str]:
@@ -161,8 +183,22 @@ def _terms(counts: DataFrame, toxic: str, clean: str, totals: tuple[int, int], s
     log = lambda x, e: F.when(x > 0, x * F.ln(x / e)).otherwise(0.0)
     ratio = 2 * (log(t, (t + c) * base) + log(c, (t + c) * (1 - base)))
     often = (t + 0.5) / (totals[0] + 1) / ((c + 0.5) / (totals[1] + 1))
-    marked = counts.where((ratio >= 2 * (np.log(max(size, 1)) + 3)) & (often >= RATIO))
-    return sorted(r.word for r in marked.orderBy(ratio.desc(), "word").limit(TERMS).select("word").collect())
+    marked = counts.where((ratio >= 2 * (np.log(max(size, 1)) + 3)) & (often >= RATIO) & (F.col("word") != ""))
+    best = {r.word: r.t for r in marked.orderBy(ratio.desc(), "word").limit(TERMS).select("word", t.alias("t")).collect()}
+    return _settled(best)
+
+
+def _settled(best: dict[str, float]) -> list[str]:
+    """Terms without those that others cover.
+
+    A stem stays if it meets clearly more than its commonest word does and no longer stem meets nearly as much.
+    """
+    words_of = {w: t for w, t in best.items() if not w.endswith(STEM)}
+    stems = {w.removesuffix(STEM): t for w, t in best.items() if w.endswith(STEM)}
+    wide = {s: t for s, t in stems.items() if t >= 1.3 * max((n for w, n in words_of.items() if w.startswith(s)), default=0)}
+    sharp = {s for s, t in wide.items() if not any(o != s and o.startswith(s) and n >= 0.9 * t for o, n in wide.items())}
+    covered = lambda w: any(w.startswith(s) and w != s for s in sharp)
+    return sorted([w for w in words_of if not covered(w)] + [s + STEM for s in sharp if not covered(s)])
 
 
 def features(found: Words, lexicon: Lexicon, exact: dict, near: dict, raw: np.ndarray) -> np.ndarray:
@@ -181,8 +217,8 @@ def features(found: Words, lexicon: Lexicon, exact: dict, near: dict, raw: np.nd
         return out
     low = np.maximum(found.first[owner[hits]], hits - WINDOW)
     high = np.minimum(found.first[owner[hits] + 1], hits + WINDOW + 1)
-    cues = {name: np.concatenate([[0], np.cumsum(np.isin(found.hashes, _cue_hashes(name)))]) for name in ("REPORTING", "ADDRESS")}
-    reported, addressed = (cues[name][high] > cues[name][low] for name in ("REPORTING", "ADDRESS"))
+    cues = {name: np.concatenate([[0], np.cumsum(np.isin(found.hashes, _cue_hashes(name)))]) for name in CUES}
+    reported, addressed = (cues[name][high] > cues[name][low] for name in ("reporting", "address"))
     marks = _quote_sums(raw)
     opened = marks[found.start[hits]] > marks[found.start[low]]
     closed = marks[found.end[high - 1]] > marks[found.end[hits]]
@@ -204,7 +240,7 @@ _cues: dict[str, np.ndarray] = {}
 
 def _cue_hashes(name: str) -> np.ndarray:
     if name not in _cues:
-        text = pa.array([globals()[name]], pa.large_string())
+        text = pa.array([CUES[name]], pa.large_string())
         _cues[name] = np.concatenate([words(d, o, WORD_BYTES).hashes for d, o in text_slices(text)])
     return _cues[name]
 
@@ -241,7 +277,7 @@ class Reader:
         names = decoded(found, first[new])
         hashed = dict(zip(names, distinct[new].tolist()))
         for word, (edits, term) in self.lexicon.meet(names).items():
-            if not edits:
+            if not edits and not self.lexicon.terms[term].endswith(STEM):
                 self.exact[hashed[word]] = term
             elif word not in self.ordinary:
                 self.near[hashed[word]] = term
@@ -302,15 +338,12 @@ def learn(
     sizes = {(r.label, r.part): r.n for r in rows.groupBy("label", "part").agg(F.count(F.lit(1)).alias("n")).collect()}
     of = lambda mark, *parts: sum(sizes.get((mark, p), 0) for p in parts)
     counts = rows.mapInArrow(_vocabulary, "word string, c0 long, c1 long, t0 long, t1 long")
-    counts = counts.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("c0", "c1", "t0", "t1")]).persist()
-    try:
-        counts = counts.withColumns({"c": F.col("c0") + F.col("c1"), "t": F.col("t0") + F.col("t1")})
-        size = counts.count()
-        half = _terms(counts, "t0", "c0", (of(1, 0), of(0, 0)), size)
-        terms = _terms(counts, "t", "c", (of(1, 0, 1), of(0, 0, 1)), size)
-        ordinary_half, ordinary = _ordinary(counts, half, "c0", "t0"), _ordinary(counts, terms, "c", "t")
-    finally:
-        counts.unpersist()
+    counts = cut(counts.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("c0", "c1", "t0", "t1")]))
+    counts = counts.withColumns({"c": F.col("c0") + F.col("c1"), "t": F.col("t0") + F.col("t1")})
+    size = counts.count()
+    first, both = ("t0", "c0", (of(1, 0), of(0, 0))), ("t", "c", (of(1, 0, 1), of(0, 0, 1)))
+    half, terms = _terms(counts, *first, size), _terms(counts, *both, size)
+    ordinary_half, ordinary = _ordinary(counts, half, *first), _ordinary(counts, terms, *both)
     kind = "label int, " + ", ".join(f"x{k} double" for k in range(_FEATURES))
     table = rows.where("part = 1").select("text", "label").mapInArrow(_featured(half, ordinary_half), kind).toPandas()
     y = table["label"].to_numpy(float)
@@ -318,17 +351,19 @@ def learn(
     return terms, ordinary, _fit(x, y).tolist()
 
 
-def _ordinary(counts: DataFrame, terms: list[str], clean: str, toxic: str) -> list[str]:
-    """Words of clean documents that lie within reach of a term, commonest first."""
+def _ordinary(counts: DataFrame, terms: list[str], toxic: str, clean: str, totals: tuple[int, int]) -> list[str]:
+    """Words of clean documents that only resemble a term and are not much likelier in toxic ones, commonest first."""
+
     def near(batches):
         lexicon = Lexicon(terms)
         for batch in batches:
             names, n = batch.column("word").to_pylist(), batch.column("n")
             hits = lexicon.meet(names)
-            keep = pa.array([w in hits and hits[w][0] > 0 for w in names], pa.bool_())
+            keep = pa.array([w in hits and terms[hits[w][1]] != w for w in names], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("word").filter(keep), n.filter(keep)], ["word", "n"])
 
-    rows = counts.where(F.col(clean) > 0).select("word", F.col(clean).alias("n"))
+    often = (F.col(toxic) + 0.5) / (totals[0] + 1) / ((F.col(clean) + 0.5) / (totals[1] + 1))
+    rows = counts.where((F.col(clean) > 0) & (often < RATIO) & ~F.endswith("word", F.lit(STEM))).select("word", F.col(clean).alias("n"))
     found = rows.mapInArrow(near, "word string, n long").orderBy(F.desc("n"), "word").limit(ORDINARY)
     return sorted(r.word for r in found.collect())
 
