@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almagest.llm import decontaminate, exact_dedup, language_id, link_graph, mixing, secrets, toxicity
+from almagest.llm import decontaminate, exact_dedup, language_id, link_graph, mixing, near_dedup, secrets, toxicity
 from almagest.llm.common import remainder, table
 
 
@@ -80,6 +80,11 @@ def language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.components_of(table(spark, sf_dir, "documents"), shingle=3, similarity=0.85)
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 # name -> (query, SQL or None)
 QUERIES = {
     "op3_secrets": (secret_scan, None),
@@ -88,5 +93,6 @@ QUERIES = {
     "op6_url_filter": (url_filter, None),
     "op7_toxicity": (toxic, None),
     "op8_language": (language, None),
+    "op9_near_dedup": (near, None),
     "op10_mixing": (mix, None),
 }

@@ -1,11 +1,27 @@
-"""From raw documents to a training mix: each stage works on all that the one before it kept."""
+"""From raw documents to a training mix: each stage works on all that the one before it kept.
+
+Stages keep the columns of ``documents`` and their rows as they are; the last returns the mix.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from almagest.llm import decontaminate, exact_dedup, language_id, mixing, near_dedup
+from almagest.llm.common import packed, table, unpacked
+
+# Texts this far from every learned language are in none. Prose, short lines and shouting score above 0.35.
+LEAST_SCORE = 0.3
 
-from almagest.llm import decontaminate, exact_dedup, mixing
-from almagest.llm.common import table
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the corpus teaches; without a letter, or far from every profile, they go."""
+    learned = language_id.profiles(docs)
+    rows = docs.select(packed(docs).alias("row"), F.col("text").alias("text"))
+    found = language_id.identify(rows, learned)
+    known = (F.col("language.lang") != language_id.UNKNOWN) & (F.col("language.score") >= LEAST_SCORE)
+    return unpacked(found.where(known), "row")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,6 +29,11 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.unique(docs)
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more."""
+    return near_dedup.representatives(docs)
+
+
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of ten words of the benchmark."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
@@ -24,12 +45,14 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 STAGES = [
+    ("language_id", language_stage),
     ("exact_dedup", exact_stage),
+    ("near_dedup", near_stage),
     ("decontamination", benchmark_stage),
     ("mixing", mixing_stage),
 ]
 
-# Suffix arrays have no SQL; tests hold the stages against plain versions.
+# Profiles, registers and suffix arrays have no SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
