@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almagest.llm import decontaminate, exact_dedup, language_id, link_graph, mixing, near_dedup, secrets, toxicity
+from almagest.llm import decontaminate, exact_dedup, language_id, line_dedup, link_graph
+from almagest.llm import mixing, near_dedup, secrets, token_counts, toxicity
 from almagest.llm.common import remainder, table
 
 
+# A public vocabulary of byte pairs.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.sections(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+def substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.repeats(table(spark, sf_dir, "documents")).drop("row_key")
+
+
 def exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(table(spark, sf_dir, "documents"))
 
@@ -87,6 +100,8 @@ def near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # name -> (query, SQL or None)
 QUERIES = {
+    "op1_token_counts": (tokens, None),
+    "op2_substring_dedup": (substrings, None),
     "op3_secrets": (secret_scan, None),
     "op4_exact_dedup": (exact, EXACT_SQL),
     "op5_decontamination": (decontamination, None),
