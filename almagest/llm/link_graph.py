@@ -17,6 +17,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 DAMPING = 0.85
 ROUNDS = 20
+# Pieces into which every host's pages are dealt when they meet what is known of the host, as one may hold a third of all.
+SALTS = 16
 # Rounds between two cuts in lineage.
 CUT_EVERY = 5
 BLOCK_ABOVE = 0.5
@@ -48,21 +50,25 @@ def rule_table(spark, rules: list[tuple[str, str, str]]) -> DataFrame:
     return spark.createDataFrame([(v, h, p) for v, h, p in rules], "verdict string, host string, path string")
 
 
-def ruled(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """``pages`` (with host and path) and its longest fitting ``rule`` with ``rule_verdict``; null where none fits.
-
-    A rule fits its host and all subdomains if the path starts with the rule's. Rules are looked up once per
-    different host; of equally long rules the first by text wins. Repeated rules count once.
-    """
-    hosts = pages.select("host").distinct()
+def host_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
+    """(host, fitting): rules of a host and the domains above it, longest first, equally long ones by text; repeats count once."""
     names = hosts.select("host", F.explode(domains(F.col("host"))).alias("domain"))
     known = rules.select(F.col("host").alias("domain"), F.col("path").alias("rule_path"), F.concat("host", "path").alias("rule"), "verdict").distinct()
-    by_host = names.join(known, "domain").groupBy("host").agg(
+    return names.join(known, "domain").groupBy("host").agg(
         F.sort_array(F.collect_list(F.struct((-F.length("rule")).alias("longest"), "rule", "rule_path", "verdict"))).alias("fitting")
     )
-    fits = F.filter(F.coalesce("fitting", F.array().cast("array<struct<longest: int, rule: string, rule_path: string, verdict: string>>")), lambda r: F.startswith("path", r["rule_path"]))
-    first = pages.join(by_host, "host", "left").withColumn("fitting", F.try_element_at(fits, F.lit(1)))
-    return first.select(*[c for c in pages.columns], F.col("fitting.rule").alias("rule"), F.col("fitting.verdict").alias("rule_verdict"))
+
+
+def with_host(pages: DataFrame, hosts: DataFrame) -> DataFrame:
+    """Pages beside what is known of their hosts: each host is there once per piece of its pages."""
+    dealt = pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)))
+    copies = hosts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return dealt.join(copies, ["host", "salt"], "left").drop("salt")
+
+
+def longest_rule(fitting: Column, path: Column) -> Column:
+    """First of a host's rules whose path the page's path starts with; null if none."""
+    return F.try_element_at(F.filter(fitting, lambda r: F.startswith(path, r["rule_path"])), F.lit(1))
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
@@ -119,13 +125,16 @@ def judge(
     rows = pages.select(
         F.col(key).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(html).cast("string").alias("html")
     )
-    known = ruled(rows.select("page_id", "host", "path"), rule_table(pages.sparkSession, rules))
+    paths = rows.select("page_id", "host", "path")
+    by_host = cut(host_rules(paths.select("host").distinct(), rule_table(pages.sparkSession, rules)))
+    seen = with_host(paths, by_host).withColumn("rule_verdict", longest_rule(F.col("fitting"), F.col("path"))["verdict"])
     count = lambda v: F.count(F.when(F.col("rule_verdict") == v, 1)).cast("double")
-    seeds = known.where("rule_verdict IS NOT NULL").groupBy("host").agg(count("allow").alias("trust"), count("block").alias("distrust"))
+    seeds = seen.where("rule_verdict IS NOT NULL").groupBy("host").agg(count("allow").alias("trust"), count("block").alias("distrust"))
     ranks = propagate(host_edges(rows), seeds, damping, rounds)
+    found = with_host(paths, by_host.join(ranks, "host", "full")).withColumn("fit", longest_rule(F.col("fitting"), F.col("path")))
     share = F.col("distrust") / F.nullif(F.col("trust") + F.col("distrust"), F.lit(0.0))
     own = F.when(F.coalesce(share > block_above, F.lit(False)), "block").otherwise("allow")
-    return known.join(ranks, "host", "left").select(
-        "page_id", "host", "path", "rule", F.coalesce("rule_verdict", own).alias("verdict"),
+    return found.select(
+        "page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", own).alias("verdict"),
         F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"),
     )
