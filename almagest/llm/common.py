@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Bytes of text that one task turns into arrays at a time.
@@ -39,6 +39,20 @@ def remainder(key: str, of: int) -> Column:
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(of))
 
 
+def drawn(frame: DataFrame, by: str, draw: str, sample: int) -> DataFrame:
+    """At most ``sample`` rows for each value of ``by``: those of the least ``draw``, a 64-bit hash; ties fall together.
+
+    Only rows whose hash lies in a part of the hash's range that holds about twice the sample are ranked, so a value
+    that a third of all rows share is no burden to the task that ranks it.
+    """
+    wanted = 2 * sample + 1_000
+    counts = frame.groupBy(by).agg(F.count(F.lit(1)).alias("all_rows"))
+    part = F.least(F.lit(1.0), F.lit(float(wanted)) / F.col("all_rows"))
+    near = frame.join(counts, by).where((F.col(draw).cast("double") + 2.0**63) / 2.0**64 <= part).drop("all_rows")
+    order = Window.partitionBy(by).orderBy(draw)
+    return near.withColumn("draw_rank", F.rank().over(order)).where(F.col("draw_rank") <= sample).drop("draw_rank")
+
+
 def packed(frame: DataFrame) -> Column:
     """All columns of ``frame`` as one struct, out of reach of names added beside it."""
     return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in frame.columns])

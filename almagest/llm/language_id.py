@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from almagest.llm.common import run_starts, text_slices
+from almagest.llm.common import drawn, run_starts, text_slices
 
 # Longest n-gram; three code points of 21 bits fit one number.
 GRAM = 3
@@ -131,10 +131,7 @@ def profiles(docs: DataFrame, text: str = "text", lang: str = "lang", key: str =
         F.col(lang).cast("string").alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
         F.xxhash64(F.col(key).cast("string")).alias("draw"),
     ).where("lang IS NOT NULL")
-    # Few bytes per row are ranked, and each task passes on only its own first ones.
-    first = Window.partitionBy("lang").orderBy("draw")
-    drawn = rows.select("lang", "draw").withColumn("place", F.row_number().over(first)).where(F.col("place") <= sample)
-    limits = drawn.groupBy("lang").agg(F.max("draw").alias("limit")).take(LANGUAGES + 1)
+    limits = drawn(rows.select("lang", "draw"), "lang", "draw", sample).groupBy("lang").agg(F.max("draw").alias("limit")).take(LANGUAGES + 1)
     if len(limits) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
     limit = docs.sparkSession.createDataFrame(limits, "lang string, limit long")

@@ -17,7 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
 # Documents in a bucket of keys, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 5_000
 
 
 def word_count(text: Column) -> Column:

@@ -13,10 +13,10 @@ from typing import Iterator  # the form that Arrow functions are recognised by
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almagest.llm.common import WORD_BYTES, Words, cut, text_slices, words
+from almagest.llm.common import WORD_BYTES, Words, cut, drawn, text_slices, words
 
 # Labelled documents per label that models are fitted on at most: those of the least hashes of their ids.
 SAMPLE = 20_000
@@ -129,8 +129,7 @@ def _sample(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str,
     """(text, label, part) of the labelled documents to learn from; ``part`` 0 or 1 splits them at random."""
     marked = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where("label IN (0, 1) AND key IS NOT NULL")
     marked = marked.groupBy("key").agg(F.max("label").alias("label")).withColumn("draw", F.xxhash64(F.col("key").cast("string")))
-    order = Window.partitionBy("label").orderBy("draw", "key")
-    taken = marked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample)
+    taken = drawn(marked, "label", "draw", sample)
     limits = {r.label: r.limit for r in taken.groupBy("label").agg(F.max("draw").alias("limit")).collect()}
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("draw", F.xxhash64(F.col("key").cast("string")))
