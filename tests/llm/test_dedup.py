@@ -125,7 +125,7 @@ def test_near_representatives_keep_columns(make):
 def test_registers_estimate_similarity():
     draw = np.random.default_rng(5)
     for n in (300, 4000):
-        pool = np.unique(draw.integers(0, 1 << 63, 2 * n).astype(np.uint64))
+        pool = draw.permutation(np.unique(draw.integers(0, (1 << 64) - 1, 2 * n, dtype=np.uint64)))
         one, other = np.sort(pool[:n]), np.sort(np.concatenate([pool[: n - n // 10], pool[n : n + n // 10]]))
         truth = len(np.intersect1d(one, other)) / len(np.union1d(one, other))
         for kind in (near_dedup.permuted, near_dedup.bucketed):
@@ -147,7 +147,7 @@ def plain_repeats(rows, least):
     for i, t in sorted(set(rows), key=lambda r: r[0]):
         at, n = 0, 0
         for m in re.finditer(r"[.!?](?=[ \t-\r])|\n|\Z", t or ""):
-            words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda x: x[0].lower(), t[at : m.end()]))
+            words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda x: x[0].lower(), (t or "")[at : m.end()]))
             if words:
                 units.append((i, n, at, m.end(), tuple(words)))
                 n += 1
