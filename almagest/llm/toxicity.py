@@ -37,7 +37,7 @@ CUES = {
     "reporting": "said says called calls wrote writes quote quoted word term phrase sagte sagt nannte schrieb wort zitat dit disait appelle mot terme dijo dice llama palabra termino",
     "address": "you your youre ur du dich dir dein ihr euch tu te toi vous votre eres usted ustedes ti",
 }
-QUOTES = '"“”„«»‘’'
+QUOTES = "“”„‟«»"
 
 _FEATURES = 6
 
@@ -145,7 +145,7 @@ def _vocabulary(batches):
         label, part = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False), np.int64) for c in ("label", "part"))
         done = 0
         for data, offsets in text_slices(batch.column("text")):
-            found = words(data, offsets, WORD_BYTES)
+            found = words(plain_marks(data), offsets, WORD_BYTES)
             kind = (label * 2 + part)[done : done + len(offsets) - 1]
             done += len(offsets) - 1
             distinct, first, back = np.unique(found.hashes, return_index=True, return_inverse=True)
@@ -218,7 +218,7 @@ def features(found: Words, lexicon: Lexicon, exact: dict, near: dict, raw: np.nd
     high = np.minimum(found.first[owner[hits] + 1], hits + WINDOW + 1)
     cues = {name: np.concatenate([[0], np.cumsum(np.isin(found.hashes, _cue_hashes(name)))]) for name in CUES}
     reported, addressed = (cues[name][high] > cues[name][low] for name in ("reporting", "address"))
-    marks = _quote_sums(raw)
+    marks = np.concatenate([[0], np.cumsum(raw == 0x22)])
     opened = marks[found.start[hits]] > marks[found.start[low]]
     closed = marks[found.end[high - 1]] > marks[found.end[hits]]
     quoted = opened & closed
@@ -244,16 +244,24 @@ def _cue_hashes(name: str) -> np.ndarray:
     return _cues[name]
 
 
-def _quote_sums(raw: np.ndarray) -> np.ndarray:
-    """Quotation marks before each byte."""
-    mark = raw == 0x22
-    for sign in QUOTES[1:]:
+def plain_marks(data: np.ndarray) -> np.ndarray:
+    """Bytes with typographic quotation marks as ``"`` and other general punctuation as blanks, in the same places.
+
+    Words here hold all bytes beyond ASCII, so these marks would stick to them.
+    """
+    out = data.copy()
+    two = np.flatnonzero(data[:-1] == 0xC2)
+    for sign in QUOTES:
         code = sign.encode()
-        same = np.ones(max(0, len(raw) - len(code) + 1), bool)
-        for k, byte in enumerate(code):
-            same &= raw[k : len(raw) - len(code) + 1 + k] == byte
-        mark[: len(same)] |= same
-    return np.concatenate([[0], np.cumsum(mark)])
+        if len(code) == 2:
+            at = two[data[two + 1] == code[1]]
+            out[at], out[at + 1] = 0x22, 0x20
+    three = np.flatnonzero(data[:-2] == 0xE2) if len(data) > 2 else np.zeros(0, np.int64)
+    three = three[data[three + 1] == 0x80]
+    marks = [sign.encode()[2] for sign in QUOTES if len(sign.encode()) == 3]
+    out[three] = np.where(np.isin(data[three + 2], marks), 0x22, 0x20)
+    out[three + 1] = out[three + 2] = 0x20
+    return out
 
 
 class Reader:
@@ -270,6 +278,7 @@ class Reader:
         self.judged = np.zeros(0, np.uint64)
 
     def read(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        data = plain_marks(data)
         found = words(data, offsets, WORD_BYTES)
         distinct, first = np.unique(found.hashes, return_index=True)
         new = ~np.isin(distinct, self.judged, assume_unique=True)
