@@ -2,33 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almagest.llm.common import cut
 
+# Pieces into which a node's links are dealt when they meet its least neighbour, as one node may hold a third of all links.
+SALTS = 8
+# Links to a task, about: tables that shrink from round to round are read in fewer tasks.
+TASK_ROWS = 50_000
+
+
+def _least(edges: DataFrame, own: Column, tasks: int) -> DataFrame:
+    """Edges (u, v) beside ``low``, the least of ``own`` and all v of their u."""
+    low = edges.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("low", own).alias("low")).coalesce(tasks)
+    copies = low.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS))).join(copies, ["u", "salt"]).select("u", "v", "low")
+
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the least node that can be reached, for every node that has a link.
 
     Alternates two steps: every node links its larger neighbours to its least one, then its smaller ones and
-    itself. Links turn into stars in a number of rounds that grows with the logarithm of the longest chain.
-    Least neighbours are partial sums, so a node with very many links is no burden to one task.
+    itself. Links turn into stars in a number of rounds that grows with the logarithm of the longest chain, and
+    their number never grows. Least neighbours are partial sums and links are dealt by node and salt, so a
+    node with very many links is no burden to one task.
     """
-    forward = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    edges, before = cut(forward), None
+    edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    before = None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("low"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(least.select("u", F.col("low").alias("v")))
-        edges = cut(small.where("u <> v").distinct())
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == before:
+        if now == before or not now[0]:
             break
-        before = now
+        before, tasks = now, -(-now[0] // TASK_ROWS)
+        edges = edges.coalesce(tasks)
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = _least(both, F.col("u"), tasks).where("v > u AND v <> low").select(F.col("v").alias("u"), F.col("low").alias("v")).coalesce(tasks)
+        # A node's own link to its least neighbour is among these: its v is the least one.
+        small = _least(large, F.col("low"), tasks).select(F.when(F.col("v") == F.col("low"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("low").alias("v"))
+        edges = cut(small.distinct().coalesce(tasks))
     stars = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     centres = stars.select(F.col("component").alias("node"), "component").distinct()
     return stars.unionByName(centres)
