@@ -136,7 +136,8 @@ def _sample(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str,
     # No document beyond both limits can be in the sample: most texts go no further than the scan.
     rows = rows.where(F.col("draw") <= max(limits.values(), default=-(1 << 63)))
     part = F.pmod(F.shiftright("draw", 8), F.lit(2)).alias("part")
-    return rows.join(taken.select("key", "label"), "key").select("text", "label", part)
+    # At most ``sample`` short rows per label: sent along, so that no text is dealt.
+    return rows.join(F.broadcast(taken.select("key", "label")), "key").select("text", "label", part)
 
 
 def _vocabulary(batches):
