@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -127,7 +128,71 @@ class SphereGrid:
         return bounded.selectExpr("*", spread).selectExpr(*kept, f"{_never_null(cell)} AS `{out}`")
 
     def cover_bound(self, radius: float) -> int:
-        zones = math.floor(2 * padded(radius) / self.height) + 2
+        zones = min(math.floor(2 * padded(radius) / self.height) + 2, self.zones)
         # The widest zone a pole circle meets lies within 2r + height of the pole.
         polar = math.radians(min(90.0, 2 * padded(radius) + 2 * self.height))
         return zones * (math.floor(math.sin(polar) * 360 / self.height) + 2)
+
+
+# Cells of the finest grid are this high (degrees, or the plane's own unit); circles of no radius use it.
+FINEST = 1e-4
+# A grid's cells are at least this many times as high as the largest radius searched on it.
+CELL_RADII = 2.0
+
+
+def radius_class(radius: Column, least: int = 0) -> Column:
+    """Power of two, times ``FINEST``, of the grid on which a circle of this radius is searched."""
+    wide = F.greatest(CELL_RADII * padded(radius) * (1 + 1e-6), F.lit(FINEST)) / FINEST
+    return F.greatest(F.ceil(F.log2(wide)).cast("int"), F.lit(least))
+
+
+def least_class(extent: float) -> int:
+    """First class whose grid can number cells over this extent; it matters for planes in metres only."""
+    return max(0, math.ceil(math.log2(max(extent, FINEST) / FINEST / (ROW_STRIDE >> 2))))
+
+
+@dataclass(frozen=True)
+class RadiusClasses:
+    """Several grids, one per class of radii that occurs, so that one wide circle does not widen all cells.
+
+    A circle is searched on the grid of its class only; a position has a cell on each grid that occurs, so
+    a pair still meets once. With several classes joins are on ``__class`` beside the cell.
+    """
+
+    numbers: tuple[int, ...]
+    metric: str = "planar"
+
+    @property
+    def keys(self) -> list[str]:
+        return ["__class"] if len(self.numbers) > 1 else []
+
+    def height(self, number: int) -> float:
+        return FINEST * 2.0**number
+
+    def grid(self, number: int):
+        if self.metric == "great_circle":
+            return SphereGrid(min(self.height(number), 180.0))
+        return PlaneGrid(self.height(number))
+
+    def with_cell(self, df: DataFrame, out: str, x: str = "lon", y: str = "lat") -> DataFrame:
+        kept = [F.col(f"`{c}`") for c in df.columns if c != out]
+        if len(self.numbers) == 1:
+            return self.grid(self.numbers[0]).with_cell(df, out, x, y)
+        frame = df
+        for number in self.numbers:
+            frame = self.grid(number).with_cell(frame, f"__cell_{number}", x, y)
+        cells = [F.struct(F.lit(n).alias("__class"), F.col(f"__cell_{n}").alias(out)) for n in self.numbers]
+        return frame.select(*kept, F.inline(F.array(*cells)))
+
+    def explode_cover(self, df: DataFrame, radius: Column, out: str, x: str = "lon", y: str = "lat") -> DataFrame:
+        if len(self.numbers) == 1:
+            return self.grid(self.numbers[0]).explode_cover(df, radius, out, x, y)
+        own = radius_class(radius, min(self.numbers))
+        covers = [
+            self.grid(n).explode_cover(df.where(own == n), radius, out, x, y).withColumn("__class", F.lit(n))
+            for n in self.numbers
+        ]
+        return reduce(DataFrame.unionByName, covers)
+
+    def cover_bound(self, radius: float) -> int:
+        return max(self.grid(n).cover_bound(min(radius, self.height(n) / CELL_RADII)) for n in self.numbers)

@@ -83,6 +83,6 @@ def haversine_square(lon1: Column, lat1: Column, lon2: Column, lat2: Column) ->
 
 
 def haversine_limit(radius: Column) -> Column:
-    """``haversine_square`` at a distance of ``radius`` degrees."""
-    half = F.sin(F.radians(radius) / 2)
+    """``haversine_square`` at a distance of ``radius`` degrees; beyond 180 as at 180, where it is largest."""
+    half = F.sin(F.radians(F.least(radius, F.lit(180.0))) / 2)
     return half * half

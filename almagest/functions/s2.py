@@ -147,13 +147,17 @@ def explode_s2_cover(
     look at form a rectangle of (i, j); faces are clipped, which settles cube edges and corners. A
     cell stays when it holds the centre or one of its edges comes within the radius.
     A circle in the plane lies inside this one: its straight-line distances are never shorter.
+    A circle of 90 degrees or more is a hemisphere or larger and takes every cell of the level.
     """
     columns = [c for c in df.columns if c != out]
     kept = [f"`{c}`" for c in columns]
     frames = ", ".join(
         f"named_struct('face', {face}, 'n', {n}, 'p', {p}, 'q', {q})" for face, (n, p, q) in enumerate(FACE_FRAMES)
     )
-    df = _with_vector(df.select(*columns), x, y).withColumn("__sin", F.sin(F.radians(padded(radius))))
+    df = _with_vector(df.select(*columns), x, y).withColumn(
+        # Two is beyond every sine: all tests below then hold.
+        "__sin", F.when(padded(radius) >= 90, F.lit(2.0)).otherwise(F.sin(F.radians(padded(radius))))
+    )
     df = df.selectExpr(*kept, "__sin", f"explode(array({frames})) AS __frame").selectExpr(
         *kept, "__sin", "__frame.face AS __face", "__frame.n AS __n", "__frame.p AS __p", "__frame.q AS __q"
     )
@@ -174,7 +178,7 @@ def explode_s2_cover(
     for name, low, high in (("__i", "__pl", "__ph"), ("__j", "__ql", "__qh")):
         span = f"sequence({_cell_index(f'tan({low})', level)}, {_cell_index(f'tan({high})', level)})"
         df = df.withColumn(name, F.expr(f"explode({span})"))
-    return _with_id(df.where(_cell_meets_circle(level)), level, out, "(__face & 1)").select(*columns, out)
+    return _with_id(df.where(f"__sin >= 2 OR {_cell_meets_circle(level)}"), level, out, "(__face & 1)").select(*columns, out)
 
 
 def _cell_meets_circle(level: int) -> str:
@@ -223,5 +227,7 @@ class S2Cells:
         return explode_s2_cover(df, radius, self.level, out, x, y)
 
     def cover_bound(self, radius: float) -> int:
+        if padded(radius) >= 90:
+            return 6 << (2 * self.level)
         across = math.floor(2 * math.radians(padded(radius)) * (1 << self.level) / MIN_WIDTH) + 2
         return 3 * across * across

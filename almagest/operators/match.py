@@ -18,21 +18,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almagest.functions import geometry as geo
-from almagest.functions.cells import PlaneGrid, SphereGrid, padded
+from almagest.functions.cells import FINEST, PlaneGrid, RadiusClasses, least_class, padded, radius_class
 from almagest.functions.coords import haversine_limit, haversine_square
-from almagest.functions.s2 import S2Cells, s2_parent
-from almagest.operators.skew import BROADCAST_BYTES, row_spread, salted_join, total_bytes
+from almagest.functions.s2 import S2Cells
+from almagest.operators.skew import BROADCAST_BYTES, PAIR_TARGET, hot_buckets, salted_join, total_bytes
 from almagest.schema import CATALOG_COLUMNS, as_strings
 
-# Grid cells are never smaller than this (degrees), so a cover stays at about two cells a circle.
-MIN_CELL = 0.05
-# Up to this many points, the distinct cells of their circles are also sent to the scan.
+# Up to this many points, the distinct stored cells of their circles are also sent to the scan.
 SCAN_POINTS = 256
 SCAN_CELLS = 512
-# Longest list of matches in one row of a grouped result.
-MAX_LIST = 10_000
-# Up to this many circles with long lists, the number of their parts is sent along by broadcast.
-LONG_CIRCLES = 100_000
 
 QUERY = "query_"
 
@@ -44,37 +38,38 @@ class Profile:
     rows: int
     size: int
     radius: float
+    classes: tuple[int, ...]
     x: tuple[float | None, float | None]
     y: tuple[float | None, float | None]
 
 
-def _query_side(points: DataFrame, x: str, y: str) -> DataFrame:
-    """Points with a position, every column renamed ``query_*`` so that it cannot clash."""
+def _query_side(points: DataFrame, radius: float | str, x: str, y: str) -> DataFrame:
+    """Points with a position and a radius that is not negative, every column renamed ``query_*`` so that it cannot clash."""
     placed = points.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    if isinstance(radius, str):
+        placed = placed.where(F.col(radius) >= 0)
     return placed.select(*[F.col(f"`{c}`").alias(QUERY + c) for c in points.columns])
 
 
 def measure(query: DataFrame, radius: Column, x: str, y: str) -> Profile:
+    """One aggregate row: the point side's size, extent and radii, which fall into few classes (powers of two)."""
     row = query.agg(
         F.count(F.lit(1)).alias("rows"),
         total_bytes(query).alias("size"),
         F.coalesce(F.max(radius), F.lit(0.0)).alias("radius"),
+        F.collect_set(radius_class(radius)).alias("classes"),
         *[f(QUERY + axis).alias(f"{f.__name__}_{n}") for n, axis in enumerate((x, y)) for f in (F.min, F.max)],
     ).first()
-    return Profile(
-        row["rows"], row["size"], float(row["radius"]), (row["min_0"], row["max_0"]), (row["min_1"], row["max_1"])
-    )
-
+    extents = (row["min_0"], row["max_0"]), (row["min_1"], row["max_1"])
+    least = least_class(max((abs(v) for pair in extents for v in pair if v is not None), default=0.0))
+    classes = {max(k, least) for k in row["classes"]} or {least}
+    return Profile(row["rows"], row["size"], float(row["radius"]), tuple(sorted(classes)), *extents)
 
-def default_index(radius: float, metric: str):
-    """Grid with cells at least twice the radius, so that a circle meets at most four in the plane."""
-    height = max(2 * padded(radius) * (1 + 1e-6), MIN_CELL)
-    return SphereGrid(height) if metric == "great_circle" else PlaneGrid(height)
 
-
-def cell_facts(catalog: DataFrame) -> dict:
-    """What a layout noted with its ``cell_id``: S2 levels, and whether the ids are stored."""
-    return catalog.schema["cell_id"].metadata if "cell_id" in catalog.columns else {}
+def cell_facts(catalog: DataFrame, x: str = "lon", y: str = "lat") -> dict:
+    """What a layout noted with its ``cell_id``, if its cells were made from ``x`` and ``y``: S2 levels, whether ids are stored."""
+    facts = catalog.schema["cell_id"].metadata if "cell_id" in catalog.columns else {}
+    return facts if (facts.get("x", "lon"), facts.get("y", "lat")) == (x, y) else {}
 
 
 def _measure(metric: str, shape: str, x: str, y: str):
@@ -110,7 +105,7 @@ def cone_pairs(
     x: str = "lon",
     y: str = "lat",
     strategy: str = "auto",
-    min_split_rows: int | None = None,
+    pair_target: int = PAIR_TARGET,
     weight: str | None = None,
 ) -> DataFrame:
     """Matching pairs: the catalog's columns, then the points' columns as ``query_*``.
@@ -118,56 +113,63 @@ def cone_pairs(
     ``radius`` is a number or the name of a column of ``points``, in the units of ``x`` and ``y``.
     ``shape='polygon'`` tests the inscribed 32-gon, ``boundary=False`` leaves out its rim.
     ``metric='great_circle'`` measures on the sphere, with the wrap at 0/360 and the poles.
-    ``index`` defaults to the catalog's stored S2 cells if it has them, else to a grid.
-    ``strategy='auto'`` broadcasts the point side when it measures small, ``'shuffle'`` never does.
+    Points whose radius is null or negative match nothing; a negative number is an error.
+    ``index`` defaults to grids whose cells follow from the radii, one per class of radii that occurs. Stored
+    S2 cells prune the scan and, in the cell-partitioned layout, the folders; the join is on the grid.
+    ``strategy='auto'`` broadcasts the point side when it measures small, ``'shuffle'`` always deals both sides.
     ``weight`` names a catalog column that counts copies; copies are then merged before a shuffle.
     """
-    query = _query_side(points, x, y)
+    query = _query_side(points, radius, x, y)
     reach = F.col(QUERY + radius) if isinstance(radius, str) else F.lit(float(radius))
     profile = measure(query, reach, x, y)
     widest = profile.radius if isinstance(radius, str) else float(radius)
     if widest < 0:
         raise ValueError("radius must not be negative")
+    if strategy not in ("auto", "shuffle"):
+        raise ValueError(f"unknown strategy {strategy!r}")
 
-    facts = cell_facts(catalog) if index is None else {}
-    celled = "s2_level" in facts
-    if celled:
-        index = S2Cells(facts["s2_level"])
-    elif index is None:
-        index = default_index(widest, metric)
-    cell = "cell_id" if celled else "__cell"
+    facts = cell_facts(catalog, x, y)
+    keys = ["__cell"]
+    if index is None:
+        index = RadiusClasses(profile.classes, metric)
+        keys = [*index.keys, "__cell"]
     placed = catalog.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    located = placed if celled else index.with_cell(placed, cell, x, y)
-    cover = index.explode_cover(query, reach, cell, QUERY + x, QUERY + y)
-
-    keys = [cell]
-    coarse = facts.get("s2_parent")
-    if coarse is not None and "partition_id" in catalog.columns:
-        cover = cover.withColumn("partition_id", s2_parent(F.col(cell), coarse))
-        keys = ["partition_id", cell]
+    located = index.with_cell(placed, "__cell", x, y)
+    cover = index.explode_cover(query, reach, "__cell", QUERY + x, QUERY + y)
+    if "s2_parent" in facts and "partition_id" in catalog.columns:
+        # A catalog row has one grid cell and one folder: with both as keys a pair still meets once.
+        cover = S2Cells(facts["s2_parent"]).explode_cover(cover, reach, "partition_id", QUERY + x, QUERY + y)
+        keys = ["partition_id", *keys]
 
-    if strategy not in ("auto", "shuffle"):
-        raise ValueError(f"unknown strategy {strategy!r}")
     if strategy == "auto" and profile.size * index.cover_bound(widest) <= BROADCAST_BYTES:
-        located = _scan_filters(located, cover, profile, widest, metric, cell if facts.get("stored") else None, x, y)
+        stored = S2Cells(facts["s2_level"]) if facts.get("stored") and "s2_level" in facts else None
+        located = _scan_filters(located, query, reach, profile, widest, metric, stored, x, y)
         joined = located.join(F.broadcast(cover), keys)
     else:
-        if weight:
-            rest = [c for c in located.columns if c != weight]
-            located = located.groupBy(*rest).agg(F.sum(weight).alias(weight))
-        joined = salted_join(located, cover, keys, *([] if min_split_rows is None else [min_split_rows]))
+        joined = _shuffled(located, cover, keys, weight, pair_target)
     return joined.where(_within(metric, shape, boundary, reach, x, y)).select(
         *[F.col(f"`{c}`") for c in catalog.columns], *query.columns
     )
 
 
+def _shuffled(located: DataFrame, cover: DataFrame, keys: list[str], weight: str | None, pair_target: int) -> DataFrame:
+    """Both sides dealt by cell. Copies that ``weight`` counts merge on the way, in the shuffle that the join needs anyway."""
+    hot = hot_buckets(located, cover, keys, pair_target)
+    if weight:
+        rest = [c for c in located.columns if c != weight and c not in keys]
+        dealt = located if hot else located.repartition(*keys)
+        located = dealt.groupBy(*keys, *rest).agg(F.sum(weight).alias(weight))
+    return salted_join(located, cover, keys, pair_target, hot)
+
+
 def _scan_filters(
     catalog: DataFrame,
-    cover: DataFrame,
+    query: DataFrame,
+    reach: Column,
     profile: Profile,
     radius: float,
     metric: str,
-    stored_cell: str | None,
+    stored: S2Cells | None,
     x: str,
     y: str,
 ) -> DataFrame:
@@ -178,22 +180,24 @@ def _scan_filters(
     catalog = catalog.where(F.col(y).between(profile.y[0] - r, profile.y[1] + r))
     if metric == "planar":
         catalog = catalog.where(F.col(x).between(profile.x[0] - r, profile.x[1] + r))
-    if stored_cell and profile.rows <= SCAN_POINTS:
-        cells = [row[0] for row in cover.select(stored_cell).distinct().limit(SCAN_CELLS + 1).collect()]
+    if stored and profile.rows <= SCAN_POINTS and profile.rows * stored.cover_bound(radius) <= SCAN_POINTS * SCAN_CELLS:
+        cover = stored.explode_cover(query, reach, "cell_id", QUERY + x, QUERY + y)
+        cells = [row[0] for row in cover.select("cell_id").distinct().limit(SCAN_CELLS + 1).collect()]
         if len(cells) <= SCAN_CELLS:
-            catalog = catalog.where(F.col(stored_cell).isin(cells))
+            catalog = catalog.where(F.col("cell_id").isin(cells))
     return catalog
 
 
 def distinct_positions(points: DataFrame, x: str = "lon", y: str = "lat") -> DataFrame:
     """One row per position; repeats merge in the tasks that read them, before any shuffle.
 
-    Other columns keep their smallest value.
+    Of rows at one position the least stays, all its other columns taken together.
     """
     others = [c for c in points.columns if c not in (x, y)]
     if not others:
         return points.select(x, y).distinct()
-    return points.groupBy(x, y).agg(*[F.min(c).alias(c) for c in others])
+    least = F.min(F.struct(*[F.col(f"`{c}`") for c in others])).alias("__least")
+    return points.groupBy(x, y).agg(least).select(*[F.col(f"__least.`{c}`") if c in others else F.col(c) for c in points.columns])
 
 
 def wkt_columns(x: str = "lon", y: str = "lat") -> list[Column]:
@@ -244,39 +248,26 @@ def grouped_match(
     *,
     center: Sequence[str],
     attributes: Sequence[str],
-    max_list: int = MAX_LIST,
+    part_height: float | None = None,
+    x: str = "lon",
+    y: str = "lat",
     **options,
 ) -> DataFrame:
-    """Matches listed per query circle: ``center`` columns, ``part``, ``matches`` (sorted structs).
+    """Matches listed per query circle and grid cell: ``center`` columns, ``part``, ``matches`` (sorted structs).
 
-    Circles without matches are absent. A circle with more than ``max_list`` matches comes as
-    several rows, numbered by ``part``, so that no task has to hold an endless list. Those circles
-    are found by a count beforehand, which reads the two position columns only.
+    ``part`` is the number of the square cell, ``part_height`` high, in which a list's matches lie: a property of the
+    matches, so that rows do not depend on files, counts or plans. A smaller height gives shorter
+    lists; by default it is the widest radius. Circles without matches are absent.
     """
-    # The spread is taken before the join, where rows still know their place in the file.
-    pairs = cone_pairs(catalog.withColumn("__spread", row_spread(catalog)), points, radius, **options).select(
+    if part_height is None:
+        part_height = float(radius) if not isinstance(radius, str) else float(points.agg(F.max(radius)).first()[0] or 0)
+    parted = PlaneGrid(max(part_height, FINEST)).with_cell(catalog.where(F.col(x).isNotNull() & F.col(y).isNotNull()), "__part", x, y)
+    pairs = cone_pairs(parted, points, radius, x=x, y=y, **options).select(
         *[F.col(QUERY + c).alias(c) for c in center],
+        F.col("__part").alias("part"),
         F.struct(*[F.col(f"`{c}`") for c in attributes]).alias("match"),
-        "__spread",
-    )
-    parts = F.lit(1).cast("bigint")
-    long = pairs.groupBy(*center).agg(F.ceil(F.count(F.lit(1)) / max_list).alias("__parts")).where("__parts > 1")
-    found = long.limit(LONG_CIRCLES + 1).collect()
-    if found:
-        names = ["__" + c for c in center]
-        long = long.toDF(*names, "__parts")
-        if len(found) <= LONG_CIRCLES:
-            long = F.broadcast(catalog.sparkSession.createDataFrame(found, long.schema))
-        same = F.lit(True)
-        for c in center:
-            same = same & F.col(c).eqNullSafe(F.col("__" + c))
-        pairs = pairs.join(long, same, "left")
-        parts = F.coalesce(F.col("__parts"), parts)
-    return (
-        pairs.select(*center, F.pmod(F.col("__spread"), parts).cast("int").alias("part"), "match")
-        .groupBy(*center, "part")
-        .agg(F.sort_array(F.collect_list("match")).alias("matches"))
     )
+    return pairs.groupBy(*center, "part").agg(F.sort_array(F.collect_list("match")).alias("matches"))
 
 
 def count_matches(
@@ -287,11 +278,12 @@ def count_matches(
     by: Sequence[str] = (),
     shape: str = "disc",
     distinct_points: bool = False,
+    boundary: bool = True,
     x: str = "lon",
     y: str = "lat",
     **options,
 ) -> DataFrame:
-    """Number of matches at each radius: columns ``by``, ``radius``, ``matches``.
+    """Number of matches at each radius: columns ``by``, ``radius``, ``matches``, for every group of points, with zeros.
 
     One join at the widest radius serves all radii. Query points at one position are merged first
     and counted through a weight, so copies cost nothing; so are sources, when the catalog has to be
@@ -302,15 +294,17 @@ def count_matches(
     merged = points.groupBy(x, y, *by).agg(weight.alias("weight"))
     sources = catalog.select(x, y, *[c for c in ("cell_id", "partition_id") if c in catalog.columns])
     sources = sources.withColumn("copies", F.lit(1).cast("bigint"))
-    pairs = cone_pairs(sources, merged, radii[-1], shape=shape, x=x, y=y, weight="copies", **options)
+    pairs = cone_pairs(sources, merged, radii[-1], shape=shape, boundary=boundary, x=x, y=y, weight="copies", **options)
     measure_, limit = _measure(options.get("metric", "planar"), shape, x, y)
     groups = [F.col(QUERY + c).alias(c) for c in by]
     n = F.col("copies") * F.col(QUERY + "weight")
     weighed = pairs.select(*groups, measure_.alias("__measure"), n.alias("__n"))
-    totals = [
-        F.coalesce(F.sum(F.when(F.col("__measure") <= limit(F.lit(r)), F.col("__n"))), F.lit(0).cast("bigint")).alias(f"n{k}")
-        for k, r in enumerate(radii)
-    ]
+    inside = lambda r: F.col("__measure") <= limit(F.lit(r)) if boundary else F.col("__measure") < limit(F.lit(r))
+    totals = [F.coalesce(F.sum(F.when(inside(r), F.col("__n"))), F.lit(0).cast("bigint")).alias(f"n{k}") for k, r in enumerate(radii)]
+    if by:
+        # Groups of points without a match count as well.
+        none = [F.lit(None).cast(weighed.schema[c].dataType).alias(c) for c in ("__measure", "__n")]
+        weighed = weighed.unionByName(points.select(*by).distinct().select(*by, *none))
     wide = weighed.groupBy(*by).agg(*totals)
     rows = F.array(
         *[F.struct(F.lit(r).alias("radius"), F.col(f"n{k}").alias("matches")) for k, r in enumerate(radii)]

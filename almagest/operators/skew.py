@@ -14,8 +14,10 @@ from pyspark.sql import types as T
 BROADCAST_BYTES = 64 * 1024 * 1024
 # Join keys are counted in this many hash buckets, so the count table has a fixed size limit.
 KEY_BUCKETS = 16384
-# Buckets below this many rows are never split.
-MIN_SPLIT_ROWS = 1_000_000
+# A hot bucket is cut so that each piece makes at most about this many pairs.
+PAIR_TARGET = 20_000_000
+# Times its even share of a side that a bucket must hold to count as hot.
+HOT_SHARE = 4
 
 _FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -34,25 +36,27 @@ def total_bytes(df: DataFrame) -> Column:
     return F.coalesce(F.sum(row_width(df)), F.lit(0).cast("bigint"))
 
 
-def row_spread(df: DataFrame) -> Column:
-    """Hash that differs between rows, even equal ones, and is the same when a task runs again.
-
-    Rows straight from Parquet files use their position in the file. Other frames use their content.
-    """
+def _file_place(df: DataFrame) -> Column | None:
+    """Hash of a row's place in its Parquet file, or None for other frames."""
     try:
         df.select("_metadata.row_index").schema  # noqa: B018 - resolves the hidden column
         return F.xxhash64(F.col("_metadata.row_index"), F.col("_metadata.file_name"))
     except AnalysisException:
-        return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+        return None
 
 
-def _splits(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], min_rows: int
-) -> list[tuple[int, int, int]]:
+def row_spread(df: DataFrame) -> Column:
+    """Hash that is the same when a task runs again: of the place in a Parquet file, which parts even equal rows, else of the content."""
+    place = _file_place(df)
+    return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]) if place is None else place
+
+
+def hot_buckets(left: DataFrame, right: DataFrame, keys: Sequence[str], pair_target: int = PAIR_TARGET) -> list[tuple[int, int, int]]:
     """Hot key buckets with the number of pieces for the left and for the right side.
 
-    The counts are one row per bucket, at most ``KEY_BUCKETS`` whatever the data, so collecting them
-    is safe. A bucket is hot when it holds well over its even share of a side.
+    The counts are one row per bucket, at most ``KEY_BUCKETS`` whatever the data, so collecting them is safe.
+    A bucket is hot when a side holds well over its even share there and the product of both sides, which bounds
+    its pairs, passes ``pair_target``. Pieces keep each product below it, with as few repeated rows as can be.
     """
     bucket = F.pmod(F.xxhash64(*keys), F.lit(KEY_BUCKETS)).alias("bucket")
     sides = [
@@ -62,29 +66,30 @@ def _splits(
     counts: dict[int, list[int]] = {}
     for row in sides[0].unionByName(sides[1]).collect():
         counts.setdefault(row["bucket"], [0, 0])[row["side"]] = row["rows"]
-    targets = [
-        max(min_rows, 4 * math.ceil(sum(c[side] for c in counts.values()) / KEY_BUCKETS)) for side in (0, 1)
-    ]
+    shares = [HOT_SHARE * math.ceil(sum(c[side] for c in counts.values()) / KEY_BUCKETS) for side in (0, 1)]
     hot = []
-    for number, rows in counts.items():
-        pieces = tuple(math.ceil(rows[side] / targets[side]) or 1 for side in (0, 1))
-        if max(pieces) > 1:
-            hot.append((number, *pieces))
+    for number, (a, b) in counts.items():
+        need = math.ceil(a * b / pair_target)
+        if need > 1 and (a > shares[0] or b > shares[1]):
+            pieces = min(a, max(1, round(math.sqrt(need * a / b))))
+            hot.append((number, pieces, min(b, math.ceil(need / pieces))))
     return hot
 
 
 def salted_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], min_rows: int = MIN_SPLIT_ROWS
+    left: DataFrame, right: DataFrame, keys: Sequence[str], pair_target: int = PAIR_TARGET, hot: list[tuple[int, int, int]] | None = None
 ) -> DataFrame:
-    """Inner equi-join on ``keys`` in which no key is left to one task.
+    """Inner equi-join on ``keys``, never by broadcast, in which no key is left to one task.
 
-    Rows of a hot key are dealt into pieces on their own side and repeated once per piece of the
-    other side, so every pair meets exactly once. Keys that are not hot are joined as usual.
+    Rows of a hot key are dealt into pieces on their own side and repeated once per piece of the other side,
+    so every pair meets exactly once. Equal rows that do not come from Parquet have no place to part them:
+    they are merged with their number first and repeated after the join. Keys that are not hot are joined as usual.
     """
     keys = list(keys)
-    hot = _splits(left, right, keys, min_rows)
+    if hot is None:
+        hot = hot_buckets(left, right, keys, pair_target)
     if not hot:
-        return left.join(right, keys)
+        return left.join(right.hint("merge"), keys)
     splits = F.broadcast(  # at most KEY_BUCKETS rows
         left.sparkSession.createDataFrame(hot, "__bucket int, __pieces_left int, __pieces_right int")
     )
@@ -93,20 +98,28 @@ def salted_join(
 
     def dealt(side: DataFrame, own: str, other: str, repeat: bool) -> DataFrame:
         mine, theirs = (F.coalesce(F.col(f"__pieces_{name}"), F.lit(1)) for name in (own, other))
+        place, copies = _file_place(side), F.lit(1).cast("bigint")
+        if place is None:
+            merged = side.groupBy(*[F.col(f"`{c}`") for c in side.columns]).agg(F.count(F.lit(1)).alias(f"__copies_{own}"))
+            frame, copies = merged.withColumn("__spread", F.xxhash64(*[F.col(f"`{c}`") for c in side.columns])), F.col(f"__copies_{own}")
+        else:
+            frame = side.withColumn("__spread", place)
         frame = (
-            side.withColumn("__spread", row_spread(side))
-            .withColumn("__bucket", bucket)
+            frame.withColumn("__bucket", bucket)
             .join(splits, "__bucket", "left")
             .withColumn(f"__salt_{own}", F.pmod(F.col("__spread"), mine).cast("int"))
         )
-        copies = F.explode(F.sequence(F.lit(0), theirs - 1)) if repeat else F.lit(0)
-        frame = frame.withColumn(f"__salt_{other}", copies)
-        return frame.select(*side.columns, "__salt_left", "__salt_right")
+        pieces = F.explode(F.sequence(F.lit(0), theirs - 1)) if repeat else F.lit(0)
+        frame = frame.withColumn(f"__salt_{other}", pieces)
+        return frame.select(*[F.col(f"`{c}`") for c in side.columns], "__salt_left", "__salt_right", copies.alias(f"__copies_{own}"))
 
     joined = dealt(left, "left", "right", most[1] > 1).join(
-        dealt(right, "right", "left", most[0] > 1), [*keys, "__salt_left", "__salt_right"]
+        dealt(right, "right", "left", most[0] > 1).hint("merge"), [*keys, "__salt_left", "__salt_right"]
     )
-    return joined.drop("__salt_left", "__salt_right")
+    if _file_place(left) is None or _file_place(right) is None:
+        times = F.col("__copies_left") * F.col("__copies_right")
+        joined = joined.withColumn("__again", F.explode(F.sequence(F.lit(1).cast("bigint"), times))).drop("__again")
+    return joined.drop("__salt_left", "__salt_right", "__copies_left", "__copies_right")
 
 
 def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almagest.functions.coords import with_lon_lat
@@ -26,6 +26,16 @@ def random_points(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
     return points.withColumn("geometry", point_wkt(F.col("ra"), F.col("dec")))
 
 
+def keyed_points(table: DataFrame, key: str, seed: int = 0) -> DataFrame:
+    """A uniform point per row, fixed by the digest of its key: the same points on every run, plan and engine."""
+    def uniform(part: str) -> Column:
+        digest = F.md5(F.concat(F.lit(f"{seed}{part}"), F.col(key).cast("string")).cast("binary"))
+        return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+
+    points = table.select(F.col(key).alias("point_id"), uniform("a").alias("ra"), (uniform("b") * 180 - 90).alias("dec"))
+    return points.withColumn("geometry", point_wkt(F.col("ra"), F.col("dec")))
+
+
 def radius_sweep(
     catalog: DataFrame, points: DataFrame, arcseconds: Iterable[float] = ARCSECONDS, **options
 ) -> DataFrame:

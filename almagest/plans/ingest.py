@@ -10,8 +10,8 @@ from almagest.sources.tiles import read_catalog_tiles, read_offset_tiles
 
 
 def prepare_offsets(spark: SparkSession, text_path: str, csv_path: str, **options) -> None:
-    """Offset table from its text form to CSV with header."""
-    write_small_csv(read_offset_tiles(spark, text_path, **options), csv_path)
+    """Offset table, a row per tile, from its text form to one CSV file with header."""
+    write_small_csv(read_offset_tiles(spark, text_path, **options), csv_path, files=1)
 
 
 def primary_catalog(spark: SparkSession, tiles_path: str, offsets_csv: str, **options) -> DataFrame:

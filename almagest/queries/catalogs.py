@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almagest.functions import geometry as geo
@@ -24,7 +24,7 @@ from almagest.operators.stats import (
     respread,
     sample_one,
 )
-from almagest.plans.experiments import random_points
+from almagest.plans.experiments import keyed_points
 from almagest.plans.ingest import prepare_offsets, primary_catalog
 from almagest.plans.layouts import (
     cell_layout,
@@ -76,11 +76,20 @@ def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tile_lines(df: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
-    """Text lines of tile files: a comment and the header once per tile, then the rows."""
-    header = "| " + " | ".join(n.upper() for n in names) + " |"
-    rows = df.select(*keys, F.concat(F.lit("  "), F.concat_ws("  ", *names)).alias("value"))
+    """Text lines of tile files: a comment, lines of names, types, units and null marks, then the rows.
+
+    Every other key has its columns in the opposite order, so that only a tile's own header can read it.
+    """
+    def head(order: list[str]) -> Column:
+        lines = [[n.upper() for n in order], ["char" for _ in order], ["--" for _ in order], ["null" for _ in order]]
+        return F.array(F.lit("\\ made tile"), *[F.lit("| " + " | ".join(line) + " |") for line in lines])
+
+    turned = F.pmod(F.xxhash64(*keys), F.lit(2)) == 1
+    orders = (names, names[::-1])
+    forth, back = (F.concat(F.lit("  "), F.concat_ws("  ", *order)) for order in orders)
+    rows = df.select(*keys, F.when(turned, back).otherwise(forth).alias("value"))
     tops = df.select(*keys).distinct()
-    heads = tops.select(*keys, F.explode(F.array(F.lit("\\ made tile"), F.lit(header))).alias("value"))
+    heads = tops.select(*keys, F.explode(F.when(turned, head(orders[1])).otherwise(head(orders[0]))).alias("value"))
     return rows.unionByName(heads)
 
 
@@ -88,8 +97,9 @@ def tile_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalog written as gzip tile text by Spark, and read back typed."""
     path = work_folder(spark, "tile-text")
     raw = sky.raw_catalog(spark, sf_dir)
-    lines = _tile_lines(raw, CATALOG_COLUMNS, ["tile"])
-    lines.write.partitionBy("tile").option("compression", "gzip").text(path)
+    # Each tile is one task's, so each of its files begins in a task that also has the tile's header.
+    lines = _tile_lines(raw, CATALOG_COLUMNS, ["tile"]).repartition("tile")
+    lines.write.mode("overwrite").partitionBy("tile").option("compression", "gzip").text(path)
     read = read_catalog_tiles(spark, path, files="*.txt.gz", tile_pattern=r"tile=([^/]+)/")
     return _plain(read)
 
@@ -98,7 +108,7 @@ def offset_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offset table from tile text to CSV with header, and read back typed."""
     text, csv = work_folder(spark, "offset-text"), work_folder(spark, "offset-csv")
     lines = _tile_lines(sky.offsets(spark, sf_dir).withColumn("part", F.lit(0)), OFFSET_COLUMNS, ["part"])
-    lines.drop("part").write.text(text)
+    lines.drop("part").coalesce(1).write.mode("overwrite").text(text)
     prepare_offsets(spark, text, csv, files="*.txt")
     return _plain(read_offsets_csv(spark, csv))
 
@@ -106,8 +116,8 @@ def offset_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tile text and offset CSV to the corrected primary catalog."""
     path, csv = work_folder(spark, "raw"), work_folder(spark, "offsets")
-    lines = _tile_lines(sky.raw_catalog(spark, sf_dir), CATALOG_COLUMNS, ["tile"])
-    lines.write.partitionBy("tile").text(path)
+    lines = _tile_lines(sky.raw_catalog(spark, sf_dir), CATALOG_COLUMNS, ["tile"]).repartition("tile")
+    lines.write.mode("overwrite").partitionBy("tile").text(path)
     write_small_csv(sky.offsets(spark, sf_dir), csv)
     return _plain(primary_catalog(spark, path, csv, files="*.txt", tile_pattern=r"tile=([^/]+)/"))
 
@@ -153,7 +163,7 @@ def tile_union_sql() -> str:
 def catalog_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headerless CSV out and in: rows once typed, then all as text with the leading position pair."""
     first, second = work_folder(spark, "csv"), work_folder(spark, "csv-text")
-    write_csv(sky.catalog(spark, sf_dir).drop("tile"), first)
+    write_csv(sky.catalog(spark, sf_dir).drop("tile"), first, mode="overwrite")
     write_text_csv(with_point_columns(read_catalog_csv(spark, first)), second)
     return _plain(read_csv(spark, second, {"ra_point": "double", "dec_point": "double", **CATALOG_TYPES}))
 
@@ -440,20 +450,31 @@ def digest_one(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bernoulli half of the catalog in a layout; the rows depend on Spark's generator."""
-    return geohash_layout(sky.primary(spark, sf_dir), fraction=0.5, seed=10).select("source_id", "geohash")
+    """What must hold of a Bernoulli half: rows of the catalog, none twice, the same for one seed, a share near a half."""
+    primary = sky.primary(spark, sf_dir)
+    taken, again = (geohash_layout(primary, fraction=0.5, seed=10).select("source_id", "geohash") for _ in range(2))
+    every = geohash_layout(primary).select("source_id", "geohash")
+    marks = F.count_if("taken").alias("n"), F.count_if("again").alias("m"), F.count_if("listed").alias("all")
+    side = lambda df, name: df.select("source_id", "geohash", *[F.lit(name == c).alias(c) for c in ("taken", "again", "listed")])
+    rows = side(taken, "taken").unionByName(side(again, "again")).unionByName(side(every, "listed"))
+    each = rows.groupBy("source_id", "geohash").agg(*marks)
+    share = F.sum("n") / F.sum("all")
+    return each.agg(
+        F.count_if(F.col("n") > F.col("all")).alias("strangers_or_repeats"), F.count_if(F.col("n") != F.col("m")).alias("changed"),
+        F.sum("all").alias("sources"), share.between(0.45, 0.55).alias("near_half"),
+    )
 
 
 def random_sky(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As many random points as the table has customers, all inside their ranges."""
-    n = spark.read.parquet(f"{sf_dir}/customer.parquet").count()
-    inside = (F.col("ra") >= 0) & (F.col("ra") < 1) & (F.col("dec") >= -90) & (F.col("dec") < 90)
+    """A random point per customer, by the digest of its key, through its text form."""
     place = geo.parse_point_wkt(F.col("geometry"))
-    return random_points(spark, n, seed=7).agg(
-        F.count(F.lit(1)).alias("points"),
-        F.count_if(inside).alias("inside"),
-        F.count_if(place["lon"] == F.col("ra")).alias("text_agrees"),
-    )
+    points = keyed_points(spark.read.parquet(f"{sf_dir}/customer.parquet"), "c_custkey", seed=7)
+    return points.select("point_id", place["lon"].alias("ra"), place["lat"].alias("dec"))
+
+
+def random_sky_sql() -> str:
+    part = "CAST(('0x' || substr(md5(concat('7{0}', CAST(c_custkey AS VARCHAR))), 1, 8)) AS BIGINT) / 4294967296e0"
+    return f'SELECT c_custkey AS point_id, {part.format("a")} AS ra, {part.format("b")} * 180 - 90 AS "dec" FROM customer'
 
 
 def sky_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -546,11 +567,11 @@ QUERIES = {
         f"SELECT point_id, lon, lat FROM ({sky.positions_sql('customer', 'point_id')}) "
         "ORDER BY md5(CAST(point_id AS VARCHAR)) LIMIT 1",
     ),
-    "seeded_sample": (seeded_sample, None),
-    "random_points": (
-        random_sky,
-        "SELECT count(*) AS points, count(*) AS inside, count(*) AS text_agrees FROM customer",
+    "seeded_sample": (
+        seeded_sample,
+        "SELECT 0 AS strangers_or_repeats, 0 AS changed, count(*) AS sources, true AS near_half FROM orders",
     ),
+    "random_points": (random_sky, random_sky_sql()),
     "sky_frame": (
         sky_frame,
         'SELECT source_id, ra AS lon_wgs84, "dec" AS lat_wgs84, ra AS lon, "dec" AS lat '

@@ -33,7 +33,7 @@ from almagest.queries import sky
 from almagest.queries.catalogs import geohash_sql
 from almagest.session import work_folder
 from almagest.sources.points import read_points_wkt, read_points_xy
-from almagest.sources.tables import attach_catalog, write_csv
+from almagest.sources.tables import attach_catalog, read_csv, write_csv
 
 MINUTE = 60 / 3600.0
 PAIR = "c.source_id, p.point_id"
@@ -75,15 +75,55 @@ def cone_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ids(cone_pairs(sky.sources(spark, sf_dir), sky.points(spark, sf_dir), MINUTE, shape="polygon"))
 
 
+STEPS = 64
+
+
+def snapped(df: DataFrame, steps: int = STEPS) -> DataFrame:
+    """Positions moved to a dyadic grid, where distances are exact: rims and repeats abound."""
+    return df.withColumns({c: F.floor(F.col(c) * steps) / F.lit(float(steps)) for c in ("lon", "lat")})
+
+
+def snapped_sql(table: str, name: str, steps: int = STEPS) -> str:
+    return (
+        f"SELECT {name}, floor(lon * {steps}) / {steps}e0 AS lon, floor(lat * {steps}) / {steps}e0 AS lat "
+        f"FROM ({sky.positions_sql(table, name)})"
+    )
+
+
+def snapped_search_sql(select: str, where: str, steps: int = STEPS) -> str:
+    return f"WITH c AS ({snapped_sql('orders', 'source_id', steps)}), p AS ({snapped_sql('customer', 'point_id', steps)}) SELECT {select} FROM c, p WHERE {where}"
+
+
+# Three steps of the grid: many pairs lie exactly on the rim.
+RIM = 3 / STEPS
+
+
 def cone_interior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ids(cone_pairs(sky.sources(spark, sf_dir), sky.points(spark, sf_dir), MINUTE, boundary=False))
+    return _ids(cone_pairs(snapped(sky.sources(spark, sf_dir)), snapped(sky.points(spark, sf_dir)), RIM, boundary=False))
+
+
+def cone_rim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts with and without the rim, at radii that pairs lie exactly on."""
+    layers = snapped(sky.sources(spark, sf_dir)), snapped(sky.points(spark, sf_dir))
+    counts = [
+        count_matches(*layers, [1 / STEPS, RIM], boundary=b).withColumn("boundary", F.lit(b)) for b in (True, False)
+    ]
+    return counts[0].unionByName(counts[1])
+
+
+def cone_rim_sql() -> str:
+    near = f"{sky.DX} * {sky.DX} + {sky.DY} * {sky.DY}"
+    return " UNION ALL ".join(
+        f"SELECT {sky.number(r)} AS radius, {b} AS boundary, (SELECT count(*) FROM ({snapped_search_sql(PAIR, f'{near} {less} {sky.number(r)} * {sky.number(r)}')})) AS matches"
+        for r in (1 / STEPS, RIM) for b, less in (("true", "<="), ("false", "<"))
+    )
 
 
 def cone_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plan for point sets too large to broadcast, with every cell treated as if it were hot."""
     return _ids(
         cone_pairs(
-            sky.sources(spark, sf_dir), sky.points(spark, sf_dir), MINUTE, strategy="shuffle", min_split_rows=2
+            sky.sources(spark, sf_dir), sky.points(spark, sf_dir), MINUTE, strategy="shuffle", pair_target=2
         )
     )
 
@@ -166,10 +206,12 @@ def _listed(groups: DataFrame) -> DataFrame:
     )
 
 
-LISTED = (
-    "p.point_id, 0 AS part, count(*) AS n, "
-    "string_agg(CAST(c.source_id AS VARCHAR), ',' ORDER BY c.source_id) AS ids"
-)
+def listed_sql(height: float, x: str = "lon", y: str = "lat") -> str:
+    """Lists per point and part, the part being the square of the plane in which matches lie."""
+    h = sky.number(height)
+    part = f"CAST(floor(c.{y} / {h}) AS BIGINT) * 4294967296 + CAST(floor(c.{x} / {h}) AS BIGINT)"
+    ids = "string_agg(CAST(c.source_id AS VARCHAR), ',' ORDER BY c.source_id) AS ids"
+    return f"p.point_id, {part} AS part, count(*) AS n, {ids}"
 
 
 def cone_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,18 +227,16 @@ def cone_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cone_grouped_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lists cut in parts of about two, put together again by sums."""
-    groups = grouped_match(
-        sky.sources(spark, sf_dir),
-        sky.points(spark, sf_dir),
-        MINUTE,
-        center=["point_id"],
-        attributes=["source_id"],
-        max_list=2,
-    )
-    ids = F.aggregate("matches", F.lit(0).cast("bigint"), lambda total, m: total + m["source_id"])
-    return groups.groupBy("point_id").agg(
-        F.sum(F.size("matches")).cast("bigint").alias("n"), F.sum(ids).alias("id_sum")
+    """Shorter lists: parts a third of the radius high."""
+    return _listed(
+        grouped_match(
+            sky.sources(spark, sf_dir),
+            sky.points(spark, sf_dir),
+            MINUTE,
+            center=["point_id"],
+            attributes=["source_id"],
+            part_height=MINUTE / 3,
+        )
     )
 
 
@@ -227,37 +267,59 @@ def distance_mercator_sql() -> str:
         )
 
     return (
-        f"WITH c AS ({layer('orders', 'source_id')}), p AS ({layer('customer', 'point_id')}) SELECT {LISTED} "
+        f"WITH c AS ({layer('orders', 'source_id')}), p AS ({layer('customer', 'point_id')}) SELECT {listed_sql(METRES, 'x', 'y')} "
         f"FROM c, p WHERE (c.x - p.x) * (c.x - p.x) + (c.y - p.y) * (c.y - p.y) <= {METRES} * {METRES} "
-        "GROUP BY p.point_id"
+        "GROUP BY ALL"
     )
 
 
+NEAR_METRES = 2_000.0
+
+
+def distance_projected_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search in projected metres over a written cell layout, whose cells were made from degrees."""
+    path = work_folder(spark, "projected-cells")
+    write_cells(cell_layout(sky.primary(spark, sf_dir)), path)
+    layer, circles = projected_layout(attach_catalog(spark, path)), projected_layout(sky.points(spark, sf_dir))
+    pairs = cone_pairs(layer, circles, NEAR_METRES, x="x", y="y")
+    return pairs.select(F.col("source_id").cast("bigint").alias("source_id"), F.col("query_point_id").alias("point_id"))
+
+
+def projected_sql(select: str, metres: float) -> str:
+    def layer(table: str, name: str) -> str:
+        return (
+            f"SELECT {name}, 6378137e0 * radians(lon) AS x, 6378137e0 * ln(tan(pi() / 4 + radians(lat) / 2)) AS y "
+            f"FROM ({sky.positions_sql(table, name)})"
+        )
+
+    near = f"(c.x - p.x) * (c.x - p.x) + (c.y - p.y) * (c.y - p.y) <= {metres} * {metres}"
+    return f"WITH c AS ({layer('orders', 'source_id')}), p AS ({layer('customer', 'point_id')}) SELECT {select} FROM c, p WHERE {near}"
+
+
+def match_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An answer written as CSV with header and read back."""
+    path = work_folder(spark, "answer-csv")
+    write_csv(cone_match(sky.sources(spark, sf_dir), sky.points(spark, sf_dir), MINUTE), path, mode="overwrite", header=True)
+    return _numbers(read_csv(spark, path, {"point": "string", "query_point": "string"}, header=True))
+
+
 def match_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = count_matches(sky.sources(spark, sf_dir), sky.points(spark, sf_dir), [MINUTE], distinct_points=True)
     return counts.select("matches")
 
 
+COPIES = 16
+
+
 def match_count_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points folded onto whole degrees of a grid, so that copies abound, by the shuffle plan."""
-    def folded(df: DataFrame) -> DataFrame:
-        return df.withColumns({"lon": F.floor("lon").cast("double"), "lat": F.floor("lat").cast("double")})
-
-    return count_matches(
-        folded(sky.sources(spark, sf_dir)),
-        folded(sky.points(spark, sf_dir)),
-        [0.5, 1.0],
-        strategy="shuffle",
-        min_split_rows=2,
-    )
+    """Positions folded onto a coarse grid, so that copies abound, by the shuffle plan with hot cells split."""
+    layers = snapped(sky.sources(spark, sf_dir), COPIES), snapped(sky.points(spark, sf_dir), COPIES)
+    return count_matches(*layers, [0.25, 0.5], strategy="shuffle", pair_target=5_000)
 
 
 def match_count_copies_sql() -> str:
-    near = "(floor(c.lon) - floor(p.lon)) ** 2 + (floor(c.lat) - floor(p.lat)) ** 2"
     return " UNION ALL ".join(
-        f"SELECT {number} AS radius, count(*) AS matches FROM ({sky.positions_sql('orders', 'source_id')}) c, "
-        f"({sky.positions_sql('customer', 'point_id')}) p WHERE {near} <= {number} * {number}"
-        for number in (sky.number(0.5), sky.number(1.0))
+        f"SELECT {sky.number(r)} AS radius, count(*) AS matches FROM ({snapped_search_sql(PAIR, sky.disc_sql(r), COPIES)})" for r in (0.25, 0.5)
     )
 
 
@@ -288,6 +350,8 @@ SETS = ("customer", "supplier", "part")
 
 def set_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = {table: sky.positions(spark, sf_dir, table, "point_id") for table in SETS}
+    # No source lies near this one.
+    sets["nowhere"] = sets["supplier"].withColumn("dec", F.col("dec") + 60)
     return point_set_sweep(sky.sources(spark, sf_dir), sets)
 
 
@@ -295,10 +359,11 @@ def set_sweep_sql() -> str:
     points = " UNION ALL ".join(
         f"SELECT '{table}' AS set_name, lon, lat FROM ({sky.positions_sql(table, 'point_id')})" for table in SETS
     )
+    points += f" UNION ALL SELECT 'nowhere' AS set_name, lon, lat + 60e0 AS lat FROM ({sky.positions_sql('supplier', 'point_id')})"
     return (
         f"WITH c AS ({sky.positions_sql('orders', 'source_id')}), p AS ({points}), "
         f"m AS (SELECT p.set_name, {sky.DX} AS dx, {sky.DY} AS dy FROM c, p WHERE {sky.disc_sql(MINUTE)}), "
-        f"a AS (SELECT set_name, arcseconds FROM (SELECT DISTINCT set_name FROM m), "
+        f"a AS (SELECT set_name, arcseconds FROM (SELECT DISTINCT set_name FROM p), "
         f"(SELECT CAST(unnest({list(ARCSECONDS)}) AS DOUBLE) AS arcseconds)) "
         "SELECT a.set_name, a.arcseconds, count(m.dx) AS matches FROM a LEFT JOIN m "
         f"ON a.set_name = m.set_name AND {SWEEP_DISC} GROUP BY a.set_name, a.arcseconds"
@@ -309,22 +374,34 @@ def wkt_file_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points written as WKT lines, read back, and matched with their carried fields."""
     path = work_folder(spark, "wkt-points")
     points = sky.points(spark, sf_dir)
-    write_csv(points.select(point_wkt(F.col("lon"), F.col("lat")), "ra", "dec", "point_id"), path)
+    write_csv(points.select(point_wkt(F.col("lon"), F.col("lat")), "ra", "dec", "point_id"), path, mode="overwrite")
     pairs = cone_pairs(sky.sources(spark, sf_dir), read_points_wkt(spark, path), MINUTE)
     return pairs.select("source_id", F.col("query__c3").cast("bigint").alias("point_id"))
 
 
 def xy_file_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_folder(spark, "xy-points")
-    write_csv(sky.points(spark, sf_dir).select("point_id", "lon", "lat"), path)
+    write_csv(sky.points(spark, sf_dir).select("point_id", "lon", "lat"), path, mode="overwrite")
     pairs = cone_pairs(sky.sources(spark, sf_dir), read_points_xy(spark, path, offset=1), MINUTE)
     return pairs.select("source_id", F.col("query__c0").cast("bigint").alias("point_id"))
 
 
+REPEATS = 8
+
+
 def nearest_grid_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search after repeated positions of the point side were merged, on a coarse grid."""
-    merged = distinct_positions(sky.points(spark, sf_dir).select("lon", "lat", "point_id"))
-    return _ids(cone_pairs(sky.sources(spark, sf_dir), merged, MINUTE, index=PlaneGrid(0.1)))
+    """Search after repeated positions of the point side were merged: the row of the least tag, then key, stays whole."""
+    points = snapped(sky.points(spark, sf_dir), REPEATS).select("lon", "lat", (F.col("point_id") % 7).alias("tag"), "point_id")
+    pairs = cone_pairs(sky.sources(spark, sf_dir), distinct_positions(points), MINUTE, index=PlaneGrid(0.1))
+    return pairs.select("source_id", F.col("query_point_id").alias("point_id"), F.col("query_tag").alias("tag"))
+
+
+def nearest_grid_sql() -> str:
+    return (
+        f"WITH c AS ({sky.positions_sql('orders', 'source_id')}), p AS (SELECT * FROM (SELECT *, point_id % 7 AS tag, "
+        f"row_number() OVER (PARTITION BY lon, lat ORDER BY point_id % 7, point_id) AS place FROM ({snapped_sql('customer', 'point_id', REPEATS)})) "
+        f"WHERE place = 1) SELECT {PAIR}, p.tag FROM c, p WHERE {sky.disc_sql(MINUTE)}"
+    )
 
 
 _disc = sky.search_sql(PAIR, sky.disc_sql(MINUTE))
@@ -336,9 +413,12 @@ QUERIES = {
     "cone_match_text": (cone_text, sky.search_sql(NUMBERS, sky.disc_sql(MINUTE))),
     "cone_match_cells": (cone_cells, _disc),
     "cone_match_polygon": (cone_polygon, sky.search_sql(PAIR, sky.polygon_sql(MINUTE))),
-    "cone_match_interior": (cone_interior, sky.search_sql(PAIR, sky.disc_sql(MINUTE, "<"))),
+    "cone_match_interior": (cone_interior, snapped_search_sql(PAIR, sky.disc_sql(RIM, "<"))),
+    "match_count_rim": (cone_rim, cone_rim_sql()),
+    "match_csv": (match_csv, sky.search_sql(NUMBERS, sky.disc_sql(MINUTE))),
+    "distance_join_projected_cells": (distance_projected_cells, projected_sql(PAIR, NEAR_METRES)),
     "cone_match_shuffled": (cone_shuffled, _disc),
-    "cone_match_distinct_points": (nearest_grid_pairs, _disc),
+    "cone_match_distinct_points": (nearest_grid_pairs, nearest_grid_sql()),
     "cone_match_own_radius": (
         cone_own_radius,
         sky.search_sql(PAIR, sky.disc_sql(0.0).replace(sky.number(0.0), "((p.point_id % 60 + 1) / 3600e0)")),
@@ -354,15 +434,8 @@ QUERIES = {
     "cone_match_wkt": (cone_wkt, sky.search_sql("c.lon, c.lat", sky.disc_sql(0.001))),
     "cone_match_wkt_file": (wkt_file_match, _disc),
     "cone_match_xy_file": (xy_file_match, _disc),
-    "cone_match_grouped": (cone_grouped, sky.search_sql(LISTED, sky.disc_sql(MINUTE), "GROUP BY p.point_id")),
-    "cone_match_grouped_parts": (
-        cone_grouped_parts,
-        sky.search_sql(
-            "p.point_id, count(*) AS n, CAST(sum(c.source_id) AS BIGINT) AS id_sum",
-            sky.disc_sql(MINUTE),
-            "GROUP BY p.point_id",
-        ),
-    ),
+    "cone_match_grouped": (cone_grouped, sky.search_sql(listed_sql(MINUTE), sky.disc_sql(MINUTE), "GROUP BY ALL")),
+    "cone_match_grouped_parts": (cone_grouped_parts, sky.search_sql(listed_sql(MINUTE / 3), sky.disc_sql(MINUTE), "GROUP BY ALL")),
     "cone_match_geohash_layout": (
         cone_geohash_layout,
         f"WITH c AS ({geohash_sql('source_id, lon, lat, geohash', sky.positions_sql('orders', 'source_id'), 4)}), "

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import SparkSession
 
 # Settings that help every job here; a cluster may override any of them.
@@ -34,14 +31,10 @@ def build_session(app_name: str = "almagest", master: str | None = None, **extra
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """Fresh folder for a written table, inside the shared folder the cluster names.
+    """Folder for a written table, inside the shared folder the session names.
 
-    ``spark.checkpoint.dir`` is used when set. Without it a temporary folder is made, but only in
-    local mode, where driver and executors share one disk.
+    That is ``spark.checkpoint.dir``, else the warehouse folder; never one made on this machine alone. The
+    same name gives the same folder throughout an application, so a repeated call replaces what it wrote.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        base = tempfile.mkdtemp(prefix="almagest-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/almagest-{spark.sparkContext.applicationId}/{name}"

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almagest.operators.skew import BROADCAST_BYTES, row_spread, total_bytes
+from almagest.operators.skew import row_spread
 from almagest.schema import CATALOG_COLUMNS, OFFSET_COLUMNS, as_strings, string_struct, typed_catalog, typed_offsets
 
 
@@ -23,10 +22,9 @@ def write_text_csv(df: DataFrame, path: str) -> None:
     write_csv(df.select(*as_strings(df.columns)), path, mode="overwrite")
 
 
-def write_small_csv(df: DataFrame, path: str) -> None:
-    """CSV with header in one file, or in as many as its measured size asks for."""
-    size = df.agg(total_bytes(df).alias("size")).first()["size"]
-    write_csv(df.coalesce(max(1, math.ceil(size / BROADCAST_BYTES))), path, mode="overwrite", header=True)
+def write_small_csv(df: DataFrame, path: str, files: int | None = None) -> None:
+    """CSV with header, replacing what was there: as many files as the frame has partitions, or as the caller wants."""
+    write_csv(df.coalesce(files) if files else df, path, mode="overwrite", header=True)
 
 
 def read_csv(spark: SparkSession, path: str, types: Mapping[str, str] | None = None, header: bool = False) -> DataFrame:

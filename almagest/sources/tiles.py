@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almagest.schema import typed_catalog, typed_offsets
+from almagest.operators.skew import BROADCAST_BYTES, total_bytes
+from almagest.schema import CATALOG_COLUMNS, OFFSET_COLUMNS, typed_catalog, typed_offsets
 
 # Marks of comment and header lines, white space between fields, and the word in the
 # name of files that hold rejected sources.
@@ -26,19 +29,38 @@ def renamed_file(path: Column, new_suffix: str, old_suffix: str = "tbl.gz") -> C
     return F.replace(name, F.lit(old_suffix), F.lit(new_suffix))
 
 
-def header_names(line: str) -> list[str]:
+def header_names(line: Column) -> Column:
     """Column names of a header line: lower case, no blanks, the outer empty pieces cut off."""
-    return line.lower().replace(" ", "").split(HEADER_MARK)[1:-1]
+    pieces = F.split(F.lower(F.translate(line, WHITE_SPACE, "")), rf"\{HEADER_MARK}")
+    return F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 2, F.lit(0)))
+
+
+def _is_data(line: Column) -> Column:
+    """True for rows of values: not for comments, for any header line (names, types, units, null marks) or for blanks."""
+    marked = line.startswith(HEADER_MARK) | line.startswith(COMMENT_MARK)
+    return ~marked & (F.trim(line, F.lit(WHITE_SPACE)) != "")
 
 
-def _is_data(line: Column, header: str) -> Column:
-    """True for rows of values. A header that differs from the first one stops the job."""
-    same = F.replace(F.lower(line), F.lit(" "), F.lit("")) == header.lower().replace(" ", "")
-    stop = F.raise_error(F.concat(F.lit("tile header differs: "), line)).cast("boolean")
+def tile_headers(lines: DataFrame, wanted: Sequence[str] | None = None) -> DataFrame:
+    """(file_path, names): the names line of each file, known by its content.
+
+    It is the header line that holds all ``wanted`` columns; without them, the only one there is. Of several that fit, the
+    first by text counts, so that a rerun finds the same.
+    """
+    heads = lines.where(F.col("value").startswith(HEADER_MARK)).select("file_path", header_names(F.col("value")).alias("names"))
+    if wanted is not None:
+        heads = heads.where(F.size(F.array_except(F.array(*[F.lit(c) for c in wanted]), "names")) == 0)
+    return heads.groupBy("file_path").agg(F.min("names").alias("names"))
+
+
+def tile_lines(spark: SparkSession, path: str | list[str], files: str = "*.tbl*") -> DataFrame:
+    """(value, file_path) of all lines of the tile files below ``path``; files of rejected sources are skipped by name."""
     return (
-        F.when(line.startswith(HEADER_MARK), F.when(same, F.lit(False)).otherwise(stop))
-        .when(line.startswith(COMMENT_MARK), F.lit(False))
-        .otherwise(F.trim(line, F.lit(WHITE_SPACE)) != "")
+        spark.read.option("pathGlobFilter", files)
+        .option("recursiveFileLookup", "true")
+        .text(path)
+        .where(~F.col("_metadata.file_name").contains(REJECTED))
+        .select("value", F.col("_metadata.file_path").alias("file_path"))
     )
 
 
@@ -48,36 +70,41 @@ def read_tiles(
     *,
     files: str = "*.tbl*",
     tile_pattern: str | None = None,
+    wanted: Sequence[str] | None = None,
 ) -> DataFrame:
-    """All tile files below ``path`` in one scan: every column as text, then ``tile``.
+    """All tile files below ``path``: every wanted column as text, by each file's own names line, then ``tile``.
 
-    Plain and gzip files are read alike; files of rejected sources are skipped by name. The header
-    is looked up once, and later headers are checked on the way, without a second pass.
+    Plain and gzip files are read alike. A file may have several header lines and its columns in any order; one with
+    rows but without a names line stops the job. Without ``wanted``, the columns are those of the first
+    names line by text, and every file must have them. Headers are looked up in one pass over the files.
     """
-    lines = (
-        spark.read.option("pathGlobFilter", files)
-        .option("recursiveFileLookup", "true")
-        .text(path)
-        .where(~F.col("_metadata.file_name").contains(REJECTED))
-        .select("value", F.col("_metadata.file_path").alias("file_path"))
-    )
-    header = lines.where(F.col("value").startswith(HEADER_MARK)).select("value").first()
-    if header is None:
-        raise ValueError(f"no header line in the tile files of {path}")
+    lines = tile_lines(spark, path, files)
+    if wanted is None:
+        first = tile_headers(lines).agg(F.min("names").alias("names")).first()["names"]
+        if first is None:
+            raise ValueError(f"no header line in the tile files of {path}")
+        wanted = list(first)
+    heads = tile_headers(lines, wanted)
+    places = F.transform(F.array(*[F.lit(c) for c in wanted]), lambda c: (F.array_position("names", c) - 1).cast("int"))
+    heads = heads.select("file_path", places.alias("places"))
     fields = F.split(F.trim(F.col("value"), F.lit(WHITE_SPACE)), r"\s+")
-    rows = lines.where(_is_data(F.col("value"), header["value"])).select(fields.alias("fields"), "file_path")
+    rows = lines.where(_is_data(F.col("value"))).select(fields.alias("fields"), "file_path")
+    # One small row per file: sent along when it measures small.
+    size = heads.agg(total_bytes(heads).alias("size")).first()["size"]
+    found = rows.join(F.broadcast(heads) if size <= BROADCAST_BYTES else heads, "file_path", "left")
+    stop = F.raise_error(F.concat(F.lit("no names line in tile file "), "file_path")).cast("array<int>")
+    found = found.withColumn("places", F.coalesce("places", stop))
     tile = tile_of(F.col("file_path"), tile_pattern) if tile_pattern else tile_of(F.col("file_path"))
-    names = header_names(header["value"])
-    return rows.select(*[F.get("fields", n).alias(name) for n, name in enumerate(names)], tile.alias("tile"))
+    return found.select(*[F.get("fields", F.get("places", F.lit(n))).alias(name) for n, name in enumerate(wanted)], tile.alias("tile"))
 
 
 def read_catalog_tiles(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
     """The twenty typed catalog columns of all tiles, then ``tile``."""
-    return typed_catalog(read_tiles(spark, path, **options), keep=["tile"])
+    return typed_catalog(read_tiles(spark, path, wanted=CATALOG_COLUMNS, **options), keep=["tile"])
 
 
 def read_offset_tiles(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
     """Typed offset table from its text form, where ``tile`` is a column of the file."""
-    lines = read_tiles(spark, path, **options)
+    lines = read_tiles(spark, path, wanted=OFFSET_COLUMNS, **options)
     # The file's own ``tile`` column comes first; the one taken from the file name is last.
     return typed_offsets(lines.toDF(*lines.columns[:-1], "file_tile"))

@@ -1,5 +1,4 @@
 import gzip
-import tempfile
 from decimal import Decimal
 
 import pytest
@@ -67,10 +66,19 @@ def test_tiles_are_read_typed(spark, tile_folder):
     assert {r["tile"] for r in rows.values()} == {"0001p000", "0002m015", "0003p000"}
 
 
-def test_a_different_header_stops_the_read(spark, tile_folder):
-    write_tile(tile_folder, "0009p000_x.tbl", tile_text([catalog_row(9, 1.0, 1.0)], "| dec | ra |"))
-    with pytest.raises(Exception, match="tile header differs"):
-        tiles.read_tiles(spark, str(tile_folder)).count()
+def test_headers_of_several_lines_in_any_order(spark, tile_folder):
+    values = [str(v) for v in catalog_row(9, 1.0, 2.0)]
+    kinds = "| " + " | ".join("char" for _ in COLUMNS) + " |"
+    names = "|" + "|".join(f" {c.upper()} " for c in reversed(COLUMNS)) + "|"
+    write_tile(tile_folder, "0009p000_x.tbl", "\n".join(["\\ c", kinds, names, kinds.replace("char", "null"), " ".join(reversed(values))]) + "\n")
+    rows = {r["source_id"]: r for r in tiles.read_catalog_tiles(spark, str(tile_folder)).collect()}
+    assert (rows["id9"]["ra"], rows["id9"]["dec"], rows["id9"]["tile"]) == (1.0, 2.0, "0009p000") and len(rows) == 5
+
+
+def test_a_file_without_names_stops_the_read(spark, tile_folder):
+    write_tile(tile_folder, "0008p000_x.tbl", "| dec | ra |\n 1 2\n")
+    with pytest.raises(Exception, match="no names line in tile file"):
+        tiles.read_catalog_tiles(spark, str(tile_folder)).collect()
 
 
 def test_no_header(spark, tmp_path):
@@ -120,7 +128,7 @@ def test_csv(spark, tmp_path):
     tables.write_text_csv(frame, path)
     assert tables.read_csv(spark, path).columns == ["_c0", "_c1", "_c2"]
     assert tables.read_csv(spark, path, {"x": "double", "n": "int", "s": "string"}).collect() == [(1.5, None, "a,b")]
-    tables.write_small_csv(frame, path)
+    tables.write_small_csv(frame.repartition(3), path, files=1)
     assert len(list((tmp_path / "t").glob("part-*"))) == 1
     assert tables.read_csv(spark, path, header=True).columns == ["x", "n", "s"]
 
@@ -163,12 +171,12 @@ def test_hybrid_layout_prunes_folders(spark, primary, few_points, tmp_path):
     layouts.write_hybrid(layouts.hybrid_layout(primary.unionByName(primary)), path)
     catalog = tables.attach_catalog(spark, path)
     assert catalog.count() == 1200
-    assert catalog.schema["cell_id"].metadata == {"s2_level": 9, "s2_parent": 4, "stored": True}
+    assert catalog.schema["cell_id"].metadata == {"s2_level": 9, "s2_parent": 4, "x": "lon", "y": "lat", "stored": True}
     matches = match.hybrid_match(catalog, few_points, 0.01)
     assert matches.count() == 4
     text = plan_text(matches)
     assert "dynamicpruning" in text and "BroadcastHashJoin" in text
-    shuffled = match.cone_pairs(catalog, few_points, 0.01, strategy="shuffle", min_split_rows=1)
+    shuffled = match.cone_pairs(catalog, few_points, 0.01, strategy="shuffle", pair_target=1)
     assert shuffled.count() == 4
 
 
@@ -254,10 +262,21 @@ def test_experiments(spark, sky_points):
 
 
 def test_work_folder_is_in_the_folder_the_session_names(spark):
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    first, second = work_folder(spark, "a"), work_folder(spark, "a")
-    assert first != second
-    assert first.startswith(f"{named}/a-" if named else tempfile.gettempdir())
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    assert work_folder(spark, "a") == work_folder(spark, "a") != work_folder(spark, "b")
+    assert work_folder(spark, "a").startswith(named.rstrip("/"))
+
+
+def test_projected_search_leaves_stored_cells_alone(spark, primary, few_points, tmp_path):
+    layouts.write_cells(layouts.cell_layout(primary), str(tmp_path / "c"))
+    layer = layouts.projected_layout(tables.attach_catalog(spark, str(tmp_path / "c")))
+    points = layouts.projected_layout(few_points)
+    assert match.cone_pairs(layer, points, 1500.0, x="x", y="y").count() == match.cone_pairs(layouts.plain_layout(primary).transform(layouts.projected_layout), points, 1500.0, x="x", y="y").count() > 0
+
+
+def test_one_shuffle_in_the_hybrid_layout(primary):
+    text = plan_text(layouts.hybrid_layout(primary))
+    assert text[text.index("== Physical Plan ==") :].count("Exchange") == 1
 
 
 def test_types_and_names(spark):

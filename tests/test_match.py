@@ -4,10 +4,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from almagest.functions.cells import PlaneGrid
+from almagest.functions.cells import PlaneGrid, RadiusClasses
 from almagest.functions.s2 import S2Cells
 from almagest.operators import match
-from almagest.operators.skew import lookup_join, row_spread, salted_join
+from almagest.operators.skew import hot_buckets, lookup_join, row_spread, salted_join
 from almagest.sources.points import points_from_rows
 from almagest.functions.coords import with_lon_lat
 from conftest import pair_ids, plan_text, plane_pairs, sphere_distance
@@ -33,8 +33,8 @@ def scene(sky_points):
         {"index": S2Cells(9)},
         {"index": S2Cells(11)},
         {"strategy": "shuffle"},
-        {"strategy": "shuffle", "min_split_rows": 3},
-        {"strategy": "shuffle", "min_split_rows": 1, "index": S2Cells(9)},
+        {"strategy": "shuffle", "pair_target": 3},
+        {"strategy": "shuffle", "pair_target": 1, "index": S2Cells(9)},
     ],
 )
 def test_every_plan_gives_the_brute_force_pairs(scene, options):
@@ -44,7 +44,7 @@ def test_every_plan_gives_the_brute_force_pairs(scene, options):
 
 def test_no_plan_compares_all_with_all(scene):
     *_, catalog, query = scene
-    for options in ({}, {"strategy": "shuffle", "min_split_rows": 2}, {"index": S2Cells(9)}):
+    for options in ({}, {"strategy": "shuffle", "pair_target": 2}, {"index": S2Cells(9)}):
         text = plan_text(match.cone_pairs(catalog, query, 0.04, **options))
         assert "CartesianProduct" not in text and "NestedLoop" not in text
 
@@ -108,7 +108,7 @@ def test_hot_cell_and_copies(spark, sky_points, strategy):
     sources = patch(200, 4) + [(1000 + k, 150.5, 0.0) for k in range(100)]
     points = patch(30, 5) + [(500 + k, 150.5, 0.001) for k in range(15)]
     catalog, query = sky_points(sources), sky_points(points, "point_id")
-    options = {"strategy": strategy, "min_split_rows": 2}
+    options = {"strategy": strategy, "pair_target": 2}
     want = plane_pairs(sources, points, 0.03)
     assert pair_ids(match.cone_pairs(catalog, query, 0.03, **options)) == want
     counted = match.count_matches(catalog, query, [0.0005, 0.03], **options).collect()
@@ -123,7 +123,7 @@ def test_equal_rows_of_a_file_are_dealt_apart(spark, tmp_path):
     moved = stored.where("k = 7").withColumn("z", F.col("k") + 1).select("z", "v")
     assert moved.select(row_spread(moved).alias("h")).distinct().count() == 4000
     other = spark.createDataFrame([(7, "a"), (7, "b"), (8, "c")], "k int, w string")
-    assert salted_join(stored, other, ["k"], min_rows=10).count() == 8000
+    assert salted_join(stored, other, ["k"], pair_target=10).count() == 8000
     assert lookup_join(stored, other, ["k"]).count() == 8000
 
 
@@ -141,7 +141,7 @@ POLE_AND_WRAP = [
 ]
 
 
-@pytest.mark.parametrize("options", [{}, {"strategy": "shuffle", "min_split_rows": 1}, {"index": S2Cells(6)}])
+@pytest.mark.parametrize("options", [{}, {"strategy": "shuffle", "pair_target": 1}, {"index": S2Cells(6)}])
 def test_great_circle(sky_points, options):
     rng = random.Random(6)
     sources = POLE_AND_WRAP + [(100 + k, rng.uniform(0, 360), math.degrees(math.asin(rng.uniform(-1, 1)))) for k in range(1500)]
@@ -158,20 +158,116 @@ def test_planar_and_great_circle_differ_at_high_declination(sky_points):
     assert match.cone_pairs(catalog, query, 1.0, metric="great_circle").count() == 1
 
 
-@pytest.mark.parametrize("max_list", [10_000, 3, 1])
-def test_grouped_lists(scene, max_list):
+@pytest.mark.parametrize("height", [None, 0.01, 5.0])
+def test_grouped_lists(scene, spark, tmp_path, height):
     sources, points, catalog, query = scene
-    groups = match.grouped_match(
-        catalog, query, 0.08, center=["point_id", "lon", "lat"], attributes=["source_id", "ra"], max_list=max_list
-    ).collect()
-    listed = [(m["source_id"], g["point_id"]) for g in groups for m in g["matches"]]
-    assert sorted(listed) == plane_pairs(sources, points, 0.08)
-    assert all(g["matches"] == sorted(g["matches"]) for g in groups)
-    assert len({(g["point_id"], g["part"]) for g in groups}) == len(groups)
-    if max_list == 10_000:
-        assert {g["part"] for g in groups} == {0}
-    else:
-        assert max(g["part"] for g in groups) > 0
+
+    def rows(layer):
+        groups = match.grouped_match(layer, query, 0.08, center=["point_id", "lon", "lat"], attributes=["source_id", "ra"], part_height=height)
+        return sorted((g["point_id"], g["part"], [tuple(m) for m in g["matches"]]) for g in groups.collect())
+
+    got = rows(catalog)
+    assert sorted((m[0], point) for point, _, matches in got for m in matches) == plane_pairs(sources, points, 0.08)
+    assert all(matches == sorted(matches) for _, _, matches in got)
+    assert len({(point, part) for point, part, _ in got}) == len(got)
+    for n in (1, 5):
+        catalog.repartition(n).write.parquet(str(tmp_path / f"layout{n}"))
+        assert rows(spark.read.parquet(str(tmp_path / f"layout{n}"))) == got
+
+
+def test_cells_follow_the_radius(sky_points):
+    sources, points = patch(3000, 21), patch(400, 22)
+    catalog, query = sky_points(sources), sky_points(points, "point_id")
+    for radius in (1e-4, 1e-3, 1e-2):
+        profile = match.measure(match._query_side(query, radius, "lon", "lat"), F.lit(radius), "lon", "lat")
+        grid = RadiusClasses(profile.classes)
+        cover = grid.explode_cover(match._query_side(query, radius, "lon", "lat"), F.lit(radius), "c", "query_lon", "query_lat")
+        candidates = grid.with_cell(catalog, "c").join(cover, [*grid.keys, "c"]).count()
+        # Up to four cells, each at most four radii wide.
+        assert candidates <= 3000 * 400 * 64 * radius * radius + 40 and cover.count() <= 4 * 400
+
+
+def test_one_wide_circle_leaves_the_others_alone(sky_points):
+    sources, points = patch(2000, 23), patch(300, 24)
+    query = sky_points(points, "point_id").withColumn("r", F.when(F.col("point_id") == 0, 0.4).otherwise(F.lit(0.0003)))
+    catalog = sky_points(sources)
+    profile = match.measure(match._query_side(query, "r", "lon", "lat"), F.col("query_r"), "lon", "lat")
+    assert len(profile.classes) == 2
+    grid = RadiusClasses(profile.classes)
+    cover = grid.explode_cover(match._query_side(query, "r", "lon", "lat"), F.col("query_r"), "c", "query_lon", "query_lat")
+    assert grid.with_cell(catalog, "c").join(cover, ["__class", "c"]).count() < 2200
+    want = sorted(p for point in points for p in plane_pairs(sources, [point], 0.4 if point[0] == 0 else 0.0003))
+    for strategy in ("auto", "shuffle"):
+        assert pair_ids(match.cone_pairs(catalog, query, "r", strategy=strategy)) == want
+
+
+def test_negative_and_missing_radii_match_nothing(sky_points):
+    catalog = sky_points([(1, 10.0, 5.0), (2, 10.5, 5.0)])
+    query = sky_points([(0, 10.0, 5.0), (1, 10.0, 5.0), (2, 10.0, 5.0)], "point_id").withColumn("r", F.element_at(F.array(F.lit(-1.0), F.lit(2.0), F.lit(None)), (F.col("point_id") + 1).cast("int")))
+    assert pair_ids(match.cone_pairs(catalog, query, "r")) == [(1, 1), (2, 1)]
+
+
+@pytest.mark.parametrize("radius", [90.0, 100.0, 150.0, 180.0, 200.0])
+def test_circles_of_half_the_sky(sky_points, radius):
+    rng = random.Random(31)
+    sources = [(k, rng.uniform(0, 360), rng.uniform(-90, 90)) for k in range(200)]
+    points = [(k, rng.uniform(0, 360), rng.uniform(-90, 90)) for k in range(12)]
+    catalog, query = sky_points(sources), sky_points(points, "point_id")
+    far = sorted((i, j) for i, a, d in sources for j, b, e in points if sphere_distance(a, d, b, e) <= radius)
+    for index in (None, S2Cells(3)):
+        assert pair_ids(match.cone_pairs(catalog, query, radius, index=index, metric="great_circle")) == far
+        assert pair_ids(match.cone_pairs(catalog, query, radius, index=index)) == plane_pairs(sources, points, radius)
+
+
+def test_counts_on_the_rim(sky_points):
+    catalog, query = sky_points([(1, 10.5, 0.0), (2, 11.0, 0.0)]), sky_points([(0, 10.0, 0.0)], "point_id")
+    for strategy in ("auto", "shuffle"):
+        count = lambda **o: [r["matches"] for r in match.count_matches(catalog, query, [0.5, 1.0], strategy=strategy, **o).sort("radius").collect()]
+        assert count() == [1, 2] and count(boundary=False) == [0, 1]
+
+
+def test_groups_without_matches_count_zero(sky_points):
+    catalog = sky_points([(1, 10.0, 0.0)])
+    query = sky_points([(0, 10.0, 0.0), (1, 50.0, 50.0)], "point_id").withColumn("name", F.when(F.col("point_id") == 0, "near"))
+    rows = {(r["name"], r["radius"]): r["matches"] for r in match.count_matches(catalog, query, [0.1, 0.2], by=["name"]).collect()}
+    assert rows == {("near", 0.1): 1, ("near", 0.2): 1, (None, 0.1): 0, (None, 0.2): 0}
+
+
+def test_merged_positions_keep_rows_whole(spark):
+    points = spark.createDataFrame([(1.0, 1.0, 2, "a"), (1.0, 1.0, 1, "b"), (2.0, 1.0, None, "c")], "lon double, lat double, n int, s string")
+    assert sorted(match.distinct_positions(points).collect()) == [(1.0, 1.0, 1, "b"), (2.0, 1.0, None, "c")]
+
+
+def test_a_product_of_sides_is_split(spark, tmp_path):
+    """Each side below any row limit, the product above it; equal rows of frames and of files."""
+    left = spark.range(3000).select(F.lit(7).alias("k"), F.lit("same").alias("a"))
+    right = spark.range(2000).select(F.lit(7).alias("k"), (F.col("id") % 500).alias("b"))
+    hot = hot_buckets(left, right, ["k"], 100_000)
+    assert len(hot) == 1 and 60 <= hot[0][1] * hot[0][2] <= 140
+    left.write.parquet(str(tmp_path / "l"))
+    for side in (left, spark.read.parquet(str(tmp_path / "l"))):
+        joined = salted_join(side, right, ["k"], 100_000)
+        assert joined.count() == 3000 * 2000
+        assert joined.groupBy("b").count().where("count != 12000").count() == 0
+    # Dealt out to 64 partitions, the fullest task makes a small part of the pairs.
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        joined = salted_join(spark.read.parquet(str(tmp_path / "l")), right, ["k"], 100_000)
+        fullest = joined.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert fullest < 3000 * 2000 / 4
+
+
+def test_one_shuffle_of_the_catalog_in_counts(scene, spark, tmp_path):
+    *_, catalog, query = scene
+    catalog.write.parquet(str(tmp_path / "c"))
+    text = plan_text(match.count_matches(spark.read.parquet(str(tmp_path / "c")), query, [0.04], strategy="shuffle"))
+    physical = text[text.index("== Physical Plan ==") :]
+    # The catalog, the points' circles, and the points merged by position.
+    assert physical.count("Exchange hashpartitioning") == 3 and "BroadcastExchange" not in physical
 
 
 def test_counts_by_set_and_shape(scene):

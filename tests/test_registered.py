@@ -6,16 +6,13 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as driver
+from almagest.queries import catalogs, search
 from conftest import plan_text
 
 duckdb = pytest.importorskip("duckdb")
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="test tables not present")
 
-# Queries whose rows depend on Spark's own generator or plan: no SQL, rows only.
-ROWS_ONLY = {"seeded_sample"}
-
-
 @pytest.fixture(scope="module")
 def database():
     connection = duckdb.connect()
@@ -30,7 +27,7 @@ def plain(value):
     return str(value)
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted({**search.QUERIES, **catalogs.QUERIES}))
 def test_query(spark, database, name):
     frame = driver.queries()[name](spark, str(DATA))
     columns = sorted(frame.columns)
@@ -38,8 +35,6 @@ def test_query(spark, database, name):
     assert rows
     text = plan_text(frame)
     assert "CartesianProduct" not in text and "NestedLoop" not in text
-    if name in ROWS_ONLY:
-        return
     answer = database.execute(driver.oracle_sql()[name])
     names = [d[0] for d in answer.description]
     assert sorted(names) == columns
@@ -47,8 +42,8 @@ def test_query(spark, database, name):
     assert rows == sorted(tuple(plain(r[k]) for k in order) for r in answer.fetchall())
 
 
-def test_only_the_listed_queries_lack_sql():
-    assert set(driver.queries()) - set(driver.oracle_sql()) == ROWS_ONLY
+def test_every_query_of_the_catalogs_has_sql():
+    assert set(search.QUERIES) | set(catalogs.QUERIES) <= set(driver.oracle_sql())
 
 
 def test_entry(spark):
