@@ -43,7 +43,7 @@ class Profile:
     y: tuple[float | None, float | None]
 
 
-def _query_side(points: DataFrame, radius: float | str, x: str, y: str) -> DataFrame:
+def query_side(points: DataFrame, radius: float | str, x: str, y: str) -> DataFrame:
     """Points with a position and a radius that is not negative, every column renamed ``query_*`` so that it cannot clash."""
     placed = points.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     if isinstance(radius, str):
@@ -119,7 +119,7 @@ def cone_pairs(
     ``strategy='auto'`` broadcasts the point side when it measures small, ``'shuffle'`` always deals both sides.
     ``weight`` names a catalog column that counts copies; copies are then merged before a shuffle.
     """
-    query = _query_side(points, radius, x, y)
+    query = query_side(points, radius, x, y)
     reach = F.col(QUERY + radius) if isinstance(radius, str) else F.lit(float(radius))
     profile = measure(query, reach, x, y)
     widest = profile.radius if isinstance(radius, str) else float(radius)

@@ -179,9 +179,9 @@ def test_cells_follow_the_radius(sky_points):
     sources, points = patch(3000, 21), patch(400, 22)
     catalog, query = sky_points(sources), sky_points(points, "point_id")
     for radius in (1e-4, 1e-3, 1e-2):
-        profile = match.measure(match._query_side(query, radius, "lon", "lat"), F.lit(radius), "lon", "lat")
+        profile = match.measure(match.query_side(query, radius, "lon", "lat"), F.lit(radius), "lon", "lat")
         grid = RadiusClasses(profile.classes)
-        cover = grid.explode_cover(match._query_side(query, radius, "lon", "lat"), F.lit(radius), "c", "query_lon", "query_lat")
+        cover = grid.explode_cover(match.query_side(query, radius, "lon", "lat"), F.lit(radius), "c", "query_lon", "query_lat")
         candidates = grid.with_cell(catalog, "c").join(cover, [*grid.keys, "c"]).count()
         # Up to four cells, each at most four radii wide.
         assert candidates <= 3000 * 400 * 64 * radius * radius + 40 and cover.count() <= 4 * 400
@@ -191,10 +191,10 @@ def test_one_wide_circle_leaves_the_others_alone(sky_points):
     sources, points = patch(2000, 23), patch(300, 24)
     query = sky_points(points, "point_id").withColumn("r", F.when(F.col("point_id") == 0, 0.4).otherwise(F.lit(0.0003)))
     catalog = sky_points(sources)
-    profile = match.measure(match._query_side(query, "r", "lon", "lat"), F.col("query_r"), "lon", "lat")
+    profile = match.measure(match.query_side(query, "r", "lon", "lat"), F.col("query_r"), "lon", "lat")
     assert len(profile.classes) == 2
     grid = RadiusClasses(profile.classes)
-    cover = grid.explode_cover(match._query_side(query, "r", "lon", "lat"), F.col("query_r"), "c", "query_lon", "query_lat")
+    cover = grid.explode_cover(match.query_side(query, "r", "lon", "lat"), F.col("query_r"), "c", "query_lon", "query_lat")
     assert grid.with_cell(catalog, "c").join(cover, ["__class", "c"]).count() < 2200
     want = sorted(p for point in points for p in plane_pairs(sources, [point], 0.4 if point[0] == 0 else 0.0003))
     for strategy in ("auto", "shuffle"):
