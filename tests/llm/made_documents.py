@@ -1,10 +1,9 @@
-import sys
+"""Documents for the tests of operators."""
+
 from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
-
 DATA = Path("/root/testdata/sf0.001")
 
 

@@ -11,6 +11,7 @@ import pytest
 
 from almagest.llm import exact_dedup, line_dedup, near_dedup
 from almagest.llm.graph import components
+from made_documents import make  # noqa: F401
 
 
 def rows_of(frame):

@@ -9,7 +9,7 @@ import pytest
 
 import corpus_pipeline
 from almagest.llm import link_graph, mixing, queries
-from conftest import DATA
+from made_documents import DATA, make  # noqa: F401
 
 
 def plain_url(url):

@@ -13,6 +13,7 @@ import pytest
 
 from almagest.llm import decontaminate, language_id, secrets, token_counts, toxicity
 from almagest.llm import common
+from made_documents import make  # noqa: F401
 
 
 def words_of(text):
