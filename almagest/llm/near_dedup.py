@@ -266,6 +266,8 @@ def components_of(
     lowest = reached.groupBy("component").agg(F.min("least").alias("lowest"))
     relabelled = reached.join(lowest, "component").select(F.col("node").alias("digest"), "lowest")
     named = classes.select("digest", "least").join(relabelled, "digest", "left").select("digest", F.coalesce("lowest", "least").alias("component_id"))
+    # Written, so that the last join reads two plain shuffles and a class that a third of all rows share can be split.
+    named = cut(named)
     return sketched.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").select(
         "doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
