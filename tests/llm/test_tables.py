@@ -10,6 +10,8 @@ import pytest
 import corpus_pipeline
 from almagest.llm import link_graph, mixing, queries
 from made_documents import DATA, make  # noqa: F401
+from test_dedup import plain_components
+from test_text import plain_hits
 
 
 def plain_url(url):
@@ -176,11 +178,49 @@ def test_pipeline_stages_keep_what_they_should(spark, make):
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="test tables not present")
-def test_pipeline_runs_over_the_tables(spark):
+def test_pipeline_against_a_plain_version(spark):
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    kept = [i for i, r in docs.items() if re.search(r"[^\W\d_]", r.text or "")]
+    top = {}
+    for i in kept:
+        top[docs[i].text] = max(top.get(docs[i].text, i), i)
+    kept = sorted(top.values())
+    kept = sorted({low for _, _, low in plain_components([(i, docs[i].text) for i in kept], 5, 80)})
+    kept = [i for i, _, n, _ in plain_hits([(i, docs[i].text) for i in kept], bench) if not n]
+    sizes = Counter()
+    for i in kept:
+        sizes[docs[i].source] += len(re.findall(r"[^\x20\x09-\x0D]+", docs[i].text))
+    want = plain_targets(sizes)
     out = corpus_pipeline.run(spark, str(DATA))
     assert out.columns == ["doc_id", "source", "size", "taken"]
-    rows = out.collect()
-    assert rows and all(0 < r.taken <= 3 * r["size"] for r in rows) and len({r.doc_id for r in rows}) == len(rows)
+    rows, taken = out.collect(), Counter()
+    assert len({r.doc_id for r in rows}) == len(rows) and {r.doc_id for r in rows} <= set(kept)
+    for r in rows:
+        taken[r.source] += r.taken
+        assert 0 < r.taken <= 3 * r["size"]
+    assert taken == {s: round(t) for s, t in want.items() if round(t)}
+    # Sources that are taken whole at least once lose no document.
+    whole = {s for s, t in want.items() if t >= sizes[s]}
+    assert {i for i in kept if docs[i].source in whole} <= {r.doc_id for r in rows}
+
+
+def test_every_operator_has_its_query():
+    import __spark_entry__ as driver
+
+    numbered = [n for n in driver.queries() if re.match(r"op\d+_", n)]
+    assert sorted(int(n[2:].split("_")[0]) for n in numbered) == list(range(1, 11)) and "pipeline" in driver.queries()
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="test tables not present")
+def test_exact_dedup_against_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    query, sql = queries.QUERIES["op4_exact_dedup"]
+    got = query(spark, str(DATA))
+    answer = duckdb.execute(sql.replace("FROM documents", f"FROM '{DATA}/documents.parquet'"))
+    names = [d[0] for d in answer.description]
+    assert sorted(names) == sorted(got.columns)
+    assert sorted(tuple(r[c] for c in names) for r in got.collect()) == sorted(answer.fetchall())
 
 
 NATIVE = ["op3_secrets", "op6_url_filter", "op10_mixing"]
