@@ -213,12 +213,16 @@ def test_every_operator_has_its_query():
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="test tables not present")
-def test_exact_dedup_against_sql(spark):
+@pytest.mark.parametrize("name", [n for n, (_, sql) in queries.QUERIES.items() if sql])
+def test_query_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
-    query, sql = queries.QUERIES["op4_exact_dedup"]
-    got = query(spark, str(DATA))
-    answer = duckdb.execute(sql.replace("FROM documents", f"FROM '{DATA}/documents.parquet'"))
+    query, sql = queries.QUERIES[name]
+    database = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        database.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
+    answer = database.execute(sql)
     names = [d[0] for d in answer.description]
+    got = query(spark, str(DATA))
     assert sorted(names) == sorted(got.columns)
     assert sorted(tuple(r[c] for c in names) for r in got.collect()) == sorted(answer.fetchall())
 
