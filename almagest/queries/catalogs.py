@@ -12,7 +12,6 @@ from almagest.functions.s2 import QUADRANT_AT, ORIENTATION_CHANGE, S2Cells, s2_p
 from almagest.functions.geohash import ALPHABET, with_geohash
 from almagest.operators.calibrate import apply_offsets, dropped_tiles, union_tiles
 from almagest.operators.stats import (
-    bernoulli_sample,
     cover_expansion,
     density,
     describe_points,
@@ -50,7 +49,7 @@ from almagest.sources.tables import (
     write_small_csv,
     write_text_csv,
 )
-from almagest.sources.tiles import read_catalog_tiles, read_offset_tiles
+from almagest.sources.tiles import is_rejected, read_catalog_tiles, renamed_file, tile_of
 
 TYPES = {**CATALOG_TYPES, **OFFSET_TYPES, "ra_point": "double", "dec_point": "double"}
 
@@ -104,6 +103,22 @@ def tile_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(read)
 
 
+def tile_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tile, output name and fate of a file per order: every fifth holds rejected sources."""
+    key = F.col("o_orderkey")
+    kind = F.when(key % 5 == 0, "_rej_opt1.tbl.gz").otherwise("_opt1.tbl.gz")
+    path = F.concat(F.lit("file:/raw_tiles/"), F.lpad((key % 360).cast("string"), 4, "0"), F.lit("p000"), kind)
+    files = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", path.alias("path"))
+    name = F.substring_index("path", "/", -1)
+    return files.select("o_orderkey", tile_of(F.col("path")).alias("tile"), renamed_file(F.col("path"), "csv").alias("renamed"), is_rejected(name).alias("rejected"))
+
+
+TILE_NAMES = (
+    "SELECT o_orderkey, tile, concat(tile, CASE WHEN o_orderkey % 5 = 0 THEN '_rej' ELSE '' END, '_opt1.csv') AS renamed, o_orderkey % 5 = 0 AS rejected "
+    "FROM (SELECT o_orderkey, concat(lpad(CAST(o_orderkey % 360 AS VARCHAR), 4, '0'), 'p000') AS tile FROM orders)"
+)
+
+
 def offset_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offset table from tile text to CSV with header, and read back typed."""
     text, csv = work_folder(spark, "offset-text"), work_folder(spark, "offset-csv")
@@ -493,6 +508,7 @@ _field = sky.positions_sql("orders", "source_id")
 _sphere = sky.positions_sql("orders", "source_id", True)
 
 QUERIES = {
+    "tile_names": (tile_names, TILE_NAMES),
     "typed_catalog": (typed, _plain_sql(TILED, sky.catalog_sql())),
     "tile_text": (tile_text, _plain_sql(TILED, sky.catalog_sql())),
     "offset_text": (offset_text, _plain_sql(OFFSET_COLUMNS, sky.offsets_sql())),

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almagest.functions.cells import PlaneGrid
-from almagest.functions.coords import mercator_x, mercator_y
 from almagest.functions.geometry import parse_point_wkt, point_wkt
 from almagest.functions.s2 import S2Cells
 from almagest.operators.match import (

@@ -29,6 +29,11 @@ def renamed_file(path: Column, new_suffix: str, old_suffix: str = "tbl.gz") -> C
     return F.replace(name, F.lit(old_suffix), F.lit(new_suffix))
 
 
+def is_rejected(name: Column) -> Column:
+    """True for the name of a file that holds rejected sources."""
+    return name.contains(REJECTED)
+
+
 def header_names(line: Column) -> Column:
     """Column names of a header line: lower case, no blanks, the outer empty pieces cut off."""
     pieces = F.split(F.lower(F.translate(line, WHITE_SPACE, "")), rf"\{HEADER_MARK}")
@@ -59,7 +64,7 @@ def tile_lines(spark: SparkSession, path: str | list[str], files: str = "*.tbl*"
         spark.read.option("pathGlobFilter", files)
         .option("recursiveFileLookup", "true")
         .text(path)
-        .where(~F.col("_metadata.file_name").contains(REJECTED))
+        .where(~is_rejected(F.col("_metadata.file_name")))
         .select("value", F.col("_metadata.file_path").alias("file_path"))
     )
 
