@@ -20,6 +20,13 @@ def _least(edges: DataFrame, own: Column, tasks: int) -> DataFrame:
     return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS))).join(copies, ["u", "salt"]).select("u", "v", "low")
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Every node that points somewhere points to one node, and nothing points to it."""
+    ends = edges.select(F.col("u").alias("node"), "v").unionByName(edges.select(F.col("v").alias("node"), F.lit(None).cast(edges.schema["v"].dataType).alias("v")))
+    each = ends.groupBy("node").agg(F.count("v").alias("out"), F.count(F.lit(1)).alias("all"))
+    return each.where("out > 1 OR (out = 1 AND all > 1)").limit(1).count() == 0
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the least node that can be reached, for every node that has a link.
 
@@ -29,18 +36,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     node with very many links is no burden to one task.
     """
     edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    before = None
-    while True:
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == before or not now[0]:
-            break
-        before, tasks = now, -(-now[0] // TASK_ROWS)
+    while (size := edges.count()) and not _are_stars(edges):
+        tasks = -(-size // TASK_ROWS)
         edges = edges.coalesce(tasks)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least(both, F.col("u"), tasks).where("v > u AND v <> low").select(F.col("v").alias("u"), F.col("low").alias("v")).coalesce(tasks)
         # A node's own link to its least neighbour is among these: its v is the least one.
         small = _least(large, F.col("low"), tasks).select(F.when(F.col("v") == F.col("low"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("low").alias("v"))
         edges = cut(small.distinct().coalesce(tasks))
-    stars = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+    stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     centres = stars.select(F.col("component").alias("node"), "component").distinct()
     return stars.unionByName(centres)

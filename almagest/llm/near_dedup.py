@@ -246,16 +246,19 @@ def components_of(
     )
     filled = F.filter(bands, lambda x: x["part"] != F.lit(bytes(width)))
     keys = F.transform(filled, lambda x: F.xxhash64(F.col("sketch.scheme"), x["band"], x["part"]))
-    members = classes.select("digest", F.explode("sketches").alias("sketch")).select("digest", F.explode(keys).alias("band_key"))
-    shared = members.groupBy("band_key").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("leader")).where("n > 1")
-    ties = members.join(shared, "band_key").where("digest <> leader").select(F.col("digest").alias("a"), F.col("leader").alias("b"))
-    families = cut(components(ties).withColumnRenamed("node", "digest").withColumnRenamed("component", "family"))
+    # Families may be too large without harm, so short numbers do for them; links are between digests.
+    number = F.xxhash64("digest")
+    members = classes.select(number.alias("number"), F.explode("sketches").alias("sketch")).select("number", F.explode(keys).alias("band_key"))
+    shared = members.groupBy("band_key").agg(F.count(F.lit(1)).alias("n"), F.min("number").alias("leader")).where("n > 1")
+    ties = members.join(shared, "band_key").where("number <> leader").select(F.col("number").alias("a"), F.col("leader").alias("b"))
+    found = components(ties).withColumnRenamed("node", "number").withColumnRenamed("component", "family")
+    families = cut(classes.select(number.alias("number"), "digest", "least").join(found, "number"))
     pieces = families.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / F.lit(piece)).alias("pieces"))
     dealt = families.join(pieces, "family").withColumn("piece", F.pmod(F.xxhash64("digest"), F.col("pieces")))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1), lambda q: F.struct(F.least("piece", q).alias("i"), F.greatest("piece", q).alias("j")))
     dealt = dealt.select("digest", "family", "piece", F.explode(pairs).alias("pair")).select("digest", "family", "piece", "pair.i", "pair.j")
     # Whole sets only of one document of each class that has a family.
-    wanted = families.join(classes.select("digest", "least"), "digest").select(F.col("least").alias("wanted")).distinct()
+    wanted = families.select(F.col("least").alias("wanted")).distinct()
     texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
     sets = texts.mapInArrow(_setter(shingle), _SET).where("digest IS NOT NULL")
     grouped = sets.join(dealt, "digest").dropDuplicates(["digest", "i", "j"]).groupBy("family", "i", "j")
