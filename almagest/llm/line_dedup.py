@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from almagest.llm.common import WORD_BYTES, mixed, packed, text_slices, unpacked, words
+from almagest.llm.common import WORD_BYTES, cut, mixed, packed, text_slices, unpacked, words
 
 # Words in a run of repeats from which it is removed.
 RUN_WORDS = 40
@@ -77,6 +77,8 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", run_words:
     units = rows.mapInArrow(_units, _UNITS)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key", "start")
     shared = units.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
+    # Written, so that the join reads two plain shuffles and a very common unit can be split.
+    shared = cut(shared)
     again = units.join(shared, ["high", "low"]).where(~((F.col("row_key") == F.col("first.row_key")) & (F.col("start") == F.col("first.start"))))
     again = again.select("doc_id", "row_key", "unit", "start", "end", "n_words", "first").dropDuplicates(["row_key", "unit"])
     # Neighbouring units have one difference between number and rank.
