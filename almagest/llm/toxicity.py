@@ -174,17 +174,78 @@ def decoded(found: Words, which: np.ndarray) -> list[str]:
     return [data[a:b].decode("utf-8", "replace") for a, b in zip(found.start[which].tolist(), found.end[which].tolist())]
 
 
-def _terms(counts: DataFrame, toxic: str, clean: str, totals: tuple[int, int], size: int) -> list[str]:
-    """Words whose documents are toxic too often for chance (likelihood ratio, Bonferroni over all words)."""
+def _surprise(t: float, c: float, totals: tuple[int, int]) -> tuple[float, float]:
+    """(likelihood ratio of a word's documents being toxic by chance, how much likelier a toxic document holds it)."""
+    base = totals[0] / sum(totals)
+    part = lambda x, e: x * np.log(x / e) if x > 0 else 0.0
+    ratio = 2 * (part(t, (t + c) * base) + part(c, (t + c) * (1 - base)))
+    return ratio, (t + 0.5) / (totals[0] + 1) / ((c + 0.5) / (totals[1] + 1))
+
+
+def _candidates(counts: DataFrame, toxic: str, clean: str, totals: tuple[int, int], size: int) -> dict[str, tuple[int, int]]:
+    """Words, with their toxic and clean documents, that are toxic too often for chance (Bonferroni over all words)."""
     t, c = F.col(toxic).cast("double"), F.col(clean).cast("double")
     base = totals[0] / max(1, sum(totals))
     if not 0 < base < 1:
-        return []
+        return {}
     log = lambda x, e: F.when(x > 0, x * F.ln(x / e)).otherwise(0.0)
     ratio = 2 * (log(t, (t + c) * base) + log(c, (t + c) * (1 - base)))
     often = (t + 0.5) / (totals[0] + 1) / ((c + 0.5) / (totals[1] + 1))
-    marked = counts.where((ratio >= 2 * (np.log(max(size, 1)) + 3)) & (often >= RATIO) & (F.col("word") != ""))
-    best = {r.word: r.t for r in marked.orderBy(ratio.desc(), "word").limit(TERMS).select("word", t.alias("t")).collect()}
+    marked = counts.where((ratio >= _limit(size)) & (often >= RATIO) & (F.col("word") != ""))
+    rows = marked.orderBy(ratio.desc(), "word").limit(TERMS).select("word", F.col(toxic).alias("t"), F.col(clean).alias("c"))
+    return {r.word: (r.t, r.c) for r in rows.collect()}
+
+
+def _limit(size: int) -> float:
+    return 2 * (np.log(max(size, 1)) + 3)
+
+
+def _contexts(rows: DataFrame, terms: list[str]) -> dict[str, tuple[int, int]]:
+    """term -> different neighbours it has in toxic documents of part 0, and in all: the fewer of those before and after it.
+
+    Copies of one document share neighbours, so a word is not taken for a term because a toxic text was copied.
+    """
+    def met(batches):
+        plain, stems = {w for w in terms if not w.endswith(STEM)}, {w for w in terms if w.endswith(STEM)}
+        for batch in batches:
+            part, done = np.asarray(batch.column("part").to_numpy(zero_copy_only=False), np.int64), 0
+            for data, offsets in text_slices(batch.column("text")):
+                found = words(plain_marks(data), offsets, WORD_BYTES)
+                row = found.rows
+                own = part[done : done + len(offsets) - 1]
+                done += len(offsets) - 1
+                distinct, first, back = np.unique(found.hashes, return_index=True, return_inverse=True)
+                hits: dict[int, list[str]] = {}
+                for k, w in enumerate(decoded(found, first)):
+                    of = [w] * (w in plain) + [w[:n] + STEM for n in STEMS if n < len(w) and w[:n] + STEM in stems]
+                    if of:
+                        hits[k] = of
+                before, after = np.zeros_like(found.hashes), np.zeros_like(found.hashes)
+                if len(row) > 1:
+                    same = row[1:] == row[:-1]
+                    before[1:], after[:-1] = np.where(same, found.hashes[:-1], 0), np.where(same, found.hashes[1:], 0)
+                at = np.flatnonzero(np.isin(back, np.fromiter(hits, np.int64, len(hits))))
+                named = [(t, int(i)) for i in at.tolist() for t in hits[int(back[i])]]
+                places = np.array([i for _, i in named], np.int64)
+                columns = [pa.array([t for t, _ in named], pa.string()), pa.array(own[row[places]] if len(places) else np.zeros(0, np.int64))]
+                columns += [pa.array(x[places].view(np.int64)) for x in (before, after)]
+                yield pa.RecordBatch.from_arrays(columns, ["term", "part", "before", "after"])
+
+    seen = rows.where("label = 1").select("text", "part").mapInArrow(met, "term string, part long, before long, after long").distinct()
+    half = [F.count_distinct(F.when(F.col("part") == 0, F.col(c))) for c in ("before", "after")]
+    every = [F.count_distinct(c) for c in ("before", "after")]
+    counts = seen.groupBy("term").agg(F.least(*half).alias("half"), F.least(*every).alias("every"))
+    return {r.term: (r.half, r.every) for r in counts.collect()}
+
+
+def _terms(found: dict[str, tuple[int, int]], contexts: dict[str, int], totals: tuple[int, int], size: int) -> list[str]:
+    """Candidates that stay surprising when only different contexts count."""
+    best = {}
+    for word, (t, c) in found.items():
+        own = min(t, contexts.get(word, 0))
+        ratio, often = _surprise(own, c, totals)
+        if ratio >= _limit(size) and often >= RATIO:
+            best[word] = own
     return _settled(best)
 
 
@@ -351,7 +412,10 @@ def learn(
     counts = counts.withColumns({"c": F.col("c0") + F.col("c1"), "t": F.col("t0") + F.col("t1")})
     size = counts.count()
     first, both = ("t0", "c0", (of(1, 0), of(0, 0))), ("t", "c", (of(1, 0, 1), of(0, 0, 1)))
-    half, terms = _terms(counts, *first, size), _terms(counts, *both, size)
+    found_half, found = _candidates(counts, *first, size), _candidates(counts, *both, size)
+    contexts = _contexts(rows, sorted({*found_half, *found}))
+    half = _terms(found_half, {w: n for w, (n, _) in contexts.items()}, first[2], size)
+    terms = _terms(found, {w: n for w, (_, n) in contexts.items()}, both[2], size)
     ordinary_half, ordinary = _ordinary(counts, half, *first), _ordinary(counts, terms, *both)
     kind = "label int, " + ", ".join(f"x{k} double" for k in range(_FEATURES))
     table = rows.where("part = 1").select("text", "label").mapInArrow(_featured(half, ordinary_half), kind).toPandas()
