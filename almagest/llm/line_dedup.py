@@ -2,23 +2,31 @@
 
 A text is parted into sentences; a line's end always ends one. A unit is normalised to its words, A-Z lowered,
 and hashed to 128 bits. Digests are grouped globally: the earliest occurrence, by document and place, is kept,
-every other is a repeat. Runs of neighbouring repeats with enough words in all are removed. Offsets are
-those of the original text.
+every other is a repeat. A run of neighbouring repeats grows word by word at both edges as long as the text
+around its kept occurrence is the same, so passages that begin or end within a sentence are met whole; runs that
+grow together are one. Runs of more than a few words are removed. Offsets are those of the original text.
+
+A passage that holds no whole unit is not met, as only whole units are looked up.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from almagest.llm.common import WORD_BYTES, cut, mixed, packed, text_slices, unpacked, words
+from almagest.llm.common import WORD_BYTES, Words, cut, mixed, packed, text_slices, unpacked, words
 
-# Words in a run of repeats from which it is removed.
-RUN_WORDS = 40
+# Words in a run of repeats from which it is removed: one to three words alone repeat by chance in any prose.
+RUN_WORDS = 4
+# Words on each side of a unit that are noted with it, a byte each.
+NOTED = 4
+# Slots of the bitmap that leaves out most texts no edge needs.
+SLOTS = 1 << 24
 
-_UNITS = "doc_id long, row_key long, unit int, start int, end int, n_words int, high long, low long"
+_UNITS = "doc_id long, row_key long, unit int, start int, end int, n_words int, around long, high long, low long"
+_EDGE = "row_key long, run int, left boolean, n int, gap int, at int, keep_at int"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -51,6 +59,7 @@ def _units(batches):
             high = np.add.reduceat(mixed(found.hashes * weight), first) if len(held) else np.zeros(0, np.uint64)
             low = np.add.reduceat(mixed(found.hashes ^ weight), first) if len(held) else np.zeros(0, np.uint64)
             row = np.searchsorted(offsets, begin, "right") - 1
+            around = _around(found, first, first + size, row)
             # Rows without text share an offset with the next; the last of equal offsets is the one with text.
             chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
             unit = np.arange(len(held)) - np.searchsorted(row, np.arange(len(offsets) - 1))[row]
@@ -58,37 +67,166 @@ def _units(batches):
             done += len(offsets) - 1
             base = chars[offsets[:-1]][row]
             numbers = [pa.array(x.astype(np.int32)) for x in (unit, chars[begin] - base, chars[edges_end] - base, size)]
-            digests = [pa.array(x.view(np.int64)) for x in (high, low)]
+            digests = [pa.array(x.view(np.int64)) for x in (around, high, low)]
             yield pa.RecordBatch.from_arrays(
-                [ids.take(take), keys.take(take), *numbers, *digests], ["doc_id", "row_key", "unit", "start", "end", "n_words", "high", "low"]
+                [ids.take(take), keys.take(take), *numbers, *digests], ["doc_id", "row_key", "unit", "start", "end", "n_words", "around", "high", "low"]
             )
 
 
+def _around(found: Words, first: np.ndarray, last: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """A byte for each of the words before a unit, nearest first, then for those after it; zero where the text ends."""
+    marks = np.append((found.hashes >> np.uint64(40)) % np.uint64(255) + np.uint64(1), np.uint64(0))
+    out = np.zeros(len(first), np.uint64)
+    for k in range(NOTED):
+        before, after = first - 1 - k, last + k
+        out |= marks[np.where(before >= found.first[row], before, -1)] << np.uint64(8 * k)
+        out |= marks[np.where(after < found.first[row + 1], after, -1)] << np.uint64(8 * (NOTED + k))
+    return out
+
+
+def _met(one: Column, other: Column, at: int) -> Column:
+    """Noted words that agree, from byte ``at`` on; ``RUN_WORDS`` or any other length is in reach if all do."""
+    out = F.lit(1 << 30)
+    for k in reversed(range(NOTED)):
+        a, b = (F.shiftright(x, 8 * (at + k)).bitwiseAND(F.lit(255)) for x in (one, other))
+        out = F.when((a == b) & (a != 0), out).otherwise(F.lit(k))
+    return out
+
+
+def common(one: np.ndarray, other: np.ndarray) -> int:
+    """Values that agree from the start on."""
+    size, at, step = min(len(one), len(other)), 0, 16
+    while at < size:
+        differ = np.flatnonzero(one[at : min(at + step, size)] != other[at : min(at + step, size)])
+        if len(differ):
+            return at + int(differ[0])
+        at, step = at + step, 4 * step
+    return size
+
+
+def _placed(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of a text's words, where they start and end in code points)."""
+    data, offsets = next(text_slices(pa.array([text], pa.large_string())))
+    found = words(data, offsets, WORD_BYTES)
+    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    return found.hashes, chars[found.start], chars[found.end]
+
+
+def _extended(batches):
+    """Per edge of a run: words it grows by, words up to the next run, and where it then lies in both texts."""
+    for batch in batches:
+        out = []
+        for row_key, own, kept, edges in zip(*(batch.column(c).to_pylist() for c in ("row_key", "own", "kept", "edges"))):
+            hashes, starts, ends = _placed(own)
+            keep_hashes, keep_starts, _ = _placed(kept)
+            for e in edges:
+                i, j = np.searchsorted(starts, e["own"]), np.searchsorted(keep_starts, e["keep"]) + e["skip"]
+                stop = np.searchsorted(starts, e["limit"])
+                if e["left"]:
+                    gap = int(i - stop)
+                    n = common(hashes[stop:i][::-1], keep_hashes[:j][::-1])
+                    at, keep_at = (starts[i - n], keep_starts[j - n]) if n else (e["own"], e["keep"])
+                else:
+                    gap = int(stop - i)
+                    n = common(hashes[i:stop], keep_hashes[j:])
+                    at, keep_at = ends[i + n - 1] if n else e["own"], e["keep"]
+                out.append((row_key, e["run"], e["left"], n, gap, int(at), int(keep_at)))
+        names = ["row_key", "run", "left", "n", "gap", "at", "keep_at"]
+        kinds = [pa.int64(), pa.int32(), pa.bool_(), *[pa.int32()] * 4]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names)
+
+
+def _slot(key: Column) -> Column:
+    return F.pmod(key, F.lit(SLOTS))
+
+
+def _wanted(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """(row_key, text) of ``rows`` whose key is among ``keys``, and few others: a bitmap of fixed size goes to all tasks."""
+    slot = _slot(F.col("row_key"))
+    parts = keys.groupBy(F.bitmap_bucket_number(slot).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
+    bits = np.zeros(SLOTS + (1 << 16), np.uint8)
+    for r in parts:
+        own = np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), bitorder="little")
+        # Parts count from one, slot zero is the last bit of part zero's range.
+        bits[r.part * len(own) : (r.part + 1) * len(own)] = own
+    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
+    size = 8 * len(bytes(parts[0].bits)) if parts else 1 << 15
+
+    def held(batches):
+        table = shared.value
+        for batch in batches:
+            at = batch.column("part").to_numpy() * size + batch.column("bit").to_numpy()
+            keep = pa.array((table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("row_key", "text")], ["row_key", "text"])
+
+    placed = rows.select("row_key", "text", F.bitmap_bucket_number(slot).alias("part"), F.bitmap_bit_position(slot).alias("bit"))
+    return placed.mapInArrow(held, "row_key long, text string")
+
+
+def _grown(rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """``runs`` with what their live edges grow by."""
+    edge = lambda left, own, limit, keep, skip: F.struct(
+        "run", F.lit(left).alias("left"), F.col(own).alias("own"), limit.alias("limit"), F.col(keep).alias("keep"), skip.alias("skip")
+    )
+    lefts = runs.where("grows_left").select("row_key", F.col("head.row_key").alias("keep_key"), edge(True, "start", F.coalesce("low", F.lit(0)), "head.start", F.lit(0)).alias("edge"))
+    rights = runs.where("grows_right").select("row_key", F.col("tail.row_key").alias("keep_key"), edge(False, "end", F.coalesce("high", F.lit((1 << 31) - 1)), "tail.start", F.col("tail_words")).alias("edge"))
+    # Each two documents meet once, whatever the number of edges between them.
+    pairs = cut(lefts.unionByName(rights).groupBy("row_key", "keep_key").agg(F.collect_list("edge").alias("edges")))
+    texts = _wanted(rows, pairs.select("row_key").unionByName(pairs.select(F.col("keep_key").alias("row_key")))).dropDuplicates(["row_key"])
+    both = pairs.join(texts.withColumnRenamed("text", "own"), "row_key").join(texts.select(F.col("row_key").alias("keep_key"), F.col("text").alias("kept")), "keep_key")
+    found = both.select("row_key", "own", "kept", "edges").mapInArrow(_extended, _EDGE)
+    grown = found.groupBy("row_key", "run").agg(*[
+        F.max(F.when(F.col("left") == F.lit(left), F.struct("n", "gap", "at", "keep_at"))).alias(name) for name, left in (("to_left", True), ("to_right", False))
+    ])
+    return runs.join(grown, ["row_key", "run"], "left")
+
+
 def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", run_words: int = RUN_WORDS) -> DataFrame:
     """One row per removed run: doc_id, row_key, start, end (code points, end exclusive), n_words, n_units, keep_doc_id, keep_start.
 
-    ``keep_doc_id`` and ``keep_start`` say where the run's first unit was met first. Documents rank by id, null
+    ``keep_doc_id`` and ``keep_start`` say where the run's first word was met first. Documents rank by id, null
     last; within a document the earlier place ranks first, so repeats in one document count too. Rows
     that repeat id and text are one document and the same occurrence. Units without words part nothing and are never
-    removed alone. Null and empty texts have no units; other columns are not read; no rows, no runs.
+    removed alone. A run whose edges can't bring it to ``run_words`` stays as it is. Null and empty texts have no units; other columns are not read; no rows, no runs.
     """
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(key).cast("long"), content).alias("row_key"), content.alias("text"))
     units = rows.mapInArrow(_units, _UNITS)
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key", "start")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key", "start", "around")
     shared = units.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
     # Written, so that the join reads two plain shuffles and a very common unit can be split.
     shared = cut(shared)
     again = units.join(shared, ["high", "low"]).where(~((F.col("row_key") == F.col("first.row_key")) & (F.col("start") == F.col("first.start"))))
-    again = again.select("doc_id", "row_key", "unit", "start", "end", "n_words", "first").dropDuplicates(["row_key", "unit"])
+    again = again.select("doc_id", "row_key", "unit", "start", "end", "n_words", "around", "first").dropDuplicates(["row_key", "unit"])
     # Neighbouring units have one difference between number and rank.
     run = F.col("unit") - F.row_number().over(Window.partitionBy("row_key").orderBy("unit"))
     runs = again.withColumn("run", run).groupBy("row_key", "run").agg(
-        F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"),
-        F.sum("n_words").alias("n_words"), F.count(F.lit(1)).alias("n_units"), F.min(F.struct("unit", "first"))["first"].alias("first"),
+        F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"),
+        F.count(F.lit(1)).alias("n_units"), F.min(F.struct("unit", "first", "around")).alias("a"), F.max(F.struct("unit", "first", "around", "n_words")).alias("z"),
+    )
+    runs = runs.withColumns({"near_left": _met(F.col("a.around"), F.col("a.first.around"), 0), "near_right": _met(F.col("z.around"), F.col("z.first.around"), NOTED)})
+    live = F.col("n_words") + F.col("near_left") + F.col("near_right") >= run_words
+    order = Window.partitionBy("row_key").orderBy("start")
+    runs = runs.select(
+        "row_key", "run", "doc_id", "start", "end", "n_words", "n_units", F.col("a.first").alias("head"), F.col("z.first").alias("tail"), F.col("z.n_words").alias("tail_words"),
+        (live & (F.col("near_left") > 0)).alias("grows_left"), (live & (F.col("near_right") > 0)).alias("grows_right"),
+        F.lag("end").over(order).alias("low"), F.lead("start").over(order).alias("high"),
+    )
+    beside = F.coalesce(F.lag("grows_right").over(order), F.lit(False)) | F.coalesce(F.lead("grows_left").over(order), F.lit(False))
+    runs = runs.withColumn("beside", beside).where((F.col("n_words") >= run_words) | F.col("grows_left") | F.col("grows_right") | F.col("beside"))
+    grown = _grown(rows, cut(runs.drop("beside")))
+    left, right = F.coalesce("to_left.n", F.lit(0)), F.coalesce("to_right.n", F.lit(0))
+    last = F.lag(F.struct("end", right.alias("n"), "to_right.gap")).over(order)
+    grown = grown.withColumn("last", last).withColumn("gap", F.when(F.col("last.end") == F.col("low"), F.coalesce("to_left.gap", "last.gap")))
+    grown = grown.withColumn("joins", F.coalesce(left + F.col("last.n") >= F.col("gap"), F.lit(False)))
+    size = F.col("n_words") + F.when(F.col("joins"), F.col("gap") - F.col("last.n")).otherwise(left) + right
+    keep = F.struct("start", F.col("head.doc_id").alias("doc_id"), F.coalesce("to_left.keep_at", "head.start").alias("at"))
+    spans = grown.withColumn("span", F.sum((~F.col("joins")).cast("int")).over(order)).groupBy("row_key", "span").agg(
+        F.first("doc_id").alias("doc_id"), F.min(F.coalesce("to_left.at", "start")).alias("start"), F.max(F.coalesce("to_right.at", "end")).alias("end"),
+        F.sum(size).alias("n_words"), F.sum("n_units").alias("n_units"), F.min(keep).alias("keep"),
     )
-    return runs.where(F.col("n_words") >= run_words).select(
-        "doc_id", "row_key", "start", "end", "n_words", "n_units", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.start").alias("keep_start")
+    return spans.where(F.col("n_words") >= run_words).select(
+        "doc_id", "row_key", "start", "end", "n_words", "n_units", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.at").alias("keep_start")
     )
 
 

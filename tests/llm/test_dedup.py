@@ -189,3 +189,39 @@ def test_repeated_passages(make):
             left = left[:a] + left[b:]
         assert (r.text or "") == left
     assert line_dedup.repeats(make([])).count() == 0
+
+
+def words_at(text, spans):
+    return [re.findall(r"\w+", text[a:b].lower()) for a, b in spans]
+
+
+def test_repeats_grow_to_the_edges_of_a_passage(make):
+    passage = prose("edge", 10) + ". É " + prose("edge 2", 8) + ". " + prose("edge 3", 12)
+    again = passage.replace(". É", " é").upper()
+    rows = [
+        (1, f"{prose(1, 6)} {passage} {prose(2, 5)}. {sentences(3, 2)}"), (2, f"ü. Host {passage[:-1]}x other words. {sentences(4, 1)}"),
+        (3, f"{sentences(5, 1)} lead {again} tail"), (4, f"{prose(6, 3)}. {passage.split('. ')[1]}."),
+    ]
+    got = {r.doc_id: r for r in line_dedup.repeats(make(rows)).collect()}
+    texts, tokens = dict(rows), re.findall(r"\w+", passage.lower())
+    # The last word differs in document 2; document 3 parts its units otherwise, so that none is met.
+    assert words_at(texts[2], [(got[2].start, got[2].end)]) == [tokens[:-1]] and (got[2].n_words, got[2].keep_doc_id) == (len(tokens) - 1, 1)
+    assert texts[1][got[2].keep_start :].startswith(passage.split()[0])
+    assert words_at(texts[4], [(got[4].start, got[4].end)]) == [tokens[10:19]] and set(got) == {2, 4}
+
+
+def test_runs_that_grow_together_are_one(make):
+    one, two, middle = sentences("one", 2), sentences("two", 2), prose("middle", 9)
+    rows = [(1, f"{one} {middle[:20]} {middle[20:]}. {two} end"), (2, f"new {one} {middle[:20]}.\n{middle[20:]}. {two} other")]
+    words = re.sub(r"\W+", " ", f"{one} {middle[:20]} {middle[20:]} {two}").lower().split()
+    (got,) = line_dedup.repeats(make(rows)).collect()
+    assert words_at(rows[1][1], [(got.start, got.end)]) == [words] and got.n_words == len(words)
+
+
+def test_short_repeated_lines_go(make):
+    line = "Licensed under the Apache license version 2.0"
+    rows = [(k, f"{sentences(k, 2)}\n{line}\n{sentences((k, 'b'), 2)} The. A b.") for k in range(5)] + [(9, f"{line}\n{line}")]
+    got = line_dedup.repeats(make(rows)).collect()
+    assert sorted(r.doc_id for r in got) == [1, 2, 3, 4, 9] and {r.n_words for r in got if r.doc_id < 9} == {8}
+    left = {r.doc_id: r.text for r in line_dedup.without_repeats(make(rows)).collect()}
+    assert sum("Apache" in t for t in left.values()) == 1 and all(t.endswith("The. A b.") for k, t in left.items() if k < 9)
