@@ -107,7 +107,7 @@ def _digest(values: np.ndarray) -> bytes:
     return int(values.sum(dtype=np.uint64)).to_bytes(8, "big") + int(np.bitwise_xor.reduce(mixed(values ^ _EIGHT))).to_bytes(8, "big")
 
 
-_SKETCH = "doc_id long, n_shingles long, digest binary, sketches array<struct<scheme: int, registers: binary>>"
+_SKETCH = "doc_id long, row_key long, n_shingles long, digest binary, sketches array<struct<scheme: int, registers: binary>>"
 _SET = "digest binary, sketches array<struct<scheme: int, registers: binary>>, shingles array<long>"
 _SKETCHES = pa.list_(pa.struct([("scheme", pa.int32()), ("registers", pa.binary())]))
 
@@ -115,16 +115,16 @@ _SKETCHES = pa.list_(pa.struct([("scheme", pa.int32()), ("registers", pa.binary(
 def _sketcher(size: int):
     def sketch(batches):
         for batch in batches:
-            ids, done = batch.column("doc_id"), 0
+            ids, keys, done = batch.column("doc_id"), batch.column("row_key"), 0
             for data, offsets in text_slices(batch.column("text")):
                 values, first = shingle_sets(data, offsets, size)
                 parts = [values[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
-                own = ids.slice(done, len(parts))
+                own, own_keys = ids.slice(done, len(parts)), keys.slice(done, len(parts))
                 done += len(parts)
                 digests = [_digest(p) if len(p) else None for p in parts]
                 found = [sketches(p) if len(p) else [] for p in parts]
-                columns = [own, pa.array(np.diff(first)), pa.array(digests, pa.binary()), pa.array(found, _SKETCHES)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "sketches"])
+                columns = [own, own_keys, pa.array(np.diff(first)), pa.array(digests, pa.binary()), pa.array(found, _SKETCHES)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_key", "n_shingles", "digest", "sketches"])
 
     return sketch
 
@@ -222,7 +222,8 @@ def _linker(similarity: float):
 
 
 def _texts(docs: DataFrame, text: str, key: str) -> DataFrame:
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    content = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(key).cast("long"), content).alias("row_key"), content.alias("text"))
 
 
 def components_of(
@@ -235,6 +236,12 @@ def components_of(
     have no shingles and link with nothing. Rows that repeat share a component; a null id takes part, but names a
     component only where no other does. Other columns are not read; an empty table gives no rows.
     """
+    found = _classed(docs, text, key, shingle, similarity, piece)
+    return found.select("doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _classed(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, similarity: float = SIMILARITY, piece: int = PIECE) -> DataFrame:
+    """Rows of ``components_of`` with ``row_key`` (hash of id and text), ``digest`` and ``root``, the digest by which a component is known."""
     rows = _texts(docs, text, key)
     sketched = cut(rows.mapInArrow(_sketcher(shingle), _SKETCH))
     classes = sketched.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("sketches").alias("sketches"))
@@ -267,24 +274,30 @@ def components_of(
     # The least id over a component's classes; classes without a link keep their own.
     reached = joined.join(classes.select(F.col("digest").alias("node"), "least"), "node")
     lowest = reached.groupBy("component").agg(F.min("least").alias("lowest"))
-    relabelled = reached.join(lowest, "component").select(F.col("node").alias("digest"), "lowest")
-    named = classes.select("digest", "least").join(relabelled, "digest", "left").select("digest", F.coalesce("lowest", "least").alias("component_id"))
+    relabelled = reached.join(lowest, "component").select(F.col("node").alias("digest"), "component", "lowest")
+    named = classes.select("digest", "least").join(relabelled, "digest", "left").select(
+        "digest", F.coalesce("component", "digest").alias("root"), F.coalesce("lowest", "least").alias("component_id")
+    )
     # Written, so that the last join reads two plain shuffles and a class that a third of all rows share can be split.
     named = cut(named)
-    return sketched.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    )
+    return sketched.select("doc_id", "row_key", "n_shingles", "digest").join(named, "digest", "left")
 
 
 def representatives(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """``docs`` with one document of each component, that of the least id; all its columns as they were.
 
-    Rows that repeat key and component count once, the one of the least hash over all columns.
+    Components are told apart by their shingle sets, so ids that repeat or are null merge nothing. In a component a null id
+    ranks last, and where ids repeat the least hash of id and text decides, then the least hash over all
+    columns. Rows without shingles are each their own component.
     """
-    found = components_of(docs, text, key, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = found.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("times"))
-    rows = docs.select(packed(docs).alias("row"), F.col(key).cast("long").alias("row_key"))
-    out = rows.join(kept, F.col("row_key").eqNullSafe(F.col("kept_id")))
+    found = _classed(docs, text, key, **options)
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
+    chosen = found.where("digest IS NOT NULL").groupBy("root").agg(F.min(place).alias("best"), F.count(F.lit(1)).alias("times"))
+    chosen = chosen.select(F.col("best.doc_id").alias("kept_id"), F.col("best.row_key").alias("kept_key"), "times")
+    bare = found.where("digest IS NULL").select(F.col("doc_id").alias("kept_id"), F.col("row_key").alias("kept_key"), F.lit(1).cast("long").alias("times")).distinct()
+    content = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = docs.select(packed(docs).alias("row"), F.col(key).cast("long").alias("row_id"), F.xxhash64(F.col(key).cast("long"), content).alias("row_key"))
+    out = rows.join(chosen.unionByName(bare), (F.col("row_key") == F.col("kept_key")) & F.col("row_id").eqNullSafe(F.col("kept_id")))
     single = out.where("times = 1").select("row")
-    several = out.where("times > 1").groupBy("row_key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    several = out.where("times > 1").groupBy("row_key", "row_id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
     return unpacked(single.unionByName(several.select("row")), "row")

@@ -123,6 +123,18 @@ def test_near_representatives_keep_columns(make):
     assert near_dedup.representatives(make([])).count() == 0
 
 
+def test_near_representatives_with_null_and_repeated_ids(make):
+    one, two = prose("one", 80), prose("two", 80)
+    rows = [
+        (None, one), (None, two), (None, edited(two, 1, 1)), (None, None), (None, ""), (None, "short text"), (7, prose(3, 60)), (7, prose(4, 60)), (7, edited(prose(3, 60), 2, 1)),
+        (1, prose(5, 90)), (2, edited(prose(5, 90), 3, 1)), (1, prose(6, 90)), (9, ""), (9, None), (12, "twice"), (12, "twice"),
+    ]
+    kept = [(r.doc_id, r.text) for r in near_dedup.representatives(make(rows)).collect()]
+    for family in ([rows[0]], rows[1:3], [rows[5]], [rows[6], rows[8]], [rows[7]], [rows[9]], [rows[11]], [rows[14]]):
+        assert sum(r in family for r in kept) == 1, family
+    assert rows[10] not in kept and sum(not t for _, t in kept) == 4 and len(kept) == 12
+
+
 def test_registers_estimate_similarity():
     draw = np.random.default_rng(5)
     for n in (300, 4000):
