@@ -1,6 +1,7 @@
 """Secrets in text: fixed patterns, and strings that a battery of randomness tests can't tell from noise.
 
-A string without white space that mixes letters and digits is a candidate. Its encoding is the smallest known
+A string without white space that mixes letters and digits is a candidate; ``=`` parts strings, and one that mixes
+``+`` or ``/`` with ``-`` or ``_`` is parted too, as no alphabet holds all of them. Its encoding is the smallest known
 alphabet that holds it. Three tests ask whether it may be uniform noise over that alphabet: chi-squared
 of its symbol counts, the number of runs above and below the middle of the alphabet, and the serial
 correlation of neighbours. The least p-value, times three, is the string's p-value. Within each class of
@@ -23,7 +24,12 @@ BASE = (
     ("access", "AKIA[A-Z0-9]{12,}", 0, 16),
     ("hex", "[0-9a-f]{32,}", 0, 32),
 )
-CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
+# A whole run that one alphabet holds; else its pieces between ``/``, ``_`` and ``-``. ``=`` parts runs and belongs to one only as padding.
+_RUN = "A-Za-z0-9+/_-"
+_PADDING = f"(?:=++(?![{_RUN}]))?"
+CANDIDATE = "|".join(f"{whole}{_PADDING}" for whole in (
+    f"(?<![{_RUN}])[A-Za-z0-9+/]{{20,}}+(?![{_RUN}])", f"(?<![{_RUN}])[A-Za-z0-9_-]{{20,}}+(?![{_RUN}])", "[A-Za-z0-9+]{20,}+",
+))
 
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # Alphabets in the order in which they are tried; each has an even number of symbols.

@@ -138,6 +138,21 @@ def test_secrets(make):
     assert secrets.scan(make([])).count() == 0 and secrets.scan(make([(1, None)])).first().secrets == []
 
 
+def test_random_values_beside_other_signs(make):
+    key = lambda k: noise(("value", k).__repr__(), 44, LETTERS)
+    forms = ["DB_PASS={}", "see ?a=1&sig={}", "=={} end", "é NAME_OF_IT={}== end", "/srv/my-app/{}", "/a_b/{}/x-y", "a+b-c/{}"]
+    rows = [(100 * n + k, form.format(key(100 * n + k))) for n, form in enumerate(forms) for k in range(20)]
+    rows += [(5000 + k, "LONG_NAME_1_OF_A_VARIABLE=" + "abcd" * 7 + "1") for k in range(20)]
+    texts = dict(rows)
+    found = {r.doc_id: [s for s in r.secrets if s["kind"] == "random"] for r in secrets.scan(make(rows)).collect()}
+    assert all(texts[i][s["start"] : s["end"]] == s["match"] for i, own in found.items() for s in own)
+    for n in range(len(forms)):
+        hits = [any(s["match"].rstrip("=") == key(100 * n + k) for s in found[100 * n + k]) for k in range(20)]
+        assert sum(hits) >= 17, forms[n]
+    assert {s["match"][44:] for k in range(20) for s in found[300 + k]} == {"=="}
+    assert not any("abcd" * 7 in s["match"] for k in range(20) for s in found[5000 + k])
+
+
 def test_battery_against_plain_statistics(spark):
     tokens = [noise(k, 25 + k, LETTERS) for k in range(12)] + ["aaaa1111" * 6, "abcdefghij0123456789" * 2]
     rows = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secrets.battery(secrets.F.col("t")).alias("b")).collect()
