@@ -118,9 +118,10 @@ class Lexicon:
                 begun = max((self.stem_at[node] for node, edits in stack[-1].items() if not edits), default=-1)
                 stems.append(stems[-1] if stems[-1] >= 0 else begun)
             path = word[: len(stack) - 1]
-            if stems[-1] >= 0:
+            hit = self.best(stack[-1]) if len(stack) == len(word) + 1 else None
+            if stems[-1] >= 0 and (hit is None or hit[0]):
                 found[word] = (0, stems[-1])
-            elif len(stack) == len(word) + 1 and (hit := self.best(stack[-1])):
+            elif hit:
                 found[word] = hit
         return found
 
@@ -250,16 +251,16 @@ def _terms(found: dict[str, tuple[int, int]], contexts: dict[str, int], totals:
 
 
 def _settled(best: dict[str, float]) -> list[str]:
-    """Terms without those that others cover.
+    """All words, and the stems that no other covers.
 
-    A stem stays if it meets clearly more than its commonest word does and no longer stem meets nearly as much.
+    A word that a stem covers stays, as only words are met within edits: a stem adds words that begin with it. A stem stays if it meets clearly more than its commonest word does and no longer stem meets nearly as much.
     """
     words_of = {w: t for w, t in best.items() if not w.endswith(STEM)}
     stems = {w.removesuffix(STEM): t for w, t in best.items() if w.endswith(STEM)}
     wide = {s: t for s, t in stems.items() if t >= 1.3 * max((n for w, n in words_of.items() if w.startswith(s)), default=0)}
     sharp = {s for s, t in wide.items() if not any(o != s and o.startswith(s) and n >= 0.9 * t for o, n in wide.items())}
     covered = lambda w: any(w.startswith(s) and w != s for s in sharp)
-    return sorted([w for w in words_of if not covered(w)] + [s + STEM for s in sharp if not covered(s)])
+    return sorted([*words_of] + [s + STEM for s in sharp if not covered(s)])
 
 
 def features(found: Words, lexicon: Lexicon, exact: dict, near: dict, raw: np.ndarray) -> np.ndarray:

@@ -240,6 +240,16 @@ def test_automaton_meets_what_edit_distance_says():
     assert stems == {"lowe": (0, 0), "lower": (0, 0), "scum": (0, 1)}
 
 
+def test_words_under_a_stem_keep_their_edits():
+    terms = toxicity._settled({"idiot": 100, "idiots": 60, "idio*": 160, "idiot*": 60})
+    assert {"idiot", "idiots", "idio*"} <= set(terms)
+    got = toxicity.Lexicon(terms).meet(["idi0t", "idxiot", "idiot", "idiotic", "plain"])
+    assert {w: (n, terms[t]) for w, (n, t) in got.items()} == {"idi0t": (1, "idiot"), "idxiot": (1, "idiot"), "idiot": (0, "idiot"), "idiotic": (0, "idio*")}
+    reader = toxicity.Reader(terms, [])
+    weigh = lambda t: reader.read(*next(common.text_slices(pa.array([t]))))[0, 2]
+    assert weigh("he is an idi0t indeed today") == pytest.approx(0.7) and weigh("he is an idiot indeed today") == 1.0
+
+
 def toxic_corpus(n=400):
     rows, labels = [], []
     for k in range(n):
