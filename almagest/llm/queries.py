@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almagest.llm import decontaminate, exact_dedup, language_id, line_dedup, link_graph
-from almagest.llm import mixing, near_dedup, secrets, token_counts, toxicity
+from almagest.llm import conversations, mixing, near_dedup, secrets, token_counts, toxicity
 from almagest.llm.common import remainder, table
 
 
@@ -180,4 +180,5 @@ QUERIES = {
     "op8_language": (language, None),
     "op9_near_dedup": (near, NEAR_SQL),
     "op10_mixing": (mix, MIX_SQL),
+    **conversations.QUERIES,
 }
