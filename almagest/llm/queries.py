@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almagest.llm import decontaminate, exact_dedup, language_id, line_dedup, link_graph
-from almagest.llm import conversations, mixing, near_dedup, secrets, token_counts, toxicity
+from almagest.llm import conversations, lbl_scoring, mixing, near_dedup, secrets, token_counts, toxicity
 from almagest.llm.common import remainder, table
 
 
@@ -168,6 +168,16 @@ FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c ON x = doc_id
 """
 
 
+def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counts, model = lbl_scoring.learn(docs.where(remainder("doc_id", 10) != 0))
+    found = lbl_scoring.score(docs, counts, model)
+    return found.select(
+        "doc_id", F.coalesce(remainder("doc_id", 10) == 0, F.lit(True)).alias("held_out"), F.col("lm.tokens").alias("n_tokens"), F.col("lm.known").alias("n_known"),
+        F.lit(model.known.total).cast("long").alias("train_tokens"), F.col("lm.base").alias("base_score"), F.col("lm.score").alias("score"),
+    )
+
+
 # name -> (query, SQL or None)
 QUERIES = {
     "op1_token_counts": (tokens, None),
@@ -180,5 +190,6 @@ QUERIES = {
     "op8_language": (language, None),
     "op9_near_dedup": (near, NEAR_SQL),
     "op10_mixing": (mix, MIX_SQL),
+    "op11_lm_scoring": (language_model, None),
     **conversations.QUERIES,
 }
