@@ -209,7 +209,7 @@ def test_every_operator_has_its_query():
     import __spark_entry__ as driver
 
     numbered = [n for n in driver.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in numbered) == list(range(1, 11)) and "pipeline" in driver.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in numbered) == list(range(1, 14)) and "pipeline" in driver.queries()
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="test tables not present")
@@ -218,7 +218,7 @@ def test_query_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     query, sql = queries.QUERIES[name]
     database = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "conversations"):
         database.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     answer = database.execute(sql)
     names = [d[0] for d in answer.description]
