@@ -6,22 +6,25 @@ decides. The plan has no cross join, and each pair comes out once.
 
 The point side is measured first (rows, bytes, extent: one aggregate row). When its cover is small
 it is broadcast, the catalog is then not shuffled at all, and the points' extent and cells go to the
-scan as filters. When it is not, both sides are shuffled on the cell with hot cells split.
+scan as filters. When it is not, catalog rows in cells that no circle touches are left out first, and
+both sides are shuffled on the cell with hot cells split.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almagest.functions import geometry as geo
 from almagest.functions.cells import FINEST, PlaneGrid, RadiusClasses, least_class, padded, radius_class
 from almagest.functions.coords import haversine_limit, haversine_square
 from almagest.functions.s2 import S2Cells
-from almagest.operators.skew import BROADCAST_BYTES, PAIR_TARGET, hot_buckets, salted_join, total_bytes
+from almagest.operators.occurring import KEY_BYTES, with_occurring_keys
+from almagest.operators.skew import BROADCAST_BYTES, PAIR_TARGET, hot_buckets, salted_join, total_bytes, with_place
 from almagest.schema import CATALOG_COLUMNS, as_strings
 
 # Up to this many points, the distinct stored cells of their circles are also sent to the scan.
@@ -44,10 +47,12 @@ class Profile:
 
 
 def query_side(points: DataFrame, radius: float | str, x: str, y: str) -> DataFrame:
-    """Points with a position and a radius that is not negative, every column renamed ``query_*`` so that it cannot clash."""
-    placed = points.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    """Points with a position and a radius that is a number and not negative, every column renamed ``query_*`` so that it cannot clash."""
+    # NaN counts as greater than every number, so it must be named.
+    number = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    placed = points.where(number(x) & number(y))
     if isinstance(radius, str):
-        placed = placed.where(F.col(radius) >= 0)
+        placed = placed.where(number(radius) & (F.col(radius) >= 0))
     return placed.select(*[F.col(f"`{c}`").alias(QUERY + c) for c in points.columns])
 
 
@@ -57,9 +62,11 @@ def measure(query: DataFrame, radius: Column, x: str, y: str) -> Profile:
         F.count(F.lit(1)).alias("rows"),
         total_bytes(query).alias("size"),
         F.coalesce(F.max(radius), F.lit(0.0)).alias("radius"),
-        F.collect_set(radius_class(radius)).alias("classes"),
+        F.collect_set(F.when(radius < math.inf, radius_class(radius))).alias("classes"),
         *[f(QUERY + axis).alias(f"{f.__name__}_{n}") for n, axis in enumerate((x, y)) for f in (F.min, F.max)],
     ).first()
+    if not math.isfinite(row["radius"]):
+        raise ValueError("a radius in the column has no bound; 180 degrees hold the whole sky")
     extents = (row["min_0"], row["max_0"]), (row["min_1"], row["max_1"])
     least = least_class(max((abs(v) for pair in extents for v in pair if v is not None), default=0.0))
     classes = {max(k, least) for k in row["classes"]} or {least}
@@ -113,18 +120,18 @@ def cone_pairs(
     ``radius`` is a number or the name of a column of ``points``, in the units of ``x`` and ``y``.
     ``shape='polygon'`` tests the inscribed 32-gon, ``boundary=False`` leaves out its rim.
     ``metric='great_circle'`` measures on the sphere, with the wrap at 0/360 and the poles.
-    Points whose radius is null or negative match nothing; a negative number is an error.
+    Points whose radius is null, negative or NaN match nothing; a negative number is an error, and so is a radius without bound.
     ``index`` defaults to grids whose cells follow from the radii, one per class of radii that occurs. Stored
     S2 cells prune the scan and, in the cell-partitioned layout, the folders; the join is on the grid.
     ``strategy='auto'`` broadcasts the point side when it measures small, ``'shuffle'`` always deals both sides.
     ``weight`` names a catalog column that counts copies; copies are then merged before a shuffle.
     """
+    if not isinstance(radius, str) and not (math.isfinite(radius) and radius >= 0):
+        raise ValueError("radius must be a finite number and not negative")
     query = query_side(points, radius, x, y)
     reach = F.col(QUERY + radius) if isinstance(radius, str) else F.lit(float(radius))
     profile = measure(query, reach, x, y)
     widest = profile.radius if isinstance(radius, str) else float(radius)
-    if widest < 0:
-        raise ValueError("radius must not be negative")
     if strategy not in ("auto", "shuffle"):
         raise ValueError(f"unknown strategy {strategy!r}")
 
@@ -153,8 +160,14 @@ def cone_pairs(
 
 
 def _shuffled(located: DataFrame, cover: DataFrame, keys: list[str], weight: str | None, pair_target: int) -> DataFrame:
-    """Both sides dealt by cell. Copies that ``weight`` counts merge on the way, in the shuffle that the join needs anyway."""
+    """Both sides dealt by cell, the catalog's rows only where a circle may touch their cell.
+
+    Copies that ``weight`` counts merge on the way, in the shuffle that the join needs anyway.
+    """
+    placed, located = located, with_occurring_keys(located, cover, keys)
     hot = hot_buckets(located, cover, keys, pair_target)
+    if hot and not weight:
+        located = with_occurring_keys(with_place(placed), cover, keys)
     if weight:
         rest = [c for c in located.columns if c != weight and c not in keys]
         dealt = located if hot else located.repartition(*keys)
@@ -241,6 +254,32 @@ def wkt_match(
     return cone_pairs(parsed, points, radius, **options).select(F.col(geom).alias("point"))
 
 
+# Longest list in a row of ``grouped_match``, and how often a full part is cut in four at most.
+LIST_ROWS = 10_000
+DEEPEST_CUT = 12
+
+
+def _cut_parts(parted: DataFrame, circles: DataFrame, height: float, list_rows: int, x: str, y: str) -> DataFrame:
+    """Adds ``__square``: where a row lies in its part, which is cut in four as often as its number of rows asks for.
+
+    Only parts that a circle may touch are counted. A row's square follows from the whole layer's rows in its part
+    alone. Full parts are as a rule few and sent along; if they are too many, all parts are cut like the fullest.
+    """
+    touched = with_occurring_keys(parted.select("__part"), circles, ["__part"])
+    cuts = F.least(F.ceil(F.log2(F.col("n") / list_rows) / 2).cast("int"), F.lit(DEEPEST_CUT))
+    full = touched.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > list_rows).select("__part", cuts.alias("__cuts"))
+    found = full.agg(F.count(F.lit(1)).alias("parts"), F.max("__cuts").alias("most")).first()
+    if not found["parts"]:
+        return parted.withColumn("__square", F.lit(0).cast("bigint"))
+    if found["parts"] * KEY_BYTES <= BROADCAST_BYTES:
+        parted = parted.join(F.broadcast(full), "__part", "left").withColumn("__cuts", F.coalesce("__cuts", F.lit(0)))
+    else:
+        parted = parted.withColumn("__cuts", F.lit(found["most"]))
+    inside = lambda axis: f"least(greatest(bigint(floor((`{axis}` / {height!r}D - floor(`{axis}` / {height!r}D)) * __side)), 0L), __side - 1)"
+    sided = parted.withColumn("__side", F.expr("shiftleft(1L, __cuts)"))
+    return sided.withColumn("__square", F.expr(f"{inside(y)} * __side + {inside(x)}")).drop("__cuts", "__side")
+
+
 def grouped_match(
     catalog: DataFrame,
     points: DataFrame,
@@ -249,25 +288,42 @@ def grouped_match(
     center: Sequence[str],
     attributes: Sequence[str],
     part_height: float | None = None,
+    list_rows: int = LIST_ROWS,
     x: str = "lon",
     y: str = "lat",
     **options,
 ) -> DataFrame:
-    """Matches listed per query circle and grid cell: ``center`` columns, ``part``, ``matches`` (sorted structs).
+    """Matches listed per query circle and place: ``center`` columns, ``part``, ``square``, ``run``, ``matches`` (sorted structs).
 
-    ``part`` is the number of the square cell, ``part_height`` high, in which a list's matches lie: a property of the
-    matches, so that rows do not depend on files, counts or plans. A smaller height gives shorter
-    lists; by default it is the widest radius. Circles without matches are absent.
+    ``part`` is the number of the square cell, ``part_height`` high, in which a list's matches lie, by default as high as the widest
+    radius. A part with more than ``list_rows`` sources is cut in four, and again, and ``square`` numbers the piece
+    (0 where nothing is cut). What lies on one spot cannot be cut: there the sorted matches go on in numbered
+    runs. No list is longer than ``list_rows``, no task holds more of a circle than one list, and rows do not depend
+    on files, counts of partitions or plans. Circles without matches are absent.
     """
     if part_height is None:
-        part_height = float(radius) if not isinstance(radius, str) else float(points.agg(F.max(radius)).first()[0] or 0)
-    parted = PlaneGrid(max(part_height, FINEST)).with_cell(catalog.where(F.col(x).isNotNull() & F.col(y).isNotNull()), "__part", x, y)
-    pairs = cone_pairs(parted, points, radius, x=x, y=y, **options).select(
+        finite = F.when(~F.isnan(F.col(radius).cast("double")) & (F.col(radius) >= 0), F.col(radius)) if isinstance(radius, str) else None
+        part_height = float(radius) if finite is None else float(points.agg(F.max(finite)).first()[0] or 0)
+    height = max(part_height, FINEST)
+    grid = PlaneGrid(height)
+    parted = grid.with_cell(catalog.where(F.col(x).isNotNull() & F.col(y).isNotNull()), "__part", x, y)
+    if options.get("metric") == "great_circle":
+        circles = parted.select("__part")  # circles of the sphere have no bounded cover in the plane: all parts count
+    else:
+        query = query_side(points, radius, x, y)
+        reach = F.col(QUERY + radius) if isinstance(radius, str) else F.lit(float(radius))
+        circles = grid.explode_cover(query, reach, "__part", QUERY + x, QUERY + y).select("__part")
+    squared = _cut_parts(parted, circles, height, list_rows, x, y)
+    pairs = cone_pairs(squared, points, radius, x=x, y=y, **options).select(
         *[F.col(QUERY + c).alias(c) for c in center],
         F.col("__part").alias("part"),
+        F.col("__square").alias("square"),
         F.struct(*[F.col(f"`{c}`") for c in attributes]).alias("match"),
     )
-    return pairs.groupBy(*center, "part").agg(F.sort_array(F.collect_list("match")).alias("matches"))
+    place = [*center, "part", "square"]
+    run = F.floor((F.row_number().over(Window.partitionBy(*place).orderBy("match")) - 1) / list_rows)
+    # The lists need no shuffle of their own: their rows are together already.
+    return pairs.withColumn("run", run).groupBy(*place, "run").agg(F.sort_array(F.collect_list("match")).alias("matches"))
 
 
 def count_matches(

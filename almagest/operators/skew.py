@@ -36,8 +36,14 @@ def total_bytes(df: DataFrame) -> Column:
     return F.coalesce(F.sum(row_width(df)), F.lit(0).cast("bigint"))
 
 
+# Column that holds a row's place where the hidden one is lost on the way.
+PLACE = "__place"
+
+
 def _file_place(df: DataFrame) -> Column | None:
     """Hash of a row's place in its Parquet file, or None for other frames."""
+    if PLACE in df.columns:
+        return F.col(PLACE)
     try:
         df.select("_metadata.row_index").schema  # noqa: B018 - resolves the hidden column
         return F.xxhash64(F.col("_metadata.row_index"), F.col("_metadata.file_name"))
@@ -45,6 +51,12 @@ def _file_place(df: DataFrame) -> Column | None:
         return None
 
 
+def with_place(df: DataFrame) -> DataFrame:
+    """``df`` with the place of its rows as a column that joins keep, if they come from Parquet files."""
+    place = _file_place(df)
+    return df if place is None else df.withColumn(PLACE, place)
+
+
 def row_spread(df: DataFrame) -> Column:
     """Hash that is the same when a task runs again: of the place in a Parquet file, which parts even equal rows, else of the content."""
     place = _file_place(df)
@@ -111,7 +123,8 @@ def salted_join(
         )
         pieces = F.explode(F.sequence(F.lit(0), theirs - 1)) if repeat else F.lit(0)
         frame = frame.withColumn(f"__salt_{other}", pieces)
-        return frame.select(*[F.col(f"`{c}`") for c in side.columns], "__salt_left", "__salt_right", copies.alias(f"__copies_{own}"))
+        kept = [F.col(f"`{c}`") for c in side.columns if c != PLACE]
+        return frame.select(*kept, "__salt_left", "__salt_right", copies.alias(f"__copies_{own}"))
 
     joined = dealt(left, "left", "right", most[1] > 1).join(
         dealt(right, "right", "left", most[0] > 1).hint("merge"), [*keys, "__salt_left", "__salt_right"]

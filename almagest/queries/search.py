@@ -93,6 +93,7 @@ def snapped_search_sql(select: str, where: str, steps: int = STEPS) -> str:
     return f"WITH c AS ({snapped_sql('orders', 'source_id', steps)}), p AS ({snapped_sql('customer', 'point_id', steps)}) SELECT {select} FROM c, p WHERE {where}"
 
 
+COPIES = 16
 # Three steps of the grid: many pairs lie exactly on the rim.
 RIM = 3 / STEPS
 
@@ -239,6 +240,41 @@ def cone_grouped_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+RUN_ROWS = 2
+
+
+def cone_grouped_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of two matches at most: parts cut where sources are many, and runs of what lies on one spot."""
+    groups = grouped_match(
+        snapped(sky.sources(spark, sf_dir), COPIES),
+        snapped(sky.points(spark, sf_dir), COPIES),
+        1 / COPIES,
+        center=["point_id"],
+        attributes=["source_id"],
+        part_height=2 / COPIES,
+        list_rows=RUN_ROWS,
+    )
+    ids = F.array_join(F.transform("matches", lambda m: m["source_id"].cast("string")), ",").alias("ids")
+    return groups.select("point_id", "part", "square", "run", F.size("matches").cast("bigint").alias("n"), ids)
+
+
+def cone_grouped_runs_sql() -> str:
+    h = sky.number(2 / COPIES)
+    row, column = (f"CAST(floor({axis} / {h}) AS BIGINT)" for axis in ("lat", "lon"))
+    inside = [f"least(greatest(CAST(floor(({axis} / {h} - floor({axis} / {h})) * side) AS BIGINT), 0), side - 1)" for axis in ("lat", "lon")]
+    cuts = f"least(CAST(ceil(log2(held / {RUN_ROWS}e0) / 2) AS INTEGER), 12)"
+    return (
+        f"WITH p AS ({snapped_sql('customer', 'point_id', COPIES)}), "
+        f"a AS (SELECT *, {row} * 4294967296 + {column} AS part FROM ({snapped_sql('orders', 'source_id', COPIES)})), "
+        f"b AS (SELECT *, count(*) OVER (PARTITION BY part) AS held FROM a), "
+        f"s AS (SELECT *, CASE WHEN held > {RUN_ROWS} THEN CAST(pow(2, {cuts}) AS BIGINT) ELSE 1 END AS side FROM b), "
+        f"c AS (SELECT *, {inside[0]} * side + {inside[1]} AS square FROM s), "
+        f"m AS (SELECT p.point_id, c.part, c.square, c.source_id, (row_number() OVER (PARTITION BY p.point_id, c.part, c.square ORDER BY c.source_id) - 1) // {RUN_ROWS} AS run "
+        f"FROM c, p WHERE {sky.disc_sql(1 / COPIES)}) "
+        "SELECT point_id, part, square, run, count(*) AS n, string_agg(CAST(source_id AS VARCHAR), ',' ORDER BY source_id) AS ids FROM m GROUP BY ALL"
+    )
+
+
 def distance_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ids(cone_pairs(sky.sources(spark, sf_dir), sky.points(spark, sf_dir), 0.006))
 
@@ -307,9 +343,6 @@ def match_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("matches")
 
 
-COPIES = 16
-
-
 def match_count_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions folded onto a coarse grid, so that copies abound, by the shuffle plan with hot cells split."""
     layers = snapped(sky.sources(spark, sf_dir), COPIES), snapped(sky.points(spark, sf_dir), COPIES)
@@ -435,6 +468,7 @@ QUERIES = {
     "cone_match_xy_file": (xy_file_match, _disc),
     "cone_match_grouped": (cone_grouped, sky.search_sql(listed_sql(MINUTE), sky.disc_sql(MINUTE), "GROUP BY ALL")),
     "cone_match_grouped_parts": (cone_grouped_parts, sky.search_sql(listed_sql(MINUTE / 3), sky.disc_sql(MINUTE), "GROUP BY ALL")),
+    "cone_match_grouped_runs": (cone_grouped_runs, cone_grouped_runs_sql()),
     "cone_match_geohash_layout": (
         cone_geohash_layout,
         f"WITH c AS ({geohash_sql('source_id, lon, lat, geohash', sky.positions_sql('orders', 'source_id'), 4)}), "

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from almagest.functions.cells import PlaneGrid, RadiusClasses
 from almagest.functions.s2 import S2Cells
 from almagest.operators import match
+from almagest.operators.occurring import bitmap_bits, with_occurring_keys
 from almagest.operators.skew import hot_buckets, lookup_join, row_spread, salted_join
 from almagest.sources.points import points_from_rows
 from almagest.functions.coords import with_lon_lat
@@ -175,6 +176,31 @@ def test_grouped_lists(scene, spark, tmp_path, height):
         assert rows(spark.read.parquet(str(tmp_path / f"layout{n}"))) == got
 
 
+def test_lists_are_bounded(spark, sky_points, tmp_path):
+    """A dense field, and many sources on one spot: no list is long, and the rows are the same whatever the files."""
+    sources = patch(6000, 44) + [(k, 150.5, 0.25) for k in range(10_000, 10_300)]
+    points = [(0, 150.5, 0.25), (1, 151.0, -0.5), (2, 10.0, 0.0)]
+    catalog, query = sky_points(sources), sky_points(points, "point_id")
+
+    def rows(layer, **options):
+        groups = match.grouped_match(layer, query, 0.3, center=["point_id"], attributes=["source_id"], list_rows=50, **options)
+        return sorted((g["point_id"], g["part"], g["square"], g["run"], [m[0] for m in g["matches"]]) for g in groups.collect())
+
+    got = rows(catalog)
+    assert sorted((m, point) for point, *_, matches in got for m in matches) == plane_pairs(sources, points, 0.3)
+    assert max(len(matches) for *_, matches in got) == 50
+    assert all(matches == sorted(matches) for *_, matches in got) and len({g[:4] for g in got}) == len(got)
+    # Runs go on only on the crowded spot; a full part is cut so that squares hold fewer.
+    runs = [g for g in got if g[3] > 0]
+    assert 5 <= len(runs) < 12 and len({g[2] for g in got if g[1] == runs[0][1]}) > 16
+    for n in (1, 6):
+        catalog.repartition(n).write.parquet(str(tmp_path / f"layout{n}"))
+        assert rows(spark.read.parquet(str(tmp_path / f"layout{n}"))) == got
+    assert rows(catalog, strategy="shuffle") == got
+    sphere = rows(catalog, metric="great_circle")
+    assert {m for point, *_, matches in sphere for m in matches if point == 0} >= {k for k in range(10_000, 10_300)}
+
+
 def test_cells_follow_the_radius(sky_points):
     sources, points = patch(3000, 21), patch(400, 22)
     catalog, query = sky_points(sources), sky_points(points, "point_id")
@@ -266,8 +292,75 @@ def test_one_shuffle_of_the_catalog_in_counts(scene, spark, tmp_path):
     catalog.write.parquet(str(tmp_path / "c"))
     text = plan_text(match.count_matches(spark.read.parquet(str(tmp_path / "c")), query, [0.04], strategy="shuffle"))
     physical = text[text.index("== Physical Plan ==") :]
-    # The catalog, the points' circles, and the points merged by position.
-    assert physical.count("Exchange hashpartitioning") == 3 and "BroadcastExchange" not in physical
+    # The catalog, the points' circles and the cells they touch, each of the two from points merged by position.
+    assert physical.count("FileScan parquet") == 1 and physical.count("Exchange hashpartitioning") == 5
+    assert physical.count("BroadcastExchange") == 1 and physical.index("LeftSemi") > physical.index("Exchange hashpartitioning")
+
+
+def shuffled_rows(df):
+    """Rows that each exchange of an executed plan has written."""
+
+    def walk(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(node.plan())
+        own = [node.metrics().apply("shuffleRecordsWritten").value()] if name == "ShuffleExchangeExec" else []
+        below = node.children()
+        return own + [n for k in range(below.size()) for n in walk(below.apply(k))]
+
+    df.collect()
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.mark.parametrize("metric", ["planar", "great_circle"])
+def test_only_rows_in_cells_that_occur_are_shuffled(sky_points, spark, tmp_path, metric):
+    sources, points = patch(5000, 41), patch(12, 42)
+    sky_points(sources).write.parquet(str(tmp_path / "c"))
+    catalog, query = spark.read.parquet(str(tmp_path / "c")), sky_points(points, "point_id")
+    pairs = match.cone_pairs(catalog, query, 0.02, metric=metric, strategy="shuffle")
+    profile = match.measure(match.query_side(query, 0.02, "lon", "lat"), F.lit(0.02), "lon", "lat")
+    grid = RadiusClasses(profile.classes, metric)
+    cells = {r["c"] for r in grid.explode_cover(match.query_side(query, 0.02, "lon", "lat"), F.lit(0.02), "c", "query_lon", "query_lat").collect()}
+    held = grid.with_cell(catalog, "c").where(F.col("c").isin(cells)).count()
+    rows = shuffled_rows(pairs)
+    assert 0 < held < 500 and held in rows and 5000 not in rows
+    assert pair_ids(pairs) == pair_ids(match.cone_pairs(catalog, query, 0.02, metric=metric))
+
+
+def test_a_bitmap_of_cells_loses_nothing(spark):
+    rng = random.Random(43)
+    wanted = {rng.randrange(10**12) for _ in range(3000)}
+    keys = spark.createDataFrame([(k, 1) for k in wanted] * 2, "__cell bigint, other int")
+    rows = spark.createDataFrame([(k,) for k in wanted] + [(rng.randrange(10**12, 10**13),) for _ in range(30_000)], "__cell bigint").withColumn("__place", F.lit(1))
+    assert with_occurring_keys(rows, keys, ["__cell"]).count() == len(wanted)
+    # With no room for the cells themselves: hashed, eight bits or more to a cell.
+    hashed = with_occurring_keys(rows, keys, ["__cell"], limit=16_000)
+    assert hashed.columns == rows.columns and "BroadcastExchange" in plan_text(hashed)
+    got = {r["__cell"] for r in hashed.collect()}
+    assert wanted <= got and len(got) < len(wanted) + 30_000 / 8
+    assert bitmap_bits(3000, 16_000) == 65_536 and bitmap_bits(1, 16_000) == 32_768 and bitmap_bits(10**9) == 2**29
+    # More cells than bits: nothing is held back.
+    assert with_occurring_keys(rows, keys, ["__cell"], limit=100).count() == rows.count() or bitmap_bits(3000, 100) >= 3000
+    assert with_occurring_keys(rows, keys.limit(0), ["__cell"]).count() == 0
+
+
+@pytest.mark.parametrize("strategy", ["auto", "shuffle"])
+def test_radii_that_are_no_finite_number(sky_points, strategy):
+    catalog = sky_points([(1, 10.0, 5.0), (2, 10.5, 5.0)])
+    query = sky_points([(0, 10.0, 5.0), (1, 10.0, 5.0), (2, 10.0, 5.0)], "point_id")
+    radii = lambda *r: query.withColumn("r", F.element_at(F.array(*[F.lit(x) for x in r]), (F.col("point_id") + 1).cast("int")))
+    assert pair_ids(match.cone_pairs(catalog, radii(math.nan, 0.1, -1.0), "r", strategy=strategy)) == [(1, 1)]
+    assert match.cone_pairs(catalog, radii(math.nan, math.nan, math.nan), "r", strategy=strategy).count() == 0
+    for options in ({}, {"metric": "great_circle"}):
+        with pytest.raises(ValueError, match="no bound"):
+            match.cone_pairs(catalog, radii(0.1, math.inf, 0.1), "r", strategy=strategy, **options)
+    for radius in (math.nan, math.inf, -math.inf, -1.0):
+        with pytest.raises(ValueError, match="finite"):
+            match.cone_pairs(catalog, query, radius, strategy=strategy)
+    nowhere = sky_points([(0, math.nan, 5.0), (1, 10.0, math.nan)], "point_id").union(query.where("point_id = 2"))
+    assert pair_ids(match.cone_pairs(catalog, nowhere, 0.1, strategy=strategy)) == [(1, 2)]
 
 
 def test_counts_by_set_and_shape(scene):
