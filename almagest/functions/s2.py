@@ -67,19 +67,23 @@ def _with_id(df: DataFrame, level: int, out: str, start: str, valid: str = "true
     return df.withColumn(out, F.expr(cell))
 
 
-def _cell_index(u: str, level: int) -> str:
-    """Cell number along an axis of a face coordinate in [-1, 1].
+def _along_axis(level: int) -> str:
+    """Number of cells along an axis of a face."""
+    return f"{1 << level}L"
+
+
+def _cell_index(u: str, cells: str) -> str:
+    """Cell number along an axis, which has ``cells``, of a face coordinate in [-1, 1].
 
     The coordinate is first taken to [0, 1] by the quadratic rule that evens out cell sizes.
     """
-    cells = 1 << level
     unit = f"((1 - signum({u})) / 2 + signum({u}) * (sqrt(1 + 3 * abs({u})) * 0.5D))"
-    return f"least(greatest(floor({unit} * {cells}D), 0L), {cells - 1}L)"
+    return f"least(greatest(floor({unit} * {cells}), 0L), {cells} - 1L)"
 
 
-def _face_bound(index: str, level: int) -> str:
+def _face_bound(index: str, cells: str) -> str:
     """Face coordinate of the lower edge of a cell: the quadratic rule undone."""
-    s = f"(({index}) / {1 << level}D)"
+    s = f"(({index}) / {cells})"
     return f"CASE WHEN {s} >= 0.5D THEN (4 * {s} * {s} - 1) / 3 ELSE (1 - 4 * (1 - {s}) * (1 - {s})) / 3 END"
 
 
@@ -123,8 +127,8 @@ def with_s2_cell(df: DataFrame, level: int, out: str = "cell_id", x: str = "lon"
     df = df.withColumns(
         {
             "__face": F.expr(f"__axis + CASE WHEN {by_axis('__x', '__y', '__z')} < 0 THEN 3 ELSE 0 END"),
-            "__i": F.expr(_cell_index(by_axis("__y / __x", "-__x / __y", "-__x / __z"), level)),
-            "__j": F.expr(_cell_index(by_axis("__z / __x", "__z / __y", "-__y / __z"), level)),
+            "__i": F.expr(_cell_index(by_axis("__y / __x", "-__x / __y", "-__x / __z"), _along_axis(level))),
+            "__j": F.expr(_cell_index(by_axis("__z / __x", "__z / __y", "-__y / __z"), _along_axis(level))),
         }
     )
     # ``least`` and ``greatest`` pass over NULL, hence the explicit test.
@@ -138,28 +142,17 @@ def s2_parent(cell: Column, level: int) -> Column:
     return cell.bitwiseAND(F.lit(-2 * mark)).bitwiseOR(F.lit(mark))
 
 
-def explode_s2_cover(
-    df: DataFrame, radius: Column, level: int, out: str = "cell_id", x: str = "lon", y: str = "lat"
-) -> DataFrame:
-    """One row per S2 cell that meets the circle of ``radius`` degrees on the sphere.
-
-    For each cube face the circle's extent along a face axis is an angle interval, so the cells to
-    look at form a rectangle of (i, j); faces are clipped, which settles cube edges and corners. A
-    cell stays when it holds the centre or one of its edges comes within the radius.
-    A circle in the plane lies inside this one: its straight-line distances are never shorter.
-    A circle of 90 degrees or more is a hemisphere or larger and takes every cell of the level.
-    """
-    columns = [c for c in df.columns if c != out]
-    kept = [f"`{c}`" for c in columns]
+def _on_faces(df: DataFrame, radius: Column, kept: list[str], x: str, y: str) -> DataFrame:
+    """One row per circle and cube face that it may meet, with the angles that bound it along both axes of the face."""
     frames = ", ".join(
         f"named_struct('face', {face}, 'n', {n}, 'p', {p}, 'q', {q})" for face, (n, p, q) in enumerate(FACE_FRAMES)
     )
-    df = _with_vector(df.select(*columns), x, y).withColumn(
+    df = _with_vector(df.withColumn("__r", padded(radius)), x, y).withColumn(
         # Two is beyond every sine: all tests below then hold.
-        "__sin", F.when(padded(radius) >= 90, F.lit(2.0)).otherwise(F.sin(F.radians(padded(radius))))
+        "__sin", F.when(F.col("__r") >= 90, F.lit(2.0)).otherwise(F.sin(F.radians("__r")))
     )
-    df = df.selectExpr(*kept, "__sin", f"explode(array({frames})) AS __frame").selectExpr(
-        *kept, "__sin", "__frame.face AS __face", "__frame.n AS __n", "__frame.p AS __p", "__frame.q AS __q"
+    df = df.selectExpr(*kept, "__r", "__sin", f"explode(array({frames})) AS __frame").selectExpr(
+        *kept, "__r", "__sin", "__frame.face AS __face", "__frame.n AS __n", "__frame.p AS __p", "__frame.q AS __q"
     )
 
     def interval(along: str, across: str) -> tuple[str, str]:
@@ -172,16 +165,97 @@ def explode_s2_cover(
         )
 
     (p_low, p_high), (q_low, q_high) = interval("__p", "__q"), interval("__q", "__p")
-    df = df.selectExpr(
+    return df.selectExpr(
         "*", f"{p_low} AS __pl", f"{p_high} AS __ph", f"{q_low} AS __ql", f"{q_high} AS __qh"
     ).where("__pl <= __ph AND __ql <= __qh")
+
+
+def _explode_rectangle(df: DataFrame, cells: str) -> DataFrame:
     for name, low, high in (("__i", "__pl", "__ph"), ("__j", "__ql", "__qh")):
-        span = f"sequence({_cell_index(f'tan({low})', level)}, {_cell_index(f'tan({high})', level)})"
+        span = f"sequence({_cell_index(f'tan({low})', cells)}, {_cell_index(f'tan({high})', cells)})"
         df = df.withColumn(name, F.expr(f"explode({span})"))
-    return _with_id(df.where(f"__sin >= 2 OR {_cell_meets_circle(level)}"), level, out, "(__face & 1)").select(*columns, out)
+    return df.where(f"__sin >= 2 OR {_cell_meets_circle(cells)}")
+
+
+def explode_s2_cover(
+    df: DataFrame, radius: Column, level: int, out: str = "cell_id", x: str = "lon", y: str = "lat"
+) -> DataFrame:
+    """One row per S2 cell that meets the circle of ``radius`` degrees on the sphere.
+
+    For each cube face the circle's extent along a face axis is an angle interval, so the cells to
+    look at form a rectangle of (i, j); faces are clipped, which settles cube edges and corners. A
+    cell stays when it holds the centre or one of its edges comes within the radius.
+    A circle in the plane lies inside this one: its straight-line distances are never shorter.
+    A circle of 90 degrees or more is a hemisphere or larger and takes every cell of the level.
+    """
+    columns = [c for c in df.columns if c != out]
+    met = _explode_rectangle(_on_faces(df.select(*columns), radius, [f"`{c}`" for c in columns], x, y), _along_axis(level))
+    return _with_id(met, level, out, "(__face & 1)").select(*columns, out)
+
+
+def explode_s2_covering(
+    df: DataFrame, radius: Column, finest: int, out: str = "cell_id", x: str = "lon", y: str = "lat", steps: int = 2, coarsest: int = 0
+) -> DataFrame:
+    """One row per S2 cell of a covering by cells of several levels, with the cell and its level as ``__level``.
+
+    Each circle begins with the cells that meet it at a level where they are no narrower than the circle: a handful, whatever the
+    radius. Cells that reach beyond its rim are cut in four, ``steps`` times, and parts that do not meet it are left out;
+    cells inside stay whole. No level is finer than ``finest``, none coarser than ``coarsest``. Cells of a circle do
+    not overlap, and their number is bounded by ``covering_bound``.
+    """
+    columns = [c for c in df.columns if c not in (out, "__level")]
+    kept = [f"`{c}`" for c in columns]
+    base = f"int(least(greatest(floor(log2({MIN_WIDTH!r}D / (2 * radians(__r)))), {coarsest}), {finest}))"
+    placed = _on_faces(df.select(*columns), radius, kept, x, y).withColumn("__level", F.expr(base))
+    met = _explode_rectangle(placed.withColumn("__cells", F.expr("shiftleft(1L, __level)")), "__cells")
+    part = lambda level, i, j: f"named_struct('level', {level}, 'i', {i}, 'j', {j})"
+    four = ", ".join(part("__level + 1", f"2 * __i + {a}", f"2 * __j + {b}") for a in (0, 1) for b in (0, 1))
+    whole = f"__level >= {finest} OR __sin >= 2 OR {_cell_in_circle('__cells')}"
+    state = ["__face", "__n", "__p", "__q", "__sin"]
+    for _ in range(steps):
+        parted = met.selectExpr(*kept, *state, f"explode(if({whole}, array({part('__level', '__i', '__j')}), array({four}))) AS __part")
+        met = parted.selectExpr(
+            *kept, *state, "__part.level AS __level", "__part.i AS __i", "__part.j AS __j", "shiftleft(1L, __part.level) AS __cells"
+        ).where(f"__sin >= 2 OR {_cell_meets_circle('__cells')}")
+    # The finest cell at the corner of each, and from it the cell itself.
+    corner = met.withColumns({c: F.expr(f"shiftleft({c}, {finest} - __level)") for c in ("__i", "__j")})
+    found = _with_id(corner, finest, out, "(__face & 1)")
+    mark = f"shiftleft(1L, 2 * ({MAX_LEVEL} - __level))"
+    return found.withColumn(out, F.expr(f"(`{out}` & (-2 * {mark})) | {mark}")).select(*columns, out, "__level")
+
+
+def covering_bound(steps: int = 2) -> int:
+    """Most cells of one circle's covering: a circle no wider than its cells meets at most six of them."""
+    return 6 << (2 * steps)
+
+
+def _face_bounds(cells: str) -> str:
+    return ", ".join(
+        f"'{name}', {_face_bound(index, cells)}"
+        for name, index in (("u0", "__i"), ("u1", "__i + 1"), ("v0", "__j"), ("v1", "__j + 1"))
+    )
 
 
-def _cell_meets_circle(level: int) -> str:
+def _corner_tests() -> list[str]:
+    """For each corner of a cell, whether it lies within the radius: the sine of the distance is the length of a cross product."""
+    n, p, q = "__n", "__p", "__q"
+    tests = []
+    for a in ("c.u0", "c.u1"):
+        for b in ("c.v0", "c.v1"):
+            parts = [f"({a} * {q} - {b} * {p})", f"({b} * {n} - {q})", f"({p} - {a} * {n})"]
+            square = " + ".join(f"{part} * {part}" for part in parts)
+            tests.append(
+                f"{square} <= __sin * __sin * (1 + {a} * {a} + {b} * {b}) AND {n} + {a} * {p} + {b} * {q} > 0"
+            )
+    return tests
+
+
+def _cell_in_circle(cells: str) -> str:
+    """Cell ``(__i, __j)`` lies inside the circle, which is less than a hemisphere: all its corners do."""
+    return f"exists(array(named_struct({_face_bounds(cells)})), c -> ({') AND ('.join(_corner_tests())}))"
+
+
+def _cell_meets_circle(cells: str) -> str:
     """Cell ``(__i, __j)`` holds the centre, or an edge or corner of it lies within the radius.
 
     The cell bounds are handed to a one-element ``exists`` so that they are worked out once per row.
@@ -197,19 +271,8 @@ def _cell_meets_circle(level: int) -> str:
             f"{offset} * {offset} <= __sin * __sin * {scale} AND {foot} > 0"
             f" AND {other} * {scale} BETWEEN {ends[0]} * {foot} AND {ends[1]} * {foot}"
         )
-    for a in u:
-        for b in v:
-            # Sine of the distance to the corner, as the length of a cross product.
-            parts = [f"({a} * {q} - {b} * {p})", f"({b} * {n} - {q})", f"({p} - {a} * {n})"]
-            square = " + ".join(f"{part} * {part}" for part in parts)
-            tests.append(
-                f"{square} <= __sin * __sin * (1 + {a} * {a} + {b} * {b}) AND {n} + {a} * {p} + {b} * {q} > 0"
-            )
-    bounds = ", ".join(
-        f"'{name}', {_face_bound(index, level)}"
-        for name, index in (("u0", "__i"), ("u1", "__i + 1"), ("v0", "__j"), ("v1", "__j + 1"))
-    )
-    return f"exists(array(named_struct({bounds})), c -> ({') OR ('.join(tests)}))"
+    tests += _corner_tests()
+    return f"exists(array(named_struct({_face_bounds(cells)})), c -> ({') OR ('.join(tests)}))"
 
 
 @dataclass(frozen=True)
@@ -231,3 +294,36 @@ class S2Cells:
             return 6 << (2 * self.level)
         across = math.floor(2 * math.radians(padded(radius)) * (1 << self.level) / MIN_WIDTH) + 2
         return 3 * across * across
+
+
+@dataclass(frozen=True)
+class S2Covering:
+    """S2 cells of several levels: few large ones inside a circle, small ones at its rim. Joins are on ``__level`` beside the cell.
+
+    ``levels`` are those that coverings of the circles searched can have; ``for_radii`` finds them.
+    """
+
+    levels: tuple[int, ...]
+    steps: int = 2
+
+    keys = ("__level",)
+
+    @classmethod
+    def for_radii(cls, least: float, widest: float, finest: int, steps: int = 2) -> S2Covering:
+        low, high = (
+            min(max(math.floor(math.log2(MIN_WIDTH / (2 * math.radians(padded(r))))), 0), finest) for r in (widest, least)
+        )
+        return cls(tuple(range(low, min(high + steps, finest) + 1)), steps)
+
+    def with_cell(self, df: DataFrame, out: str, x: str = "lon", y: str = "lat") -> DataFrame:
+        located = with_s2_cell(df, max(self.levels), out, x, y)
+        cells = [F.struct(F.lit(n).alias("__level"), s2_parent(F.col(out), n).alias(out)) for n in self.levels]
+        return located.select(*[F.col(f"`{c}`") for c in df.columns if c not in (out, "__level")], F.inline(F.array(*cells)))
+
+    def explode_cover(
+        self, df: DataFrame, radius: Column, out: str, x: str = "lon", y: str = "lat"
+    ) -> DataFrame:
+        return explode_s2_covering(df, radius, max(self.levels), out, x, y, self.steps, min(self.levels))
+
+    def cover_bound(self, radius: float) -> int:
+        return max(covering_bound(self.steps), 6 << (2 * min(self.levels)))

@@ -16,12 +16,32 @@ from almagest.schema import CATALOG_TYPES
 CORRECTIONS = {"ra": "offsetra", "dec": "offsetdec", "pmra": "offsetpmra", "pmdec": "offsetpmdec"}
 
 
-def apply_offsets(catalog: DataFrame, offsets: DataFrame, tile: str = "tile") -> DataFrame:
+def one_per_key(table: DataFrame, key: str, repeated: str = "stop") -> DataFrame:
+    """A lookup table with one row per key, so that a join with it repeats nothing.
+
+    Equal rows are one. Different rows of a key stop the job, in the job that reads them, or with ``repeated='least'`` the
+    least row stays, by its columns from left to right, null first.
+    """
+    if repeated not in ("stop", "least"):
+        raise ValueError(f"unknown rule {repeated!r} for repeated keys")
+    others = [c for c in table.columns if c != key]
+    row = F.struct(*[F.col(f"`{c}`") for c in others])
+    merged = table.groupBy(key).agg(F.min(row).alias("__least"), F.max(row).alias("__greatest"))
+    least = F.col("__least")
+    if repeated == "stop":
+        message = F.concat(F.lit(f"different rows for one {key}: "), F.coalesce(F.col(key).cast("string"), F.lit("NULL")))
+        least = F.when(least.eqNullSafe(F.col("__greatest")), least).otherwise(F.raise_error(message).cast(table.select(row).schema[0].dataType))
+    chosen = merged.select(key, least.alias("__row"))
+    return chosen.select(*[F.col(f"__row.`{c}`") if c != key else F.col(c) for c in table.columns])
+
+
+def apply_offsets(catalog: DataFrame, offsets: DataFrame, tile: str = "tile", repeated: str = "stop") -> DataFrame:
     """Corrected catalog of all tiles in one job, led by ``ra_point`` and ``dec_point``.
 
-    Sources of a tile that has no offsets are left out; ``dropped_tiles`` lists them.
+    Sources of a tile that has no offsets are left out; ``dropped_tiles`` lists them. A tile with two different rows of
+    offsets stops the job, or by ``repeated='least'`` has the least of them: no source comes out twice.
     """
-    table = offsets.select(F.col("tile").alias(tile), *CORRECTIONS.values())
+    table = one_per_key(offsets.select(F.col("tile").alias(tile), *CORRECTIONS.values()), tile, repeated)
     joined = lookup_join(catalog, table, [tile])
     corrected = joined.withColumns(
         {c: (F.col(c) + F.col(offset)).cast(CATALOG_TYPES[c]) for c, offset in CORRECTIONS.items()}

@@ -22,15 +22,11 @@ from pyspark.sql import functions as F
 from almagest.functions import geometry as geo
 from almagest.functions.cells import FINEST, PlaneGrid, RadiusClasses, least_class, padded, radius_class
 from almagest.functions.coords import haversine_limit, haversine_square
-from almagest.functions.s2 import S2Cells
 from almagest.operators.occurring import KEY_BYTES, with_occurring_keys
+from almagest.operators.ranges import in_ranges, overlaps_ranges, touched_ranges
 from almagest.operators.skew import BROADCAST_BYTES, PAIR_TARGET, hot_buckets, salted_join, total_bytes, with_place
 from almagest.schema import CATALOG_COLUMNS, as_strings
 
-# Up to this many points, the distinct stored cells of their circles are also sent to the scan.
-SCAN_POINTS = 256
-SCAN_CELLS = 512
-
 QUERY = "query_"
 
 
@@ -122,7 +118,7 @@ def cone_pairs(
     ``metric='great_circle'`` measures on the sphere, with the wrap at 0/360 and the poles.
     Points whose radius is null, negative or NaN match nothing; a negative number is an error, and so is a radius without bound.
     ``index`` defaults to grids whose cells follow from the radii, one per class of radii that occurs. Stored
-    S2 cells prune the scan and, in the cell-partitioned layout, the folders; the join is on the grid.
+    S2 cells prune the scan and, in the cell-partitioned layout, the folders, for any number of points; the join is on the grid.
     ``strategy='auto'`` broadcasts the point side when it measures small, ``'shuffle'`` always deals both sides.
     ``weight`` names a catalog column that counts copies; copies are then merged before a shuffle.
     """
@@ -136,21 +132,15 @@ def cone_pairs(
         raise ValueError(f"unknown strategy {strategy!r}")
 
     facts = cell_facts(catalog, x, y)
-    keys = ["__cell"]
     if index is None:
         index = RadiusClasses(profile.classes, metric)
-        keys = [*index.keys, "__cell"]
+    keys = [*getattr(index, "keys", ()), "__cell"]
     placed = catalog.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    placed = _scan_filters(placed, query, reach, profile, widest, metric, facts, x, y)
     located = index.with_cell(placed, "__cell", x, y)
     cover = index.explode_cover(query, reach, "__cell", QUERY + x, QUERY + y)
-    if "s2_parent" in facts and "partition_id" in catalog.columns:
-        # A catalog row has one grid cell and one folder: with both as keys a pair still meets once.
-        cover = S2Cells(facts["s2_parent"]).explode_cover(cover, reach, "partition_id", QUERY + x, QUERY + y)
-        keys = ["partition_id", *keys]
 
     if strategy == "auto" and profile.size * index.cover_bound(widest) <= BROADCAST_BYTES:
-        stored = S2Cells(facts["s2_level"]) if facts.get("stored") and "s2_level" in facts else None
-        located = _scan_filters(located, query, reach, profile, widest, metric, stored, x, y)
         joined = located.join(F.broadcast(cover), keys)
     else:
         joined = _shuffled(located, cover, keys, weight, pair_target)
@@ -182,22 +172,26 @@ def _scan_filters(
     profile: Profile,
     radius: float,
     metric: str,
-    stored: S2Cells | None,
+    facts: dict,
     x: str,
     y: str,
 ) -> DataFrame:
-    """Filters that follow from the join, stated early so that they reach the Parquet reader."""
+    """Filters that follow from the join, stated early so that they reach the Parquet reader.
+
+    The points' box, and for stored cells the ranges of ids that their circles touch: on cells for row groups, on folders
+    of the cell-partitioned layout. Ranges go around the poles and across 0/360 as the cells do.
+    """
     if not profile.rows:
         return catalog.where(F.lit(False))
     r = padded(radius)
     catalog = catalog.where(F.col(y).between(profile.y[0] - r, profile.y[1] + r))
     if metric == "planar":
         catalog = catalog.where(F.col(x).between(profile.x[0] - r, profile.x[1] + r))
-    if stored and profile.rows <= SCAN_POINTS and profile.rows * stored.cover_bound(radius) <= SCAN_POINTS * SCAN_CELLS:
-        cover = stored.explode_cover(query, reach, "cell_id", QUERY + x, QUERY + y)
-        cells = [row[0] for row in cover.select("cell_id").distinct().limit(SCAN_CELLS + 1).collect()]
-        if len(cells) <= SCAN_CELLS:
-            catalog = catalog.where(F.col("cell_id").isin(cells))
+    if facts.get("stored") and "s2_level" in facts:
+        ranges = touched_ranges(query, reach, facts["s2_level"], QUERY + x, QUERY + y, profile.rows)
+        catalog = catalog.where(in_ranges("cell_id", ranges))
+        if "s2_parent" in facts and "partition_id" in catalog.columns:
+            catalog = catalog.where(overlaps_ranges("partition_id", ranges))
     return catalog
 
 
@@ -235,8 +229,8 @@ def cell_match(catalog: DataFrame, points: DataFrame, radius: float, **options)
 def hybrid_match(catalog: DataFrame, points: DataFrame, radius: float, **options) -> DataFrame:
     """``cone_match`` over the cell-partitioned layout, with repeated query points counted once.
 
-    The catalog must carry ``partition_id`` and ``cell_id``; the join is on both, and the points'
-    partitions prune the folders that are read.
+    The catalog must carry ``partition_id`` and ``cell_id``; ranges of ids that the circles touch prune the
+    folders that are read, of whatever level they are, and the row groups in them.
     """
     if "s2_parent" not in cell_facts(catalog) or "partition_id" not in catalog.columns:
         raise ValueError("not a cell-partitioned catalog: partition_id and cell_id with S2 levels needed")

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from almagest.functions import geometry as geo
 from almagest.functions.cells import PlaneGrid, SphereGrid
 from almagest.functions.coords import parse_lon_lat, sky_to_lon_lat, with_point_columns
-from almagest.functions.s2 import QUADRANT_AT, ORIENTATION_CHANGE, S2Cells, s2_parent, with_s2_cell
+from almagest.functions.s2 import QUADRANT_AT, ORIENTATION_CHANGE, S2Cells, S2Covering, s2_parent, with_s2_cell
 from almagest.functions.geohash import ALPHABET, with_geohash
 from almagest.operators.calibrate import apply_offsets, dropped_tiles, union_tiles
+from almagest.operators.match import cone_pairs
 from almagest.operators.stats import (
     cover_expansion,
     density,
@@ -40,16 +41,20 @@ from almagest.queries import sky
 from almagest.schema import CATALOG_COLUMNS, CATALOG_TYPES, OFFSET_COLUMNS, OFFSET_TYPES, typed_catalog
 from almagest.session import work_folder
 from almagest.sources.tables import (
+    add_tiles,
     attach_catalog,
     read_catalog_csv,
     read_csv,
     read_offsets_csv,
+    read_tile_folders,
+    tile_manifest,
+    unfinished_tiles,
     write_by_tile,
     write_csv,
     write_small_csv,
     write_text_csv,
 )
-from almagest.sources.tiles import is_rejected, read_catalog_tiles, renamed_file, tile_of
+from almagest.sources.tiles import is_rejected, read_catalog_tiles, rejected_rows, renamed_file, tile_of
 
 TYPES = {**CATALOG_TYPES, **OFFSET_TYPES, "ra_point": "double", "dec_point": "double"}
 
@@ -128,6 +133,86 @@ def offset_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(read_offsets_csv(spark, csv))
 
 
+# Every so many keys a row of the tiles has a field less, a field more, or a position that is no number.
+SHORT, LONG, BROKEN = 97, 89, 83
+HEAD_LINES = 5
+
+
+def _damaged_tiles(spark: SparkSession, sf_dir: str) -> str:
+    """Tile text with rows that do not fit their header, each tile one file in order of the keys."""
+    path = work_folder(spark, "ragged")
+    key = F.col("source_id").cast("bigint")
+    raw = sky.raw_catalog(spark, sf_dir).withColumn("dec", F.when(key % BROKEN == 0, "n/a").otherwise(F.col("dec")))
+    fields = F.array(*CATALOG_COLUMNS)
+    kept = F.when(key % SHORT == 0, F.slice(fields, 1, len(CATALOG_COLUMNS) - 1)).when(key % LONG == 0, F.concat(fields, F.array(F.lit("9")))).otherwise(fields)
+    rows = raw.select("tile", key.alias("place"), F.array_join(kept, " ").alias("value"))
+    names = [[n.upper() for n in CATALOG_COLUMNS], ["char"] * 20, ["--"] * 20, ["null"] * 20]
+    head = ["\\ made tile", *["| " + " | ".join(line) + " |" for line in names]]
+    heads = raw.select("tile").distinct().select("tile", F.posexplode(F.array(*[F.lit(line) for line in head])).alias("place", "value"))
+    lines = heads.select("tile", (F.col("place") - HEAD_LINES).cast("bigint").alias("place"), "value").unionByName(rows)
+    ordered = lines.repartition("tile").sortWithinPartitions("tile", "place").select("tile", "value")
+    ordered.write.mode("overwrite").partitionBy("tile").text(path)
+    return path
+
+
+TILE_FOLDER = r"tile=([^/]+)/"
+
+
+def tile_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which lines of which tiles cannot be read as they stand, and why."""
+    found = rejected_rows(spark, _damaged_tiles(spark, sf_dir), CATALOG_TYPES, files="*.txt")
+    return found.select(
+        tile_of(F.col("file_path"), TILE_FOLDER).alias("tile"), "line", "reason", F.split("value", " ")[1].cast("bigint").alias("source_id")
+    )
+
+
+def tile_rejects_sql() -> str:
+    k = "o_orderkey"
+    reason = f"CASE WHEN {k} % {SHORT} = 0 THEN 'too few fields' WHEN {k} % {LONG} = 0 THEN 'too many fields' WHEN {k} % {BROKEN} = 0 THEN 'dec does not parse' END"
+    line = f"row_number() OVER (PARTITION BY o_custkey % {sky.TILES} ORDER BY {k}) + {HEAD_LINES}"
+    return (
+        f"SELECT * FROM (SELECT CAST(o_custkey % {sky.TILES} AS VARCHAR) AS tile, {line} AS line, {reason} AS reason, {k} AS source_id FROM orders) "
+        "WHERE reason IS NOT NULL"
+    )
+
+
+def tile_whole_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same tiles without their ragged rows; a position that is no number is NULL."""
+    path = _damaged_tiles(spark, sf_dir)
+    return _plain(read_catalog_tiles(spark, path, files="*.txt", tile_pattern=TILE_FOLDER, ragged="reject"))
+
+
+def tile_whole_rows_sql() -> str:
+    columns = [f'CASE WHEN CAST(source_id AS BIGINT) % {BROKEN} <> 0 THEN "dec" END AS "dec"' if c == "dec" else f'"{c}"' for c in TILED]
+    return _plain_sql(
+        TILED, f"SELECT {', '.join(columns)} FROM ({sky.catalog_sql()}) WHERE CAST(source_id AS BIGINT) % {SHORT} <> 0 AND CAST(source_id AS BIGINT) % {LONG} <> 0"
+    )
+
+
+def _batched_tiles(spark: SparkSession, sf_dir: str) -> str:
+    """Tiles written in two batches, the second first with wrong rows, then again."""
+    path = work_folder(spark, "batches")
+    catalog = sky.catalog(spark, sf_dir)
+    odd = F.col("tile").cast("int") % 2 == 1
+    # What an earlier run of this query left is replaced as well: no tile is ever doubled.
+    add_tiles(catalog.where(~odd), path)
+    add_tiles(catalog.where(odd).withColumn("w1flg", F.lit(99)), path)
+    for _ in range(2):
+        add_tiles(catalog.where(odd), path)
+    return path
+
+
+def tile_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(read_tile_folders(spark, _batched_tiles(spark, sf_dir)))
+
+
+def tile_batch_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles and their sources by the manifest, and whether the rows are those it was written for."""
+    path = _batched_tiles(spark, sf_dir)
+    wrong = unfinished_tiles(spark, path).withColumn("wrong", F.lit(True))
+    return tile_manifest(spark, path).join(wrong, "tile", "left").select("tile", "sources", F.col("wrong").isNull().alias("finished"))
+
+
 def ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tile text and offset CSV to the corrected primary catalog."""
     path, csv = work_folder(spark, "raw"), work_folder(spark, "offsets")
@@ -141,6 +226,14 @@ def tile_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(apply_offsets(sky.catalog(spark, sf_dir), sky.offsets(spark, sf_dir)))
 
 
+def tile_offsets_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An offset table that has some tiles twice: each source comes out once, with the least row of its tile."""
+    offsets = sky.offsets(spark, sf_dir)
+    moved = offsets.where(F.col("tile").cast("int") % 3 == 0).withColumn("offsetra", F.col("offsetra") + 1)
+    same = offsets.where(F.col("tile").cast("int") % 3 == 1)
+    return _plain(apply_offsets(sky.catalog(spark, sf_dir), moved.unionByName(offsets).unionByName(same), repeated="least"))
+
+
 PRIMARY = ["ra_point", "dec_point", *TILED]
 
 
@@ -296,6 +389,65 @@ def hybrid_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# A folder of this many sources at most, where the deepest level lets it.
+DENSE_ROWS = 400
+DENSE = {"coarse": 2, "deepest": 5, "folder_rows": DENSE_ROWS}
+
+
+def density_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders that follow density: cells of levels 2 to 5, each as large as its number of sources lets it be."""
+    path = work_folder(spark, "density")
+    # Half the sources in a sixtieth of the sky.
+    primary = _skewed_primary(spark, sf_dir)
+    write_hybrid(hybrid_layout(primary.unionByName(primary), **DENSE), path)
+    return attach_catalog(spark, path).groupBy("partition_id").agg(
+        F.count(F.lit(1)).alias("sources"), F.countDistinct("cell_id").alias("cells")
+    )
+
+
+def _skewed_primary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("source_id").cast("bigint")
+    ra = F.when(key % 2 == 0, F.expr("((bigint(source_id) * 7919) % 3600000) / 10000e0")).otherwise(F.expr("((bigint(source_id) * 7919) % 600000) / 10000e0"))
+    dec = F.when(key % 2 == 0, F.expr("((bigint(source_id) * 104729) % 1800001) / 10000e0 - 90e0")).otherwise(F.expr("((bigint(source_id) * 104729) % 180001) / 10000e0"))
+    moved = typed_catalog(sky.raw_catalog(spark, sf_dir)).withColumns({"ra": ra, "dec": dec})
+    return with_point_columns(moved.select(*CATALOG_COLUMNS))
+
+
+def skewed_sql() -> str:
+    near = "o_orderkey % 2 = 0"
+    return (
+        "SELECT source_id, ra - 180e0 AS lon, \"dec\" AS lat FROM (SELECT o_orderkey AS source_id, "
+        f"CASE WHEN {near} THEN ((o_orderkey * 7919) % 3600000) / 10000e0 ELSE ((o_orderkey * 7919) % 600000) / 10000e0 END AS ra, "
+        f"CASE WHEN {near} THEN ((o_orderkey * 104729) % 1800001) / 10000e0 - 90e0 ELSE ((o_orderkey * 104729) % 180001) / 10000e0 END AS \"dec\" FROM orders)"
+    )
+
+
+def density_folders_sql() -> str:
+    parent = lambda level: f"((cell_id & {-(2 << (60 - 2 * level))}) | {1 << (60 - 2 * level)})"
+    # Every source is held twice, and counted so, until equal rows merge.
+    counts = ", ".join(f"2 * count(*) OVER (PARTITION BY {parent(n)}) AS n{n}" for n in range(2, 5))
+    folder = " ".join(f"WHEN n{n} <= {DENSE_ROWS} THEN {parent(n)}" for n in range(2, 5))
+    return (
+        f"SELECT partition_id, count(*) AS sources, count(DISTINCT cell_id) AS cells FROM (SELECT cell_id, CASE {folder} ELSE {parent(5)} END AS partition_id "
+        f"FROM (SELECT cell_id, {counts} FROM ({s2_sql(9, skewed_sql())}))) GROUP BY partition_id"
+    )
+
+
+def density_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches over folders of several levels; the circles are wider than some folders and smaller than others."""
+    path = work_folder(spark, "density-search")
+    write_hybrid(hybrid_layout(_skewed_primary(spark, sf_dir), **DENSE), path)
+    pairs = cone_pairs(attach_catalog(spark, path), sky.points(spark, sf_dir, True), 1.5)
+    return pairs.select(F.col("source_id").cast("bigint").alias("source_id"), F.col("query_point_id").alias("point_id"))
+
+
+def density_search_sql() -> str:
+    return (
+        f"WITH c AS ({skewed_sql()}), p AS ({sky.positions_sql('customer', 'point_id', True)}) "
+        f"SELECT c.source_id, p.point_id FROM c, p WHERE {sky.disc_sql(1.5)}"
+    )
+
+
 def mercator(spark: SparkSession, sf_dir: str) -> DataFrame:
     layer = projected_layout(sky.sources(spark, sf_dir, True))
     return layer.select("source_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
@@ -364,6 +516,59 @@ def s2_expansion_sql() -> str:
     )
 
 
+MIXED = S2Covering((4, 5), steps=1)
+
+
+def mixed_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cover statistics of cells of two levels: whole ones of level 4 inside a circle, those of level 5 at its rim."""
+    stats = cover_expansion(sky.points(spark, sf_dir, True), MIXED_RADIUS, MIXED)
+    return stats.withColumn("relative_diff", F.round("relative_diff", 9))
+
+
+MIXED_RADIUS = 1.5
+
+
+def mixed_expansion_sql() -> str:
+    """Every cell of level 4 against every point, and those not inside the circle again as their four parts."""
+    sin = f"sin(radians({MIXED_RADIUS}e0 * (1 + 1e-9) + 1e-12))"
+    limit = f"radians({MIXED_RADIUS}e0 * (1 + 1e-9) + 1e-12)"
+
+    def face_coordinate(s: str) -> str:
+        return f"CASE WHEN {s} >= 0.5 THEN (4 * {s} * {s} - 1) / 3 ELSE (1 - 4 * (1 - {s}) * (1 - {s})) / 3 END"
+
+    def bounds(size: int) -> str:
+        ends = (("u0", "i"), ("u1", "i + 1"), ("v0", "j"), ("v1", "j + 1"))
+        return ", ".join(f"{face_coordinate(f'(({k}) / {size}e0)')} AS {name}" for name, k in ends)
+
+    corners = [f"acos(least(1e0, (n + {a} * p + {b} * q) / sqrt(1 + {a} * {a} + {b} * {b}))) <= {limit}" for a in ("u0", "u1") for b in ("v0", "v1")]
+    tests = ["n > 0 AND p / n BETWEEN u0 AND u1 AND q / n BETWEEN v0 AND v1", *corners]
+    for own, other, lines, ends in (("p", "q", ("u0", "u1"), ("v0", "v1")), ("q", "p", ("v0", "v1"), ("u0", "u1"))):
+        for line in lines:
+            foot = f"((n + {line} * {own}) / (1 + {line} * {line}))"
+            tests.append(
+                f"abs({own} - {line} * n) / sqrt(1 + {line} * {line}) <= {sin} AND {foot} > 0 AND {other} / {foot} BETWEEN {ends[0]} AND {ends[1]}"
+            )
+    meets = f"({') OR ('.join(tests)})"
+    axes = {"n": "x,y,z,-x,-y,-z", "p": "y,-x,-x,-z,-z,y", "q": "z,z,-y,-y,x,x"}
+    points = (
+        "SELECT point_id, cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, "
+        f"sin(radians(lat)) AS z FROM (SELECT DISTINCT ON (lon, lat) * FROM ({sky.positions_sql('customer', 'point_id', True)}))"
+    )
+    faces = f"SELECT point_id, face, {', '.join(f'([{values}])[face + 1] AS {name}' for name, values in axes.items())} FROM ({points}), (SELECT unnest(range(6)) AS face)"
+    # A cell of level 4 is met only on faces that the point's direction comes near.
+    large = f"SELECT *, {bounds(16)} FROM ({faces}), (SELECT unnest(range(16)) AS i), (SELECT unnest(range(16)) AS j)"
+    met = f"SELECT point_id, face, n, p, q, i, j, {' AND '.join(corners)} AS inside FROM ({large}) WHERE {meets}"
+    small = (
+        f"SELECT *, {bounds(32)} FROM (SELECT point_id, face, n, p, q, 2 * i + a AS i, 2 * j + b AS j FROM m, (SELECT unnest(range(2)) AS a), "
+        "(SELECT unnest(range(2)) AS b) WHERE NOT inside)"
+    )
+    return (
+        f"WITH m AS ({met}), s AS (SELECT count(*) AS k FROM ({small}) WHERE {meets}), l AS (SELECT count(*) AS k FROM m WHERE inside), "
+        "n AS (SELECT count(*) AS n FROM customer) "
+        "SELECT n AS original_count, l.k + s.k AS new_count, round(CAST(l.k + s.k AS DOUBLE) / n, 9) AS relative_diff FROM n, l, s"
+    )
+
+
 def sphere_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cover statistics of the zone grid that serves the great-circle search."""
     stats = cover_expansion(sky.points(spark, sf_dir, True), 1.0, SphereGrid(2.0))
@@ -511,6 +716,14 @@ QUERIES = {
     "tile_names": (tile_names, TILE_NAMES),
     "typed_catalog": (typed, _plain_sql(TILED, sky.catalog_sql())),
     "tile_text": (tile_text, _plain_sql(TILED, sky.catalog_sql())),
+    "tile_rejects": (tile_rejects, tile_rejects_sql()),
+    "tile_whole_rows": (tile_whole_rows, tile_whole_rows_sql()),
+    "tile_batches": (tile_batches, _plain_sql(TILED, sky.catalog_sql())),
+    "tile_batch_manifest": (tile_batch_manifest, f"SELECT tile, count(*) AS sources, true AS finished FROM ({sky.catalog_sql()}) GROUP BY tile"),
+    "tile_offsets_repeated": (tile_offsets_repeated, _corrected_sql()),
+    "density_folders": (density_folders, density_folders_sql()),
+    "density_search": (density_search, density_search_sql()),
+    "cover_expansion_mixed": (mixed_expansion, mixed_expansion_sql()),
     "offset_text": (offset_text, _plain_sql(OFFSET_COLUMNS, sky.offsets_sql())),
     "ingest": (ingest, _corrected_sql()),
     "tile_offsets": (tile_offsets, _corrected_sql()),

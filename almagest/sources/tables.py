@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from almagest.operators.skew import row_spread
 from almagest.schema import CATALOG_COLUMNS, OFFSET_COLUMNS, as_strings, string_struct, typed_catalog, typed_offsets
@@ -50,6 +52,88 @@ def write_by_tile(df: DataFrame, path: str, tile: str = "tile") -> None:
     df.hint("rebalance", tile).write.mode("overwrite").partitionBy(tile).parquet(path)
 
 
+# Folder beside the tiles that holds one row per tile; readers of the tiles pass over names that begin so.
+MANIFEST = "_manifest"
+
+
+def tile_facts(df: DataFrame, tile: str = "tile") -> DataFrame:
+    """(tile, sources, digest) per tile; the digest is of its rows in any order."""
+    columns = [F.col(f"`{c}`") for c in sorted(c for c in df.columns if c != tile)]
+    digest = F.sum(F.xxhash64(*columns).cast("decimal(20,0)")).cast("string")
+    return df.groupBy(F.col(tile).cast("string").alias("tile")).agg(F.count(F.lit(1)).alias("sources"), digest.alias("digest"))
+
+
+def add_tiles(df: DataFrame, path: str, tile: str = "tile") -> None:
+    """Adds a batch of tiles to those written below ``path``: a tile that is there already is replaced, others stay.
+
+    The manifest is written last, from what was written: a batch that broke off has tiles that it lacks or that do not fit
+    it (``unfinished_tiles``). Running the batch again mends that, however often.
+    """
+    names = [row["tile"] for row in df.select(F.col(tile).cast("string").alias("tile")).distinct().collect()]
+    _replace_tiles(df, path, tile, names)
+
+
+def _replace_tiles(df: DataFrame, path: str, tile: str, names: list[str]) -> None:
+    if None in names:
+        raise ValueError("rows without a tile belong to no folder")
+
+    def replace(rows: DataFrame, to: str) -> None:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tile").parquet(to)
+
+    batch = df.withColumn("tile", F.col(tile).cast("string"))
+    replace((batch if tile == "tile" else batch.drop(tile)).hint("rebalance", "tile"), path)
+    written = read_tile_folders(df.sparkSession, path).where(F.col("tile").isin(names))
+    replace(tile_facts(written).coalesce(1), f"{path.rstrip('/')}/{MANIFEST}")
+
+
+def read_tile_folders(spark: SparkSession, path: str) -> DataFrame:
+    """Tiles written by ``add_tiles`` or ``write_by_tile``, the tile as text whatever its name looks like."""
+    frame = spark.read.parquet(path)
+    typed = frame.schema["tile"].dataType.simpleString()
+    if typed == "string":
+        return frame
+    # Types of folder names are guessed ("007" is a number); the stated schema keeps them as they are.
+    schema = T.StructType([T.StructField("tile", T.StringType()) if f.name == "tile" else f for f in frame.schema.fields])
+    return spark.read.schema(schema).parquet(path)
+
+
+def tile_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(tile, sources, digest) of every tile whose batch was finished."""
+    return read_tile_folders(spark, f"{path.rstrip('/')}/{MANIFEST}").select("tile", "sources", "digest")
+
+
+def unfinished_tiles(spark: SparkSession, path: str) -> DataFrame:
+    """Tiles that the manifest lacks, or whose rows are not those it was written for; only the tiles' ids and digests are shuffled."""
+    found = tile_facts(read_tile_folders(spark, path))
+    same = ["tile", "sources", "digest"]
+    return found.join(tile_manifest(spark, path), same, "left_anti").select("tile").unionByName(
+        tile_manifest(spark, path).join(found, "tile", "left_anti").select("tile")
+    )
+
+
+def write_in_batches(df: DataFrame, path: str, size: int = 50, tile: str = "tile", again: bool = False) -> list[list[str]]:
+    """Writes the tiles of ``df`` in batches of ``size``, in order of their names; returns the batches.
+
+    Tiles that the manifest has already are passed over unless ``again`` is set, so a run that broke off goes on
+    where it stopped. The list of tiles comes to the driver: one short text per tile.
+    """
+    spark = df.sparkSession
+    name = F.col(tile).cast("string")
+    names = sorted(row["tile"] for row in df.select(name.alias("tile")).where("tile IS NOT NULL").distinct().collect())
+    if not again:
+        try:
+            done = {row["tile"] for row in tile_manifest(spark, path).select("tile").collect()}
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            done = set()
+        names = [n for n in names if n not in done]
+    batches = [names[k : k + size] for k in range(0, len(names), size)]
+    for batch in batches:
+        _replace_tiles(df.where(name.isin(batch)), path, tile, batch)
+    return batches
+
+
 def write_clustered(df: DataFrame, path: str, key: str, partitions: int | None = None) -> None:
     """Parquet in global order of ``key``, so that row-group statistics prune on it.
 

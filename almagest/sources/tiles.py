@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from almagest.operators.skew import BROADCAST_BYTES, total_bytes
@@ -69,6 +69,16 @@ def tile_lines(spark: SparkSession, path: str | list[str], files: str = "*.tbl*"
     )
 
 
+def _fields(value: Column) -> Column:
+    return F.split(F.trim(value, F.lit(WHITE_SPACE)), r"\s+")
+
+
+def _with_heads(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """Rows with what is known of their file, if anything: one small row per file, sent along when it measures small."""
+    size = heads.agg(total_bytes(heads).alias("size")).first()["size"]
+    return rows.join(F.broadcast(heads) if size <= BROADCAST_BYTES else heads, "file_path", "left")
+
+
 def read_tiles(
     spark: SparkSession,
     path: str | list[str],
@@ -76,13 +86,17 @@ def read_tiles(
     files: str = "*.tbl*",
     tile_pattern: str | None = None,
     wanted: Sequence[str] | None = None,
+    ragged: str = "stop",
 ) -> DataFrame:
     """All tile files below ``path``: every wanted column as text, by each file's own names line, then ``tile``.
 
     Plain and gzip files are read alike. A file may have several header lines and its columns in any order; one with
-    rows but without a names line stops the job. Without ``wanted``, the columns are those of the first
+    rows but without a names line stops the job. A row with more or fewer fields than its file has names stops the
+    job as well; with ``ragged='reject'`` both are left to ``rejected_rows``. Without ``wanted``, the columns are those of the first
     names line by text, and every file must have them. Headers are looked up in one pass over the files.
     """
+    if ragged not in ("stop", "reject"):
+        raise ValueError(f"unknown rule {ragged!r} for ragged rows")
     lines = tile_lines(spark, path, files)
     if wanted is None:
         first = tile_headers(lines).agg(F.min("names").alias("names")).first()["names"]
@@ -91,18 +105,53 @@ def read_tiles(
         wanted = list(first)
     heads = tile_headers(lines, wanted)
     places = F.transform(F.array(*[F.lit(c) for c in wanted]), lambda c: (F.array_position("names", c) - 1).cast("int"))
-    heads = heads.select("file_path", places.alias("places"))
-    fields = F.split(F.trim(F.col("value"), F.lit(WHITE_SPACE)), r"\s+")
-    rows = lines.where(_is_data(F.col("value"))).select(fields.alias("fields"), "file_path")
-    # One small row per file: sent along when it measures small.
-    size = heads.agg(total_bytes(heads).alias("size")).first()["size"]
-    found = rows.join(F.broadcast(heads) if size <= BROADCAST_BYTES else heads, "file_path", "left")
-    stop = F.raise_error(F.concat(F.lit("no names line in tile file "), "file_path")).cast("array<int>")
-    found = found.withColumn("places", F.coalesce("places", stop))
+    heads = heads.select("file_path", places.alias("places"), F.size("names").alias("names"))
+    rows = lines.where(_is_data(F.col("value"))).select(_fields(F.col("value")).alias("fields"), "file_path")
+    found = _with_heads(rows, heads)
+    stop = lambda what, kind: F.raise_error(F.concat(F.lit(f"{what} in tile file "), "file_path")).cast(kind)
+    whole = F.size("fields") == F.col("names")
+    if ragged == "reject":
+        found = found.where(whole)
+    else:
+        ragged_row = stop("a row with too few or too many fields", "array<int>")
+        no_names = stop("no names line", "array<int>")
+        found = found.withColumn("places", F.when(whole, F.col("places")).when(F.col("names").isNull(), no_names).otherwise(ragged_row))
     tile = tile_of(F.col("file_path"), tile_pattern) if tile_pattern else tile_of(F.col("file_path"))
     return found.select(*[F.get("fields", F.get("places", F.lit(n))).alias(name) for n, name in enumerate(wanted)], tile.alias("tile"))
 
 
+def rejected_rows(
+    spark: SparkSession, path: str | list[str], types: Mapping[str, str], *, files: str = "*.tbl*", null: str = "null"
+) -> DataFrame:
+    """Rows of tile files that cannot be read as they stand: file_path, line (from 1), reason, value (the line).
+
+    Reasons: ``no names line`` (the file has none with all columns of ``types``), ``too few fields``, ``too many fields``, and
+    ``<column> does not parse`` for the first column, in the order of ``types``, whose text is neither of its type nor ``null``. The last kind is
+    still read, with NULL there. Lines are counted per part of a file that one task reads, and the parts' counts added up, so
+    large files are read in parallel.
+    """
+    place = "_metadata.file_block_start"
+    raw = (
+        spark.read.option("pathGlobFilter", files).option("recursiveFileLookup", "true").text(path)
+        .where(~is_rejected(F.col("_metadata.file_name")))
+        .select("value", F.col("_metadata.file_path").alias("file_path"), F.col(place).alias("block"), F.monotonically_increasing_id().alias("id"))
+    )
+    before = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = raw.groupBy("file_path", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("lines"))
+    blocks = blocks.select("file_path", "block", "first", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("above"))
+    heads = tile_headers(raw.select("value", "file_path"), list(types)).select("file_path", "names")
+    rows = _with_heads(raw.where(_is_data(F.col("value"))).withColumn("fields", _fields(F.col("value"))), heads)
+    more = F.size("fields") - F.size("names")
+    text = lambda c: F.get("fields", (F.array_position("names", c) - 1).cast("int"))
+    broken = [F.when((text(c) != null) & text(c).try_cast(kind).isNull(), F.lit(f"{c} does not parse")) for c, kind in types.items()]
+    reason = (
+        F.when(F.col("names").isNull(), "no names line").when(more < 0, "too few fields").when(more > 0, "too many fields").otherwise(F.coalesce(*broken))
+    )
+    found = rows.withColumn("reason", reason).where(F.col("reason").isNotNull())
+    line = F.col("id") - F.col("first") + F.col("above") + 1
+    return found.join(blocks, ["file_path", "block"]).select("file_path", line.alias("line"), "reason", "value")
+
+
 def read_catalog_tiles(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
     """The twenty typed catalog columns of all tiles, then ``tile``."""
     return typed_catalog(read_tiles(spark, path, wanted=CATALOG_COLUMNS, **options), keep=["tile"])

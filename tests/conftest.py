@@ -58,3 +58,23 @@ def sphere_distance(a, d, b, e):
 def plan_text(df):
     """Physical plan as Spark prints it."""
     return df._jdf.queryExecution().toString()
+
+
+def executed(df):
+    """Nodes of the plan that ran, as (class name, node)."""
+
+    def walk(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(node.plan())
+        below = node.children()
+        return [(name, node)] + [n for k in range(below.size()) for n in walk(below.apply(k))]
+
+    df.collect()
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def metric(node, name):
+    return node.metrics().apply(name).value()

@@ -1,4 +1,6 @@
 import gzip
+import random
+import re
 from decimal import Decimal
 
 import pytest
@@ -11,10 +13,12 @@ from almagest.functions.coords import with_lon_lat, with_point_columns
 from almagest.operators import calibrate, match, stats
 from almagest.plans import experiments, ingest, layouts
 from almagest.functions.cells import PlaneGrid
+from almagest.functions.s2 import S2Covering, covering_bound, explode_s2_cover, explode_s2_covering
+from almagest.operators.ranges import united
 from almagest.session import work_folder
 from almagest.sources import points as point_sources
 from almagest.sources import tables, tiles
-from conftest import pair_ids, plan_text
+from conftest import executed, metric, pair_ids, plan_text
 
 COLUMNS = schema.CATALOG_COLUMNS
 
@@ -174,8 +178,7 @@ def test_hybrid_layout_prunes_folders(spark, primary, few_points, tmp_path):
     assert catalog.schema["cell_id"].metadata == {"s2_level": 9, "s2_parent": 4, "x": "lon", "y": "lat", "stored": True}
     matches = match.hybrid_match(catalog, few_points, 0.01)
     assert matches.count() == 4
-    text = plan_text(matches)
-    assert "dynamicpruning" in text and "BroadcastHashJoin" in text
+    assert "BroadcastHashJoin" in plan_text(matches) and 1 <= scanned(matches)["numPartitions"] <= 16 < len(list((tmp_path / "h").glob("partition_id=*")))
     shuffled = match.cone_pairs(catalog, few_points, 0.01, strategy="shuffle", pair_target=1)
     assert shuffled.count() == 4
 
@@ -188,7 +191,8 @@ def test_cell_layout_filters_reach_the_scan(spark, primary, few_points, tmp_path
     pairs = match.cone_pairs(catalog, few_points, 0.01)
     assert pairs.count() == 4
     scan = plan_text(pairs.select("source_id"))
-    assert "GreaterThanOrEqual(lat" in scan and "cell_id#" in scan and " IN (" in scan
+    assert "GreaterThanOrEqual(lat" in scan and re.search(r"cell_id#\d+L >= -?\d", scan)
+    assert scanned(pairs)["numOutputRows"] < 1200
     assert "w1mag" not in scan.split("ReadSchema")[-1]
     ranges = [
         spark.read.parquet(str(f)).agg(F.min("cell_id"), F.max("cell_id")).first()
@@ -274,9 +278,193 @@ def test_projected_search_leaves_stored_cells_alone(spark, primary, few_points,
     assert match.cone_pairs(layer, points, 1500.0, x="x", y="y").count() == match.cone_pairs(layouts.plain_layout(primary).transform(layouts.projected_layout), points, 1500.0, x="x", y="y").count() > 0
 
 
-def test_one_shuffle_in_the_hybrid_layout(primary):
-    text = plan_text(layouts.hybrid_layout(primary))
-    assert text[text.index("== Physical Plan ==") :].count("Exchange") == 1
+@pytest.mark.parametrize("deepest", [None, 6])
+def test_one_shuffle_of_the_sources_in_the_hybrid_layout(primary, deepest):
+    text = plan_text(layouts.hybrid_layout(primary, deepest=deepest))
+    physical = text[text.index("== Physical Plan ==") :]
+    # The others are of counts per cell.
+    assert physical.count("Exchange hashpartitioning(partition_id") == 1 and physical.count("w1mag") > 0
+    assert all("w1mag" not in part.split("Exchange")[0] for part in physical.split("BroadcastExchange")[1:])
+
+
+def scanned(df):
+    """Folders, files and rows that the scan of a written catalog has read."""
+    scans = [node for name, node in executed(df) if name == "FileSourceScanExec"]
+    assert len(scans) == 1
+    return {n: metric(scans[0], n) for n in ("numPartitions", "numFiles", "numOutputRows") if scans[0].metrics().contains(n)}
+
+
+@pytest.fixture(scope="module")
+def skewed(spark, primary):
+    """The band, and a hundred times as many sources in one patch of it."""
+    rng = random.Random(51)
+    rows = [catalog_row(5000 + n, 30 + rng.uniform(0, 1.5), rng.uniform(0, 1.5)) for n in range(6000)]
+    rows += [catalog_row(20_000 + n, 33.0, 0.5) for n in range(500)]
+    frame = spark.createDataFrame(rows, schema.string_struct(COLUMNS))
+    return primary.unionByName(with_point_columns(schema.typed_catalog(frame)))
+
+
+def test_folders_follow_density(spark, skewed, tmp_path):
+    target = 200
+    sizes = {}
+    for name, deepest in (("even", None), ("dense", 9)):
+        layouts.write_hybrid(layouts.hybrid_layout(skewed, coarse=4, deepest=deepest, folder_rows=target), str(tmp_path / name))
+        catalog = tables.attach_catalog(spark, str(tmp_path / name))
+        assert catalog.count() == 7700
+        sizes[name] = {r["partition_id"]: r["count"] for r in catalog.groupBy("partition_id").count().collect()}
+    assert catalog.schema["cell_id"].metadata["s2_deepest"] == 9
+    level = lambda cell: 30 - ((cell & -cell).bit_length() - 1) // 2
+    levels = {level(c) for c in sizes["dense"]}
+    assert min(levels) == 4 and max(levels) >= 7
+    # A full folder can only be one of the deepest level; a parent of several would have been too full.
+    assert all(n <= target or level(c) == 9 for c, n in sizes["dense"].items())
+    assert max(sizes["even"].values()) > 2000 and sorted(sizes["dense"].values())[-2] <= target
+    for mark, parent in {((c & -c) << 2, (c & -((c & -c) << 3)) | (c & -c) << 2) for c in sizes["dense"] if level(c) > 4}:
+        assert sum(n for c, n in sizes["dense"].items() if abs(c - parent) < mark) > target
+    # A folder is written by as many tasks as its count asks for.
+    table = layouts.folder_table(layouts.cell_layout(skewed).select("cell_id"), 4, 9, target).select("partition_id", F.col("__pieces")).distinct().collect()
+    assert {r[0]: r[1] for r in table} == {c: -(-n // target) for c, n in sizes["dense"].items()}
+
+
+@pytest.mark.parametrize("metric_name", ["planar", "great_circle"])
+def test_search_over_folders_of_several_levels(spark, skewed, tmp_path, metric_name):
+    layouts.write_hybrid(layouts.hybrid_layout(skewed, coarse=3, deepest=8, folder_rows=200), str(tmp_path / "d"))
+    catalog, plain = tables.attach_catalog(spark, str(tmp_path / "d")), layouts.plain_layout(skewed)
+    rows = [(0, 30.5, 0.5, 0.05), (1, 33.0, 0.5, 0.0), (2, 0.2, 0.0, 2.0), (3, 100.0, 0.0, 12.0), (4, 31.0, 0.7, 40.0)]
+    points = with_lon_lat(spark.createDataFrame(rows, "point_id int, ra double, dec double, r double"))
+    for wanted, strategy in (([0], "auto"), ([1, 2], "shuffle"), ([3], "auto"), ([0, 1, 2, 3, 4], "auto")):
+        some = points.where(F.col("point_id").isin(wanted))
+        got = match.cone_pairs(catalog, some, "r", metric=metric_name, strategy=strategy).select("source_id", "query_point_id")
+        want = match.cone_pairs(plain, some, "r", metric=metric_name).select("source_id", "query_point_id")
+        assert sorted(got.collect()) == sorted(want.collect())
+    folders = len(list((tmp_path / "d").glob("partition_id=*")))
+    assert scanned(match.cone_pairs(catalog, points.where("point_id = 0"), 0.05, metric=metric_name))["numPartitions"] <= 6 < folders / 5
+
+
+def test_row_groups_of_far_fields_are_passed_over(spark, tmp_path):
+    """Two fields far apart, also across 0/360, and many points: what lies between is not read."""
+    rng = random.Random(52)
+    rows = [catalog_row(n, rng.uniform(0, 360), rng.uniform(-5, 5)) for n in range(8_000)]
+    frame = with_point_columns(schema.typed_catalog(spark.createDataFrame(rows, schema.string_struct(COLUMNS))))
+    layouts.write_cells(layouts.cell_layout(frame, 9), str(tmp_path / "c"), 16)
+    catalog, plain = tables.attach_catalog(spark, str(tmp_path / "c")), layouts.plain_layout(frame)
+    fields = {"far": (20.0, 200.0), "around": (359.5, 90.0)}
+    for name, middles in fields.items():
+        spots = [(n, (middles[n % 2] + rng.uniform(0, 1.0)) % 360, rng.uniform(-0.5, 0.5)) for n in range(300)]
+        points = with_lon_lat(spark.createDataFrame(spots, "point_id int, ra double, dec double"))
+        for metric_name in ("planar", "great_circle"):
+            pairs = match.cone_pairs(catalog, points, 0.1, metric=metric_name).select("source_id", "query_point_id")
+            assert sorted(pairs.collect()) == sorted(match.cone_pairs(plain, points, 0.1, metric=metric_name).select("source_id", "query_point_id").collect())
+            assert scanned(pairs)["numOutputRows"] < 8_000 / 2.5, name
+
+
+def test_ranges_of_cells():
+    face = lambda n: (2 * n + 1) << 60
+    four = [(face(0) & -(1 << 61)) + (2 * k + 1) * (1 << 58) for k in range(4)]
+    whole = [(face(0) - ((1 << 60) - 1), face(0) + ((1 << 60) - 1))]
+    assert united(four) == whole == united([face(0)]) == united([face(0), four[2]])
+    assert united([]) == [] and len(united(four[::2])) == 2
+    apart = [2 * k * 1000 + 1 for k in range(10)] + [2_000_001]
+    assert len(united(apart, 3)) == 3 and united(apart, 1) == [(1, 2_000_001)]
+    assert united(apart, 2) == [(1, 18_001), (2_000_001, 2_000_001)]
+
+
+def test_coverings_of_several_levels(spark):
+    rng = random.Random(53)
+    rows = [(k, rng.uniform(0, 360), rng.choice([rng.uniform(-90, 90), 90.0, -90.0, 45.0, 35.26]), 10 ** rng.uniform(-4, 1.7)) for k in range(80)]
+    rows += [(200, 10.0, 10.0, 95.0), (201, 45.0, 35.26, 0.0)]
+    circles = with_lon_lat(spark.createDataFrame(rows, "id int, ra double, dec double, r double"))
+    cells = {}
+    for r in explode_s2_covering(circles, F.col("r"), 9, "cell").collect():
+        cells.setdefault(r["id"], []).append(r["cell"])
+    assert set(cells) == {r[0] for r in rows} and max(map(len, cells.values())) <= covering_bound()
+    reach = lambda c: (c - ((c & -c) - 1), c + ((c & -c) - 1))
+    for own in cells.values():
+        spans = sorted(map(reach, own))
+        assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    for r in explode_s2_cover(circles.where("r < 2"), F.col("r"), 9, "cell").collect():
+        assert any(low <= r["cell"] <= high for low, high in map(reach, cells[r["id"]]))
+    # As an index of a search.
+    sources = with_lon_lat(spark.createDataFrame([(k, rng.uniform(0, 30), rng.uniform(-10, 10)) for k in range(600)], "source_id int, ra double, dec double"))
+    points = with_lon_lat(spark.createDataFrame([(k, rng.uniform(0, 30), rng.uniform(-10, 10)) for k in range(40)], "point_id int, ra double, dec double"))
+    index = S2Covering.for_radii(2.0, 2.0, 9)
+    for metric_name in ("planar", "great_circle"):
+        assert pair_ids(match.cone_pairs(sources, points, 2.0, metric=metric_name, index=index)) == pair_ids(match.cone_pairs(sources, points, 2.0, metric=metric_name))
+
+
+def test_ragged_rows(spark, tile_folder, tmp_path):
+    folder = tmp_path / "ragged"
+    folder.mkdir()
+    (folder / "0001p000_a.tbl").write_text("\\ made\n| a | b | c |\n1 2 3\n4 6\n\n7 8 9 10\n11 x null\n  12 13 14  \n")
+    (folder / "0002p000_a.tbl").write_text("| a | b |\n1 2\n")
+    (folder / "0003p000_rej.tbl").write_text("| a | b | c |\n1\n")
+    types = {"a": "int", "b": "int", "c": "double"}
+    rows = tiles.rejected_rows(spark, str(folder), types)
+    got = sorted((r["file_path"].rsplit("/", 1)[1][:8], r["line"], r["reason"], r["value"]) for r in rows.collect())
+    assert got == [
+        ("0001p000", 4, "too few fields", "4 6"), ("0001p000", 6, "too many fields", "7 8 9 10"), ("0001p000", 7, "b does not parse", "11 x null"),
+        ("0002p000", 2, "no names line", "1 2"),
+    ]
+    one = str(folder / "0001p000_a.tbl")
+    with pytest.raises(Exception, match="too few or too many fields"):
+        tiles.read_tiles(spark, one).collect()
+    assert sorted(tuple(r) for r in tiles.read_tiles(spark, one, ragged="reject").collect()) == [("1", "2", "3", "0001p000"), ("11", "x", "null", "0001p000"), ("12", "13", "14", "0001p000")]
+    with pytest.raises(ValueError, match="ragged"):
+        tiles.read_tiles(spark, one, ragged="guess")
+    # Lines are counted right when several tasks read parts of one file.
+    lines = ["| a | b | c |"] + [f"{n} {n} {n}" if n % 1000 else f"{n} {n}" for n in range(1, 20_000)]
+    (tmp_path / "0009p000_long.tbl").write_text("\n".join(lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        long = tiles.rejected_rows(spark, str(tmp_path / "0009p000_long.tbl"), types)
+        assert long.select(F.spark_partition_id()).distinct().count() >= 1 and sorted(r["line"] for r in long.collect()) == [1000 * k + 1 for k in range(1, 20)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_batches_of_tiles(spark, tmp_path):
+    path = str(tmp_path / "b")
+    rows = lambda ids, add=0: spark.createDataFrame([(n, f"{n % 7:03d}", n + add) for n in ids], "id int, tile string, v int")
+    read = lambda: sorted((r["id"], r["tile"], r["v"]) for r in tables.read_tile_folders(spark, path).collect())
+    first, second = rows(n for n in range(100) if n % 7 < 4), rows(n for n in range(100) if n % 7 >= 4)
+    for batch in (first, second, second, first):
+        tables.add_tiles(batch, path)
+    assert read() == [(n, f"{n % 7:03d}", n) for n in range(100)]
+    manifest = {r["tile"]: r["sources"] for r in tables.tile_manifest(spark, path).collect()}
+    assert manifest == {f"{t:03d}": len(range(t, 100, 7)) for t in range(7)} and tables.unfinished_tiles(spark, path).count() == 0
+    # A batch that broke off between its rows and its line in the manifest.
+    spark.createDataFrame([(5, 1)], "id int, v int").write.mode("append").parquet(f"{path}/tile=005")
+    spark.createDataFrame([(9, 1)], "id int, v int").write.parquet(f"{path}/tile=009")
+    assert sorted(r["tile"] for r in tables.unfinished_tiles(spark, path).collect()) == ["005", "009"]
+    tables.add_tiles(second, path)
+    assert [r["tile"] for r in tables.unfinished_tiles(spark, path).collect()] == ["009"]
+    with pytest.raises(ValueError, match="without a tile"):
+        tables.add_tiles(rows([1]).withColumn("tile", F.lit(None).cast("string")), path)
+    # In batches of three, going on where a run broke off.
+    again = str(tmp_path / "c")
+    every = rows(range(100))
+    assert tables.write_in_batches(every.where("tile < '002'"), again, 3) == [["000", "001"]]
+    assert tables.write_in_batches(every, again, 3) == [["002", "003", "004"], ["005", "006"]]
+    assert tables.write_in_batches(every, again, 3) == [] and tables.read_tile_folders(spark, again).count() == 100
+    assert len(tables.write_in_batches(rows(range(50), 5), again, 50, again=True)) == 1
+    assert tables.read_tile_folders(spark, again).agg(F.sum("v")).first()[0] == sum(range(50)) + 250
+
+
+def test_offsets_are_one_per_tile(spark):
+    kinds = "tile string, offsetra_ta double, offsetra double, offsetdec double, offsetpmra decimal(15,5), offsetpmdec decimal(15,5)"
+    catalog = schema.typed_catalog(spark.createDataFrame([(*catalog_row(n, 10.0 + n, 1.0), "ab"[n % 2]) for n in range(6)], schema.string_struct([*COLUMNS, "tile"])), keep=["tile"])
+    once = [("a", 0.0, 0.5, 0.0, None, None), ("b", 0.0, 0.25, 0.0, None, None)]
+    table = lambda rows: spark.createDataFrame(rows, kinds)
+    ra = lambda rows, **o: sorted(r["ra"] for r in calibrate.apply_offsets(catalog, table(rows), **o).collect())
+    want = ra(once)
+    assert len(want) == 6 and ra(once + once) == want
+    doubled = [*once, ("a", 0.0, 9.0, 0.0, None, None)]
+    with pytest.raises(Exception, match="different rows for one tile: a"):
+        ra(doubled)
+    assert ra(doubled, repeated="least") == want
+    with pytest.raises(ValueError, match="unknown rule"):
+        ra(once, repeated="any")
 
 
 def test_types_and_names(spark):

@@ -11,7 +11,7 @@ from almagest.operators.occurring import bitmap_bits, with_occurring_keys
 from almagest.operators.skew import hot_buckets, lookup_join, row_spread, salted_join
 from almagest.sources.points import points_from_rows
 from almagest.functions.coords import with_lon_lat
-from conftest import pair_ids, plan_text, plane_pairs, sphere_distance
+from conftest import executed, metric as metric_of, pair_ids, plan_text, plane_pairs, sphere_distance
 
 
 def patch(n, seed, ra=(150.0, 151.0), dec=(-0.5, 0.5)):
@@ -299,19 +299,7 @@ def test_one_shuffle_of_the_catalog_in_counts(scene, spark, tmp_path):
 
 def shuffled_rows(df):
     """Rows that each exchange of an executed plan has written."""
-
-    def walk(node):
-        name = node.getClass().getSimpleName()
-        if name == "AdaptiveSparkPlanExec":
-            return walk(node.executedPlan())
-        if name.endswith("QueryStageExec"):
-            return walk(node.plan())
-        own = [node.metrics().apply("shuffleRecordsWritten").value()] if name == "ShuffleExchangeExec" else []
-        below = node.children()
-        return own + [n for k in range(below.size()) for n in walk(below.apply(k))]
-
-    df.collect()
-    return walk(df._jdf.queryExecution().executedPlan())
+    return [metric_of(node, "shuffleRecordsWritten") for name, node in executed(df) if name == "ShuffleExchangeExec"]
 
 
 @pytest.mark.parametrize("metric", ["planar", "great_circle"])
