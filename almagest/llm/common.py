@@ -34,6 +34,16 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+# Rows of a table that is sent to every task at most: a few megabytes.
+SENT_ROWS = 100_000
+
+
+def sent(frame: DataFrame, most: int = SENT_ROWS) -> DataFrame:
+    """A table that is small as a rule, marked to be sent to the tasks if it has at most ``most`` rows; it is written first."""
+    frame = cut(frame)
+    return F.broadcast(frame) if frame.limit(most + 1).count() <= most else frame
+
+
 def remainder(key: str, of: int) -> Column:
     """CRC-32 of the key as text, modulo ``of``: splits rows into folds that do not change between runs."""
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(of))
@@ -46,7 +56,7 @@ def drawn(frame: DataFrame, by: str, draw: str, sample: int) -> DataFrame:
     that a third of all rows share is no burden to the task that ranks it.
     """
     wanted = 2 * sample + 1_000
-    counts = frame.groupBy(by).agg(F.count(F.lit(1)).alias("all_rows"))
+    counts = sent(frame.groupBy(by).agg(F.count(F.lit(1)).alias("all_rows")))
     part = F.least(F.lit(1.0), F.lit(float(wanted)) / F.col("all_rows"))
     near = frame.join(counts, by).where((F.col(draw).cast("double") + 2.0**63) / 2.0**64 <= part).drop("all_rows")
     order = Window.partitionBy(by).orderBy(draw)

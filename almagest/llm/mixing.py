@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from almagest.llm.common import cut, sent
+
 # Words: runs of anything but blank, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -86,7 +88,8 @@ def mix(
         F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tie"), quality.cast("double").alias("quality"),
     )
     drawn = -F.ln(uniform(F.col("doc_id"))) / F.when(F.col("quality") > 0, F.col("quality"))
-    rows = rows.withColumn("sample_key", F.coalesce(drawn, F.lit(float("inf"))))
+    # Texts are read once; all that follows reads this narrow table.
+    rows = cut(rows.withColumn("sample_key", F.coalesce(drawn, F.lit(float("inf")))).drop("quality"))
     plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("documents")), weights, epochs)
     plan = plan.select(
         F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("no_name"), "source_size", "documents", "target",
@@ -96,7 +99,7 @@ def mix(
     by = ["name", "no_name"]
     # exp(-key) lies in 0..1 and orders like the key backwards: buckets of it need no sort and no sample.
     many = F.ceil(F.col("documents") / F.lit(bucket_rows))
-    rows = rows.join(plan, by).withColumn("bucket", many - 1 - F.least(F.floor(F.exp(-F.col("sample_key")) * many), many - 1))
+    rows = rows.join(sent(plan), by).withColumn("bucket", many - 1 - F.least(F.floor(F.exp(-F.col("sample_key")) * many), many - 1))
     sums = rows.groupBy(*by, "bucket").agg(F.sum("size").alias("bucket_size"))
     running = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(running), F.lit(0)))
@@ -108,8 +111,8 @@ def mix(
     settled = rows.where(~inner).select(*out, (epochs_taken + F.col("partial")).alias("taken"))
     down = Window.partitionBy(*by, "bucket").orderBy("sample_key", "doc_id", "tie")
     left = F.col("rest") - F.col("bucket_start") - (F.sum("size").over(down.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    cut = rows.where(inner).select(*out, (epochs_taken + F.greatest(F.lit(0), F.least(F.col("size"), left))).alias("taken"))
-    return settled.unionByName(cut)
+    parted = rows.where(inner).select(*out, (epochs_taken + F.greatest(F.lit(0), F.least(F.col("size"), left))).alias("taken"))
+    return settled.unionByName(parted)
 
 
 def mixture(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", **options) -> DataFrame:
