@@ -9,20 +9,22 @@ beside words of address more. A logistic model turns a document's hits into a sc
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Iterator  # the form that Arrow functions are recognised by
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from almagest.llm.common import WORD_BYTES, Words, cut, drawn, text_slices, words
+from almagest.llm.common import WORD_BYTES, Words, cut, drawn, mixed, run_starts, text_slices, words
 
 # Labelled documents per label that models are fitted on at most: those of the least hashes of their ids.
 SAMPLE = 20_000
-# Terms in the lexicon, and ordinary words like a term that are told apart, at most: those best supported.
-TERMS = 5_000
-ORDINARY = 50_000
+# Parts of the sample, each weighed with the lexicon of the others.
+FOLDS = 5
+# Smallest hashes that tell near copies in the sample: documents that share one of them teach once.
+SIGNS = 3
 # Letters of a stem: a term that ends in STEM is met by every word that begins with it.
 STEMS = range(4, 9)
 STEM = "*"
@@ -127,7 +129,11 @@ class Lexicon:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str, sample: int) -> DataFrame:
-    """(text, label, part) of the labelled documents to learn from; ``part`` 0 or 1 splits them at random."""
+    """(text, label, part) of the labelled documents to learn from; ``part`` deals them at random. Written: a bounded table.
+
+    Near copies teach once: of documents with one label that share a least hash of their three-word shingles, the one of the
+    least draw stays, for each of ``SIGNS`` hashes in turn.
+    """
     marked = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where("label IN (0, 1) AND key IS NOT NULL")
     marked = marked.groupBy("key").agg(F.max("label").alias("label")).withColumn("draw", F.xxhash64(F.col("key").cast("string")))
     taken = drawn(marked, "label", "draw", sample)
@@ -136,9 +142,46 @@ def _sample(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str,
     rows = rows.withColumn("draw", F.xxhash64(F.col("key").cast("string")))
     # No document beyond both limits can be in the sample: most texts go no further than the scan.
     rows = rows.where(F.col("draw") <= max(limits.values(), default=-(1 << 63)))
-    part = F.pmod(F.shiftright("draw", 8), F.lit(2)).alias("part")
+    part = F.pmod(F.shiftright("draw", 8), F.lit(FOLDS)).alias("part")
     # At most ``sample`` short rows per label: sent along, so that no text is dealt.
-    return rows.join(F.broadcast(taken.select("key", "label")), "key").select("text", "label", part)
+    signs = ", ".join(f"sign{k} long" for k in range(SIGNS))
+    found = rows.join(F.broadcast(taken.select("key", "label")), "key").select("text", "label", part, "draw")
+    found = cut(found.mapInArrow(_signed, f"text string, label int, part long, draw long, {signs}"))
+    light = found.drop("text")
+    for k in range(SIGNS):
+        least = F.min("draw").over(Window.partitionBy("label", f"sign{k}"))
+        light = light.withColumn("least", least).where("draw = least")
+    return found.join(F.broadcast(light.select("draw").distinct()), "draw", "left_semi").select("text", "label", "part")
+
+
+def _signed(batches):
+    """With the least hashes of each text's three-word shingles; shorter texts are one shingle."""
+    for batch in batches:
+        signs = []
+        for data, offsets in text_slices(batch.column("text")):
+            found = words(data, offsets, WORD_BYTES)
+            hashes, rows = found.hashes, len(offsets) - 1
+            after = [np.concatenate([hashes[k:], np.zeros(min(k, len(hashes)), np.uint64)]) for k in range(3)]
+            # The last two of a row reach into the next: only rows of fewer than three words use them.
+            place = np.arange(len(hashes)) - found.first[found.rows]
+            left = found.first[found.rows + 1] - found.first[found.rows] - place
+            parts = [np.where(left > k, part, 0) * np.uint64(2 * k + 1) for k, part in enumerate(after)]
+            whole = (left >= 3) | (place == 0)
+            shingle = mixed(parts[0] ^ mixed(parts[1] ^ mixed(parts[2])))[whole]
+            owner = found.rows[whole]
+            out = np.zeros((rows, SIGNS), np.uint64)
+            starts = run_starts(owner)
+            for k in range(SIGNS):
+                if len(starts):
+                    out[owner[starts], k] = np.minimum.reduceat(mixed(shingle + np.uint64(k + 1)), starts)
+            signs.append(out)
+        every = np.concatenate(signs) if signs else np.zeros((0, SIGNS), np.uint64)
+        columns = [batch.column(c) for c in ("text", "label", "part", "draw")] + [pa.array(every[:, k].view(np.int64)) for k in range(SIGNS)]
+        yield pa.RecordBatch.from_arrays(columns, ["text", "label", "part", "draw", *(f"sign{k}" for k in range(SIGNS))])
+
+
+# Clean and toxic documents of each part that hold a word.
+_HELD = [f"{kind}{k}" for kind in "ct" for k in range(FOLDS)]
 
 
 def _vocabulary(batches):
@@ -148,7 +191,7 @@ def _vocabulary(batches):
         done = 0
         for data, offsets in text_slices(batch.column("text")):
             found = words(plain_marks(data), offsets, WORD_BYTES)
-            kind = (label * 2 + part)[done : done + len(offsets) - 1]
+            kind = (label * FOLDS + part)[done : done + len(offsets) - 1]
             done += len(offsets) - 1
             distinct, first, back = np.unique(found.hashes, return_index=True, return_inverse=True)
             names = decoded(found, first)
@@ -165,9 +208,10 @@ def _vocabulary(batches):
 def _holders(names: list[str], which: np.ndarray, row: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
     """Rows of each kind in which each name occurs."""
     pairs = np.unique(which.astype(np.int64) * len(kind) + row)
-    counts = np.bincount(pairs // max(1, len(kind)) * 4 + kind[pairs % max(1, len(kind))], minlength=4 * len(names)).reshape(-1, 4)
-    columns = [pa.array(names, pa.string()), *(pa.array(counts[: len(names), k].astype(np.int64)) for k in range(4))]
-    return pa.RecordBatch.from_arrays(columns, ["word", "c0", "c1", "t0", "t1"])
+    kinds = 2 * FOLDS
+    counts = np.bincount(pairs // max(1, len(kind)) * kinds + kind[pairs % max(1, len(kind))], minlength=kinds * len(names)).reshape(-1, kinds)
+    columns = [pa.array(names, pa.string()), *(pa.array(counts[: len(names), k].astype(np.int64)) for k in range(kinds))]
+    return pa.RecordBatch.from_arrays(columns, ["word", *_HELD])
 
 
 def decoded(found: Words, which: np.ndarray) -> list[str]:
@@ -183,9 +227,9 @@ def _surprise(t: float, c: float, totals: tuple[int, int]) -> tuple[float, float
     return ratio, (t + 0.5) / (totals[0] + 1) / ((c + 0.5) / (totals[1] + 1))
 
 
-def _candidates(counts: DataFrame, toxic: str, clean: str, totals: tuple[int, int], size: int) -> dict[str, tuple[int, int]]:
+def _candidates(counts: DataFrame, totals: tuple[int, int], size: int) -> dict[str, tuple[int, int]]:
     """Words, with their toxic and clean documents, that are toxic too often for chance (Bonferroni over all words)."""
-    t, c = F.col(toxic).cast("double"), F.col(clean).cast("double")
+    t, c = F.col("t").cast("double"), F.col("c").cast("double")
     base = totals[0] / max(1, sum(totals))
     if not 0 < base < 1:
         return {}
@@ -193,16 +237,15 @@ def _candidates(counts: DataFrame, toxic: str, clean: str, totals: tuple[int, in
     ratio = 2 * (log(t, (t + c) * base) + log(c, (t + c) * (1 - base)))
     often = (t + 0.5) / (totals[0] + 1) / ((c + 0.5) / (totals[1] + 1))
     marked = counts.where((ratio >= _limit(size)) & (often >= RATIO) & (F.col("word") != ""))
-    rows = marked.orderBy(ratio.desc(), "word").limit(TERMS).select("word", F.col(toxic).alias("t"), F.col(clean).alias("c"))
-    return {r.word: (r.t, r.c) for r in rows.collect()}
+    return {r.word: (r.t, r.c) for r in marked.select("word", "t", "c").collect()}
 
 
 def _limit(size: int) -> float:
     return 2 * (np.log(max(size, 1)) + 3)
 
 
-def _contexts(rows: DataFrame, terms: list[str]) -> dict[str, tuple[int, int]]:
-    """term -> different neighbours it has in toxic documents of part 0, and in all: the fewer of those before and after it.
+def _contexts(rows: DataFrame, terms: list[str]) -> dict[str, list[int]]:
+    """term -> different neighbours it has in toxic documents beside each part, and in all: the fewer of those before and after it.
 
     Copies of one document share neighbours, so a word is not taken for a term because a toxic text was copied.
     """
@@ -233,10 +276,14 @@ def _contexts(rows: DataFrame, terms: list[str]) -> dict[str, tuple[int, int]]:
                 yield pa.RecordBatch.from_arrays(columns, ["term", "part", "before", "after"])
 
     seen = rows.where("label = 1").select("text", "part").mapInArrow(met, "term string, part long, before long, after long").distinct()
-    half = [F.count_distinct(F.when(F.col("part") == 0, F.col(c))) for c in ("before", "after")]
-    every = [F.count_distinct(c) for c in ("before", "after")]
-    counts = seen.groupBy("term").agg(F.least(*half).alias("half"), F.least(*every).alias("every"))
-    return {r.term: (r.half, r.every) for r in counts.collect()}
+    # A neighbour is beside a part if it stands in another: in two parts, or in one that is not this.
+    sides = []
+    for c in ("before", "after"):
+        parts = seen.groupBy("term", c).agg(F.collect_set("part").alias("parts"))
+        fewer = [F.count_if(F.size(F.array_remove("parts", k)) > 0).alias(f"{c}{k}") for k in range(FOLDS)]
+        sides.append(parts.groupBy("term").agg(*fewer, F.count(F.lit(1)).alias(f"{c}{FOLDS}")))
+    both = sides[0].join(sides[1], "term").select("term", F.array(*[F.least(f"before{k}", f"after{k}") for k in range(FOLDS + 1)]).alias("n"))
+    return {r.term: list(r.n) for r in both.collect()}
 
 
 def _terms(found: dict[str, tuple[int, int]], contexts: dict[str, int], totals: tuple[int, int], size: int) -> list[str]:
@@ -400,46 +447,54 @@ def learn(
 ) -> tuple[list[str], list[str], list[float]]:
     """(terms, ordinary words, weights) from at most ``sample`` labelled documents of each label.
 
-    Half of the sample teaches a lexicon on which the other half weighs hits, so that near hits are weighed as
-    in unseen text; the lexicon that is returned is that of all of it. A key with several labels counts as
-    toxic if one of them does; rows without a label or key teach nothing. With no toxic or no clean
-    document the lexicon is empty and every score that of the base rate.
+    The sample is dealt into ``FOLDS`` parts; hits in each are weighed with the lexicon that the others teach, as they
+    are in unseen text, and the lexicon that is returned is that of all of it. A part whose others teach no term
+    though all do weighs nothing; if that holds for every part, the lexicon's own documents are weighed. A key with
+    several labels counts as toxic if one of them does; rows without a label or key teach nothing. With no toxic or
+    no clean document the lexicon is empty and every score that of the base rate.
     """
     rows = _sample(docs, labels, text, key, label, sample)
     sizes = {(r.label, r.part): r.n for r in rows.groupBy("label", "part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    of = lambda mark, *parts: sum(sizes.get((mark, p), 0) for p in parts)
-    counts = rows.mapInArrow(_vocabulary, "word string, c0 long, c1 long, t0 long, t1 long")
-    counts = cut(counts.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("c0", "c1", "t0", "t1")]))
-    counts = counts.withColumns({"c": F.col("c0") + F.col("c1"), "t": F.col("t0") + F.col("t1")})
+    counts = rows.mapInArrow(_vocabulary, "word string, " + ", ".join(f"{c} long" for c in _HELD))
+    counts = cut(counts.groupBy("word").agg(*[F.sum(c).alias(c) for c in _HELD]))
     size = counts.count()
-    first, both = ("t0", "c0", (of(1, 0), of(0, 0))), ("t", "c", (of(1, 0, 1), of(0, 0, 1)))
-    found_half, found = _candidates(counts, *first, size), _candidates(counts, *both, size)
-    contexts = _contexts(rows, sorted({*found_half, *found}))
-    half = _terms(found_half, {w: n for w, (n, _) in contexts.items()}, first[2], size)
-    terms = _terms(found, {w: n for w, (_, n) in contexts.items()}, both[2], size)
-    ordinary_half, ordinary = _ordinary(counts, half, *first), _ordinary(counts, terms, *both)
+
+    def beside(part: int | None) -> tuple[DataFrame, tuple[int, int]]:
+        """Counts and totals of all parts but one."""
+        others = [k for k in range(FOLDS) if k != part]
+        t, c = (sum(F.col(f"{kind}{k}") for k in others).alias(kind) for kind in "tc")
+        return counts.select("word", t, c), tuple(sum(sizes.get((mark, k), 0) for k in others) for mark in (1, 0))
+
+    taught = [beside(part) for part in (*range(FOLDS), None)]
+    found = [_candidates(held, totals, size) for held, totals in taught]
+    contexts = _contexts(rows, sorted({word for words_ in found for word in words_}))
+    terms = [
+        _terms(own, {w: n[k] for w, n in contexts.items()}, totals, size) for k, (own, (_, totals)) in enumerate(zip(found, taught))
+    ]
+    ordinary = [_ordinary(held, own, totals) for own, (held, totals) in zip(terms, taught)]
+    weighed = [(rows.where(F.col("part") == k), k) for k in range(FOLDS) if terms[k] or not terms[FOLDS]] or [(rows, FOLDS)]
     kind = "label int, " + ", ".join(f"x{k} double" for k in range(_FEATURES))
-    table = rows.where("part = 1").select("text", "label").mapInArrow(_featured(half, ordinary_half), kind).toPandas()
+    read = [part.select("text", "label").mapInArrow(_featured(terms[k], ordinary[k]), kind) for part, k in weighed]
+    table = reduce(DataFrame.unionByName, read).toPandas()
     y = table["label"].to_numpy(float)
     x = table.drop(columns="label").to_numpy(float)
-    return terms, ordinary, _fit(x, y).tolist()
+    return terms[FOLDS], ordinary[FOLDS], _fit(x, y).tolist()
 
 
-def _ordinary(counts: DataFrame, terms: list[str], toxic: str, clean: str, totals: tuple[int, int]) -> list[str]:
-    """Words of clean documents that only resemble a term and are not much likelier in toxic ones, commonest first."""
+def _ordinary(counts: DataFrame, terms: list[str], totals: tuple[int, int]) -> list[str]:
+    """Words of clean documents that only resemble a term and are not much likelier in toxic ones."""
 
     def near(batches):
         lexicon = Lexicon(terms)
         for batch in batches:
-            names, n = batch.column("word").to_pylist(), batch.column("n")
+            names = batch.column("word").to_pylist()
             hits = lexicon.meet(names)
             keep = pa.array([w in hits and terms[hits[w][1]] != w for w in names], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("word").filter(keep), n.filter(keep)], ["word", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column("word").filter(keep)], ["word"])
 
-    often = (F.col(toxic) + 0.5) / (totals[0] + 1) / ((F.col(clean) + 0.5) / (totals[1] + 1))
-    rows = counts.where((F.col(clean) > 0) & (often < RATIO) & ~F.endswith("word", F.lit(STEM))).select("word", F.col(clean).alias("n"))
-    found = rows.mapInArrow(near, "word string, n long").orderBy(F.desc("n"), "word").limit(ORDINARY)
-    return sorted(r.word for r in found.collect())
+    often = (F.col("t") + 0.5) / (totals[0] + 1) / ((F.col("c") + 0.5) / (totals[1] + 1))
+    rows = counts.where((F.col("c") > 0) & (often < RATIO) & ~F.endswith("word", F.lit(STEM))).select("word")
+    return sorted(r.word for r in rows.mapInArrow(near, "word string").collect())
 
 
 def _scorer(shared):
