@@ -190,7 +190,8 @@ def scan(docs: DataFrame, text: str = "text", level: float = LEVEL) -> DataFrame
     both = F.concat(F.col("base"), F.filter(clear, noise))
     ranked = F.array_sort(F.transform(both, lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["match"].alias("match"))))
     secrets = F.transform(ranked, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["match"].alias("match")))
-    return rows.select("row.*", secrets.alias("secrets"))
+    # Two steps: a column of ``docs`` may have any name, also one that is in use here.
+    return rows.select("row", secrets.alias("secrets")).select("row.*", "secrets")
 
 
 def listed(spans: Column) -> Column:
