@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almagest.llm.common import WORD_BYTES, run_starts, text_slices, words
+from almagest.llm.common import WORD_BYTES, cut, mixed, run_starts, text_slices, words
 
 # Words that must match in a row; an item with fewer is one window of its own length.
 WINDOW = 10
@@ -116,13 +116,26 @@ class Benchmark:
         item = np.repeat(np.arange(len(size)), size)
         left = np.repeat(first[1:], size) - np.arange(len(item))
         self.length = np.minimum(window, size)[item] if len(item) else np.zeros(0, np.int64)
-        self.begin = np.flatnonzero(left >= self.length)
-        self.item, self.length, self.left = item[self.begin], self.length[self.begin], left[self.begin]
-        self.names = ids
+        begin = np.flatnonzero(left >= self.length)
+        item, length, self.left = item[begin], self.length[begin], left[begin]
+        self.window, self.begins, self.names = window, begin, ids
+        # Equal windows are one class: it is searched once, and lists the items that hold it.
+        code = length.astype(np.uint64)
+        for k in range(int(length.max(initial=0))):
+            live = length > k
+            code[live] = mixed(code[live] ^ self.hashes[begin[live] + k])
+        self.code = code
+        _, first_of, own = np.unique(code, return_index=True, return_inverse=True)
+        self.begin, self.length = begin[first_of], length[first_of]
+        pairs = np.unique(np.stack([own.ravel(), item], 1), axis=0) if len(item) else np.zeros((0, 2), np.int64)
+        self.items, self.items_from = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(first_of) + 1))
         self.text, self.depth = codes(self.hashes), int(size.max(initial=1))
 
     def search(self, data: np.ndarray, offsets: np.ndarray) -> tuple:
-        """Occurrences of test windows in a shard: row, first word in the row, words that match on, test window; row sizes."""
+        """Occurrences of test windows in a shard: row, first word in the row, words that match on, class of window; row sizes.
+
+        A place of a text holds at most one class of each length, however often a window is repeated in the items.
+        """
         shard = words(data, offsets, WORD_BYTES)
         size = np.diff(shard.first)
         row = shard.rows
@@ -154,16 +167,37 @@ class Benchmark:
         return sure
 
     def _extended(self, shard, row, found, window):
-        """Full length of each match, beyond its window, within document and item."""
-        length = self.length[window].copy()
-        room = np.minimum(shard.first[row[found] + 1] - found, self.left[window])
-        live = np.flatnonzero(length < room)
-        while len(live):
-            same = shard.hashes[found[live] + length[live]] == self.hashes[self.begin[window[live]] + length[live]]
-            live = live[same]
-            length[live] += 1
-            live = live[length[live] < room[live]]
-        return length
+        """Words from each place on that some item holds in a row, at least its window's.
+
+        Word by word: a match goes on while its words so far and the next are those of some item from one of its windows on, by
+        their hashes. Every round looks at the places and the items' windows once, so repeats cost no pairs.
+        """
+        longest = self.length[window].copy()
+        # Only whole windows go on; shorter items have matched to their end.
+        live = np.flatnonzero(longest == self.window)
+        end = shard.first[row[found] + 1] - found
+        mine = np.flatnonzero(self.left > self.window)
+        own, theirs = self._codes(shard.hashes, found[live], self.window), self._codes(self.hashes, self.begins[mine], self.window)
+        size = self.window
+        while len(live) and len(mine):
+            keep = end[live] > size
+            live, own = live[keep], own[keep]
+            own, theirs = mixed(own ^ shard.hashes[found[live] + size]), mixed(theirs ^ self.hashes[self.begins[mine] + size])
+            keep = np.isin(own, theirs)
+            live, own = live[keep], own[keep]
+            size += 1
+            longest[live] = size
+            # Of the items' places those that a text still follows and that go on.
+            keep = np.isin(theirs, own) & (self.left[mine] > size)
+            mine, theirs = mine[keep], theirs[keep]
+        return longest
+
+    @staticmethod
+    def _codes(hashes, begin, size):
+        code = np.full(len(begin), size, np.uint64)
+        for k in range(size):
+            code = mixed(code ^ hashes[begin + k])
+        return code
 
 
 def joined_spans(first: np.ndarray, last: np.ndarray) -> list[tuple[int, int]]:
@@ -192,11 +226,11 @@ def _found(bench: Benchmark, column: pa.Array) -> pa.StructArray:
                 items.append([])
                 continue
             begin = first[own]
-            # Equal begins of hundreds of repeats of one window collapse first.
             ends = begin + bench.length[window[own]]
             pairs = np.unique(np.stack([begin, ends], 1), axis=0)
             spans.append([{"first": a, "last": b} for a, b in joined_spans(pairs[:, 0], pairs[:, 1])])
-            items.append(sorted({bench.names[i] for i in np.unique(bench.item[window[own]]).tolist()}))
+            held = [bench.items[bench.items_from[w] : bench.items_from[w + 1]] for w in np.unique(window[own]).tolist()]
+            items.append(sorted({bench.names[i] for i in np.unique(np.concatenate(held)).tolist()}))
     kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
     return pa.StructArray.from_arrays(
         [pa.array(spans, kind), pa.array(items, pa.list_(pa.string())), pa.array(longest, pa.int64()), pa.array(sizes, pa.int64())],
@@ -243,19 +277,20 @@ def matches(
     is listed as the empty string. An empty benchmark leaves all documents clean.
 
     The benchmark is a stated query set: it is searched in blocks of at most ``block_bytes``, one after the
-    other over the same rows, so what tasks hold does not grow with it.
+    other over the same rows, with the findings so far written between, so what tasks hold does not grow with it.
     """
     context = docs.sparkSession.sparkContext
     out = docs
     column = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    found = None
+    before = None
     for block in _blocks(benchmark, bench_text, item, block_bytes):
-        own = _searcher(context.broadcast(block), window)(column)
-        if found is None:
-            out = out.withColumn("found", own)
-        else:
-            out = out.withColumn("found", _merged(F.col("found"), own))
-        found = True
+        if before is not None:
+            out = cut(out)
+            before.unpersist()
+        shared = context.broadcast(block)
+        own = _searcher(shared, window)(column)
+        out = out.withColumn("found", own if before is None else _merged(F.col("found"), own))
+        before = shared
     return out
 
 
