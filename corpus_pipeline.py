@@ -5,11 +5,14 @@ Stages keep the columns of ``documents`` and their rows as they are; the last re
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almagest.llm import decontaminate, exact_dedup, language_id, mixing, near_dedup
 from almagest.llm.common import packed, table, unpacked
+from almagest.session import work_folder
 
 # Texts this far from every learned language are in none. Prose, short lines and shouting score above 0.35.
 LEAST_SCORE = 0.3
@@ -57,7 +60,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over ``documents``. What a stage keeps is written as Parquet in the shared folder and read back by the next
+    one, so that nothing is worked out twice, also after an executor is lost."""
+    docs, folder = table(spark, sf_dir, "documents"), work_folder(spark, f"pipeline-{uuid.uuid4().hex}")
+    *first, (_, last) = STAGES
+    for name, stage in first:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return last(spark, docs, sf_dir)
