@@ -313,7 +313,8 @@ def test_only_rows_in_cells_that_occur_are_shuffled(sky_points, spark, tmp_path,
     cells = {r["c"] for r in grid.explode_cover(match.query_side(query, 0.02, "lon", "lat"), F.lit(0.02), "c", "query_lon", "query_lat").collect()}
     held = grid.with_cell(catalog, "c").where(F.col("c").isin(cells)).count()
     rows = shuffled_rows(pairs)
-    assert 0 < held < 500 and held in rows and 5000 not in rows
+    # The box of the points holds back a few more.
+    assert held * 0.8 < max(rows) <= held < 500
     assert pair_ids(pairs) == pair_ids(match.cone_pairs(catalog, query, 0.02, metric=metric))
 
 
@@ -328,9 +329,10 @@ def test_a_bitmap_of_cells_loses_nothing(spark):
     assert hashed.columns == rows.columns and "BroadcastExchange" in plan_text(hashed)
     got = {r["__cell"] for r in hashed.collect()}
     assert wanted <= got and len(got) < len(wanted) + 30_000 / 8
-    assert bitmap_bits(3000, 16_000) == 65_536 and bitmap_bits(1, 16_000) == 32_768 and bitmap_bits(10**9) == 2**29
+    assert bitmap_bits(9000, 16_000) == 65_536 and bitmap_bits(1, 16_000) == 32_768 and bitmap_bits(10**9) == 2**29
     # More cells than bits: nothing is held back.
-    assert with_occurring_keys(rows, keys, ["__cell"], limit=100).count() == rows.count() or bitmap_bits(3000, 100) >= 3000
+    many = spark.range(40_000).select(F.col("id").alias("__cell"))
+    assert with_occurring_keys(rows, many, ["__cell"], limit=100).count() == rows.count()
     assert with_occurring_keys(rows, keys.limit(0), ["__cell"]).count() == 0
 
 
