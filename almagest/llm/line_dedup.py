@@ -4,7 +4,12 @@ A text is parted into sentences; a line's end always ends one. A unit is normali
 and hashed to 128 bits. Digests are grouped globally: the earliest occurrence, by document and place, is kept,
 every other is a repeat. A run of neighbouring repeats grows word by word at both edges as long as the text
 around its kept occurrence is the same, so passages that begin or end within a sentence are met whole; runs that
-grow together are one. Runs of more than a few words are removed. Offsets are those of the original text.
+grow together are one. Runs that hold a whole line are removed, others if they have more than a few words. Offsets
+are those of the original text.
+
+What edges grow by is read from windows of words around them and around their kept places; windows get longer,
+round by round, for the few edges that agree to a window's end. A kept place gives one window, however many
+texts repeat it, and no text meets another.
 
 A passage that holds no whole unit is not met, as only whole units are looked up.
 """
@@ -18,15 +23,20 @@ from pyspark.sql import functions as F
 
 from almagest.llm.common import WORD_BYTES, Words, cut, mixed, packed, text_slices, unpacked, words
 
-# Words in a run of repeats from which it is removed: one to three words alone repeat by chance in any prose.
+# Words in a run of repeats from which it is removed: one to three words within a line repeat by chance in any prose.
+# A run that holds a whole line goes whatever its length.
 RUN_WORDS = 4
 # Words on each side of a unit that are noted with it, a byte each.
 NOTED = 4
-# Slots of the bitmap that leaves out most texts no edge needs.
-SLOTS = 1 << 24
-
-_UNITS = "doc_id long, row_key long, unit int, start int, end int, n_words int, around long, high long, low long"
-_EDGE = "row_key long, run int, left boolean, n int, gap int, at int, keep_at int"
+# Words in an edge's first window, and how much longer each next one is.
+WINDOW, LONGER = 32, 16
+# Places of the bitmap that leaves out most texts no edge needs: 16 for each wanted text within these bounds, powers of two.
+LEAST_SLOTS, MOST_SLOTS = 20, 29
+
+_UNITS = "doc_id long, row_key long, unit int, start int, end int, n_words int, opens boolean, closes boolean, around long, high long, low long"
+_ASKED = "left boolean, at int, skip int, limit int, run int, keep_key long, keep_at int, keep_skip int"
+_WINDOW = f"row_key long, {_ASKED}, words binary, places binary, within int"
+_EDGE = "row_key long, run int, left boolean, n int, gap int, at int, keep_at int, settled boolean"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -63,13 +73,18 @@ def _units(batches):
             # Rows without text share an offset with the next; the last of equal offsets is the one with text.
             chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
             unit = np.arange(len(held)) - np.searchsorted(row, np.arange(len(offsets) - 1))[row]
+            # The first and the last unit of each line, of those that hold words.
+            line = np.cumsum(data == 10)[begin] - (data[begin] == 10) if len(held) else np.zeros(0, np.int64)
+            turns = np.ones(len(held) + 1, bool)
+            turns[1:-1] = (line[1:] != line[:-1]) | (row[1:] != row[:-1])
             take = pa.array(row + done)
             done += len(offsets) - 1
             base = chars[offsets[:-1]][row]
             numbers = [pa.array(x.astype(np.int32)) for x in (unit, chars[begin] - base, chars[edges_end] - base, size)]
             digests = [pa.array(x.view(np.int64)) for x in (around, high, low)]
             yield pa.RecordBatch.from_arrays(
-                [ids.take(take), keys.take(take), *numbers, *digests], ["doc_id", "row_key", "unit", "start", "end", "n_words", "around", "high", "low"]
+                [ids.take(take), keys.take(take), *numbers, pa.array(turns[:-1]), pa.array(turns[1:]), *digests],
+                ["doc_id", "row_key", "unit", "start", "end", "n_words", "opens", "closes", "around", "high", "low"],
             )
 
 
@@ -112,69 +127,115 @@ def _placed(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return found.hashes, chars[found.start], chars[found.end]
 
 
-def _extended(batches):
-    """Per edge of a run: words it grows by, words up to the next run, and where it then lies in both texts."""
-    for batch in batches:
-        out = []
-        for row_key, own, kept, edges in zip(*(batch.column(c).to_pylist() for c in ("row_key", "own", "kept", "edges"))):
-            hashes, starts, ends = _placed(own)
-            keep_hashes, keep_starts, _ = _placed(kept)
-            for e in edges:
-                i, j = np.searchsorted(starts, e["own"]), np.searchsorted(keep_starts, e["keep"]) + e["skip"]
-                stop = np.searchsorted(starts, e["limit"])
-                if e["left"]:
-                    gap = int(i - stop)
-                    n = common(hashes[stop:i][::-1], keep_hashes[:j][::-1])
-                    at, keep_at = (starts[i - n], keep_starts[j - n]) if n else (e["own"], e["keep"])
-                else:
-                    gap = int(stop - i)
-                    n = common(hashes[i:stop], keep_hashes[j:])
-                    at, keep_at = ends[i + n - 1] if n else e["own"], e["keep"]
-                out.append((row_key, e["run"], e["left"], n, gap, int(at), int(keep_at)))
-        names = ["row_key", "run", "left", "n", "gap", "at", "keep_at"]
-        kinds = [pa.int64(), pa.int32(), pa.bool_(), *[pa.int32()] * 4]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names)
-
-
-def _slot(key: Column) -> Column:
-    return F.pmod(key, F.lit(SLOTS))
+def _windows(size: int):
+    """Per place asked for: the hashes of up to ``size`` words from there outwards, where they lie, and the number of words up to the limit."""
+
+    def windows(batches):
+        for batch in batches:
+            out = []
+            for row_key, text, asked in zip(*(batch.column(c).to_pylist() for c in ("row_key", "text", "asked"))):
+                hashes, starts, ends = _placed(text)
+                for a in asked:
+                    at = int(np.searchsorted(starts, a["at"])) + a["skip"]
+                    if a["left"]:
+                        stop = 0 if a["limit"] is None else int(np.searchsorted(starts, a["limit"]))
+                        span, places, within = slice(max(stop, at - size), at), starts, at - stop
+                    else:
+                        stop = len(starts) if a["limit"] is None else int(np.searchsorted(starts, a["limit"]))
+                        span, places, within = slice(at, min(stop, at + size)), ends, stop - at
+                    step = -1 if a["left"] else 1
+                    out.append((row_key, *a.values(), hashes[span][::step].tobytes(), places[span][::step].astype(np.int32).tobytes(), within))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(_WINDOW_FIELDS)], schema=_WINDOW_FIELDS)
+
+    return windows
+
+
+_WINDOW_FIELDS = pa.schema([
+    ("row_key", pa.int64()), ("left", pa.bool_()), ("at", pa.int32()), ("skip", pa.int32()), ("limit", pa.int32()), ("run", pa.int32()),
+    ("keep_key", pa.int64()), ("keep_at", pa.int32()), ("keep_skip", pa.int32()), ("words", pa.binary()), ("places", pa.binary()), ("within", pa.int32()),
+])
+
+
+def _extended(size: int):
+    """Per edge of a run: words it grows by, words up to the next run, where it then lies in both texts, and whether its windows show all that."""
+
+    def extended(batches):
+        names = ["left", "at", "keep_at", "words", "places", "within", "kept_words", "kept_places", "kept_within"]
+        for batch in batches:
+            out = []
+            for left, at, keep_at, own, places, within, kept, kept_places, kept_within in zip(*(batch.column(c).to_pylist() for c in names)):
+                n = common(np.frombuffer(own, np.uint64), np.frombuffer(kept, np.uint64))
+                if n:
+                    at = int(np.frombuffer(places, np.int32)[n - 1])
+                    keep_at = int(np.frombuffer(kept_places, np.int32)[n - 1]) if left else keep_at
+                out.append((n, within, at, keep_at, n < size or within == size or kept_within == size))
+            found = [pa.array([r[k] for r in out], kind) for k, kind in enumerate([*[pa.int32()] * 4, pa.bool_()])]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row_key"), batch.column("run"), batch.column("left"), *found], ["row_key", "run", "left", "n", "gap", "at", "keep_at", "settled"]
+            )
+
+    return extended
 
 
 def _wanted(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """(row_key, text) of ``rows`` whose key is among ``keys``, and few others: a bitmap of fixed size goes to all tasks."""
-    slot = _slot(F.col("row_key"))
-    parts = keys.groupBy(F.bitmap_bucket_number(slot).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
-    bits = np.zeros(SLOTS + (1 << 16), np.uint8)
-    for r in parts:
-        own = np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), bitorder="little")
-        # Parts count from one, slot zero is the last bit of part zero's range.
-        bits[r.part * len(own) : (r.part + 1) * len(own)] = own
-    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
-    size = 8 * len(bytes(parts[0].bits)) if parts else 1 << 15
-
-    def held(batches):
+    """(row_key, text) of ``rows`` whose key is among ``keys``, and few others: a bitmap of 64 MB at most goes to all tasks."""
+    slots = 1 << min(max((16 * keys.count()).bit_length(), LEAST_SLOTS), MOST_SLOTS)
+    slot = F.pmod("row_key", F.lit(slots))
+    part, bit = F.bitmap_bucket_number(slot), F.bitmap_bit_position(slot)
+    parts = keys.groupBy(part.alias("part")).agg(F.bitmap_construct_agg(bit).alias("bits"))
+    held = 1 << 15
+    # Parts count from one, slot zero is the first bit of part zero.
+    bits = np.zeros(slots // 8 + held // 4, np.uint8)
+    for r in parts.toLocalIterator():
+        bits[r.part * held // 8 : (r.part + 1) * held // 8] = np.frombuffer(bytes(r.bits), np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def kept(batches):
         table = shared.value
         for batch in batches:
-            at = batch.column("part").to_numpy() * size + batch.column("bit").to_numpy()
+            at = batch.column("part").to_numpy() * held + batch.column("bit").to_numpy()
             keep = pa.array((table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("row_key", "text")], ["row_key", "text"])
 
-    placed = rows.select("row_key", "text", F.bitmap_bucket_number(slot).alias("part"), F.bitmap_bit_position(slot).alias("bit"))
-    return placed.mapInArrow(held, "row_key long, text string")
+    return rows.select("row_key", "text", part.alias("part"), bit.alias("bit")).mapInArrow(kept, "row_key long, text string")
+
+
+def _met_edges(rows: DataFrame, edges: DataFrame, size: int) -> DataFrame:
+    """``edges`` as far as windows of ``size`` words show what they grow by.
+
+    A text is read once for all that is asked of it, which is no more than its own units; a place that many texts repeat is asked for
+    once. Windows are written, so that the join reads two plain shuffles and a place that a third of all texts repeat can be split.
+    """
+    none = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    places = edges.select(
+        F.col("keep_key").alias("row_key"), "left", F.col("keep_at").alias("at"), F.col("keep_skip").alias("skip"),
+        none("limit", "int"), none("run", "int"), none("keep_key", "long"), none("keep_at", "int"), none("keep_skip", "int"),
+    ).distinct()
+    names = [n.split()[0] for n in _ASKED.split(", ")]
+    asked = cut(edges.withColumn("skip", F.lit(0)).unionByName(places).groupBy("row_key").agg(F.collect_list(F.struct(*names)).alias("asked")))
+    texts = _wanted(rows, asked.select("row_key")).dropDuplicates(["row_key"])
+    windows = cut(texts.join(asked, "row_key").mapInArrow(_windows(size), _WINDOW))
+    kept = windows.where("run IS NULL").select(
+        F.col("row_key").alias("keep_key"), "left", F.col("at").alias("keep_at"), F.col("skip").alias("keep_skip"),
+        F.col("words").alias("kept_words"), F.col("places").alias("kept_places"), F.col("within").alias("kept_within"),
+    )
+    both = windows.where("run IS NOT NULL").drop("skip", "limit").join(kept, ["keep_key", "left", "keep_at", "keep_skip"])
+    return cut(both.mapInArrow(_extended(size), _EDGE))
 
 
 def _grown(rows: DataFrame, runs: DataFrame) -> DataFrame:
     """``runs`` with what their live edges grow by."""
-    edge = lambda left, own, limit, keep, skip: F.struct(
-        "run", F.lit(left).alias("left"), F.col(own).alias("own"), limit.alias("limit"), F.col(keep).alias("keep"), skip.alias("skip")
-    )
-    lefts = runs.where("grows_left").select("row_key", F.col("head.row_key").alias("keep_key"), edge(True, "start", F.coalesce("low", F.lit(0)), "head.start", F.lit(0)).alias("edge"))
-    rights = runs.where("grows_right").select("row_key", F.col("tail.row_key").alias("keep_key"), edge(False, "end", F.coalesce("high", F.lit((1 << 31) - 1)), "tail.start", F.col("tail_words")).alias("edge"))
-    # Each two documents meet once, whatever the number of edges between them.
-    pairs = cut(lefts.unionByName(rights).groupBy("row_key", "keep_key").agg(F.collect_list("edge").alias("edges")))
-    texts = _wanted(rows, pairs.select("row_key").unionByName(pairs.select(F.col("keep_key").alias("row_key")))).dropDuplicates(["row_key"])
-    both = pairs.join(texts.withColumnRenamed("text", "own"), "row_key").join(texts.select(F.col("row_key").alias("keep_key"), F.col("text").alias("kept")), "keep_key")
-    found = both.select("row_key", "own", "kept", "edges").mapInArrow(_extended, _EDGE)
+    edge = lambda left, own, limit, keep, skip: runs.where("grows_left" if left else "grows_right").select(
+        "row_key", F.lit(left).alias("left"), F.col(own).alias("at"), F.col(limit).alias("limit"), "run",
+        F.col(f"{keep}.row_key").alias("keep_key"), F.col(f"{keep}.start").alias("keep_at"), skip.cast("int").alias("keep_skip"),
+    )
+    edges = edge(True, "start", "low", "head", F.lit(0)).unionByName(edge(False, "end", "high", "tail", F.col("tail_words")))
+    size, met = WINDOW, _met_edges(rows, edges, WINDOW)
+    found = met.where("settled")
+    while not (still := met.where("NOT settled")).isEmpty():
+        size *= LONGER
+        met = _met_edges(rows, edges.join(still.select("row_key", "run", "left"), ["row_key", "run", "left"], "left_semi"), size)
+        found = found.unionByName(met.where("settled"))
     grown = found.groupBy("row_key", "run").agg(*[
         F.max(F.when(F.col("left") == F.lit(left), F.struct("n", "gap", "at", "keep_at"))).alias(name) for name, left in (("to_left", True), ("to_right", False))
     ])
@@ -187,7 +248,8 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", run_words:
     ``keep_doc_id`` and ``keep_start`` say where the run's first word was met first. Documents rank by id, null
     last; within a document the earlier place ranks first, so repeats in one document count too. Rows
     that repeat id and text are one document and the same occurrence. Units without words part nothing and are never
-    removed alone. A run whose edges can't bring it to ``run_words`` stays as it is. Null and empty texts have no units; other columns are not read; no rows, no runs.
+    removed alone. A run of less than ``run_words`` words that holds no whole line stays as it is. Null and empty texts have no units; other
+    columns are not read; no rows, no runs.
     """
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(key).cast("long"), content).alias("row_key"), content.alias("text"))
@@ -197,23 +259,25 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", run_words:
     # Written, so that the join reads two plain shuffles and a very common unit can be split.
     shared = cut(shared)
     again = units.join(shared, ["high", "low"]).where(~((F.col("row_key") == F.col("first.row_key")) & (F.col("start") == F.col("first.start"))))
-    again = again.select("doc_id", "row_key", "unit", "start", "end", "n_words", "around", "first").dropDuplicates(["row_key", "unit"])
+    again = again.select("doc_id", "row_key", "unit", "start", "end", "n_words", "opens", "closes", "around", "first").dropDuplicates(["row_key", "unit"])
     # Neighbouring units have one difference between number and rank.
     run = F.col("unit") - F.row_number().over(Window.partitionBy("row_key").orderBy("unit"))
     runs = again.withColumn("run", run).groupBy("row_key", "run").agg(
         F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"),
         F.count(F.lit(1)).alias("n_units"), F.min(F.struct("unit", "first", "around")).alias("a"), F.max(F.struct("unit", "first", "around", "n_words")).alias("z"),
+        # A run's units have no gaps: it holds a whole line if one opens in it before the last that closes.
+        F.coalesce(F.min(F.when(F.col("opens"), F.col("unit"))) <= F.max(F.when(F.col("closes"), F.col("unit"))), F.lit(False)).alias("whole"),
     )
     runs = runs.withColumns({"near_left": _met(F.col("a.around"), F.col("a.first.around"), 0), "near_right": _met(F.col("z.around"), F.col("z.first.around"), NOTED)})
-    live = F.col("n_words") + F.col("near_left") + F.col("near_right") >= run_words
+    live = F.col("whole") | (F.col("n_words") + F.col("near_left") + F.col("near_right") >= run_words)
     order = Window.partitionBy("row_key").orderBy("start")
     runs = runs.select(
-        "row_key", "run", "doc_id", "start", "end", "n_words", "n_units", F.col("a.first").alias("head"), F.col("z.first").alias("tail"), F.col("z.n_words").alias("tail_words"),
+        "row_key", "run", "doc_id", "start", "end", "n_words", "n_units", "whole", F.col("a.first").alias("head"), F.col("z.first").alias("tail"), F.col("z.n_words").alias("tail_words"),
         (live & (F.col("near_left") > 0)).alias("grows_left"), (live & (F.col("near_right") > 0)).alias("grows_right"),
         F.lag("end").over(order).alias("low"), F.lead("start").over(order).alias("high"),
     )
     beside = F.coalesce(F.lag("grows_right").over(order), F.lit(False)) | F.coalesce(F.lead("grows_left").over(order), F.lit(False))
-    runs = runs.withColumn("beside", beside).where((F.col("n_words") >= run_words) | F.col("grows_left") | F.col("grows_right") | F.col("beside"))
+    runs = runs.withColumn("beside", beside).where(F.col("whole") | (F.col("n_words") >= run_words) | F.col("grows_left") | F.col("grows_right") | F.col("beside"))
     grown = _grown(rows, cut(runs.drop("beside")))
     left, right = F.coalesce("to_left.n", F.lit(0)), F.coalesce("to_right.n", F.lit(0))
     last = F.lag(F.struct("end", right.alias("n"), "to_right.gap")).over(order)
@@ -223,9 +287,9 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", run_words:
     keep = F.struct("start", F.col("head.doc_id").alias("doc_id"), F.coalesce("to_left.keep_at", "head.start").alias("at"))
     spans = grown.withColumn("span", F.sum((~F.col("joins")).cast("int")).over(order)).groupBy("row_key", "span").agg(
         F.first("doc_id").alias("doc_id"), F.min(F.coalesce("to_left.at", "start")).alias("start"), F.max(F.coalesce("to_right.at", "end")).alias("end"),
-        F.sum(size).alias("n_words"), F.sum("n_units").alias("n_units"), F.min(keep).alias("keep"),
+        F.sum(size).alias("n_words"), F.sum("n_units").alias("n_units"), F.max("whole").alias("whole"), F.min(keep).alias("keep"),
     )
-    return spans.where(F.col("n_words") >= run_words).select(
+    return spans.where(F.col("whole") | (F.col("n_words") >= run_words)).select(
         "doc_id", "row_key", "start", "end", "n_words", "n_units", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.at").alias("keep_start")
     )
 

@@ -162,7 +162,8 @@ def plain_repeats(rows, least):
         for m in re.finditer(r"[.!?](?=[ \t-\r])|\n|\Z", t or ""):
             words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda x: x[0].lower(), (t or "")[at : m.end()]))
             if words:
-                units.append((i, n, at, m.end(), tuple(words)))
+                line = (t or "").count("\n", 0, at)
+                units.append((i, n, at, m.end(), tuple(words), line))
                 n += 1
             at = m.end()
     for u in units:
@@ -171,7 +172,8 @@ def plain_repeats(rows, least):
     for u in [*units, None]:
         again = u is not None and seen[u[4]] != (u[0], u[2])
         if run and not (again and run[-1][0] == u[0] and run[-1][1] + 1 == u[1]):
-            if sum(len(x[4]) for x in run) >= least:
+            lines = [sum(x[0] == i and x[5] == k for x in units) == sum(x[5] == k for x in run) for i, k in {(x[0], x[5]) for x in run}]
+            if sum(len(x[4]) for x in run) >= least or any(lines):
                 out.append((run[0][0], run[0][2], run[-1][3], sum(len(x[4]) for x in run), len(run), *seen[run[0][4]]))
             run = []
         if again:
@@ -192,7 +194,7 @@ def test_repeated_passages(make):
     ]
     got = line_dedup.repeats(make(rows)).drop("row_key")
     assert rows_of(got) == sorted(plain_repeats(rows, line_dedup.RUN_WORDS), key=str)
-    assert {r[0] for r in rows_of(got)} == {2, 9, 10}
+    assert {r[0] for r in rows_of(got)} == {2, 5, 9, 10}
     cleaned = {r.doc_id: r for r in line_dedup.without_repeats(make(rows)).collect()}
     texts = dict(rows)
     for i, r in cleaned.items():
@@ -237,3 +239,36 @@ def test_short_repeated_lines_go(make):
     assert sorted(r.doc_id for r in got) == [1, 2, 3, 4, 9] and {r.n_words for r in got if r.doc_id < 9} == {8}
     left = {r.doc_id: r.text for r in line_dedup.without_repeats(make(rows)).collect()}
     assert sum("Apache" in t for t in left.values()) == 1 and all(t.endswith("The. A b.") for k, t in left.items() if k < 9)
+
+
+def test_whole_lines_go_whatever_their_length(make):
+    rows = [
+        (1, f"alpha beta gamma\n{sentences(1, 2)}\nYes. Go!\nend"), (2, f"{sentences(2, 2)}\nAlpha, beta: gamma\n{sentences(3, 1)}"),
+        (3, f"{sentences(4, 1)} Alpha beta gamma. {sentences(5, 1)}"), (4, f"Yes. Go!\n{sentences(6, 1)} Yes. {sentences(7, 1)}"), (5, "end"), (6, "\n\n. end"),
+    ]
+    got = line_dedup.repeats(make(rows)).drop("row_key")
+    assert rows_of(got) == sorted(plain_repeats(rows, line_dedup.RUN_WORDS), key=str)
+    # Three words within a line stay, as does one sentence of a line of two; lines go.
+    assert sorted(r.doc_id for r in got.collect()) == [2, 4, 5, 6]
+
+
+def test_windows_get_longer_where_texts_agree(make):
+    for n in (31, 32, 33, 511, 512, 513, 1300):
+        unit, long = "One two three four five six.", prose(("long", n).__repr__(), n)
+        rows = [(1, f"{prose(1, 40)} {long}. {unit} {long} here"), (2, f"{prose(2, 40)} {long}. {unit} {long} there"), (3, f"{long}. {unit} {long}")]
+        got = {r.doc_id: r for r in line_dedup.repeats(make(rows)).collect()}
+        assert {k: r.n_words for k, r in got.items()} == {2: 2 * n + 6, 3: 2 * n + 6}, n
+        assert all(words_at(dict(rows)[k], [(r.start, r.end)])[0] == re.findall(r"\w+", f"{long} {unit} {long}".lower()) for k, r in got.items())
+        assert all(rows[0][1][r.keep_start :].startswith(long) for r in got.values())
+
+
+def test_a_place_that_many_texts_repeat_gives_one_window(make, monkeypatch):
+    line, rows = "Licensed under these very terms", []
+    for k in range(300):
+        rows.append((k, f"w{k} x{k} before {line}. After y{k} z{k} and more\n{line}. After all"))
+    seen, cut = [], line_dedup.cut
+    monkeypatch.setattr(line_dedup, "cut", lambda frame: seen.append(cut(frame)) or seen[-1])
+    got = line_dedup.repeats(make(rows)).collect()
+    windows = [f for f in seen if "within" in f.columns]
+    kept = windows[0].where("run IS NULL")
+    assert kept.count() == kept.distinct().count() <= 4 and {r.doc_id for r in got} == set(range(1, 300))
