@@ -33,8 +33,8 @@ WINDOW, LONGER = 32, 16
 # Places of the bitmap that leaves out most texts no edge needs: 16 for each wanted text within these bounds, powers of two.
 LEAST_SLOTS, MOST_SLOTS = 20, 29
 
-_UNITS = "doc_id long, row_key long, unit int, start int, end int, n_words int, opens boolean, closes boolean, around long, high long, low long"
-_ASKED = "left boolean, at int, skip int, limit int, run int, keep_key long, keep_at int, keep_skip int"
+_UNITS = "doc_id long, row_key long, unit int, start int, end int, n_words int, line int, around long, high long, low long"
+_ASKED = "left boolean, at int, skip int, limit int, run int, most int, keep_key long, keep_at int, keep_skip int"
 _WINDOW = f"row_key long, {_ASKED}, words binary, places binary, within int"
 _EDGE = "row_key long, run int, left boolean, n int, gap int, at int, keep_at int, settled boolean"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -73,18 +73,18 @@ def _units(batches):
             # Rows without text share an offset with the next; the last of equal offsets is the one with text.
             chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
             unit = np.arange(len(held)) - np.searchsorted(row, np.arange(len(offsets) - 1))[row]
-            # The first and the last unit of each line, of those that hold words.
+            # Of the units that hold words, 1 for the first of each line, 2 for the last.
             line = np.cumsum(data == 10)[begin] - (data[begin] == 10) if len(held) else np.zeros(0, np.int64)
             turns = np.ones(len(held) + 1, bool)
             turns[1:-1] = (line[1:] != line[:-1]) | (row[1:] != row[:-1])
             take = pa.array(row + done)
             done += len(offsets) - 1
             base = chars[offsets[:-1]][row]
-            numbers = [pa.array(x.astype(np.int32)) for x in (unit, chars[begin] - base, chars[edges_end] - base, size)]
+            sides = turns[:-1] + 2 * turns[1:]
+            numbers = [pa.array(x.astype(np.int32)) for x in (unit, chars[begin] - base, chars[edges_end] - base, size, sides)]
             digests = [pa.array(x.view(np.int64)) for x in (around, high, low)]
             yield pa.RecordBatch.from_arrays(
-                [ids.take(take), keys.take(take), *numbers, pa.array(turns[:-1]), pa.array(turns[1:]), *digests],
-                ["doc_id", "row_key", "unit", "start", "end", "n_words", "opens", "closes", "around", "high", "low"],
+                [ids.take(take), keys.take(take), *numbers, *digests], ["doc_id", "row_key", "unit", "start", "end", "n_words", "line", "around", "high", "low"]
             )
 
 
@@ -100,14 +100,19 @@ def _around(found: Words, first: np.ndarray, last: np.ndarray, row: np.ndarray)
 
 
 def _met(one: Column, other: Column, at: int) -> Column:
-    """Noted words that agree, from byte ``at`` on; ``RUN_WORDS`` or any other length is in reach if all do."""
-    out = F.lit(1 << 30)
+    """Noted words that agree, from byte ``at`` on; ``NOTED`` if all do, when more may."""
+    out = F.lit(NOTED)
     for k in reversed(range(NOTED)):
         a, b = (F.shiftright(x, 8 * (at + k)).bitwiseAND(F.lit(255)) for x in (one, other))
         out = F.when((a == b) & (a != 0), out).otherwise(F.lit(k))
     return out
 
 
+def _reach(near: Column) -> Column:
+    """Words by which an edge can grow at most, as far as noted words tell."""
+    return F.when(near < NOTED, near).otherwise(F.lit(1 << 30))
+
+
 def common(one: np.ndarray, other: np.ndarray) -> int:
     """Values that agree from the start on."""
     size, at, step = min(len(one), len(other)), 0, 16
@@ -128,7 +133,10 @@ def _placed(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _windows(size: int):
-    """Per place asked for: the hashes of up to ``size`` words from there outwards, where they lie, and the number of words up to the limit."""
+    """Per place asked for: the hashes of up to ``size`` words from there outwards, where they lie, and the number of words up to the limit.
+
+    An edge whose noted words differ gets no words beyond these.
+    """
 
     def windows(batches):
         for batch in batches:
@@ -137,12 +145,13 @@ def _windows(size: int):
                 hashes, starts, ends = _placed(text)
                 for a in asked:
                     at = int(np.searchsorted(starts, a["at"])) + a["skip"]
+                    most = size if a["most"] is None else min(size, a["most"])
                     if a["left"]:
                         stop = 0 if a["limit"] is None else int(np.searchsorted(starts, a["limit"]))
-                        span, places, within = slice(max(stop, at - size), at), starts, at - stop
+                        span, places, within = slice(max(stop, at - most), at), starts, at - stop
                     else:
                         stop = len(starts) if a["limit"] is None else int(np.searchsorted(starts, a["limit"]))
-                        span, places, within = slice(at, min(stop, at + size)), ends, stop - at
+                        span, places, within = slice(at, min(stop, at + most)), ends, stop - at
                     step = -1 if a["left"] else 1
                     out.append((row_key, *a.values(), hashes[span][::step].tobytes(), places[span][::step].astype(np.int32).tobytes(), within))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(_WINDOW_FIELDS)], schema=_WINDOW_FIELDS)
@@ -152,7 +161,7 @@ def _windows(size: int):
 
 _WINDOW_FIELDS = pa.schema([
     ("row_key", pa.int64()), ("left", pa.bool_()), ("at", pa.int32()), ("skip", pa.int32()), ("limit", pa.int32()), ("run", pa.int32()),
-    ("keep_key", pa.int64()), ("keep_at", pa.int32()), ("keep_skip", pa.int32()), ("words", pa.binary()), ("places", pa.binary()), ("within", pa.int32()),
+    ("most", pa.int32()), ("keep_key", pa.int64()), ("keep_at", pa.int32()), ("keep_skip", pa.int32()), ("words", pa.binary()), ("places", pa.binary()), ("within", pa.int32()),
 ])
 
 
@@ -209,7 +218,7 @@ def _met_edges(rows: DataFrame, edges: DataFrame, size: int) -> DataFrame:
     none = lambda name, kind: F.lit(None).cast(kind).alias(name)
     places = edges.select(
         F.col("keep_key").alias("row_key"), "left", F.col("keep_at").alias("at"), F.col("keep_skip").alias("skip"),
-        none("limit", "int"), none("run", "int"), none("keep_key", "long"), none("keep_at", "int"), none("keep_skip", "int"),
+        none("limit", "int"), none("run", "int"), none("most", "int"), none("keep_key", "long"), none("keep_at", "int"), none("keep_skip", "int"),
     ).distinct()
     names = [n.split()[0] for n in _ASKED.split(", ")]
     asked = cut(edges.withColumn("skip", F.lit(0)).unionByName(places).groupBy("row_key").agg(F.collect_list(F.struct(*names)).alias("asked")))
@@ -219,17 +228,17 @@ def _met_edges(rows: DataFrame, edges: DataFrame, size: int) -> DataFrame:
         F.col("row_key").alias("keep_key"), "left", F.col("at").alias("keep_at"), F.col("skip").alias("keep_skip"),
         F.col("words").alias("kept_words"), F.col("places").alias("kept_places"), F.col("within").alias("kept_within"),
     )
-    both = windows.where("run IS NOT NULL").drop("skip", "limit").join(kept, ["keep_key", "left", "keep_at", "keep_skip"])
+    both = windows.where("run IS NOT NULL").drop("skip", "limit", "most").join(kept, ["keep_key", "left", "keep_at", "keep_skip"])
     return cut(both.mapInArrow(_extended(size), _EDGE))
 
 
 def _grown(rows: DataFrame, runs: DataFrame) -> DataFrame:
     """``runs`` with what their live edges grow by."""
-    edge = lambda left, own, limit, keep, skip: runs.where("grows_left" if left else "grows_right").select(
-        "row_key", F.lit(left).alias("left"), F.col(own).alias("at"), F.col(limit).alias("limit"), "run",
-        F.col(f"{keep}.row_key").alias("keep_key"), F.col(f"{keep}.start").alias("keep_at"), skip.cast("int").alias("keep_skip"),
+    edge = lambda left, own, limit, side, keep, skip: runs.where(f"grows_{side}").select(
+        "row_key", F.lit(left).alias("left"), F.col(own).alias("at"), F.col(limit).alias("limit"), "run", _reach(F.col(f"near_{side}")).alias("most"),
+        F.col(f"{keep}.first_key").alias("keep_key"), F.col(f"{keep}.first_start").alias("keep_at"), skip.cast("int").alias("keep_skip"),
     )
-    edges = edge(True, "start", "low", "head", F.lit(0)).unionByName(edge(False, "end", "high", "tail", F.col("tail_words")))
+    edges = edge(True, "start", "low", "left", "head", F.lit(0)).unionByName(edge(False, "end", "high", "right", "tail", F.col("tail.n_words")))
     size, met = WINDOW, _met_edges(rows, edges, WINDOW)
     found = met.where("settled")
     while not (still := met.where("NOT settled")).isEmpty():
@@ -259,20 +268,25 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", run_words:
     # Written, so that the join reads two plain shuffles and a very common unit can be split.
     shared = cut(shared)
     again = units.join(shared, ["high", "low"]).where(~((F.col("row_key") == F.col("first.row_key")) & (F.col("start") == F.col("first.start"))))
-    again = again.select("doc_id", "row_key", "unit", "start", "end", "n_words", "opens", "closes", "around", "first").dropDuplicates(["row_key", "unit"])
+    # What noted words tell is worked out here: narrow rows of numbers go on.
+    again = again.select(
+        "doc_id", "row_key", "unit", "start", "end", "n_words", "line", (_met(F.col("around"), F.col("first.around"), 0) + 8 * _met(F.col("around"), F.col("first.around"), NOTED)).alias("near"),
+        F.col("first.doc_id").alias("first_id"), F.col("first.row_key").alias("first_key"), F.col("first.start").alias("first_start"),
+    ).dropDuplicates(["row_key", "unit"])
     # Neighbouring units have one difference between number and rank.
     run = F.col("unit") - F.row_number().over(Window.partitionBy("row_key").orderBy("unit"))
+    edge = F.struct("unit", "first_id", "first_key", "first_start", "n_words", "near")
     runs = again.withColumn("run", run).groupBy("row_key", "run").agg(
         F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"),
-        F.count(F.lit(1)).alias("n_units"), F.min(F.struct("unit", "first", "around")).alias("a"), F.max(F.struct("unit", "first", "around", "n_words")).alias("z"),
+        F.count(F.lit(1)).alias("n_units"), F.min(edge).alias("head"), F.max(edge).alias("tail"),
         # A run's units have no gaps: it holds a whole line if one opens in it before the last that closes.
-        F.coalesce(F.min(F.when(F.col("opens"), F.col("unit"))) <= F.max(F.when(F.col("closes"), F.col("unit"))), F.lit(False)).alias("whole"),
+        F.coalesce(F.min(F.when(F.col("line") % 2 == 1, F.col("unit"))) <= F.max(F.when(F.col("line") >= 2, F.col("unit"))), F.lit(False)).alias("whole"),
     )
-    runs = runs.withColumns({"near_left": _met(F.col("a.around"), F.col("a.first.around"), 0), "near_right": _met(F.col("z.around"), F.col("z.first.around"), NOTED)})
-    live = F.col("whole") | (F.col("n_words") + F.col("near_left") + F.col("near_right") >= run_words)
+    runs = runs.withColumns({"near_left": F.col("head.near") % 8, "near_right": F.floor(F.col("tail.near") / 8).cast("int")})
+    live = F.col("whole") | (F.col("n_words") + _reach(F.col("near_left")) + _reach(F.col("near_right")) >= run_words)
     order = Window.partitionBy("row_key").orderBy("start")
     runs = runs.select(
-        "row_key", "run", "doc_id", "start", "end", "n_words", "n_units", "whole", F.col("a.first").alias("head"), F.col("z.first").alias("tail"), F.col("z.n_words").alias("tail_words"),
+        "row_key", "run", "doc_id", "start", "end", "n_words", "n_units", "whole", "head", "tail", "near_left", "near_right",
         (live & (F.col("near_left") > 0)).alias("grows_left"), (live & (F.col("near_right") > 0)).alias("grows_right"),
         F.lag("end").over(order).alias("low"), F.lead("start").over(order).alias("high"),
     )
@@ -284,7 +298,7 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", run_words:
     grown = grown.withColumn("last", last).withColumn("gap", F.when(F.col("last.end") == F.col("low"), F.coalesce("to_left.gap", "last.gap")))
     grown = grown.withColumn("joins", F.coalesce(left + F.col("last.n") >= F.col("gap"), F.lit(False)))
     size = F.col("n_words") + F.when(F.col("joins"), F.col("gap") - F.col("last.n")).otherwise(left) + right
-    keep = F.struct("start", F.col("head.doc_id").alias("doc_id"), F.coalesce("to_left.keep_at", "head.start").alias("at"))
+    keep = F.struct("start", F.col("head.first_id").alias("doc_id"), F.coalesce("to_left.keep_at", "head.first_start").alias("at"))
     spans = grown.withColumn("span", F.sum((~F.col("joins")).cast("int")).over(order)).groupBy("row_key", "span").agg(
         F.first("doc_id").alias("doc_id"), F.min(F.coalesce("to_left.at", "start")).alias("start"), F.max(F.coalesce("to_right.at", "end")).alias("end"),
         F.sum(size).alias("n_words"), F.sum("n_units").alias("n_units"), F.max("whole").alias("whole"), F.min(keep).alias("keep"),
