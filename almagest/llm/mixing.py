@@ -38,6 +38,17 @@ def prose_quality(text: Column, size: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.abs(mean - F.lit(6.0)))
 
 
+def bucket_of(sample_key: Column, documents: Column, bucket_rows: int) -> Column:
+    """A number that grows with the key, shared by about ``bucket_rows`` documents at most.
+
+    Each doubling of the key is cut alike. Keys are spread over some doublings whatever the scale of the weights, no
+    doubling holding much over a quarter of them, so a source of low weights throughout has buckets as even as any.
+    Keys without bound, of documents without a weight, are last and share a bucket.
+    """
+    cuts = F.ceil(documents / F.lit(4 * bucket_rows))
+    return F.when(sample_key < F.lit(float("inf")), F.floor(F.log2(sample_key) * cuts)).otherwise(F.lit(1 << 62))
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
     """``sizes`` (source, source_size, ...) with each source's ``target``.
 
@@ -97,9 +108,7 @@ def mix(
     ).withColumn("rest", F.round("target").cast("long") - F.col("whole_epochs") * F.col("source_size"))
     rows = rows.withColumns({"name": F.coalesce("source", F.lit("")), "no_name": F.col("source").isNull()})
     by = ["name", "no_name"]
-    # exp(-key) lies in 0..1 and orders like the key backwards: buckets of it need no sort and no sample.
-    many = F.ceil(F.col("documents") / F.lit(bucket_rows))
-    rows = rows.join(sent(plan), by).withColumn("bucket", many - 1 - F.least(F.floor(F.exp(-F.col("sample_key")) * many), many - 1))
+    rows = rows.join(sent(plan), by).withColumn("bucket", bucket_of(F.col("sample_key"), F.col("documents"), bucket_rows))
     sums = rows.groupBy(*by, "bucket").agg(F.sum("size").alias("bucket_size"))
     running = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(running), F.lit(0)))

@@ -121,6 +121,16 @@ def mixed_rows(seed):
     return rows + [(5, "same same", "c"), (5, "same same", "c"), (None, "no id", "c"), (9000, "  \n", "d")]
 
 
+@pytest.mark.parametrize("weight", [1.0, 1 / 495, 1e-9, 1e9])
+def test_buckets_are_even_whatever_the_weights(spark, weight):
+    F = mixing.F
+    keys = spark.range(20_000).select((-F.ln(mixing.uniform(F.col("id"))) / F.lit(weight)).alias("k"))
+    keys = keys.withColumn("bucket", mixing.bucket_of(F.col("k"), F.lit(20_000), 100)).cache()
+    assert keys.groupBy("bucket").count().agg(F.max("count")).first()[0] <= 250
+    spans = keys.groupBy("bucket").agg(F.min("k").alias("low"), F.max("k").alias("high")).orderBy("bucket").collect()
+    assert all(a.high < b.low for a, b in zip(spans, spans[1:]))
+
+
 @pytest.mark.parametrize("bucket", [mixing.BUCKET_ROWS, 7])
 def test_mix(spark, bucket):
     rows = mixed_rows(1)
