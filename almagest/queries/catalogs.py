@@ -150,7 +150,8 @@ def _damaged_tiles(spark: SparkSession, sf_dir: str) -> str:
     head = ["\\ made tile", *["| " + " | ".join(line) + " |" for line in names]]
     heads = raw.select("tile").distinct().select("tile", F.posexplode(F.array(*[F.lit(line) for line in head])).alias("place", "value"))
     lines = heads.select("tile", (F.col("place") - HEAD_LINES).cast("bigint").alias("place"), "value").unionByName(rows)
-    ordered = lines.repartition("tile").sortWithinPartitions("tile", "place").select("tile", "value")
+    # Many more partitions than tiles, so that few tasks have two of them.
+    ordered = lines.repartition(8 * sky.TILES, "tile").sortWithinPartitions("tile", "place").select("tile", "value")
     ordered.write.mode("overwrite").partitionBy("tile").text(path)
     return path
 

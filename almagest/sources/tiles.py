@@ -139,15 +139,18 @@ def rejected_rows(
     before = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = raw.groupBy("file_path", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("lines"))
     blocks = blocks.select("file_path", "block", "first", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("above"))
-    heads = tile_headers(raw.select("value", "file_path"), list(types)).select("file_path", "names")
+    # Where a file has its columns is found once a file.
+    places = F.transform(F.array(*[F.lit(c) for c in types]), lambda c: (F.array_position("names", c) - 1).cast("int"))
+    heads = tile_headers(raw.select("value", "file_path"), list(types)).select("file_path", "names", places.alias("places"))
     rows = _with_heads(raw.where(_is_data(F.col("value"))).withColumn("fields", _fields(F.col("value"))), heads)
     more = F.size("fields") - F.size("names")
-    text = lambda c: F.get("fields", (F.array_position("names", c) - 1).cast("int"))
-    broken = [F.when((text(c) != null) & text(c).try_cast(kind).isNull(), F.lit(f"{c} does not parse")) for c, kind in types.items()]
+    text = [F.get("fields", F.get("places", F.lit(n))) for n in range(len(types))]
+    broken = [F.when((t != null) & t.try_cast(kind).isNull(), F.lit(f"{c} does not parse")) for t, (c, kind) in zip(text, types.items())]
     reason = (
         F.when(F.col("names").isNull(), "no names line").when(more < 0, "too few fields").when(more > 0, "too many fields").otherwise(F.coalesce(*broken))
     )
-    found = rows.withColumn("reason", reason).where(F.col("reason").isNotNull())
+    # ``explode`` sees to it that a row is judged once; a filter on a plain column would judge it again.
+    found = rows.select("value", "file_path", "block", "id", F.explode(F.array(reason)).alias("reason")).where(F.col("reason").isNotNull())
     line = F.col("id") - F.col("first") + F.col("above") + 1
     return found.join(blocks, ["file_path", "block"]).select("file_path", line.alias("line"), "reason", "value")
 
