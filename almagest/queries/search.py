@@ -332,9 +332,9 @@ def projected_sql(select: str, metres: float) -> str:
 
 
 def match_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An answer written as CSV with header and read back."""
+    """An answer written as packed CSV with header and read back."""
     path = work_folder(spark, "answer-csv")
-    write_csv(cone_match(sky.sources(spark, sf_dir), sky.points(spark, sf_dir), MINUTE), path, mode="overwrite", header=True)
+    write_csv(cone_match(sky.sources(spark, sf_dir), sky.points(spark, sf_dir), MINUTE), path, mode="overwrite", header=True, compression="gzip")
     return _numbers(read_csv(spark, path, {"point": "string", "query_point": "string"}, header=True))
 
 

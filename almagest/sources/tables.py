@@ -14,9 +14,9 @@ from almagest.operators.skew import row_spread
 from almagest.schema import CATALOG_COLUMNS, OFFSET_COLUMNS, as_strings, string_struct, typed_catalog, typed_offsets
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", header: bool = False) -> None:
-    """CSV files, without header and refusing to overwrite unless told otherwise."""
-    df.write.mode(mode).option("header", header).csv(path)
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", header: bool = False, compression: str = "none") -> None:
+    """CSV files, without header, plain and refusing to overwrite unless told otherwise. Readers know packed files by their names."""
+    df.write.mode(mode).option("header", header).option("compression", compression).csv(path)
 
 
 def write_text_csv(df: DataFrame, path: str) -> None:
