@@ -229,3 +229,11 @@ def test_plane_grid_takes_at_most_four_cells(spark):
 
 def test_sphere_distance_helper():
     assert sphere_distance(359.5, 0, 0.5, 0) == pytest.approx(1.0)
+
+
+def test_wkt_of_any_form_parses_alike(spark):
+    texts = ["POINT (1.5 -2)", "POINT (1 5 2)", "point(1 2)", " POINT ( 1   2 ) ", "POINT (1 2)x)", "POINT (1 abc)", "POINT (5)", "POINT ()", "POINT (1  2)", "POINT (1\t2)", "POINT (1e3 NaN)", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(F.inline(F.array(geo.parse_point_wkt(F.col("t"))))).collect()
+    got = [(r["lon"], "nan" if r["lat"] != r["lat"] else r["lat"]) for r in rows]
+    none = (None, None)
+    assert got == [(1.5, -2.0), none, (1.0, 2.0), (1.0, 2.0), none, (1.0, None), none, none, (1.0, 2.0), (1.0, 2.0), (1000.0, "nan"), none]
