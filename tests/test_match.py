@@ -8,7 +8,7 @@ from almagest.functions.cells import PlaneGrid, RadiusClasses
 from almagest.functions.s2 import S2Cells
 from almagest.operators import match
 from almagest.operators.occurring import bitmap_bits, with_occurring_keys
-from almagest.operators.skew import hot_buckets, lookup_join, row_spread, salted_join
+from almagest.operators.skew import REPEATS, hot_buckets, hot_of, join_partitions, lookup_join, row_spread, salted_join
 from almagest.sources.points import points_from_rows
 from almagest.functions.coords import with_lon_lat
 from conftest import executed, metric as metric_of, pair_ids, plan_text, plane_pairs, sphere_distance
@@ -369,3 +369,61 @@ def test_text_match(scene):
     text = catalog.select(match.geo.point_wkt(F.col("lon"), F.col("lat")).alias("geom"))
     assert match.wkt_match(text, query, 0.04).count() == len(plane_pairs(sources, points, 0.04))
     assert match.first_pair(match.cone_match(catalog, query, 0.04)).count() == 1
+
+
+@pytest.mark.parametrize("index", [None, PlaneGrid(0.5)])
+@pytest.mark.parametrize("metric", ["planar", "great_circle"])
+def test_cells_are_finer_where_many_circles_meet_a_dense_catalog(sky_points, monkeypatch, index, metric):
+    sources, points = patch(3000, 51), patch(200, 52)
+    catalog, query = sky_points(sources), sky_points(points, "point_id")
+    want = pair_ids(match.cone_pairs(catalog, query, 0.1, metric=metric))
+    profile = match.measure(match.query_side(query, 0.1, "lon", "lat"), F.lit(0.1), "lon", "lat")
+    monkeypatch.setattr(match, "MANY_CIRCLES", 100)
+    fitted = match._fitted(index, catalog, profile, metric, "lon", "lat")
+    finer = fitted if index is None else fitted.inner
+    assert finer.halvings >= 1
+    cover = fitted.explode_cover(match.query_side(query, 0.1, "lon", "lat"), F.lit(0.1), "c", "query_lon", "query_lat")
+    coarse = index or RadiusClasses(profile.classes, metric)
+    wide = coarse.explode_cover(match.query_side(query, 0.1, "lon", "lat"), F.lit(0.1), "c", "query_lon", "query_lat")
+    met = [cells.with_cell(catalog, "c").join(side, [*getattr(cells, "keys", ()), "c"]).count() for cells, side in ((fitted, cover), (coarse, wide))]
+    assert met[0] < 0.7 * met[1]
+    for strategy in ("auto", "shuffle"):
+        assert pair_ids(match.cone_pairs(catalog, query, 0.1, metric=metric, index=index, strategy=strategy, pair_target=50)) == want
+
+
+def test_hot_pieces_add_a_bounded_number_of_rows():
+    counts = {n: [1000, 100] if n else [600_000, 90_000] for n in range(50)}
+    hot = hot_of(counts, 2)
+    rows = sum(a + b for a, b in counts.values())
+    assert hot and sum(counts[n][0] * (b - 1) + counts[n][1] * (a - 1) for n, a, b in hot) <= REPEATS * rows
+    assert join_partitions(counts, 10**9) == 55 and join_partitions({0: [10, 10]}) is None
+
+
+@pytest.mark.parametrize("shape", ["disc", "polygon"])
+@pytest.mark.parametrize("boundary", [True, False])
+def test_lists_without_pairs_are_those_of_pairs(sky_points, monkeypatch, shape, boundary):
+    """Centers that several points share, null ones, spots too full for a row, rims; lists longer than a run."""
+    snap = lambda rows: [(k, round(a * 8) / 8, round(d * 8) / 8) for k, a, d in rows]
+    sources = snap(patch(900, 61)) + [(k, 150.5, 0.25) for k in range(10_000, 10_080)]
+    catalog, query = sky_points(sources), sky_points(snap(patch(60, 62)), "point_id")
+    query = query.withColumn("name", F.when(F.col("point_id") % 5 > 0, F.col("point_id") % 40))
+    monkeypatch.setattr(match, "HELD_ROWS", 40)
+
+    def rows(**options):
+        groups = match.grouped_match(catalog, query, 0.25, center=["name"], attributes=["source_id"], list_rows=7, shape=shape, boundary=boundary, **options)
+        return sorted((str(g["name"]), g["part"], g["square"], g["run"], [m[0] for m in g["matches"]]) for g in groups.collect())
+
+    assert rows() == rows(strategy="shuffle")
+
+
+def test_lists_shuffle_no_pairs(sky_points):
+    groups = match.grouped_match(sky_points(patch(4000, 63)), sky_points(patch(300, 64), "point_id"), 0.2, center=["point_id"], attributes=["source_id"])
+    pairs = groups.agg(F.sum(F.size("matches"))).first()[0]
+    assert pairs > 20_000 and max(shuffled_rows(groups)) <= 4000
+
+
+def test_text_is_made_before_the_join(scene):
+    *_, catalog, query = scene
+    text = plan_text(match.cone_match(catalog, query, 0.04))
+    physical = text[text.index("== Physical Plan ==") :]
+    assert physical.index("POINT (") > physical.index("Join")
