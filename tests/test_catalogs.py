@@ -474,3 +474,23 @@ def test_types_and_names(spark):
     assert len(schema.struct_of(schema.CATALOG_TYPES)) == 20
     assert schema.without_point_columns(frame.withColumn("ra_point", F.lit(1))).columns == ["a", "b"]
     assert pair_ids(spark.createDataFrame([(1, 2)], "source_id int, query_point_id int")) == [(1, 2)]
+
+
+def test_tasks_of_the_hybrid_layout_hold_few_rows(skewed, monkeypatch):
+    monkeypatch.setattr(layouts, "TASK_ROWS", 200)
+    held = layouts.hybrid_layout(skewed).groupBy(F.spark_partition_id()).count()
+    assert held.agg(F.max("count"), F.sum("count")).first()[1] == 7700 and held.agg(F.max("count")).first()[0] < 1500
+
+
+def test_packed_csv_reads_back(spark, tmp_path):
+    tables.write_csv(spark.range(5), str(tmp_path / "packed"), header=True, compression="gzip")
+    assert list((tmp_path / "packed").glob("*.csv.gz"))
+    assert sorted(r[0] for r in tables.read_csv(spark, str(tmp_path / "packed"), {"id": "bigint"}, header=True).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_a_line_of_a_tile_is_judged_once(spark, tmp_path):
+    (tmp_path / "0001_a.tbl").write_text("| dec | ra |\n 1 2\n x 2\n 1\n null y\n")
+    found = tiles.rejected_rows(spark, str(tmp_path), {"ra": "double", "dec": "double"})
+    assert sorted((r["line"], r["reason"]) for r in found.collect()) == [(3, "dec does not parse"), (4, "too few fields"), (5, "ra does not parse")]
+    physical = plan_text(found).split("== Physical Plan ==")[1].split("== Initial Plan ==")[0]
+    assert physical.count("dec does not parse") == 1

@@ -427,3 +427,12 @@ def test_text_is_made_before_the_join(scene):
     text = plan_text(match.cone_match(catalog, query, 0.04))
     physical = text[text.index("== Physical Plan ==") :]
     assert physical.index("POINT (") > physical.index("Join")
+
+
+def test_cells_of_many_circles_are_listed_by_several_tasks(sky_points, monkeypatch):
+    sources, points = patch(300, 71), patch(200, 72)
+    catalog, query = sky_points(sources), sky_points(points, "point_id").coalesce(1)
+    monkeypatch.setattr(match, "COVER_ROWS", 100)
+    pairs = match.cone_pairs(catalog, query, 0.1, strategy="shuffle")
+    assert "RepartitionByExpression" in plan_text(pairs) or "REPARTITION_BY_NUM" in plan_text(pairs)
+    assert pair_ids(pairs) == plane_pairs(sources, points, 0.1)
