@@ -9,7 +9,8 @@ from almagest.functions.s2 import S2Cells
 from almagest.operators import match
 from almagest.operators.occurring import bitmap_bits, with_occurring_keys
 from almagest.operators.skew import REPEATS, hot_buckets, hot_of, join_partitions, lookup_join, row_spread, salted_join
-from almagest.sources.points import points_from_rows
+from almagest.queries import search
+from almagest.sources.points import points_from_rows, read_points_wkt
 from almagest.functions.coords import with_lon_lat
 from conftest import executed, metric as metric_of, pair_ids, plan_text, plane_pairs, sphere_distance
 
@@ -436,3 +437,22 @@ def test_cells_of_many_circles_are_listed_by_several_tasks(sky_points, monkeypat
     pairs = match.cone_pairs(catalog, query, 0.1, strategy="shuffle")
     assert "RepartitionByExpression" in plan_text(pairs) or "REPARTITION_BY_NUM" in plan_text(pairs)
     assert pair_ids(pairs) == plane_pairs(sources, points, 0.1)
+
+
+def test_fields_of_points_in_files_become_numbers_before_the_join(spark, tmp_path):
+    for table, key, rows in (("orders", "o_orderkey", 300), ("customer", "c_custkey", 200)):
+        spark.range(rows).select(F.col("id").alias(key)).write.parquet(str(tmp_path / f"{table}.parquet"))
+    for query in (search.wkt_file_match, search.xy_file_match):
+        text = plan_text(query(spark, str(tmp_path)))
+        text = text[text.index("== Optimized Logical Plan ==") : text.index("== Physical Plan ==")]
+        assert "cast" in text and "cast" not in text[: text.index("Join")]
+
+
+def test_points_as_text_are_parsed_once(spark, tmp_path):
+    lines = ["POINT (1.5 2.5),7", "point ( 3 4 ),8", "POINT (x 1),9", ",10"]
+    (tmp_path / "points.csv").write_text("\n".join(lines))
+    points = read_points_wkt(spark, str(tmp_path / "points.csv"))
+    assert sorted((r["_c1"], r["lon"], r["lat"]) for r in points.collect()) == [("10", None, None), ("7", 1.5, 2.5), ("8", 3.0, 4.0), ("9", None, 1.0)]
+    text = plan_text(points.where("lon IS NOT NULL AND lat > 0 AND NOT isnan(lon)"))
+    text = text[text.index("== Optimized Logical Plan ==") : text.index("== Physical Plan ==")]
+    assert text.count("regexp_extract") == 2
