@@ -439,6 +439,26 @@ def test_cells_of_many_circles_are_listed_by_several_tasks(sky_points, monkeypat
     assert pair_ids(pairs) == plane_pairs(sources, points, 0.1)
 
 
+def test_hot_keys_are_dealt_once(spark):
+    """With one side cut in pieces the other's salt is 0 throughout; the join keeps the number of tasks it was given."""
+    left, right = (spark.range(n).select(F.floor(F.col("id") / 10_000).alias("k"), F.col("id").alias(name)) for n, name in ((2000, "a"), (20, "b")))
+    for sides in ((left, right), (right, left)):
+        hot = hot_buckets(*sides, ["k"], 10_000)
+        assert sorted(h > 1 for h in hot[0][1:]) == [False, True]
+        joined = salted_join(*sides, ["k"], 10_000, hot, 11)
+        assert joined.columns == ["k", sides[0].columns[1], sides[1].columns[1]]
+        assert joined.distinct().count() == joined.count() == 40_000
+        assert joined.rdd.getNumPartitions() == 11
+
+
+def test_runs_do_not_carry_the_list_they_are_cut_from(sky_points):
+    sources, points = [(k, 150.5, 0.25) for k in range(9)], [(0, 150.5, 0.25)]
+    groups = match.grouped_match(sky_points(sources), sky_points(points, "point_id"), 0.1, center=["point_id"], attributes=["source_id"], list_rows=2)
+    made = next(node for name, node in executed(groups) if name == "GenerateExec")
+    assert "__matches" not in made.output().mkString(",")
+    assert sorted((g["run"], [m[0] for m in g["matches"]]) for g in groups.collect()) == [(0, [0, 1]), (1, [2, 3]), (2, [4, 5]), (3, [6, 7]), (4, [8])]
+
+
 def test_fields_of_points_in_files_become_numbers_before_the_join(spark, tmp_path):
     for table, key, rows in (("orders", "o_orderkey", 300), ("customer", "c_custkey", 200)):
         spark.range(rows).select(F.col("id").alias(key)).write.parquet(str(tmp_path / f"{table}.parquet"))
