@@ -476,3 +476,26 @@ def test_points_as_text_are_parsed_once(spark, tmp_path):
     text = plan_text(points.where("lon IS NOT NULL AND lat > 0 AND NOT isnan(lon)"))
     text = text[text.index("== Optimized Logical Plan ==") : text.index("== Physical Plan ==")]
     assert text.count("regexp_extract") == 2
+
+
+def test_hot_pieces_are_no_more_than_the_work_asks_for():
+    """Few wide rows met by many narrow ones: the wide ones are not repeated a hundred times to make sixteen pieces."""
+    ((_, left, right),) = hot_of({0: [9400, 9]}, 5333)
+    assert 16 <= left * right <= 18 and left <= 16
+    ((_, left, right),) = hot_of({0: [9400, 33_000]}, 10_000_000, (1, 2))
+    assert left * right >= 32 and right > left
+
+
+@pytest.mark.parametrize("shape", ["disc", "polygon"])
+def test_crowded_spots_are_held_in_chunks(sky_points, monkeypatch, shape):
+    """A spot with more sources than a row holds: its lists are cut from chunks, and pairs are not shuffled."""
+    sources = [(k, 150.5 + k % 3 / 8, 0.25) for k in range(300)]
+    points = [(k, 150.5 + k / 400, 0.25) for k in range(200)]
+    catalog, query = sky_points(sources), sky_points(points, "point_id")
+    monkeypatch.setattr(match, "HELD_ROWS", 40)
+    monkeypatch.setattr(match, "PAIR_TARGET", 2000)
+    lists = lambda **options: match.grouped_match(catalog, query, 0.2, center=["point_id"], attributes=["source_id"], part_height=0.1, list_rows=7, shape=shape, **options)
+    rows = lambda groups: sorted((g["point_id"], g["part"], g["square"], g["run"], [m[0] for m in g["matches"]]) for g in groups.collect())
+    got = rows(lists())
+    assert got == rows(lists(strategy="shuffle")) and max(g[3] for g in got) == 14
+    assert sum(len(g[4]) for g in got) > 30_000 and max(shuffled_rows(lists())) < 6000
