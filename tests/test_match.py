@@ -499,3 +499,27 @@ def test_crowded_spots_are_held_in_chunks(sky_points, monkeypatch, shape):
     got = rows(lists())
     assert got == rows(lists(strategy="shuffle")) and max(g[3] for g in got) == 14
     assert sum(len(g[4]) for g in got) > 30_000 and max(shuffled_rows(lists())) < 6000
+
+
+def test_lists_of_two_are_the_same_however_many_parts_are_full(sky_points, monkeypatch):
+    """The table of full parts may be too long to send; the squares are those of each part's own rows all the same."""
+    sources = patch(600, 81) + patch(300, 82, (150.1, 150.2), (0.1, 0.2))
+    catalog, query = sky_points(sources), sky_points(patch(40, 83), "point_id")
+
+    def rows():
+        groups = match.grouped_match(catalog, query, 0.1, center=["point_id"], attributes=["source_id"], list_rows=4)
+        return sorted((g["point_id"], g["part"], g["square"], g["run"], [m[0] for m in g["matches"]]) for g in groups.collect())
+
+    got = rows()
+    monkeypatch.setattr(match, "BROADCAST_BYTES", 0)
+    assert rows() == got
+
+
+def test_whole_lists_are_one_row_however_long(spark, tmp_path):
+    """More sources in a part than a row holds while lists are made, on one spot and beside it: one list a point and part."""
+    spark.range(12_000).select((F.col("id") * 2000003).alias("o_orderkey")).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(1).select(F.col("id").alias("c_custkey")).write.parquet(str(tmp_path / "customer.parquet"))
+    ids = ",".join(str(k * 2000003) for k in range(12_000))
+    for query in (search.cone_grouped, search.cone_grouped_parts):
+        (row,) = query(spark, str(tmp_path)).collect()
+        assert (row["point_id"], row["n"], row["ids"]) == (0, 12_000, ids)
