@@ -1,4 +1,5 @@
 import gzip
+import math
 import random
 import re
 from decimal import Decimal
@@ -10,10 +11,10 @@ from pyspark.sql import functions as F
 
 from almagest import schema
 from almagest.functions.coords import with_lon_lat, with_point_columns
-from almagest.operators import calibrate, match, stats
+from almagest.operators import calibrate, match, ranges, stats
 from almagest.plans import experiments, ingest, layouts
 from almagest.functions.cells import PlaneGrid
-from almagest.functions.s2 import S2Covering, covering_bound, explode_s2_cover, explode_s2_covering
+from almagest.functions.s2 import S2Covering, covering_bound, explode_s2_cover, explode_s2_covering, with_s2_cell
 from almagest.operators.ranges import united
 from almagest.session import work_folder
 from almagest.sources import points as point_sources
@@ -494,3 +495,26 @@ def test_a_line_of_a_tile_is_judged_once(spark, tmp_path):
     assert sorted((r["line"], r["reason"]) for r in found.collect()) == [(3, "dec does not parse"), (4, "too few fields"), (5, "ra does not parse")]
     physical = plan_text(found).split("== Physical Plan ==")[1].split("== Initial Plan ==")[0]
     assert physical.count("dec does not parse") == 1
+
+
+def test_full_folders_are_few_files(spark, skewed, tmp_path):
+    """A folder of the deepest level that holds far more than ``folder_rows`` is one task's file, not one for each such number."""
+    layouts.write_hybrid(layouts.hybrid_layout(skewed, coarse=2, deepest=4, folder_rows=50), str(tmp_path / "few"))
+    folders = list((tmp_path / "few").glob("partition_id=*"))
+    assert all(len(list(folder.glob("*.parquet"))) == 1 for folder in folders) and len(folders) > 2
+
+
+def test_many_circles_are_merged_before_they_are_covered(spark, monkeypatch):
+    """Ranges hold every cell that a circle touches, and what lies between two fields stays out of them."""
+    monkeypatch.setattr(ranges, "MERGED", 16)
+    rng = random.Random(91)
+    rows = [(x + rng.uniform(0, 3), y + rng.uniform(0, 3), rng.choice([0.0, 0.3])) for x, y in ((-179.9, -2.0), (20.0, 60.0)) for _ in range(60)]
+    circles = spark.createDataFrame(rows, "lon double, lat double, r double")
+    merged, reach = ranges.merged_circles(circles, F.col("r"), "lon", "lat")
+    about = [(m["lon"], m["lat"], m["reach"]) for m in merged.select("lon", "lat", reach.alias("reach")).collect()]
+    assert len(about) < 40 and all(any(math.hypot(x - a, y - b) + r <= to + 1e-9 for a, b, to in about) for x, y, r in rows)
+    got = ranges.touched_ranges(circles, F.col("r"), 9, "lon", "lat", len(rows))
+    cells = [c["cell_id"] for c in explode_s2_covering(circles, F.col("r"), 9, "cell_id", "lon", "lat").collect()]
+    assert cells and all(any(low <= c <= high for low, high in got) for c in cells)
+    far = with_s2_cell(spark.createDataFrame([(100.0, -40.0), (-60.0, 0.0)], "lon double, lat double"), 9, "cell_id").collect()
+    assert not any(low <= c["cell_id"] <= high for c in far for low, high in got)
