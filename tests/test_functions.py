@@ -251,3 +251,14 @@ def test_points_of_many_texts_are_parsed_as_one_by_one(spark):
     # A text is cut, and a piece made a number, once; the pattern's two numbers a text are for other forms only.
     plan = plan_text(got.select("p.lon", "p.lat", "q.lon", "q.lat")).split("== Physical Plan ==")[1]
     assert plan.count("try_cast(") - plan.count("try_cast(regexp_extract") == 4
+
+
+def test_nearly_all_points_of_a_polygon_need_no_angle(spark):
+    """The circle inside decides for itself what the polygon's own test says."""
+    grid = spark.range(201 * 201).select(((F.col("id") % 201) / 100 - 1).alias("dx"), (F.floor(F.col("id") / 201) / 100 - 1).alias("dy"))
+    got = geo.polygon_measure(F.col("dx"), F.col("dy")) < geo.polygon_limit(F.lit(1.0))
+    inside = geo.well_inside(F.col("dx"), F.col("dy"), 1.0)
+    row = grid.agg(F.count(F.when(got, 1)).alias("all"), F.count(F.when(inside & got, 1)).alias("both"), F.count(F.when(inside, 1)).alias("inner")).first()
+    assert row["both"] == row["inner"] and row["inner"] > 0.98 * row["all"]
+    for boundary in (True, False):
+        assert grid.where("dx = 0 AND dy = 0").where(geo.in_polygon(F.col("dx"), F.col("dy"), 0.0, boundary)).count() == boundary
