@@ -499,6 +499,8 @@ def test_crowded_spots_are_held_in_chunks(sky_points, monkeypatch, shape):
     got = rows(lists())
     assert got == rows(lists(strategy="shuffle")) and max(g[3] for g in got) == 14
     assert sum(len(g[4]) for g in got) > 30_000 and max(shuffled_rows(lists())) < 6000
+    # No join makes a row a pair, as it would to number the pairs of a spot.
+    assert max(metric_of(node, "numOutputRows") for name, node in executed(lists()) if "Join" in name) < 6000
 
 
 def test_lists_of_two_are_the_same_however_many_parts_are_full(sky_points, monkeypatch):
